@@ -366,7 +366,7 @@ def queries() -> dict[str, Query]:
         "eda_duplicates": on("events", VISITS, counting.duplicate_rows),
         "eda_size": on("orders", ORDERS, profiling.logical_size),
         "eda_describe": on("lineitem", LINES, profiling.describe),
-        "eda_correlation": on("lineitem", LINES, profiling.correlation),
+        "eda_correlation": on("lineitem", LINES, lambda df: profiling.correlation(profiling.correlation_pairs(df))),
         "eda_strong_correlation": on("lineitem", LINES, lambda df: profiling.strong_correlations(profiling.correlation_pairs(df))),
         "eda_top_values": on("orders", ORDERS, profiling.categorical_summary),
         "eda_profile": on("events", EVENTS, lambda df: profile(df).facts()),

@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.functions.text import strip
-
 # The texts accepted as numbers.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITY = r"(?i)^[+-]?inf(inity)?$"
 
 
+def number_text(col: Column) -> Column:
+    """Text without the ASCII white space that may surround a number."""
+    return F.trim(col, F.lit(" \t\n\r\f\v"))
+
+
 def text_to_number(col: Column) -> Column:
     """Parse decimal text to double; anything else becomes NULL."""
-    text = strip(col)
+    text = number_text(col)
     return (
         F.when(text.rlike(NUMBER), text.try_cast("double"))
         .when(text.rlike(INFINITY), F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))

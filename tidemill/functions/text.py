@@ -28,9 +28,17 @@ def blank_to_null(col: Column) -> Column:
 
 
 def title_case(col: Column) -> Column:
-    """Capitalise the first letter after any character without case."""
+    """Capitalise the first letter after any character without case.
+
+    ``initcap`` starts words after spaces only.  A marked space is put before
+    every letter that follows another character without case, and taken out again;
+    the rare text holding the mark itself is cut into runs instead.
+    """
+    mark = "\x01 "
+    spaced = F.regexp_replace(col, rf"(?<=[^{_CASED} ])(?=[{_CASED}])", mark)
     runs = F.regexp_extract_all(col, F.lit(rf"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    by_run = F.array_join(F.transform(runs, F.initcap), "")
+    return F.when(col.contains("\x01"), by_run).otherwise(F.replace(F.initcap(spaced), F.lit(mark), F.lit("")))
 
 
 def text_case(col: Column, case: str) -> Column:

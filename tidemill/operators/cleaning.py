@@ -159,11 +159,16 @@ class Fill:
     as_text: bool = False
 
 
-def numeric_fills(df: DataFrame, names: Sequence[str], how: str, rows: int | None = None) -> dict[str, Fill]:
-    """Fill values for numeric columns: median, mean, zero or mode."""
+def numeric_fills(
+    df: DataFrame, names: Sequence[str], how: str, counts: dict[str, int] | None = None
+) -> dict[str, Fill]:
+    """Fill values for numeric columns: median, mean, zero or mode.
+
+    ``counts`` may pass the number of values per column.
+    """
     names = list(names)
     if how == "median":
-        medians = exact_quantiles(df, {n: c(n) for n in names}, [0.5], rows)
+        medians = exact_quantiles(df, {n: c(n) for n in names}, [0.5], counts)
         return {n: Fill(F.lit(m[0])) for n, m in medians.items() if m[0] is not None}
     if how == "mean" and names:
         means = df.agg(*[F.avg(c(n).cast("double")).alias(f"m{i}") for i, n in enumerate(names)]).first()
@@ -204,10 +209,10 @@ def apply_fills(df: DataFrame, fills: dict[str, Fill]) -> DataFrame:
     return replace_columns(df, exprs)
 
 
-def fill_numeric(df: DataFrame, how: str, rows: int | None = None) -> DataFrame:
+def fill_numeric(df: DataFrame, how: str) -> DataFrame:
     names = numeric_columns(df)
     missing = null_counts(df, names)
-    return apply_fills(df, numeric_fills(df, [n for n in names if missing[n]], how, rows))
+    return apply_fills(df, numeric_fills(df, [n for n in names if missing[n]], how))
 
 
 def fill_categorical(df: DataFrame, how: str) -> DataFrame:

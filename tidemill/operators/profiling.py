@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +10,7 @@ from tidemill.columns import c
 from tidemill.functions.labels import label_columns
 from tidemill.functions.numbers import finite_or_null, round_half_even
 from tidemill.operators.counting import top_values
+from tidemill.operators.moments import Moments, correlations, moments
 from tidemill.operators.quantiles import SMALL_ROWS, exact_quantiles
 from tidemill.roles import categorical_columns, data_columns, dtype_of, is_text, numeric_columns, role
 
@@ -22,7 +21,6 @@ STRONG = 0.6
 STRONG_PAIRS = 10
 
 QUARTILES = (0.25, 0.5, 0.75)
-_PAIRS_PER_SCAN = 400
 _WIDTHS = {
     T.ByteType: 1,
     T.ShortType: 2,
@@ -73,76 +71,32 @@ def logical_size(df: DataFrame) -> DataFrame:
     return df.agg(round_half_even(size / F.lit(1024.0 * 1024.0), 3).alias("memory_usage_mb"))
 
 
-def describe(df: DataFrame, rows: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def describe(df: DataFrame, stats: dict[str, Moments] | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """``column, count, mean, std, min, p25, p50, p75, max`` of every numeric column."""
     names = numeric_columns(df)
-    fields = ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    if not names:
-        return df.sparkSession.createDataFrame([], "column string, count bigint, " + ", ".join(f"{f} double" for f in fields[2:]))
     value = {n: c(n).cast("double") for n in names}
-    aggs: list[Column] = []
+    stats = moments(df, value) if stats is None else stats
+    counts = {n: stats[n].count for n in names}
+    quartiles = exact_quantiles(df, value, QUARTILES, counts, small_rows)
+    rows = []
     for i, n in enumerate(names):
-        x = value[n]
-        aggs += [
-            F.count(x).alias(f"count{i}"),
-            F.avg(x).alias(f"mean{i}"),
-            F.stddev_samp(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"),
-        ]
-    rows = df.count() if rows is None else rows
-    if rows <= small_rows:
-        shares = F.array(*[F.lit(p) for p in QUARTILES])
-        aggs += [F.percentile(value[n], shares).alias(f"q{i}") for i, n in enumerate(names)]
-        quartile = {n: [c(f"q{i}").getItem(j) for j in range(3)] for i, n in enumerate(names)}
-    else:
-        found = exact_quantiles(df, value, QUARTILES, rows, small_rows)
-        quartile = {n: [F.lit(q).cast("double") for q in found[n]] for n in names}
-    stats = []
-    for i, n in enumerate(names):
-        numbers = [c(f"mean{i}"), c(f"std{i}"), c(f"min{i}"), *quartile[n], c(f"max{i}")]
-        stats.append([F.lit(n), c(f"count{i}"), *[round_half_even(finite_or_null(x), 3) for x in numbers]])
-    return _stack(df.agg(*aggs), stats, fields)
-
+        m = stats[n]
+        rows.append((i, n, m.count, m.mean, m.std, m.low, *quartiles[n], m.high))
+    measures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    schema = "place int, column string, count bigint, " + ", ".join(f"{f} double" for f in measures)
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return table.select("column", "count", *[round_half_even(finite_or_null(c(f)), 3).alias(f) for f in measures])
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows where both values are finite; 0 where it is undefined."""
-    x, y = finite_or_null(x), finite_or_null(y)
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    r = F.coalesce(finite_or_null(F.try_divide(F.covar_pop(x, y), spread)), F.lit(0.0))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
 
-
-def _pair_batches(names: list[str]) -> list[list[tuple[str, str]]]:
-    """Split all pairs into blocks, so that one scan reads few columns and one plan stays small."""
-    side = max(1, int(_PAIRS_PER_SCAN**0.5))
-    blocks = [names[i : i + side] for i in range(0, len(names), side)]
-    place = {n: i for i, n in enumerate(names)}
-    batches = []
-    for left, right in combinations_with_replacement(blocks, 2):
-        batches.append([(x, y) for x in left for y in right if place[x] <= place[y]])
-    return batches
+def correlation_pairs(df: DataFrame, stats: dict[str, Moments] | None = None) -> DataFrame:
+    """``left, right, correlation`` for every unordered pair, the diagonal included."""
+    pairs = correlations(df, numeric_columns(df), stats)
+    table = df.sparkSession.createDataFrame(pairs, "left string, right string, r double")
+    return table.select("left", "right", round_half_even(c("r"), 3).alias("correlation"))
 
 
-def correlation_pairs(df: DataFrame) -> DataFrame:
-    """``left, right, correlation`` for every unordered pair, the diagonal included."""
-    names = numeric_columns(df)
-    schema = "left string, right string, correlation double"
-    result = df.sparkSession.createDataFrame([], schema) if not names else None
-    for pairs in _pair_batches(names):
-        one = df.agg(
-            *[_pearson(c(x).cast("double"), c(y).cast("double")).alias(f"r{i}") for i, (x, y) in enumerate(pairs)]
-        )
-        rows = [[F.lit(x), F.lit(y), round_half_even(c(f"r{i}"), 3)] for i, (x, y) in enumerate(pairs)]
-        part = _stack(one, rows, ["left", "right", "correlation"])
-        result = part if result is None else result.unionByName(part)
-    return result
-
-
-def correlation(df: DataFrame) -> DataFrame:
+def correlation(pairs: DataFrame) -> DataFrame:
     """The full symmetric matrix in long form."""
-    pairs = correlation_pairs(df)
     sides = F.when(c("left") == c("right"), F.array(F.struct("left", "right"))).otherwise(
         F.array(F.struct("left", "right"), F.struct(c("right").alias("left"), c("left").alias("right")))
     )

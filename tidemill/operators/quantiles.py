@@ -1,13 +1,16 @@
 """Exact, linearly interpolated quantiles at any scale.
 
-The built-in exact ``percentile`` keeps every distinct value of a column in one
-final task, so it is used only when the row count (checked first) is small.
-Beyond that, quantiles are found by narrowing: a bounded random sample *proposes*
+A column whose counted size fits one task comfortably is sorted, all such columns
+side by side.  Beyond that, quantiles are found by narrowing: a bounded random sample *proposes*
 a pair of cut points around each wanted rank, exact counts below and at the cut
-points *prove* which side the rank is on, and the interval shrinks by about two
-orders of magnitude per scan.  The sample affects only the number of scans,
-never the answer.  A value held by a large share of the rows becomes a cut point
-itself and is settled by its own count.
+points *prove* which side the rank is on, and the interval shrinks by a factor of
+30 to 100 per round until few enough rows are left to sort.  The sample affects
+only the number of rounds, never the answer.  A value held by a large share of the
+rows becomes a cut point itself and is settled by its own count.
+
+Each round is one sampling scan and one counting scan of the columns concerned.
+Counting stays in generated code; only sampled rows reach the object-based
+percentile aggregate, and only counted, bounded intervals are ever sorted.
 """
 
 from __future__ import annotations
@@ -15,19 +18,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
 
-#: Up to this many rows the built-in exact aggregate is used directly.
+#: A column with at most this many values is sorted by one task.
 SMALL_ROWS = 2_000_000
-#: Target number of sampled values per scan and column.
-SAMPLE_ROWS = 400_000
+#: Number of columns sorted in one job.
+_SORTED_TOGETHER = 16
 #: An interval with at most this many rows is sorted to finish.
-FINISH_ROWS = 100_000
-_GRID = 1000
+FINISH_ROWS = 50_000
+#: Bounds of the number of sampled values per round and column.
+_SAMPLE = (20_000, 200_000)
 
 
 @dataclass
@@ -43,140 +48,172 @@ class _Search:
     cuts: tuple[float, float] | None = None
     value: float | None = None
 
-    def inside(self, low: float | None, high: float | None) -> Column:
-        test = c(self.name).isNotNull()
-        if low is not None:
-            test &= c(self.name) > F.lit(low)
-        if high is not None:
-            test &= c(self.name) < F.lit(high)
-        return test
+    @property
+    def interval(self) -> tuple[str, float | None, float | None]:
+        return self.name, self.low, self.high
 
-    def narrow(self, counts: Sequence[int]) -> bool:
-        """Use rows <a, <=a, <b, <=b; True when the rank fell between the cuts."""
+    def sample_rows(self) -> int:
+        return min(max(self.size // 50, _SAMPLE[0]), _SAMPLE[1])
+
+    def shares(self) -> tuple[float, float]:
+        """Where to cut the interval: a few standard errors of the sampled rank to either side."""
+        share = round((self.rank - self.below + 0.5) / self.size, 3)  # alike for neighbouring ranks
+        margin = 0.002 + 4 * math.sqrt(share * (1 - share) / self.sample_rows())
+        return max(0.0, share - margin), min(1.0, share + margin)
+
+    def narrow(self, under_a: int, to_a: int, under_b: int, to_b: int) -> None:
+        """Use the numbers of rows under and up to each cut point."""
         a, b = self.cuts
-        under_a, to_a, under_b, to_b = counts
         above = self.below + self.size
+        self.cuts = None
         if self.rank < under_a:
             self.high, self.size = a, under_a - self.below
         elif self.rank < to_a:
             self.value = a
         elif self.rank < under_b:
             self.low, self.high, self.below, self.size = a, b, to_a, under_b - to_a
-            return True
         elif self.rank < to_b:
             self.value = b
         else:
             self.low, self.below, self.size = b, to_b, above - to_b
-        return False
-
-    def propose(self, grid: Sequence[float]) -> None:
-        place = (self.rank - self.below + 0.5) / self.size * _GRID
-        # Several standard errors of a sampled rank, on either side.
-        margin = 4
-        last = len(grid) - 1
-        self.cuts = (
-            grid[max(0, math.floor(place) - margin)],
-            grid[min(last, math.ceil(place) + margin)],
-        )
 
 
-def _scan(df: DataFrame, open_searches: list[_Search], seed: int) -> None:
-    """One pass: prove the current cuts and sample what is left for the next ones."""
-    aggs: list[Column] = []
-    shares = [F.lit(i / _GRID) for i in range(_GRID + 1)]
-    for s in open_searches:
-        value = c(s.name)
-        low, high, size = s.low, s.high, s.size
-        if s.cuts:
-            a, b = (F.lit(x) for x in s.cuts)
-            aggs += [F.count_if(t) for t in (value < a, value <= a, value < b, value <= b)]
-            (low, high), size = s.cuts, max(1, s.size * 9 // _GRID)
-        share = min(1.0, SAMPLE_ROWS / size)
-        picked = s.inside(low, high) & (F.col("draw") < F.lit(share))
-        aggs.append(F.percentile(F.when(picked, value), F.array(*shares)))
-    drawn = df.withColumn("draw", F.rand(seed))
-    row = list(drawn.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
-    for s in open_searches:
-        between = True
-        if s.cuts:
-            between = s.narrow([row.pop(0) for _ in range(4)])
-        grid = row.pop(0)
-        s.cuts = None
-        if s.value is None and between and grid:
-            s.propose(grid)
-
-
-def _finish(df: DataFrame, short: list[_Search]) -> None:
-    """Sort the few rows left in each interval (their number has been counted)."""
+def _inside(name: str, low: float | None, high: float | None) -> Column:
+    test = c(name).isNotNull()
+    if low is not None:
+        test &= c(name) > F.lit(low)
+    if high is not None:
+        test &= c(name) < F.lit(high)
+    return test
+
+
+def _first_row(df: DataFrame, aggs: Sequence[Column]) -> list:
+    return list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda x, y: x | y, tests)
+
+
+def _sample(df: DataFrame, searches: Sequence[_Search], seed: int) -> None:
+    """Propose cuts from a bounded random sample of each open interval."""
+    draws = {s.interval: min(1.0, s.sample_rows() / s.size) for s in searches}
+    wanted = {i: sorted({p for s in searches if s.interval == i for p in s.shares()}) for i in draws}
+    drawn = df.withColumn("draw", F.rand(seed)).filter(F.col("draw") < F.lit(max(draws.values())))
     picks = [
-        F.element_at(
-            F.array_sort(F.collect_list(F.when(s.inside(s.low, s.high), c(s.name)))),
-            F.lit(s.rank - s.below + 1).cast("int"),
-        ).alias(f"v{i}")
-        for i, s in enumerate(short)
+        F.percentile(
+            F.when(_inside(*interval) & (F.col("draw") < F.lit(share)), c(interval[0])),
+            F.array(*[F.lit(p) for p in wanted[interval]]),
+        )
+        for interval, share in draws.items()
     ]
-    for s, value in zip(short, df.agg(*picks).first()):
+    found = {i: dict(zip(wanted[i], got or ())) for i, got in zip(draws, _first_row(drawn, picks))}
+    for s in searches:
+        if found[s.interval]:
+            s.cuts = tuple(found[s.interval][p] for p in s.shares())
+
+
+def _prove(df: DataFrame, searches: Sequence[_Search]) -> None:
+    """Exact row counts at the proposed cuts."""
+    cut = [s for s in searches if s.cuts]
+    pairs = list(dict.fromkeys((s.name, *s.cuts) for s in cut))
+    counts: list[Column] = []
+    for name, a, b in pairs:
+        x = c(name)
+        counts += [F.count_if(t) for t in (x < F.lit(a), x <= F.lit(a), x < F.lit(b), x <= F.lit(b))]
+    row = _first_row(df, counts) if counts else []
+    found = {pair: row[4 * i : 4 * i + 4] for i, pair in enumerate(pairs)}
+    for s in cut:
+        s.narrow(*found[(s.name, *s.cuts)])
+
+
+def _finish(df: DataFrame, searches: Sequence[_Search]) -> None:
+    """Sort the rows left in each interval; their number has been counted."""
+    intervals = list(dict.fromkeys(s.interval for s in searches))
+    left = df.filter(_any([_inside(*i) for i in intervals]))
+    lists = left.agg(*[F.collect_list(F.when(_inside(*i), c(i[0]))).alias(f"l{j}") for j, i in enumerate(intervals)])
+    ordered = lists.select(*[F.sort_array(c(f"l{j}")).alias(f"s{j}") for j in range(len(intervals))])
+    picks = [F.element_at(c(f"s{intervals.index(s.interval)}"), s.rank - s.below + 1) for s in searches]
+    row = ordered.select(*[p.alias(f"a{i}") for i, p in enumerate(picks)]).first()
+    for s, value in zip(searches, row):
         s.value = value
 
 
-def _order_statistics(df: DataFrame, searches: list[_Search]) -> None:
-    seed = 1
-    while todo := [s for s in searches if s.value is None]:
-        short = [s for s in todo if s.size <= FINISH_ROWS]
-        if short:
-            _finish(df, short)
-        wide = [s for s in todo if s.value is None]
-        if wide:
-            _scan(df, wide, seed)
+def _solve(df: DataFrame, searches: Sequence[_Search], finish_rows: int) -> None:
+    seed = 0
+    while wide := [s for s in searches if s.value is None and s.size > finish_rows]:
         seed += 1
+        _sample(df, wide, seed)
+        _prove(df, wide)
+    if short := [s for s in searches if s.value is None]:
+        _finish(df, short)
+
+
+def _sort(df: DataFrame, searches: Sequence[_Search]) -> None:
+    """Number the sorted values of each column: one task per column of counted, small size."""
+    ranks: dict[str, set[int]] = {}
+    for s in searches:
+        ranks.setdefault(s.name, set()).add(s.rank)
+    place = F.row_number().over(Window.orderBy("x")) - 1
+    parts = [
+        df.select(c(name).alias("x"))
+        .filter(F.col("x").isNotNull())
+        .withColumn("r", place)
+        .filter(F.col("r").isin(sorted(wanted)))
+        .select(F.lit(name).alias("k"), "r", "x")
+        for name, wanted in ranks.items()
+    ]
+    for start in range(0, len(parts), _SORTED_TOGETHER):
+        rows = reduce(DataFrame.unionAll, parts[start : start + _SORTED_TOGETHER]).collect()  # wanted ranks only
+        found = {(row["k"], row["r"]): row["x"] for row in rows}
+        for s in searches:
+            s.value = found.get((s.name, s.rank), s.value)
 
 
 def exact_quantiles(
     df: DataFrame,
     values: dict[str, Column],
     probs: Sequence[float],
-    rows: int | None = None,
-    small_rows: int | None = None,
+    counts: dict[str, int] | None = None,
+    small_rows: int = SMALL_ROWS,
+    finish_rows: int = FINISH_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several numeric expressions over their non-null values.
 
-    ``rows`` may pass a known upper bound on the row count.
+    ``counts`` may pass the number of non-null values per expression.
     """
     if not values:
         return {}
     keys = {name: f"q{i}" for i, name in enumerate(values)}
     narrow = df.select(*[values[name].cast("double").alias(key) for name, key in keys.items()])
-    rows = df.count() if rows is None else rows
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    if rows <= limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = narrow.agg(*[F.percentile(c(k), wanted).alias(k) for k in keys.values()]).first()
-        return {name: row[key] or [None] * len(probs) for name, key in keys.items()}
-
-    counts = narrow.agg(*[F.count(c(k)).alias(k) for k in keys.values()]).first()
-    searches: dict[tuple[str, int], _Search] = {}
-    for key in keys.values():
-        n = counts[key]
-        for p in probs if n else ():
-            place = (n - 1) * p
-            for rank in {math.floor(place), math.ceil(place)}:
-                searches[key, rank] = _Search(key, rank, n)
-    _order_statistics(narrow, list(searches.values()))
-
-    def at(key: str, p: float) -> float | None:
-        if not counts[key]:
+    if counts is None:
+        counts = dict(zip(keys, _first_row(narrow, [F.count(c(k)) for k in keys.values()])))
+    places = {(n, p): (counts[n] - 1) * p for n in keys for p in probs if counts[n]}
+    searches = {
+        (n, rank): _Search(keys[n], rank, counts[n])
+        for (n, _), place in places.items()
+        for rank in (math.floor(place), math.ceil(place))
+    }
+    if small := [s for s in searches.values() if s.size <= small_rows]:
+        _sort(narrow, small)
+    if large := [s for s in searches.values() if s.size > small_rows]:
+        _solve(narrow, large, finish_rows)
+
+    def at(name: str, p: float) -> float | None:
+        if not counts[name]:
             return None
-        place = (counts[key] - 1) * p
-        low, high = math.floor(place), math.ceil(place)
-        a, b = searches[key, low].value, searches[key, high].value
-        return a if low == high or a == b else a + (b - a) * (place - low)
+        place = places[name, p]
+        low = searches[name, math.floor(place)].value
+        high = searches[name, math.ceil(place)].value
+        return low if low == high else low + (high - low) * (place - math.floor(place))
 
-    return {name: [at(key, p) for p in probs] for name, key in keys.items()}
+    return {name: [at(name, p) for p in probs] for name in keys}
 
 
-def outlier_bounds(df: DataFrame, value: Column, rows: int | None = None) -> tuple[float, float] | None:
+def outlier_bounds(df: DataFrame, value: Column, count: int | None = None) -> tuple[float, float] | None:
     """Quartiles widened by one and a half interquartile ranges; None without values."""
-    q1, q3 = exact_quantiles(df, {"x": value}, [0.25, 0.75], rows)["x"]
+    counts = None if count is None else {"x": count}
+    q1, q3 = exact_quantiles(df, {"x": value}, [0.25, 0.75], counts)["x"]
     if q1 is None:
         return None
     reach = 1.5 * (q3 - q1)

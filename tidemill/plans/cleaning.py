@@ -144,7 +144,7 @@ def clean(df: DataFrame, spec: CleanSpec = CleanSpec(), order_by: str | None = N
     # Fill values are computed only for columns that have gaps.
     numeric = [n for n in numeric_columns(df) if missing[n]]
     categorical = [n for n in categorical_columns(df) if missing[n]]
-    fills = steps.numeric_fills(df, numeric, spec.fill_missing, rows)
+    fills = steps.numeric_fills(df, numeric, spec.fill_missing, {n: rows - missing[n] for n in numeric})
     fills |= steps.categorical_fills(df, categorical, spec.fill_categorical)
     df = steps.apply_fills(df, fills)
     missing = {n: 0 if n in fills else missing[n] for n in names}
@@ -154,7 +154,7 @@ def clean(df: DataFrame, spec: CleanSpec = CleanSpec(), order_by: str | None = N
     wanted = spec.remove_outliers or spec.cap_outliers
     if wanted and steps.check_outlier_column(df, outlier_column):
         value = c(outlier_column).cast("double")
-        bounds = outlier_bounds(df, value, rows)
+        bounds = outlier_bounds(df, value, rows - missing[outlier_column])
         if bounds is not None and spec.remove_outliers:
             df = steps.remove_outliers(df, outlier_column, bounds)
             rows_kept, missing, _ = _facts(df, names, constant=False)

@@ -12,7 +12,8 @@ from tidemill.columns import c
 from tidemill.functions.jsonsafe import json_rows
 from tidemill.operators import counting, heads
 from tidemill.operators import profiling as ops
-from tidemill.roles import check_supported, data_columns, normalise_missing
+from tidemill.operators.moments import Moments, moments
+from tidemill.roles import check_supported, data_columns, normalise_missing, numeric_columns
 
 DESCRIBE_METRICS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -60,17 +61,22 @@ class Profile:
     def size(self) -> DataFrame:
         return ops.logical_size(self.frame)
 
+    @cached_property
+    def moments(self) -> dict[str, Moments]:
+        """One pass shared by the description and the correlations."""
+        return moments(self.frame, {n: c(n) for n in numeric_columns(self.frame)})
+
     @cached_property
     def describe(self) -> DataFrame:
-        return ops.describe(self.frame, self.rows)
+        return ops.describe(self.frame, self.moments)
 
     @cached_property
     def correlation_pairs(self) -> DataFrame:
-        return ops.correlation_pairs(self.frame)
+        return ops.correlation_pairs(self.frame, self.moments)
 
     @cached_property
     def correlation(self) -> DataFrame:
-        return ops.correlation(self.frame)
+        return ops.correlation(self.correlation_pairs)
 
     @cached_property
     def strong_correlations(self) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from tidemill.columns import c
 from tidemill.functions.labels import value_text
-from tidemill.functions.numbers import INFINITY, NUMBER, text_to_number
-from tidemill.functions.text import strip
+from tidemill.functions.numbers import INFINITY, NUMBER, number_text, text_to_number
 from tidemill.roles import ROW, data_columns, dtype_of, with_row_order
 
 # Field texts read as missing, besides the empty text.
@@ -26,6 +25,7 @@ FALSE_TOKENS = ("False", "FALSE", "false")
 _INTEGER = r"^[+-]?\d+$"
 _OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _CORRUPT = "_corrupt"
+_GAP, _WHOLE, _HUGE, _NUMBER, _BOOLEAN, _TEXT = 1, 2, 4, 8, 16, 32
 
 
 def unique_headers(names: Sequence[str | None]) -> list[str]:
@@ -96,6 +96,18 @@ def _check_row_width(spark: SparkSession, path: str, fields: list[T.StructField]
         raise ValueError(f"rows with more than {len(fields)} fields in {path}")
 
 
+def _kind(col: Column) -> Column:
+    """What one field looks like, as a bit; a column's bits are simply or-ed."""
+    text = number_text(col)
+    return (
+        F.when(col.isNull(), _GAP)
+        .when(text.rlike(_INTEGER), F.when(text.try_cast("bigint").isNull(), _HUGE).otherwise(_WHOLE))
+        .when(text.rlike(NUMBER) | text.rlike(INFINITY), _NUMBER)
+        .when(col.isin(*TRUE_TOKENS, *FALSE_TOKENS), _BOOLEAN)
+        .otherwise(_TEXT)
+    )
+
+
 def infer_types(text: DataFrame) -> DataFrame:
     """Narrow text columns to bigint, double or boolean where every value fits.
 
@@ -103,33 +115,21 @@ def infer_types(text: DataFrame) -> DataFrame:
     with gaps become double.
     """
     names = data_columns(text)
-    facts = []
-    for i, n in enumerate(names):
-        col, trimmed = c(n), strip(c(n))
-        whole = trimmed.rlike(_INTEGER)
-        facts += [
-            F.count(col).alias(f"n{i}"),
-            F.count_if(col.isNull()).alias(f"gaps{i}"),
-            F.count_if(col.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"bool{i}"),
-            F.count_if(whole).alias(f"whole{i}"),
-            F.count_if(whole & trimmed.try_cast("bigint").isNull()).alias(f"huge{i}"),
-            F.count_if(trimmed.rlike(NUMBER) | trimmed.rlike(INFINITY)).alias(f"number{i}"),
-        ]
     if not names:
         return text
-    row = text.agg(*facts).first()
+    kinds = text.select(*[_kind(c(n)).alias(f"k{i}") for i, n in enumerate(names)])
+    row = kinds.agg(*[F.bit_or(c(f"k{i}")) for i in range(len(names))]).first()
 
     def typed(i: int, n: str) -> Column:
-        total = row[f"n{i}"]
-        if total == 0:
+        seen = row[i] or 0
+        values = seen & ~_GAP
+        if not values:
             return c(n).cast("double")
-        if row[f"bool{i}"] == total:
+        if values == _BOOLEAN:
             return c(n).isin(*TRUE_TOKENS)
-        if row[f"whole{i}"] == total and row[f"huge{i}"]:
-            return c(n)
-        if row[f"whole{i}"] == total and not row[f"gaps{i}"]:
-            return strip(c(n)).cast("bigint")
-        if row[f"number{i}"] == total:
+        if seen == _WHOLE:
+            return number_text(c(n)).cast("bigint")
+        if not values & ~(_WHOLE | _NUMBER):
             return text_to_number(c(n))
         return c(n)
 
