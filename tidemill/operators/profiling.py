@@ -11,7 +11,7 @@ from tidemill.functions.labels import label_columns
 from tidemill.functions.numbers import finite_or_null, round_half_even
 from tidemill.operators.counting import top_values
 from tidemill.operators.moments import Moments, correlations, moments
-from tidemill.operators.quantiles import SMALL_ROWS, exact_quantiles
+from tidemill.operators.quantiles import exact_quantiles
 from tidemill.roles import categorical_columns, data_columns, dtype_of, is_text, numeric_columns, role
 
 # Fixed values of the report.
@@ -71,13 +71,13 @@ def logical_size(df: DataFrame) -> DataFrame:
     return df.agg(round_half_even(size / F.lit(1024.0 * 1024.0), 3).alias("memory_usage_mb"))
 
 
-def describe(df: DataFrame, stats: dict[str, Moments] | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def describe(df: DataFrame, stats: dict[str, Moments] | None = None) -> DataFrame:
     """``column, count, mean, std, min, p25, p50, p75, max`` of every numeric column."""
     names = numeric_columns(df)
     value = {n: c(n).cast("double") for n in names}
     stats = moments(df, value) if stats is None else stats
     counts = {n: stats[n].count for n in names}
-    quartiles = exact_quantiles(df, value, QUARTILES, counts, small_rows)
+    quartiles = exact_quantiles(df, value, QUARTILES, counts)
     rows = []
     for i, n in enumerate(names):
         m = stats[n]

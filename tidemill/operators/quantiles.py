@@ -1,16 +1,17 @@
 """Exact, linearly interpolated quantiles at any scale.
 
-A column whose counted size fits one task comfortably is sorted, all such columns
-side by side.  Beyond that, quantiles are found by narrowing: a bounded random sample *proposes*
-a pair of cut points around each wanted rank, exact counts below and at the cut
-points *prove* which side the rank is on, and the interval shrinks by a factor of
-30 to 100 per round until few enough rows are left to sort.  The sample affects
-only the number of rounds, never the answer.  A value held by a large share of the
-rows becomes a cut point itself and is settled by its own count.
+The built-in exact ``percentile`` keeps every distinct value of a column in the
+final task.  Here, a wanted rank is first narrowed down: a bounded random sample
+*proposes* a pair of cut points around it, exact counts below and at the cut points
+*prove* which side the rank is on, and the interval shrinks by a factor of 50 to
+100 per round until its counted rows fit one task and can be sorted.  The sample
+affects only the number of rounds, never the answer.  A value held by a large share
+of the rows becomes a cut point itself and is settled by its own count.  A column
+that is small to begin with is sorted at once.
 
 Each round is one sampling scan and one counting scan of the columns concerned.
-Counting stays in generated code; only sampled rows reach the object-based
-percentile aggregate, and only counted, bounded intervals are ever sorted.
+Counting stays in generated code, and only sampled rows reach an object-based
+aggregate.
 """
 
 from __future__ import annotations
@@ -20,17 +21,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
 
-#: A column with at most this many values is sorted by one task.
-SMALL_ROWS = 2_000_000
-#: Number of columns sorted in one job.
-_SORTED_TOGETHER = 16
-#: An interval with at most this many rows is sorted to finish.
-FINISH_ROWS = 50_000
+#: An interval with at most this many rows is sorted by one task...
+FINISH_ROWS = 1_000_000
+#: ...together with others, up to this many values per job.
+_FINISH_CELLS = 8_000_000
+#: Cut points counted per scan, which keeps the generated code small.
+_CUTS_PER_SCAN = 16
 #: Bounds of the number of sampled values per round and column.
 _SAMPLE = (20_000, 200_000)
 
@@ -117,26 +118,33 @@ def _prove(df: DataFrame, searches: Sequence[_Search]) -> None:
     """Exact row counts at the proposed cuts."""
     cut = [s for s in searches if s.cuts]
     pairs = list(dict.fromkeys((s.name, *s.cuts) for s in cut))
-    counts: list[Column] = []
-    for name, a, b in pairs:
-        x = c(name)
-        counts += [F.count_if(t) for t in (x < F.lit(a), x <= F.lit(a), x < F.lit(b), x <= F.lit(b))]
-    row = _first_row(df, counts) if counts else []
-    found = {pair: row[4 * i : 4 * i + 4] for i, pair in enumerate(pairs)}
+    found = {}
+    for start in range(0, len(pairs), _CUTS_PER_SCAN):
+        part = pairs[start : start + _CUTS_PER_SCAN]
+        tests = [(x < F.lit(a), x <= F.lit(a), x < F.lit(b), x <= F.lit(b)) for n, a, b in part for x in (c(n),)]
+        row = _first_row(df, [F.count_if(t) for four in tests for t in four])
+        found.update({pair: row[4 * i : 4 * i + 4] for i, pair in enumerate(part)})
     for s in cut:
         s.narrow(*found[(s.name, *s.cuts)])
 
 
 def _finish(df: DataFrame, searches: Sequence[_Search]) -> None:
     """Sort the rows left in each interval; their number has been counted."""
-    intervals = list(dict.fromkeys(s.interval for s in searches))
-    left = df.filter(_any([_inside(*i) for i in intervals]))
-    lists = left.agg(*[F.collect_list(F.when(_inside(*i), c(i[0]))).alias(f"l{j}") for j, i in enumerate(intervals)])
-    ordered = lists.select(*[F.sort_array(c(f"l{j}")).alias(f"s{j}") for j in range(len(intervals))])
-    picks = [F.element_at(c(f"s{intervals.index(s.interval)}"), s.rank - s.below + 1) for s in searches]
-    row = ordered.select(*[p.alias(f"a{i}") for i, p in enumerate(picks)]).first()
-    for s, value in zip(searches, row):
-        s.value = value
+    sizes = {s.interval: s.size for s in searches}
+    while sizes:
+        batch, cells = [], 0
+        for interval, size in list(sizes.items()):
+            if not batch or cells + size <= _FINISH_CELLS:
+                batch.append(interval)
+                cells += sizes.pop(interval)
+        here = [s for s in searches if s.interval in batch]
+        left = df.filter(_any([_inside(*i) for i in batch]))
+        values = [c(i[0]) if i[1:] == (None, None) else F.when(_inside(*i), c(i[0])) for i in batch]
+        lists = left.agg(*[F.collect_list(v).alias(f"l{j}") for j, v in enumerate(values)])
+        ordered = lists.select(*[F.sort_array(c(f"l{j}")).alias(f"s{j}") for j in range(len(batch))])
+        picks = [F.element_at(c(f"s{batch.index(s.interval)}"), s.rank - s.below + 1) for s in here]
+        for s, value in zip(here, ordered.select(*[p.alias(f"a{i}") for i, p in enumerate(picks)]).first()):
+            s.value = value
 
 
 def _solve(df: DataFrame, searches: Sequence[_Search], finish_rows: int) -> None:
@@ -149,33 +157,11 @@ def _solve(df: DataFrame, searches: Sequence[_Search], finish_rows: int) -> None
         _finish(df, short)
 
 
-def _sort(df: DataFrame, searches: Sequence[_Search]) -> None:
-    """Number the sorted values of each column: one task per column of counted, small size."""
-    ranks: dict[str, set[int]] = {}
-    for s in searches:
-        ranks.setdefault(s.name, set()).add(s.rank)
-    place = F.row_number().over(Window.orderBy("x")) - 1
-    parts = [
-        df.select(c(name).alias("x"))
-        .filter(F.col("x").isNotNull())
-        .withColumn("r", place)
-        .filter(F.col("r").isin(sorted(wanted)))
-        .select(F.lit(name).alias("k"), "r", "x")
-        for name, wanted in ranks.items()
-    ]
-    for start in range(0, len(parts), _SORTED_TOGETHER):
-        rows = reduce(DataFrame.unionAll, parts[start : start + _SORTED_TOGETHER]).collect()  # wanted ranks only
-        found = {(row["k"], row["r"]): row["x"] for row in rows}
-        for s in searches:
-            s.value = found.get((s.name, s.rank), s.value)
-
-
 def exact_quantiles(
     df: DataFrame,
     values: dict[str, Column],
     probs: Sequence[float],
     counts: dict[str, int] | None = None,
-    small_rows: int = SMALL_ROWS,
     finish_rows: int = FINISH_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several numeric expressions over their non-null values.
@@ -194,10 +180,7 @@ def exact_quantiles(
         for (n, _), place in places.items()
         for rank in (math.floor(place), math.ceil(place))
     }
-    if small := [s for s in searches.values() if s.size <= small_rows]:
-        _sort(narrow, small)
-    if large := [s for s in searches.values() if s.size > small_rows]:
-        _solve(narrow, large, finish_rows)
+    _solve(narrow, list(searches.values()), finish_rows)
 
     def at(name: str, p: float) -> float | None:
         if not counts[name]:
