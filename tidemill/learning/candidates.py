@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 
 from tidemill.learning.preprocessing import FEATURES
 
-LABEL = "label"
+LABEL = "__label"
 SEED = 42
 
 # Candidate names in the order in which they are tried.

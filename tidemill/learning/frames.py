@@ -112,8 +112,9 @@ def split(
     label: str | None = None,
     key: str | None = None,
     seed: int = SEED,
+    flag: str = TRAIN,
 ) -> DataFrame:
-    """Add ``is_train``: an exact-size, reproducible split, stratified by ``label`` if given.
+    """Add a boolean ``flag`` for train rows: an exact-size, reproducible split, stratified by ``label`` if given.
 
     ``key`` must be unique per row (default: the row position).  Each class
     sends its rows with the smallest key hash to the train side.  The cut-off hash
@@ -150,5 +151,5 @@ def split(
     )
     marked = df.withColumns(hashed).join(last, "__s", "left")
     return marked.select(
-        *[c(n) for n in df.columns], F.coalesce(F.col("__h") <= F.col("__last"), F.lit(False)).alias(TRAIN)
+        *[c(n) for n in df.columns], F.coalesce(F.col("__h") <= F.col("__last"), F.lit(False)).alias(flag)
     )

@@ -16,7 +16,7 @@ from tidemill.operators.counting import column_modes
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.roles import dtype_of, is_numeric
 
-FEATURES = "features"
+FEATURES = "__features"
 
 
 @dataclass(frozen=True)
@@ -106,26 +106,26 @@ def fit_preprocessor(train: DataFrame, features: Sequence[str], max_categories:
     slots: list[str] = []
     columns = ["*"]
     for i, (n, s) in enumerate(stats.items()):
-        columns.append(f"(coalesce(cast({quoted(n)} as double), {s.median!r}D) - {s.mean!r}D) / {s.scale!r}D AS num_{i}")
-        slots.append(f"num_{i}")
+        columns.append(f"(coalesce(cast({quoted(n)} as double), {s.median!r}D) - {s.mean!r}D) / {s.scale!r}D AS __num_{i}")
+        slots.append(f"__num_{i}")
     for i, n in enumerate(known):
-        columns.append(f"coalesce({category_sql(n, dtype_of(train, n))}, {_literal(modes[n])}) AS cat_{i}")
+        columns.append(f"coalesce({category_sql(n, dtype_of(train, n))}, {_literal(modes[n])}) AS __cat_{i}")
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT {', '.join(columns)} FROM __THIS__")]
     if known:
         places = range(len(known))
         indexer = StringIndexerModel.from_arrays_of_labels(
-            [known[n] for n in known], [f"cat_{i}" for i in places], [f"idx_{i}" for i in places], "keep"
+            [known[n] for n in known], [f"__cat_{i}" for i in places], [f"__idx_{i}" for i in places], "keep"
         )
         # The indexer's bucket for unseen values comes last and is the one dropped.
         encoder = OneHotEncoder(
-            inputCols=[f"idx_{i}" for i in places],
-            outputCols=[f"hot_{i}" for i in places],
+            inputCols=[f"__idx_{i}" for i in places],
+            outputCols=[f"__hot_{i}" for i in places],
             handleInvalid="error",
             dropLast=True,
         )
-        probe = train.sparkSession.createDataFrame([tuple(known[n][0] for n in known)], [f"cat_{i}" for i in places])
+        probe = train.sparkSession.createDataFrame([tuple(known[n][0] for n in known)], [f"__cat_{i}" for i in places])
         stages += [indexer, encoder.fit(indexer.transform(probe))]
-        slots += [f"hot_{i}" for i in places]
+        slots += [f"__hot_{i}" for i in places]
     stages.append(VectorAssembler(inputCols=slots, outputCol=FEATURES))
     names = [f"num__{n}" for n in stats] + [f"cat__{n}_{v}" for n, values in known.items() for v in values]
     return Preprocessor(stages, names)

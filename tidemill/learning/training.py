@@ -14,13 +14,14 @@ from tidemill.columns import c
 from tidemill.functions.labels import value_text
 from tidemill.learning import metrics
 from tidemill.learning.candidates import CANDIDATES, LABEL, Sizes, estimators, importances
-from tidemill.learning.frames import TRAIN, feature_columns, is_classification, model_frame, split
+from tidemill.learning.frames import feature_columns, is_classification, model_frame, split
 from tidemill.learning.preprocessing import FEATURES, fit_preprocessor
 from tidemill.roles import ROW, check_supported, dtype_of, is_numeric, normalise_missing, with_row_order
 from tidemill.session import stage
 
 TOP_FEATURES = 15
 PREDICTION = "prediction"
+TRAIN = "__train"
 PREDICTED = "predicted_value"
 
 
@@ -96,10 +97,10 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     classes = class_labels(frame, target, spec.max_classes) if classification else []
     if classification:
         indexer = StringIndexerModel.from_labels(classes, "__class", LABEL, "error")
-        halves = split(frame, spec.train_split, target if len(classes) > 1 else None, key)
+        halves = split(frame, spec.train_split, target if len(classes) > 1 else None, key, flag=TRAIN)
         halves = indexer.transform(halves.withColumn("__class", value_text(c(target), dtype_of(frame, target))))
     else:
-        halves = split(frame, spec.train_split, None, key).withColumn(LABEL, c(target).cast("double"))
+        halves = split(frame, spec.train_split, None, key, flag=TRAIN).withColumn(LABEL, c(target).cast("double"))
 
     # Preprocessing is fitted on train rows and its output stored once for all candidates.
     prepare = fit_preprocessor(halves.filter(TRAIN), features, spec.max_categories)

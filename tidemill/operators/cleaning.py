@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemill.columns import c
 from tidemill.functions import dates, numbers, text
 from tidemill.functions.labels import time_units, value_text
-from tidemill.operators.counting import COUNT, column_modes, constant_facts
+from tidemill.operators.counting import column_modes, constant_facts
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.roles import (
     ROW,
@@ -26,6 +26,9 @@ from tidemill.roles import (
     text_columns,
 )
 
+#: Name of the helper column with the number of equal rows.
+COPIES = "_copies"
+
 # --- text ------------------------------------------------------------------
 
 
@@ -137,7 +140,7 @@ def drop_duplicates(df: DataFrame, copies: str | None = None) -> DataFrame:
     names = data_columns(df)
     aggs = [F.min(c(ROW)).alias(ROW)] if ROW in df.columns else []
     if copies or not aggs:
-        aggs.append(F.count(F.lit(1)).alias(copies or COUNT))
+        aggs.append(F.count(F.lit(1)).alias(copies or COPIES))
     groups = df.groupBy(*[c(n) for n in names]).agg(*aggs)
     kept = [n for n in df.columns] + ([copies] if copies else [])
     return groups.select(*[c(n) for n in kept])

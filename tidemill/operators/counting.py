@@ -102,7 +102,8 @@ def top_values(df: DataFrame, labels: dict[str, Column], k: int) -> DataFrame:
 def duplicate_rows(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """``duplicate_rows``: rows beyond the first of each distinct full row."""
     names = data_columns(df) if names is None else list(names)
-    groups = df.groupBy(*[c(n) for n in names]).agg(F.count(F.lit(1)).alias(COUNT))
+    keys = [c(n).alias(f"v{i}") for i, n in enumerate(names)]
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT))
     return groups.agg(F.coalesce(F.sum(F.col(COUNT) - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -139,6 +139,8 @@ def correlations(
         vx, vy = sxx - sx * sx / n, syy - sy * sy / n
         if not (math.isfinite(sxx) and math.isfinite(syy)) or vx <= _NOISE * sxx or vy <= _NOISE * syy:
             doubtful.append((p.x, p.y))
+        elif p.x == p.y:
+            scored[p.x, p.y] = 1.0
         else:
             scored[p.x, p.y] = max(-1.0, min(1.0, (sxy - sx * sy / n) / math.sqrt(vx) / math.sqrt(vy)))
     for part in _batches(doubtful, 20):

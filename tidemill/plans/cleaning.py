@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.columns import c
 from tidemill.operators import cleaning as steps
+from tidemill.operators.cleaning import COPIES
 from tidemill.operators.counting import constant_facts
 from tidemill.operators.quantiles import outlier_bounds
 from tidemill.roles import (
@@ -22,9 +23,6 @@ from tidemill.roles import (
 )
 from tidemill.session import stage
 
-COPIES = "_copies"
-
-
 @dataclass(frozen=True)
 class CleanSpec:
     """What to clean.  The defaults fill gaps and remove duplicates, nothing else."""
