@@ -4,10 +4,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill import CleanSpec, clean
+from tidemill import CleanSpec, chart_series, clean, profile
 from tidemill.columns import c
 from tidemill.operators import cleaning as steps
-from tidemill.operators.counting import column_modes, unique_counts
+from tidemill.operators.counting import column_modes, top_values, unique_counts
 from tidemill.roles import ROW, check_supported, with_row_order
 
 NOTHING = CleanSpec(fill_missing="none", fill_categorical="none", remove_duplicates=False)
@@ -227,3 +227,20 @@ def test_matches_pandas_end_to_end(spark):
     q1, q3 = want["a"].quantile([0.25, 0.75])
     want["a"] = want["a"].clip(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)).round(1)
     assert rows(result.frame) == [tuple(r) for r in want.itertuples(index=False)]
+
+
+def test_any_column_name_is_safe(spark):
+    """Names used inside the library may also be names of data."""
+    names = ["n", "k", "v0", "which", "count", "value", "x", "y", "o", "label", "a.b", "it`s", "rows", "place"]
+    df = spark.createDataFrame(
+        [(i, *[None if (i + j) % 5 == 0 else float(i * (j + 1) % 41) for j in range(len(names))]) for i in range(40)],
+        ", ".join([f"{ROW} bigint", *[f"`{n.replace('`', '``')}` double" for n in names]]),
+    )
+    spec = CleanSpec(fill_missing="mode", cap_outliers=True, outlier_column="a.b", round_numeric=True)
+    result = clean(df, spec)
+    assert result.summary["missing_after"] == 0 and result.frame.count() == 40
+    assert clean(df, CleanSpec()).frame.count() == 40
+    p = profile(df)
+    assert p.facts().count() > 0 and p.payload().count() == 11 and p.duplicates.first()[0] == 0
+    assert chart_series(df.withColumn("type", c("n").cast("string"))).count() > 0
+    assert top_values(df, names, 3).count() > len(names)

@@ -152,6 +152,12 @@ def test_train_numbers(spark):
     assert result.importance.collect()[0]["name"] == "num__x"
 
 
+def test_any_feature_name_is_safe(spark):
+    df = spark.range(100).selectExpr("id AS label", "id % 3 AS features", "id % 2 AS is_train", "id % 5 = 0 AS actual", "id * 2.0 AS n")
+    result = train(df, TrainSpec("n", model_type="linear"))
+    assert result.summary["feature_count"] == 4 and result.summary["metrics"]["r2_score"] == 1.0
+
+
 @pytest.mark.parametrize("name", ["xgboost", "extra_trees"])
 def test_train_two_classes(iris, name):
     result = train(iris, TrainSpec("flag", ("size", "n"), name, sizes=QUICK))

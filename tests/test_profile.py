@@ -147,7 +147,7 @@ def test_categorical_summary(mixed):
 
 def test_top_values_break_ties_by_label(spark):
     df = spark.createDataFrame([(v,) for v in "b a d c e".split()], "x string")
-    assert [(r["value"], r["rank"]) for r in counting.top_values(df, {"x": c("x")}, 3).orderBy("rank").collect()] == [
+    assert [(r["value"], r["rank"]) for r in counting.top_values(df, ["x"], 3).orderBy("rank").collect()] == [
         ("a", 1),
         ("b", 2),
         ("c", 3),

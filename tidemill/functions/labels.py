@@ -68,12 +68,12 @@ def time_units(df: DataFrame, names: list[str]) -> dict[str, str]:
         return {}
     facts = []
     for i, name in enumerate(times):
-        text = c(name).cast("string")
-        fraction = F.rpad(F.regexp_extract(text, r"\.(\d+)$", 1), 6, "0")
+        seconds = F.extract(F.lit("SECOND"), c(name))
+        micros = (seconds * 1_000_000).cast("bigint")
         level = (
-            F.when(F.substring(fraction, 4, 3) != "000", 3)
-            .when(fraction != "000000", 2)
-            .when(F.substring(text, 12, 8) != "00:00:00", 1)
+            F.when(micros % 1000 != 0, 3)
+            .when(micros % 1_000_000 != 0, 2)
+            .when((micros != 0) | (F.minute(c(name)) != 0) | (F.hour(c(name)) != 0), 1)
             .otherwise(0)
         )
         facts.append(F.max(F.when(c(name).isNotNull(), level)).alias(f"u{i}"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.columns import c, quoted
-from tidemill.operators.counting import column_modes
+from tidemill.operators.counting import COUNT, SET, value_counts
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.roles import dtype_of, is_numeric
 
@@ -67,19 +67,29 @@ def as_categories(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.expr(category_sql(n, dtype_of(df, n))).alias(n) for n in names])
 
 
-def categories(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, list[str]]:
-    """Sorted categories per column, with their number checked before they are collected."""
-    found: dict[str, list[str]] = {}
-    for n in names:
-        values = df.select(c(n).alias("v")).filter(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
-        if len(values) > limit:
+def categories(df: DataFrame, names: Sequence[str], limit: int) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Sorted categories and the most frequent one per text column.
+
+    All columns are counted in one scan, and at most ``limit`` values per column
+    reach the driver; a column with more is refused.
+    """
+    found: dict[str, dict[str, int]] = {n: {} for n in names}
+    if names:
+        room = (limit + 1) * len(names)  # a missing value is counted too
+        rows = value_counts(df, {n: c(n) for n in names}).limit(room + 1).collect()
+        for row in rows:
+            value = next((row[f"v{i}"] for i in range(len(names)) if row[f"v{i}"] is not None), None)
+            if value is not None:
+                found[names[row[SET]]][value] = row[COUNT]
+        wide = [n for n in names if len(found[n]) > limit]
+        if wide or len(rows) > room:
             raise ValueError(
-                f"column {n!r} has more than {limit} categories; one indicator column each would not fit a model: "
-                "leave it out of feature_columns or raise max_categories"
+                f"more than {limit} categories in {wide or names}; one indicator column each would not fit a model: "
+                "leave such columns out of feature_columns or raise max_categories"
             )
-        if values:
-            found[n] = sorted(r["v"] for r in values)
-    return found
+    known = {n: counts for n, counts in found.items() if counts}
+    modes = {n: min(counts, key=lambda v: (-counts[v], v)) for n, counts in known.items()}
+    return {n: sorted(counts) for n, counts in known.items()}, modes
 
 
 @dataclass(frozen=True)
@@ -100,8 +110,7 @@ def fit_preprocessor(train: DataFrame, features: Sequence[str], max_categories:
     textual = [n for n in features if n not in numeric]
     stats = numeric_stats(train, numeric)
     texts = as_categories(train, textual)
-    known = categories(texts, textual, max_categories)
-    modes = column_modes(texts, list(known)) if known else {}
+    known, modes = categories(texts, textual, max_categories)
 
     slots: list[str] = []
     columns = ["*"]

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.functions.labels import float_text, label_columns, time_units, value_text
+from tidemill.functions.labels import float_text, time_units, value_label, value_text
 from tidemill.functions.numbers import finite_or_null, to_number
+from tidemill.operators.counting import countable
 from tidemill.operators.heads import numbered
 from tidemill.roles import (
     categorical_columns,
@@ -56,7 +57,9 @@ def count_by_x(df: DataFrame, x: str, order_by: str | None = None) -> DataFrame:
 
 def pie_slices(df: DataFrame, x: str, k: int = SLICES) -> DataFrame:
     """``seq, x, y, share``: the most frequent labels and their share of the shown total."""
-    counts = df.select(label_columns(df, [x])[x].alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("y"))
+    counted = df.select(countable(df, [x])[x].alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("y"))
+    unit = time_units(df, [x]).get(x, "micro")
+    counts = counted.select(value_label(c("v"), dtype_of(df, x), unit).alias("x"), "y")
     top = counts.orderBy(F.desc("y"), F.asc("x")).limit(k)
     ranked = top.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("y"), F.asc("x"))).cast("int"))
     whole = F.sum("y").over(Window.partitionBy())

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.roles import data_columns
+from tidemill.functions.labels import NULL_LABEL, time_units, value_label
+from tidemill.roles import data_columns, dtype_of, is_text
 
 COUNT = "n"
 SET = "which"
@@ -86,13 +87,28 @@ def unique_counts(df: DataFrame, names: Sequence[str] | None = None, approximate
     return result
 
 
-def top_values(df: DataFrame, labels: dict[str, Column], k: int) -> DataFrame:
+def countable(df: DataFrame, names: Sequence[str], null_label: str | None = None) -> dict[str, Column]:
+    """Values to count per label: typed, so that text is made of distinct values only.
+
+    A missing text shares its label with that very text and joins it here.
+    """
+    return {
+        n: F.coalesce(c(n), F.lit(null_label or NULL_LABEL)) if is_text(dtype_of(df, n)) else c(n) for n in names
+    }
+
+
+def top_values(df: DataFrame, names: Sequence[str], k: int, null_label: str | None = None) -> DataFrame:
     """``column, value, count, rank``: the k most frequent labels of each column."""
-    counts = value_counts(df, labels)
-    keys = [f"v{i}" for i in range(len(labels))]
+    names = list(names)
+    counts = value_counts(df, countable(df, names, null_label))
+    units = time_units(df, names)
+    value = F.lit(None).cast("string")
+    for i, n in enumerate(names):
+        label = value_label(c(f"v{i}"), dtype_of(df, n), units.get(n, "micro"), null_label)
+        value = F.when(c(SET) == i, label).otherwise(value)
     tidy = counts.select(
-        F.element_at(F.array(*[F.lit(n) for n in labels]), F.col(SET) + 1).alias("column"),
-        F.coalesce(*[F.col(k) for k in keys]).alias("value"),
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col(SET) + 1).alias("column"),
+        value.alias("value"),
         F.col(COUNT).alias("count"),
     )
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.columns import c
-from tidemill.functions.labels import label_columns
 from tidemill.functions.numbers import finite_or_null, round_half_even
 from tidemill.operators.counting import top_values
 from tidemill.operators.moments import Moments, correlations, moments
@@ -121,4 +120,4 @@ def categorical_summary(df: DataFrame, columns: int = DESCRIBED, k: int = TOP_PE
     names = categorical_columns(df)[:columns]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, value string, count bigint, rank int")
-    return top_values(df, label_columns(df, names), k)
+    return top_values(df, names, k)

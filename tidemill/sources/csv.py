@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemill.columns import c
 from tidemill.functions.labels import value_text
 from tidemill.functions.numbers import INFINITY, NUMBER, number_text, text_to_number
-from tidemill.roles import ROW, data_columns, dtype_of, with_row_order
+from tidemill.roles import data_columns, dtype_of, with_row_order
 
 # Field texts read as missing, besides the empty text.
 NULL_TOKENS = (
@@ -54,46 +54,28 @@ def _has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(F.pmod(quotes, F.lit(2)) == 1).select(F.lit(1)).isEmpty()
 
 
-def read_text_columns(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """All fields as text, with null tokens removed and the row position added.
+def _reader(spark: SparkSession, multi_line: bool, path: str, fields: Sequence[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
+    reader = spark.read.options(**_OPTIONS, multiLine=multi_line, columnNameOfCorruptRecord=_CORRUPT)
+    return reader.csv(path, header=True, schema=schema, enforceSchema=True)
 
-    Files are split for parallel reading unless some field spans lines, which is
-    checked when ``multi_line`` is left open.
-    """
-    if multi_line is None:
-        multi_line = _has_quoted_line_breaks(spark, path)
-    reader = spark.read.options(**_OPTIONS, multiLine=multi_line)
-    first = reader.csv(path, header=False).first()
+
+def _headers(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    first = spark.read.options(**_OPTIONS, multiLine=multi_line).csv(path, header=False).first()
     if first is None:
         raise ValueError(f"no header row in {path}")
-    names = unique_headers(list(first))
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    _check_row_width(spark, path, fields, multi_line)
-    raw = reader.csv(path, header=True, schema=T.StructType(fields), enforceSchema=True)
-    return with_row_order(raw.select(*[_known(c(n)).alias(n) for n in names]))
+    return unique_headers(list(first))
 
 
 def _known(col: Column) -> Column:
     return F.when(~col.isin("", *NULL_TOKENS), col)
 
 
-def _check_row_width(spark: SparkSession, path: str, fields: list[T.StructField], multi_line: bool) -> None:
-    """Refuse rows with more fields than the header; missing fields are read as null."""
-    reader = spark.read.options(**_OPTIONS, multiLine=multi_line)
-    marked = reader.csv(
-        path,
-        header=True,
-        enforceSchema=True,
-        columnNameOfCorruptRecord=_CORRUPT,
-        schema=T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())]),
-    )
-    odd = marked.filter(c(_CORRUPT).isNotNull() & F.coalesce(*[c(f.name) for f in fields]).isNotNull())
-    if odd.select(_CORRUPT).isEmpty():
-        return
-    spare = T.StructField("_spare", T.StringType())
-    wide = reader.csv(path, header=True, enforceSchema=True, schema=T.StructType([*fields, spare]))
+def _refuse_wide_rows(spark: SparkSession, path: str, names: list[str], multi_line: bool) -> None:
+    """Rows with more fields than the header are an error; missing fields are null."""
+    wide = _reader(spark, multi_line, path, [*names, "_spare"])
     if not wide.filter(c("_spare").isNotNull()).select("_spare").isEmpty():
-        raise ValueError(f"rows with more than {len(fields)} fields in {path}")
+        raise ValueError(f"rows with more than {len(names)} fields in {path}")
 
 
 def _kind(col: Column) -> Column:
@@ -108,36 +90,39 @@ def _kind(col: Column) -> Column:
     )
 
 
-def infer_types(text: DataFrame) -> DataFrame:
-    """Narrow text columns to bigint, double or boolean where every value fits.
-
-    One aggregate pass decides all columns.  Dates stay text, and whole numbers
-    with gaps become double.
-    """
-    names = data_columns(text)
-    if not names:
-        return text
-    kinds = text.select(*[_kind(c(n)).alias(f"k{i}") for i, n in enumerate(names)])
-    row = kinds.agg(*[F.bit_or(c(f"k{i}")) for i in range(len(names))]).first()
-
-    def typed(i: int, n: str) -> Column:
-        seen = row[i] or 0
-        values = seen & ~_GAP
-        if not values:
-            return c(n).cast("double")
-        if values == _BOOLEAN:
-            return c(n).isin(*TRUE_TOKENS)
-        if seen == _WHOLE:
-            return number_text(c(n)).cast("bigint")
-        if not values & ~(_WHOLE | _NUMBER):
-            return text_to_number(c(n))
-        return c(n)
-
-    return text.select(*[typed(names.index(n), n).alias(n) if n != ROW else c(n) for n in text.columns])
+def _typed(col: Column, seen: int) -> Column:
+    """The narrowest type that holds everything seen in a column."""
+    values = seen & ~_GAP
+    if not values:
+        return col.cast("double")
+    if values == _BOOLEAN:
+        return col.isin(*TRUE_TOKENS)
+    if seen == _WHOLE:
+        return number_text(col).cast("bigint")
+    if not values & ~(_WHOLE | _NUMBER):
+        return text_to_number(col)
+    return col
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    return infer_types(read_text_columns(spark, path, multi_line))
+    """Read a CSV table with its row position.
+
+    Columns are text narrowed to bigint, double or boolean where every value
+    fits; dates stay text, and whole numbers with gaps become double.  One aggregate
+    scan decides all types and finds malformed rows.  Files are split for
+    parallel reading unless some field spans lines, which is looked for when
+    ``multi_line`` is left open.
+    """
+    if multi_line is None:
+        multi_line = _has_quoted_line_breaks(spark, path)
+    names = _headers(spark, path, multi_line)
+    marked = _reader(spark, multi_line, path, [*names, _CORRUPT])
+    facts = [F.bit_or(_kind(_known(c(n)))).alias(f"k{i}") for i, n in enumerate(names)]
+    seen = marked.agg(*facts, F.count(c(_CORRUPT)).alias("odd")).first()
+    if seen["odd"]:
+        _refuse_wide_rows(spark, path, names, multi_line)
+    text = _reader(spark, multi_line, path, names)
+    return with_row_order(text.select(*[_typed(_known(c(n)), seen[i] or 0).alias(n) for i, n in enumerate(names)]))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

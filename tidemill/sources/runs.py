@@ -59,21 +59,15 @@ def history(
 def latest_runs(runs: DataFrame, project_id: int | None = None) -> DataFrame:
     """``project_id, run_type, id, created_at, payload_json`` of the newest run of each kind.
 
-    The newest time per kind comes from a hash aggregate on narrow rows; payloads
-    are read once, for the few matching rows.
+    Each task keeps only its own newest row per project and kind before the
+    shuffle, so payloads of older runs never travel.
     """
     if project_id is not None:
         runs = runs.filter(c("project_id") == project_id)
     keys = ["project_id", "run_type"]
-    runs = runs.filter(c("run_type").isin(*RUN_TYPES))
-    newest = runs.groupBy(*keys).agg(F.max("created_at").alias("created_at"))
-    found = runs.select(*keys, "created_at", "id", "payload_json").join(newest, [*keys, "created_at"])
-    # Equal times: the highest id wins.
-    return found.groupBy(*keys).agg(
-        F.max("id").alias("id"),
-        F.max("created_at").alias("created_at"),
-        F.max_by("payload_json", "id").alias("payload_json"),
-    )
+    newest = Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("id"))
+    known = runs.filter(c("run_type").isin(*RUN_TYPES)).select(*keys, "id", "created_at", "payload_json")
+    return known.withColumn("place", F.row_number().over(newest)).filter(c("place") == 1).drop("place")
 
 
 def list_datasets(datasets: DataFrame, project_id: int | None = None) -> DataFrame:
