@@ -20,7 +20,7 @@ from tidemill.columns import c
 from tidemill.learning import frames, metrics, preprocessing
 from tidemill.learning.candidates import Sizes
 from tidemill.learning.training import TrainSpec, train
-from tidemill.operators import charts, cleaning, counting, heads, profiling, quantiles
+from tidemill.operators import charts, cleaning, counting, duplicates, heads, profiling, quantiles
 from tidemill.functions.jsonsafe import json_safe_frame
 from tidemill.plans.cleaning import CleanSpec, clean
 from tidemill.plans.dashboard import snapshot
@@ -350,7 +350,7 @@ def queries() -> dict[str, Query]:
         "clean_drop_constant": on("events", PADDED, lambda df: cleaning.drop_columns(df, cleaning.constant_columns(df))),
         "clean_drop_columns": on("events", PADDED, lambda df: cleaning.drop_columns(df, ["k_gap", "value", "nothing"])),
         "clean_drop_missing_rows": on("events", EVENTS, cleaning.drop_missing_rows),
-        "clean_dedup": on("events", VISITS, lambda df: cleaning.drop_duplicates(df, "copies")),
+        "clean_dedup": on("events", VISITS, lambda df: duplicates.drop_duplicates(df, "copies")),
         "clean_remove_outliers": on("events", EVENTS, _remove_outliers),
         "clean_cap_outliers": on("events", EVENTS, _cap_outliers),
         "clean_round": on("lineitem", LINES, lambda df: cleaning.round_numeric(df.select("l_extendedprice", "l_discount", "gross"), 1)),
@@ -363,7 +363,7 @@ def queries() -> dict[str, Query]:
         "eda_shape": on("events", EVENTS, profiling.shape),
         "eda_missing": on("customer", CUSTOMERS, lambda df: profiling.missing(cleaning.blanks_to_null(df))),
         "eda_unique": on("orders", ORDERS, counting.unique_counts),
-        "eda_duplicates": on("events", VISITS, counting.duplicate_rows),
+        "eda_duplicates": on("events", VISITS, duplicates.duplicate_rows),
         "eda_size": on("orders", ORDERS, profiling.logical_size),
         "eda_describe": on("lineitem", LINES, profiling.describe),
         "eda_correlation": on("lineitem", LINES, lambda df: profiling.correlation(profiling.correlation_pairs(df))),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemill import CleanSpec, chart_series, clean, profile
 from tidemill.columns import c
 from tidemill.operators import cleaning as steps
+from tidemill.operators import duplicates
 from tidemill.operators.counting import column_modes, top_values, unique_counts
 from tidemill.roles import ROW, check_supported, with_row_order
 
@@ -53,8 +54,34 @@ def test_blank_text_is_missing_even_without_trim(people):
 
 def test_duplicates_keep_the_first(spark):
     df = spark.createDataFrame([(5, "a"), (2, "b"), (1, "a"), (9, "b"), (7, None), (8, None)], f"{ROW} bigint, x string")
-    kept = steps.drop_duplicates(df, "copies").orderBy(ROW)
-    assert [tuple(r) for r in kept.select(ROW, "x", "copies").collect()] == [(1, "a", 2), (2, "b", 2), (7, None, 2)]
+    for small_rows in (100, 0):
+        kept = duplicates.drop_duplicates(df, "copies", 6, small_rows).orderBy(ROW)
+        assert [tuple(r) for r in kept.select(ROW, "x", "copies").collect()] == [(1, "a", 2), (2, "b", 2), (7, None, 2)]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_duplicates_by_hash(spark, monkeypatch, limit):
+    """Rows that are mostly one value, with and without room to broadcast the repeated hashes."""
+    monkeypatch.setattr(duplicates, "MAX_REPEATED", limit)
+    df = spark.range(3000).selectExpr(
+        f"id AS {ROW}",
+        "CASE WHEN id % 3 = 0 THEN 0.0 WHEN id % 3 = 1 THEN -0.0 ELSE id * 1.0D END AS x",
+        "CASE WHEN id < 2000 THEN NULL ELSE 'a' END AS s",
+        "CASE WHEN id < 2000 THEN 'a' END AS t",
+    )
+    direct = {tuple(r) for r in duplicates.drop_duplicates(df, "copies").collect()}
+    hashed = {tuple(r) for r in duplicates.drop_duplicates(df, "copies", 3000, 0).collect()}
+    assert direct == hashed and len(direct) == 1002
+    assert sum(r[-1] for r in hashed) == 3000
+    assert duplicates.duplicate_rows(df, 3000, 0).first()[0] == 1998
+
+
+def test_colliding_hashes_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "row_hash", lambda df, names: c(names[0]) % 2)
+    df = spark.range(20).selectExpr(f"id AS {ROW}", "id % 10 AS x")
+    kept = duplicates.drop_duplicates(df, "copies", 20, 0).collect()
+    assert {(r["x"], r[ROW], r["copies"]) for r in kept} == {(i, i, 2) for i in range(10)}
+    assert duplicates.duplicate_rows(df, 20, 0).first()[0] == 10
 
 
 def test_duplicates_differ_after_trim(spark):

@@ -4,7 +4,7 @@ import pytest
 
 from tidemill import profile
 from tidemill.columns import c
-from tidemill.operators import counting, heads, moments, profiling
+from tidemill.operators import counting, duplicates, heads, moments, profiling
 from tidemill.roles import ROW
 
 
@@ -130,7 +130,7 @@ def test_duplicates(spark):
     assert profile(df).duplicates.first()[0] == 2
     keyed = df.withColumn("id", c(ROW))
     assert profile(keyed).duplicates.first()[0] == 0
-    assert counting.duplicate_rows(keyed).first()[0] == 0
+    assert duplicates.duplicate_rows(keyed).first()[0] == 0
 
 
 def test_categorical_summary(mixed):

@@ -101,9 +101,11 @@ def train_sizes(buckets: DataFrame, label: str, share: float) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """A per-class table as local rows if there are few classes, so that joins need no shuffle."""
+    """A per-class table for broadcast if its rows, counted here, are few; then joins need no shuffle."""
     rows = df.limit(_LOCAL_CLASSES + 1).collect()
-    return df if len(rows) > _LOCAL_CLASSES else df.sparkSession.createDataFrame(rows, df.schema)
+    if len(rows) > _LOCAL_CLASSES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def split(

@@ -26,9 +26,6 @@ from tidemill.roles import (
     text_columns,
 )
 
-#: Name of the helper column with the number of equal rows.
-COPIES = "_copies"
-
 # --- text ------------------------------------------------------------------
 
 
@@ -131,21 +128,6 @@ def drop_missing_rows(df: DataFrame) -> DataFrame:
     return df.filter(complete_row(df))
 
 
-def drop_duplicates(df: DataFrame, copies: str | None = None) -> DataFrame:
-    """Keep the first of equal rows; ``copies`` names an optional column with their number.
-
-    Equal rows are combined per task before the shuffle, so a row repeated
-    very often costs one record per task.
-    """
-    names = data_columns(df)
-    aggs = [F.min(c(ROW)).alias(ROW)] if ROW in df.columns else []
-    if copies or not aggs:
-        aggs.append(F.count(F.lit(1)).alias(copies or COPIES))
-    groups = df.groupBy(*[c(n) for n in names]).agg(*aggs)
-    kept = [n for n in df.columns] + ([copies] if copies else [])
-    return groups.select(*[c(n) for n in kept])
-
-
 # --- missing values --------------------------------------------------------
 
 

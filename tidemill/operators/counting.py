@@ -115,14 +115,6 @@ def top_values(df: DataFrame, names: Sequence[str], k: int, null_label: str | No
     return tidy.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def duplicate_rows(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """``duplicate_rows``: rows beyond the first of each distinct full row."""
-    names = data_columns(df) if names is None else list(names)
-    keys = [c(n).alias(f"v{i}") for i, n in enumerate(names)]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT))
-    return groups.agg(F.coalesce(F.sum(F.col(COUNT) - 1), F.lit(0)).alias("duplicate_rows"))
-
-
 def constant_facts(df: DataFrame, names: Sequence[str]) -> list[Column]:
     """Aggregates telling whether a column is constant, without a distinct."""
     return [

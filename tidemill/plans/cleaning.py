@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemill.columns import c
 from tidemill.operators import cleaning as steps
-from tidemill.operators.cleaning import COPIES
 from tidemill.operators.counting import constant_facts
+from tidemill.operators.duplicates import COPIES, drop_duplicates
 from tidemill.operators.quantiles import outlier_bounds
 from tidemill.roles import (
     categorical_columns,
@@ -134,7 +134,7 @@ def clean(df: DataFrame, spec: CleanSpec = CleanSpec(), order_by: str | None = N
             rows = df.count()
             rows_dropped = rows_before - rows
     if spec.remove_duplicates and names:
-        df = stage(steps.drop_duplicates(df, COPIES), "dedup")
+        df = stage(drop_duplicates(df, COPIES, rows_before), "dedup")
         rows, missing, before = _after_dedup(df, names)
         duplicates, rows_dropped = before - rows, rows_before - before
         df = df.drop(COPIES)

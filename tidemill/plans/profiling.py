@@ -12,6 +12,7 @@ from tidemill.columns import c
 from tidemill.functions.jsonsafe import json_rows
 from tidemill.operators import counting, heads
 from tidemill.operators import profiling as ops
+from tidemill.operators.duplicates import duplicate_rows
 from tidemill.operators.moments import Moments, moments
 from tidemill.roles import check_supported, data_columns, normalise_missing, numeric_columns
 
@@ -55,7 +56,7 @@ class Profile:
             most = self.unique_counts.agg(F.max("unique_count")).first()[0]
             if most == self.rows:
                 return self.frame.sparkSession.createDataFrame([(0,)], "duplicate_rows bigint")
-        return counting.duplicate_rows(self.frame)
+        return duplicate_rows(self.frame, self.rows)
 
     @cached_property
     def size(self) -> DataFrame:
