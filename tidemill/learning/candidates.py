@@ -21,6 +21,8 @@ CANDIDATES = ("xgboost", "random_forest", "extra_trees", "linear")
 #: grow until every leaf is a single row or pure.
 _LEAVES = 65_536
 _BINS = 64
+#: Most node ids (rows times trees, four bytes each) kept between tree levels.
+_CACHED_NODE_IDS = 250_000_000
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,11 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes) -> d
         "numTrees": sizes.forest,
         "maxDepth": sizes.forest_depth,
         "minInstancesPerNode": max(1, rows // _LEAVES),
+        # Room for the statistics of many nodes, so that a level takes few passes.
+        "maxMemoryInMB": 1024,
+        # Deep forests on few rows go faster with each row's node remembered;
+        # on many rows that would cost more storage than the table itself.
+        "cacheNodeIds": rows * sizes.forest <= _CACHED_NODE_IDS,
         "seed": SEED,
     }
     random = {**forest, "bootstrap": False, "subsamplingRate": 0.8, "maxBins": 16}
