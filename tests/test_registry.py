@@ -52,4 +52,4 @@ def test_without_sql_has_rows(spark, name):
 
 
 def test_entry(spark):
-    assert registry.entry(spark).count() == 7
+    assert registry.entry(spark).count() == 8
