@@ -35,7 +35,7 @@ def title_case(col: Column) -> Column:
     the rare text holding the mark itself is cut into runs instead.
     """
     mark = "\x01 "
-    spaced = F.regexp_replace(col, rf"(?<=[^{_CASED} ])(?=[{_CASED}])", mark)
+    spaced = F.regexp_replace(col, rf"([^ {_CASED}])(?=[{_CASED}])", "$1" + mark)
     runs = F.regexp_extract_all(col, F.lit(rf"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
     by_run = F.array_join(F.transform(runs, F.initcap), "")
     return F.when(col.contains("\x01"), by_run).otherwise(F.replace(F.initcap(spaced), F.lit(mark), F.lit("")))

@@ -27,11 +27,11 @@ def feature_columns(df: DataFrame, target: str, wanted: Sequence[str] = ()) -> l
     """The requested features that exist, or all columns but the target."""
     names = data_columns(df)
     if target not in names:
-        raise ValueError("Selected target column does not exist")
+        raise ValueError(f"there is no column {target!r} to predict")
     features = [n for n in dict.fromkeys(wanted) if n in names and n != target]
     features = features or [n for n in names if n != target]
     if not features:
-        raise ValueError("At least one feature column is required for ML training")
+        raise ValueError(f"the table has no column besides {target!r} to learn from")
     return features
 
 

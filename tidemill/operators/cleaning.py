@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,17 +50,12 @@ def change_case(df: DataFrame, case: str) -> DataFrame:
 
 def normalised_headers(names: Sequence[str]) -> list[str]:
     """Lower-case word headers; a repeated one gets the next free ``_2``, ``_3``..."""
-    taken: set[str] = set()
-    result = []
+    result: dict[str, None] = {}
     for name in names:
-        words = str(name).strip().lower().replace(" ", "_")
-        base = "".join(ch for ch in words if ch == "_" or ch.isalnum()) or "column"
-        header, n = base, 2
-        while header in taken:
-            header, n = f"{base}_{n}", n + 1
-        taken.add(header)
-        result.append(header)
-    return result
+        word = re.sub(r"\W", "", "_".join(name.strip().lower().split(" "))) or "column"
+        options = chain([word], (f"{word}_{n}" for n in count(2)))
+        result[next(header for header in options if header not in result)] = None
+    return list(result)
 
 
 def normalise_headers(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Staging folders of local sessions that name none, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def local_session(app: str = "tidemill", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
@@ -36,8 +39,8 @@ def staging_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS.get(app) or _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="tidemill-"))
     return root.rstrip("/")
 
 

@@ -14,7 +14,7 @@ from tidemill.columns import c
 from tidemill.functions import dates, numbers
 from tidemill.functions.labels import time_units, value_text
 from tidemill.operators.cleaning import first_value
-from tidemill.roles import ROW, check_supported, data_columns, dtype_of, is_text, is_timestamp, replace_columns
+from tidemill.roles import check_supported, data_columns, dtype_of, is_text, is_timestamp, replace_columns
 from tidemill.sources import csv
 
 CATALOG = (
@@ -33,6 +33,9 @@ _SIDECAR_NAMES = {
     T.BooleanType: "bool",
     T.StringType: "string",
 }
+# What type names in a sidecar ask for.
+_PARTS = {"datetime": "time", "int": "number", "float": "number"}
+_TEXT_NAMES = ("string", "object")
 
 
 def sidecar(df: DataFrame) -> dict[str, str]:
@@ -66,22 +69,28 @@ def read_sidecar(spark: SparkSession, path: str) -> dict[str, str]:
         return {}
 
 
+def _kind(type_name: str) -> str | None:
+    """What a sidecar type name asks for; capitalised and other names ask for nothing."""
+    if type_name in _TEXT_NAMES:
+        return "text"
+    return next((kind for part, kind in _PARTS.items() if part in type_name), None)
+
+
 def apply_schema(df: DataFrame, schema: dict[str, str], order_by: str | None = None) -> DataFrame:
     """Coerce columns to the named types; absent columns and other names are left alone."""
-    units = time_units(df, [n for n in schema if n in df.columns])
-    exprs: dict[str, Column] = {}
-    for name, wanted in schema.items():
-        if name not in data_columns(df):
-            continue
+    wanted = {n: kind for n, t in schema.items() if n in data_columns(df) and (kind := _kind(t))}
+    units = time_units(df, [n for n, kind in wanted.items() if kind == "text"])
+
+    def coerced(name: str, kind: str) -> Column:
         dtype = dtype_of(df, name)
-        if "datetime" in wanted:
-            fmt = dates.guess_format(first_value(df, name, order_by)) if is_text(dtype) else None
-            exprs[name] = dates.to_timestamp(c(name), dtype, fmt)
-        elif wanted in ("string", "object"):
-            exprs[name] = value_text(c(name), dtype, units.get(name, "micro"))
-        elif ("int" in wanted or "float" in wanted) and not isinstance(dtype, T.NumericType):
-            exprs[name] = numbers.to_number(c(name), dtype)
-    return replace_columns(df, exprs)
+        if kind == "text":
+            return value_text(c(name), dtype, units.get(name, "micro"))
+        if kind == "number":
+            return c(name) if isinstance(dtype, T.NumericType) else numbers.to_number(c(name), dtype)
+        fmt = dates.guess_format(first_value(df, name, order_by)) if is_text(dtype) else None
+        return dates.to_timestamp(c(name), dtype, fmt)
+
+    return replace_columns(df, {n: coerced(n, kind) for n, kind in wanted.items()})
 
 
 def load_dataset(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
@@ -91,7 +100,7 @@ def load_dataset(spark: SparkSession, path: str, file_format: str | None = None)
         return apply_schema(csv.read_csv(spark, path), read_sidecar(spark, path))
     if kind == "parquet":
         return spark.read.parquet(path)
-    raise ValueError("Only CSV and Parquet datasets are supported")
+    raise ValueError("a dataset is either CSV or Parquet")
 
 
 def save_dataset(df: DataFrame, root: str, preserve_types: bool = True) -> str:
@@ -126,16 +135,3 @@ def register(datasets: Sequence[tuple[str, DataFrame]], targets: dict[str, str]
     if rows is None:
         raise ValueError("no dataset to register")
     return rows
-
-
-__all__ = [
-    "CATALOG",
-    "ROW",
-    "apply_schema",
-    "load_dataset",
-    "read_sidecar",
-    "register",
-    "save_dataset",
-    "sidecar",
-    "write_sidecar",
-]
