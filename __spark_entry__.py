@@ -17,17 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
+from tidemill.functions.jsonsafe import json_safe_frame
 from tidemill.learning import frames, metrics, preprocessing
 from tidemill.learning.candidates import Sizes
 from tidemill.learning.training import TrainSpec, train
 from tidemill.operators import charts, cleaning, counting, duplicates, heads, profiling, quantiles
-from tidemill.functions.jsonsafe import json_safe_frame
 from tidemill.plans.cleaning import CleanSpec, clean
 from tidemill.plans.dashboard import snapshot
 from tidemill.plans.profiling import profile
 from tidemill.roles import normalise_missing
 from tidemill.session import staging_root
-from tidemill.sources import csv, datasets, runs
+from tidemill.sources import datasets, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -191,12 +191,6 @@ def apply_fills(df: DataFrame, fills: dict[str, Fill]) -> DataFrame:
     return replace_columns(df, exprs)
 
 
-def fill_numeric(df: DataFrame, how: str) -> DataFrame:
-    names = numeric_columns(df)
-    missing = null_counts(df, names)
-    return apply_fills(df, numeric_fills(df, [n for n in names if missing[n]], how))
-
-
 def fill_categorical(df: DataFrame, how: str) -> DataFrame:
     names = categorical_columns(df)
     missing = null_counts(df, names)
