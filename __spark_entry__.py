@@ -29,6 +29,14 @@ from tidemill.roles import normalise_missing
 from tidemill.session import staging_root
 from tidemill.sources import datasets, runs
 
+try:  # the only place that knows whether the llm folder is there
+    import corpus_pipeline
+    from tidemill.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tidemill.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # --- inputs, as SQL texts that both engines run ------------------------------
@@ -405,6 +413,9 @@ def queries() -> dict[str, Query]:
         q[f"clean_fill_{how}"] = on("events", EVENTS, lambda df, spec=spec: cleaning.round_numeric(clean(df, spec).frame, 6))
     for how in ("mode", "unknown", "empty"):
         q[f"clean_fill_cat_{how}"] = on("events", FLAGGED, lambda df, how=how: cleaning.fill_categorical(df, how))
+    if llm_queries:
+        q |= llm_queries.queries()
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
@@ -764,4 +775,8 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT _row, user_id, value, coalesce(event_type, '{text}') AS event_type, "
             f"CASE WHEN is_view THEN 'True' WHEN NOT is_view THEN 'False' ELSE '{text}' END AS is_view FROM d",
         )
+    if llm_queries:
+        sql |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
