@@ -17,6 +17,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -172,7 +173,7 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-_UNITS: dict[str, dict[str, tuple[str, bytes]]] = {}
+_UNITS: dict[str, tuple[dict[str, str], dict[str, bytes]]] = {}
 
 
 def encode_texts(
@@ -190,7 +191,7 @@ def encode_texts(
         cache_name = uuid.uuid4().hex
 
         def work(ids, texts):
-            return [ids, *_digests(texts, pattern, known.value.find, _UNITS.setdefault(cache_name, {}))]
+            return [ids, *_digests(texts, pattern, known.value.find, _UNITS.setdefault(cache_name, ({}, {})))]
 
         return map_columns(rows, ["id", "text"], schema, work)
 
@@ -212,7 +213,7 @@ def encode_texts(
         out = [[], [], []]
         for text, own in zip(texts, entries, strict=True):
             table = {bytes(e["word"]): (",".join(map(str, e["ids"])), bytes(e["decoded"])) for e in own or ()}
-            for column, value in zip(out, _digests([text], pattern, lambda words, t=table: [t[w] for w in words], {}), strict=True):
+            for column, value in zip(out, _digests([text], pattern, lambda words, t=table: [t[w] for w in words], ({}, {})), strict=True):
                 column += value
         return [ids, *out]
 
@@ -220,34 +221,48 @@ def encode_texts(
 
 
 def _collected(encoded: DataFrame) -> _Table:
-    """The whole table, which is known to be small enough."""
+    """The whole table, which is known to be small enough, packed by the executors."""
     odd = {bytes(r.word): bytes(r.decoded) for r in encoded.where("decoded <> word").select("word", "decoded").collect()}
-    rows = encoded.select(F.xxhash64("word").alias("h"), "ids").toArrow()
-    ids = rows["ids"].combine_chunks()
-    ids = pa.chunked_array([ids]) if isinstance(ids, pa.Array) else ids
-    sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(x.offsets.to_numpy()) for x in ids.chunks]])
-    flat = np.concatenate([np.zeros(0, np.int32), *[x.flatten().to_numpy() for x in ids.chunks]])
-    narrow = np.uint16 if flat.max(initial=0) < 65_536 else np.int32
-    return _Table(rows["h"].to_numpy(), sizes, flat.astype(narrow), odd)
 
-
-def _digests(texts: list[str | None], pattern: str, find, cache: dict[str, tuple[str, bytes]]) -> list[list]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            narrow = np.uint16 if flat.max(initial=0) < 65_536 else np.int32
+            sizes = np.diff(ids.offsets.to_numpy())
+            row = [[batch.column(0).to_numpy().tobytes()], [sizes.astype(np.int32).tobytes()], [flat.astype(narrow).tobytes()], [narrow is np.uint16]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["hashes", "sizes", "ids", "narrow"])
+
+    packed = encoded.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary, narrow boolean").collect()
+    kind = np.uint16 if all(r.narrow for r in packed) else np.int32
+    hashes = np.frombuffer(b"".join(r.hashes for r in packed), np.int64)
+    sizes = np.frombuffer(b"".join(r.sizes for r in packed), np.int32).astype(np.int64)
+    ids = [np.frombuffer(r.ids, np.uint16 if r.narrow else np.int32).astype(kind) for r in packed]
+    return _Table(hashes, sizes, np.concatenate([np.zeros(0, kind), *ids]), odd)
+
+
+def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str, str], dict[str, bytes]]) -> list[list]:
+    """Counts and digests; ``cache`` has the ids (as text) and the decoded bytes of pieces of texts."""
+    ids_of, bytes_of = cache
     units = [cut(t) if t else [] for t in texts]
-    new = list({u for own in units for u in own}.difference(cache))
+    new = list(set(chain.from_iterable(units)).difference(ids_of))
     if new:
         words = list(map(regex.compile(pattern).findall, new))
-        flat = list({w for own in words for w in own})
+        flat = list(set(chain.from_iterable(words)))
         entries = dict(zip(flat, find([w.encode("utf-8", "replace") for w in flat]), strict=True))
         for unit, own in zip(new, words, strict=True):
-            found = [entries[w] for w in own]
-            cache[unit] = (",".join(x for x, _ in found), b"".join(x for _, x in found))
+            if len(own) == 1:
+                ids_of[unit], bytes_of[unit] = entries[own[0]]
+            else:
+                found = [entries[w] for w in own]
+                ids_of[unit], bytes_of[unit] = ",".join([x for x, _ in found]), b"".join([x for _, x in found])
     counts, ids_digests, decoded_digests = [], [], []
     for own in units:
-        found = [cache[u] for u in own]
-        ids = ",".join([x for x, _ in found])
-        counts.append(ids.count(",") + 1 if own else 0)
-        ids_digests.append(hashlib.sha256(ids.encode()).hexdigest())
-        decoded_digests.append(hashlib.sha256(b"".join([x for _, x in found])).hexdigest())
-    if len(cache) > _CACHED:
-        cache.clear()
+        ids = ",".join(map(ids_of.__getitem__, own)).encode()
+        counts.append(ids.count(b",") + 1 if own else 0)
+        ids_digests.append(hashlib.sha256(ids).hexdigest())
+        decoded_digests.append(hashlib.sha256(b"".join(map(bytes_of.__getitem__, own))).hexdigest())
+    if len(ids_of) > _CACHED:
+        ids_of.clear()
+        bytes_of.clear()
     return [counts, ids_digests, decoded_digests]

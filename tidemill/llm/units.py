@@ -15,8 +15,9 @@ from itertools import chain
 
 import numpy as np
 
-#: White space other than single spaces and single line breaks between visible characters.
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z|\x00")
+#: White space other than spaces and line breaks, and the mark that :func:`cut` uses.
+_RARE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
 _CUT = re.compile(r"(?= \S)")
 _PLAIN = re.compile(r" ?\S+")
 _LINES = 4096
@@ -81,7 +82,7 @@ class Library:
 
 def cut(text: str) -> list[str]:
     """The pieces of a text between places at which every byte-level pattern splits."""
-    if _ODD.search(text):
+    if any(x in text for x in _RUNS) or text[:1] in " \n" or text[-1:] in " \n" or _RARE.search(text):
         return _CUT.split(text)
     return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
