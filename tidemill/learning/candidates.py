@@ -16,10 +16,6 @@ SEED = 42
 # Candidate names in the order in which they are tried.
 CANDIDATES = ("xgboost", "random_forest", "extra_trees", "linear")
 
-#: A tree grows at most about this many leaves, so that a model stays small
-#: enough for the driver on a table of any size; up to this many rows, trees
-#: grow until every leaf is a single row or pure.
-_LEAVES = 65_536
 _BINS = 64
 #: Most node ids (rows times trees, four bytes each) kept between tree levels.
 _CACHED_NODE_IDS = 250_000_000
@@ -40,6 +36,8 @@ class Sizes:
     regressor_rate: float = 0.08
     forest: int = 220
     forest_depth: int = 30
+    #: Trees grow until leaves are pure or have so many rows, whatever the size of the table.
+    min_rows_per_leaf: int = 1
 
 
 def estimators(classification: bool, classes: int, rows: int, sizes: Sizes) -> dict[str, Estimator]:
@@ -55,7 +53,7 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes) -> d
         **columns,
         "numTrees": sizes.forest,
         "maxDepth": sizes.forest_depth,
-        "minInstancesPerNode": max(1, rows // _LEAVES),
+        "minInstancesPerNode": sizes.min_rows_per_leaf,
         # Room for the statistics of many nodes, so that a level takes few passes.
         "maxMemoryInMB": 1024,
         # Deep forests on few rows go faster with each row's node remembered;

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +49,17 @@ def change_case(df: DataFrame, case: str) -> DataFrame:
 
 
 def normalised_headers(names: Sequence[str]) -> list[str]:
-    """Lower-case word headers; a repeated one gets the next free ``_2``, ``_3``..."""
-    result: dict[str, None] = {}
-    for name in names:
-        word = re.sub(r"\W", "", "_".join(name.strip().lower().split(" "))) or "column"
-        options = chain([word], (f"{word}_{n}" for n in count(2)))
-        result[next(header for header in options if header not in result)] = None
-    return list(result)
+    """Headers of lower-case word characters; the n-th of equal ones is numbered n, or the next number that is free."""
+    words = [re.sub(r"\W", "", re.sub(" ", "_", name.strip().lower())) or "column" for name in names]
+    copies: Counter[str] = Counter()
+    headers: dict[str, int] = {}
+    for place, word in enumerate(words):
+        copies[word] += 1
+        number = copies[word]
+        while (header := word if number == 1 else f"{word}_{number}") in headers:
+            number += 1
+        headers[header] = place
+    return list(headers)
 
 
 def normalise_headers(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -6,6 +6,7 @@ large share of a column arrives at its reducer as one partial row per task.
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,10 +18,18 @@ from tidemill.roles import data_columns, dtype_of, is_text
 
 COUNT = "n"
 SET = "which"
+#: Columns of one grouping-sets plan; grouping_id has 64 bits.
+_WIDTH = 30
 
 
 def value_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """``which`` (position of the column), ``v0..vk`` (its typed value), ``n``."""
+    if len(values) > _WIDTH:
+        parts = [value_counts(df, {n: values[n] for n in batch}) for batch in _batches(list(values))]
+        for i, part in enumerate(parts):
+            moved = [F.col(f"v{k}").alias(f"v{k + i * _WIDTH}") for k in range(len(part.columns) - 2)]
+            parts[i] = part.select((F.col(SET) + i * _WIDTH).alias(SET), *moved, COUNT)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     keys = [f"v{i}" for i in range(len(values))]
     narrow = df.select(*[v.alias(k) for k, v in zip(keys, values.values())])
     if len(keys) == 1:
@@ -37,7 +46,7 @@ def value_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     )
 
 
-def _batches(names: Sequence[str], size: int = 30) -> list[list[str]]:
+def _batches(names: Sequence[str], size: int = _WIDTH) -> list[list[str]]:
     """Bound the width of one grouping-sets plan on very wide tables."""
     return [list(names[i : i + size]) for i in range(0, len(names), size)]
 

@@ -17,11 +17,15 @@ def head_rows(df: DataFrame, n: int, order_by: str | None = None) -> DataFrame:
     """The first n rows, reading only the order column of all the others.
 
     The n-th smallest position is found on that one column; as a scalar subquery
-    it is pushed into the scan, so row groups past it are skipped.
+    it is pushed into the scan, so row groups past it are skipped.  Rows without a
+    position come last.
     """
     order = order_column(df, order_by)
-    last = df.select(c(order).alias("o")).orderBy("o").limit(n).agg(F.max("o")).scalar()
-    return df.filter(c(order) <= last).orderBy(c(order)).limit(n)
+    top = df.select(c(order).alias("o")).orderBy(F.asc_nulls_last("o")).limit(n)
+    last = top.agg(F.max("o")).scalar()
+    with_nulls = top.agg(F.count_if(F.col("o").isNull()) > 0).scalar()
+    rows = df.filter((c(order) <= last) | (c(order).isNull() & with_nulls))
+    return rows.orderBy(c(order).asc_nulls_last()).limit(n)
 
 
 def numbered(df: DataFrame, order: str, name: str = "seq") -> DataFrame:

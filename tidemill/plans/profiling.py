@@ -149,9 +149,10 @@ class Profile:
         result = None
         for name, df in self.sections().items():
             names = data_columns(df)
-            part = df.select(json_rows(df.select(*[c(n) for n in names])).alias("row")).agg(
+            row = json_rows(df.select(*[c(n) for n in names])).alias("row")
+            part = df.select(F.monotonically_increasing_id().alias("place"), row).agg(
                 F.lit(name).alias("section"),
-                F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("payload"),
+                F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("place", "row"))).getField("row"), ","), F.lit("]")).alias("payload"),
             )
             result = part if result is None else result.unionByName(part)
         return result

@@ -99,7 +99,7 @@ def _typed(col: Column, seen: int) -> Column:
         return col.isin(*TRUE_TOKENS)
     if seen == _WHOLE:
         return number_text(col).cast("bigint")
-    if not values & ~(_WHOLE | _NUMBER):
+    if not values & ~(_WHOLE | _NUMBER) or values & _NUMBER and not values & ~(_WHOLE | _NUMBER | _HUGE):
         return text_to_number(col)
     return col
 

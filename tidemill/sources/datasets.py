@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,9 +65,15 @@ def read_sidecar(spark: SparkSession, path: str) -> dict[str, str]:
     """The sidecar next to a dataset; a missing or unreadable one is ignored."""
     try:
         rows = spark.read.text(_sidecar_path(path), wholetext=True).collect()  # one small file
-        return {str(k): str(v) for k, v in json.loads("".join(r["value"] for r in rows)).items()}
-    except Exception:
+    except AnalysisException as error:  # any other failure to read it is not passed over
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return {}
+    try:
+        found = json.loads("".join(r["value"] for r in rows))
+    except ValueError:
+        return {}
+    return {str(k): str(v) for k, v in found.items()} if isinstance(found, dict) else {}
 
 
 def _kind(type_name: str) -> str | None:
