@@ -42,7 +42,7 @@ _32 = np.uint64(32)
 
 def _stretch_table() -> np.ndarray:
     p = (np.arange(4096) + 0.5) / 4096
-    return np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int64)
+    return np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047)
 
 
 def _squash_table() -> np.ndarray:
@@ -50,7 +50,8 @@ def _squash_table() -> np.ndarray:
     return np.clip(np.rint(4096 / (1 + np.exp(-x))), 1, 4095).astype(np.int64)
 
 
-_STRETCH, _SQUASH = _stretch_table(), _squash_table()
+_STRETCH, _SQUASH = _stretch_table().astype(np.int32), _squash_table()
+_THREE, _PLACES = np.arange(3), np.arange(_GROUP)
 
 
 class _Coder:
@@ -130,10 +131,10 @@ class _Model:
         self.follow2 = np.full((lanes, _HASHED), -1, np.int16)
         self.sure1 = np.zeros((lanes, BLOCK + 1), np.int8)
         self.sure2 = np.zeros((lanes, _HASHED), np.int8)
-        self.chance = np.full((lanes, 3, 16), 2048, np.int64)
-        self.weight = np.full((lanes, 3), 24_000, np.int64)
-        self.counts = np.zeros((lanes, BLOCK // _GROUP, _GROUP), np.int64)
-        self.sums = np.zeros((lanes, BLOCK // _GROUP), np.int64)
+        self.chance = np.full((lanes, 3, 16), 2048, np.int16)
+        self.weight = np.full((lanes, 3), 24_000, np.int32)
+        self.counts = np.zeros((lanes, BLOCK // _GROUP, _GROUP), np.int16)
+        self.sums = np.zeros((lanes, BLOCK // _GROUP), np.int16)
         self.distinct = np.zeros(lanes, np.int64)
         self.seen = 0
         self.last = np.full((2, lanes), BLOCK, np.int64)
@@ -148,7 +149,7 @@ class _Model:
         count = self.counts[at, safe // _GROUP, safe % _GROUP]
         kinds = np.stack([np.where(p2 >= 0, self.sure2[at, self.context] + 1, 0), self.sure1[at, s1] + 8 * (p1 == guess), np.minimum(count, 15)], axis=1)
         self.kinds = kinds
-        self.odds = self.chance[at[:, None], np.arange(3), kinds]
+        self.odds = self.chance[at[:, None], _THREE, kinds].astype(np.int32)
         self.inputs = _STRETCH[self.odds]
         mixed = (self.inputs * self.weight[at]).sum(axis=1) >> 16
         return guess, _SQUASH[np.clip(mixed, -2047, 2047) + 2047]
@@ -157,7 +158,7 @@ class _Model:
         """``rows`` of the last prediction had a guess; ``right`` says whether it came."""
         want = np.where(right, 4095, 0)
         odds = self.odds[rows]
-        self.chance[at[:, None], np.arange(3), self.kinds[rows]] = odds + ((want[:, None] - odds) >> 4)
+        self.chance[at[:, None], _THREE, self.kinds[rows]] = odds + ((want[:, None] - odds) >> 4)
         error = (want - chance) * 10
         self.weight[at] += (self.inputs[rows] * error[:, None] + 512) >> 10
 
@@ -213,11 +214,11 @@ def write_blocks(ids: np.ndarray) -> list[bytes]:
         lane, s, n = at[rest], symbol[rest], new[rest]
         escape = model.distinct[lane] + 1
         group, place = np.where(n, 0, s) // _GROUP, np.where(n, 0, s) % _GROUP
-        before = (model.sums[lane] * (np.arange(BLOCK // _GROUP) < group[:, None])).sum(axis=1)
+        before = (model.sums[lane] * (_PLACES[: BLOCK // _GROUP] < group[:, None])).sum(axis=1, dtype=np.int64)
         inside = model.counts[lane, group]
-        before += (inside * (np.arange(_GROUP) < place[:, None])).sum(axis=1)
+        before += (inside * (_PLACES < place[:, None])).sum(axis=1, dtype=np.int64)
         start = np.where(n, 0, escape + 2 * before)
-        size = np.where(n, escape, 2 * inside[np.arange(len(lane)), place])
+        size = np.where(n, escape, 2 * inside[np.arange(len(lane)), place].astype(np.int64))
         coder.code(lane, _u(start), _u(size), _order0_total(model, lane))
         newly = lane[n]
         if len(newly):
@@ -274,17 +275,17 @@ def read_blocks(blocks: list[bytes], count: int, wide: bool) -> np.ndarray:
         total = _order0_total(model, lane)
         target = coder.target(lane, total).astype(np.int64)
         n = target < escape
-        want = np.where(n, 0, target - escape) >> 1
-        upto = np.cumsum(model.sums[lane], axis=1)
+        want = (np.where(n, 0, target - escape) >> 1).astype(np.int16)
+        upto = np.cumsum(model.sums[lane], axis=1, dtype=np.int16)
         group = np.minimum((upto <= want[:, None]).sum(axis=1), BLOCK // _GROUP - 1)
         rows_ = np.arange(len(lane))
         before = upto[rows_, group] - model.sums[lane, group]
         inside = model.counts[lane, group]
-        within = np.cumsum(inside, axis=1)
+        within = np.cumsum(inside, axis=1, dtype=np.int16)
         place = np.minimum((within <= (want - before)[:, None]).sum(axis=1), _GROUP - 1)
         own = inside[rows_, place]
-        before += within[rows_, place] - own
-        coder.code(lane, _u(np.where(n, 0, escape + 2 * before)), _u(np.where(n, escape, 2 * own)), total)
+        before = (before + within[rows_, place] - own).astype(np.int64)
+        coder.code(lane, _u(np.where(n, 0, escape + 2 * before)), _u(np.where(n, escape, 2 * own.astype(np.int64))), total)
         s = np.where(n, model.distinct[lane], group * _GROUP + place)
         newly = lane[n]
         if len(newly):
