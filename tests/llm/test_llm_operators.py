@@ -348,3 +348,15 @@ def test_pipeline(spark):
     found = corpus_pipeline.run(spark, SF_DIR).collect()
     assert sorted(r.doc_id for r in found) == sorted(clean)
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in found)
+
+
+def test_profiles_never_rule_a_link_out():
+    rng = np.random.default_rng(5)
+    for size in (1, 9, 40, 3000):
+        for gone in range(0, size // 9 + 1, max(1, size // 90)):
+            one = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            two = np.unique(np.concatenate([one[gone:], rng.integers(0, 2**64, gone, np.uint64)]))
+            apart = np.abs(neardup.profile(one, 256).astype(int) - neardup.profile(two, 256)).sum()
+            assert apart <= len(np.setxor1d(one, two))
+            linked = 100 * len(np.intersect1d(one, two)) >= 80 * len(np.union1d(one, two))
+            assert not linked or apart * 180 <= (len(one) + len(two)) * 20

@@ -12,6 +12,9 @@ sets, and components are formed; then only classes of different components that
 group of copies costs as many comparisons as it has classes.  That comparison is of signatures, in tasks of at most
 two blocks of ``BLOCK`` classes; only pairs within ``max_distance`` differing values become rows, and their sets are compared.
 (At the similarity threshold 15.6 of 78 values differ on average; more than 34 do with a probability below one in a million.)
+Texts that share a long passage pass that test by the square of their number and are no links.  Each class therefore has a
+profile too: how many of its shingles fall into each of ``profile`` groups.  Two sets have at least as many shingles
+not in common as their profiles differ, so profiles that differ by more than a link allows rule it out without any error.
 
 A null or empty text has no shingles and is linked with nothing.  Repeated rows and texts are copies; rows with one id
 but different texts are kept apart.  Other columns are not read.
@@ -53,6 +56,7 @@ class Similar:
     width: int = 6
     errors: int = 1
     max_distance: int = 34
+    profile: int = 256
     seed: int = 7
 
     def values(self) -> int:
@@ -94,6 +98,12 @@ def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def profile(shingles: np.ndarray, groups: int) -> np.ndarray:
+    """How many shingles fall into each group; counts above 255 are 255, which only brings profiles closer."""
+    counts = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
 def _factors(rule: Similar) -> np.ndarray:
     return np.random.default_rng(rule.seed).integers(0, 2**63, rule.values(), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -117,22 +127,26 @@ def chunk_keys(signatures: np.ndarray, rule: Similar) -> np.ndarray:
 
 
 def signed(df: DataFrame, id_col: str, text_col: str, rule: Similar) -> DataFrame:
-    """Id, set size, set key and signature of each row; those without shingles have neither key nor signature."""
+    """Id, set size, set key, signature and profile of each row; without shingles the last three are null."""
     factors = _factors(rule)
 
     def work(ids, texts):
         sets = shingle_sets(texts, rule.words)
         keys = [_set_key(s) if len(s) else None for s in sets]
-        return [ids, [len(s) for s in sets], keys, [signature(s, factors).tobytes() if len(s) else None for s in sets]]
+        signatures = [signature(s, factors).tobytes() if len(s) else None for s in sets]
+        profiles = [profile(s, rule.profile).tobytes() if len(s) else None for s in sets]
+        return [ids, [len(s) for s in sets], keys, signatures, profiles]
 
-    return map_columns(df, [id_col, text_col], f"id {id_type(df, id_col)}, n_shingles long, set_key binary, signature binary", work)
+    schema = f"id {id_type(df, id_col)}, n_shingles long, set_key binary, signature binary, profile binary"
+    return map_columns(df, [id_col, text_col], schema, work)
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Similar = Similar(), broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Id, ``n_shingles``, ``set_key`` and ``component_id`` of each row: the smallest id that links can reach."""
     rows = stage(signed(df, id_col, text_col, rule), "signed")
     classes = rows.where("set_key IS NOT NULL").groupBy("set_key")
-    classes = classes.agg(F.min("id").alias("low"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    firsts = [F.first(n).alias(k) for n, k in (("n_shingles", "size"), ("signature", "signature"), ("profile", "profile"))]
+    classes = classes.agg(F.min("id").alias("low"), *firsts)
     classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     keyed = _keyed(classes, rule)
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -149,7 +163,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("x < y").select("key", "n")
     placed = stage(placed.join(mixed, "key").join(sizes, "node"), "mixed")
-    pairs = _within_distance(placed.join(classes.select("node", "signature"), "node"), rule)
+    pairs = _within_distance(placed.join(classes.select("node", "signature", "profile"), "node"), rule)
     more = stage(_confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets, rule), "more-links")
     if not more.isEmpty():
         labels = _connected(links.unionByName(more))
@@ -242,14 +256,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Similar) -> DataFrame:
 
 
 def _within_distance(members: DataFrame, rule: Similar) -> DataFrame:
-    """Pairs of classes of one bucket, in different components, whose sizes and signatures allow a link.
+    """Pairs of classes of one bucket, in different components, whose sizes, signatures and profiles allow a link.
 
     A bucket of ``n`` classes is cut into blocks; each pair of blocks is a group of its own, so none is large.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")
-    rows = members.select("key", "node", "label", "size", "signature", own, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label", "size", "signature")
+    rows = members.select("key", "node", "label", "size", "signature", "profile", own, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label", "size", "signature", "profile")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -275,6 +289,7 @@ def _pairs_of_groups(table: pa.Table, rule: Similar) -> pa.RecordBatch:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if len(key):
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(key), -1)
+        profiles = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8).reshape(len(key), -1).astype(np.int16)
         group = np.stack([key, i, j], axis=1)
         edges = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
         for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
@@ -286,6 +301,8 @@ def _pairs_of_groups(table: pa.Table, rule: Similar) -> pa.RecordBatch:
                 others = others[np.minimum(sizes, size[x]) * 100 >= np.maximum(sizes, size[x]) * rule.percent]
                 if len(others):
                     others = others[(signatures[others] != signatures[x]).sum(axis=1) <= rule.max_distance]
+                    apart = np.abs(profiles[others] - profiles[x]).sum(axis=1, dtype=np.int64)
+                    others = others[apart * (100 + rule.percent) <= (size[others] + size[x]) * (100 - rule.percent)]
                     found.append((np.full(len(others), node[x]), node[others]))
     ends = [np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1)]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"])
