@@ -15,6 +15,7 @@ two blocks of ``BLOCK`` classes; only pairs within ``max_distance`` differing va
 Texts that share a long passage pass that test by the square of their number and are no links.  Each class therefore has a
 profile too: how many of its shingles fall into each of ``profile`` groups.  Two sets have at least as many shingles
 not in common as their profiles differ, so profiles that differ by more than a link allows rule it out without any error.
+A pair that shares several buckets becomes a row only in that of its first common index key.
 
 A null or empty text has no shingles and is linked with nothing.  Repeated rows and texts are copies; rows with one id
 but different texts are kept apart.  Other columns are not read.
@@ -280,7 +281,19 @@ def _within_distance(members: DataFrame, rule: Similar) -> DataFrame:
         if rest is not None:
             yield _pairs_of_groups(pa.Table.from_batches([rest]), rule)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _first_in(key: int, signatures: np.ndarray, left: np.ndarray, right: np.ndarray, rule: Similar) -> np.ndarray:
+    """Whether ``key`` is the first index key that the two rows of a pair have in common."""
+    rows, places = np.unique(np.concatenate([left, right]), return_inverse=True)
+    keys, x, y = chunk_keys(signatures[rows], rule), places[: len(left)], places[len(left) :]
+    first = np.zeros(len(left), bool)
+    for i in range(0, len(left), BLOCK):
+        own = keys[x[i : i + BLOCK]]
+        column = (own == keys[y[i : i + BLOCK]]).argmax(axis=1)
+        first[i : i + BLOCK] = own[np.arange(len(own)), column] == key
+    return first
 
 
 def _pairs_of_groups(table: pa.Table, rule: Similar) -> pa.RecordBatch:
@@ -295,19 +308,28 @@ def _pairs_of_groups(table: pa.Table, rule: Similar) -> pa.RecordBatch:
         for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
             rows = np.arange(start, end)
             left, right = rows[own[rows] == i[start]], rows[own[rows] == j[start]]
-            for x in left.tolist():
-                others = right[(label[right] != label[x]) & ((right > x) | (i[start] != j[start]))]
-                sizes = size[others]
-                others = others[np.minimum(sizes, size[x]) * 100 >= np.maximum(sizes, size[x]) * rule.percent]
-                if len(others):
-                    others = others[(signatures[others] != signatures[x]).sum(axis=1) <= rule.max_distance]
-                    apart = np.abs(profiles[others] - profiles[x]).sum(axis=1, dtype=np.int64)
-                    others = others[apart * (100 + rule.percent) <= (size[others] + size[x]) * (100 - rule.percent)]
-                    found.append((np.full(len(others), node[x]), node[others]))
+            pairs = [(np.full(len(y), x), y) for x in left.tolist() if len(y := _partners(x, right, i[start] == j[start], label, size, signatures, profiles, rule))]
+            if pairs:
+                x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+                first = _first_in(key[start], signatures, x, y, rule)
+                found.append((node[x[first]], node[y[first]]))
     ends = [np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1)]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"])
 
 
+def _partners(x: int, right: np.ndarray, same_block: bool, label, size, signatures, profiles, rule: Similar) -> np.ndarray:
+    """The rows of a block that may be linked with row ``x`` and are not in its component."""
+    others = right[(label[right] != label[x]) & ((right > x) | (not same_block))]
+    others = others[_close_sizes(size[others], size[x], rule)]
+    others = others[(signatures[others] != signatures[x]).sum(axis=1) <= rule.max_distance]
+    apart = np.abs(profiles[others] - profiles[x]).sum(axis=1, dtype=np.int64)
+    return others[apart * (100 + rule.percent) <= (size[others] + size[x]) * (100 - rule.percent)]
+
+
+def _close_sizes(sizes: np.ndarray, size: int, rule: Similar) -> np.ndarray:
+    return np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * rule.percent
+
+
 def _connected(links: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, for all nodes with links.
 
