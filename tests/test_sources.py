@@ -117,3 +117,29 @@ def test_stream_cleaning_matches_batch(spark, tmp_path):
     assert found == [(1, "A", 5.0), (2, "Unknown", 0.0), (3, "B", 0.0)]
     with pytest.raises(ValueError):
         clean_rows(df, CleanSpec())
+
+
+def test_csv_row_order_over_files_of_unequal_size(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    start = 0
+    for i, n in enumerate((3, 4000, 10)):
+        lines = [f'{k},5" pipe {k}' for k in range(start, start + n)]
+        (folder / f"f{i}.csv").write_text("\n".join(["a,b", *lines]) + "\n")
+        start += n
+    df = datasets.load_dataset(spark, str(folder), "csv")
+    rows = df.orderBy("_row").collect()
+    assert [r.a for r in rows] == list(range(start))
+    assert rows[3].b == '5" pipe 3'
+    out = datasets.save_dataset(df.repartition(7), str(tmp_path / "saved"), preserve_types=False)
+    again = datasets.load_dataset(spark, out)
+    assert [r.a for r in again.orderBy("_row").collect()] == list(range(start))
+
+
+@pytest.mark.parametrize(
+    ("line", "spans"),
+    [('a,"b', True), ('a,5" b', False), ('"a ""x"" b",c', False), ('"a","b ""', True), ("a,b", False), ('5" a,"b,c', True)],
+)
+def test_quoted_line_breaks(spark, tmp_path, line, spans):
+    (tmp_path / "x.csv").write_text(line + "\n")
+    assert csv._has_quoted_line_breaks(spark, str(tmp_path / "x.csv")) is spans

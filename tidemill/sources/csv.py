@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.columns import c
 from tidemill.functions.labels import value_text
 from tidemill.functions.numbers import INFINITY, NUMBER, number_text, text_to_number
-from tidemill.roles import data_columns, dtype_of, with_row_order
+from tidemill.roles import ROW, data_columns, dtype_of
+from tidemill.session import stage
 
 # Field texts read as missing, besides the empty text.
 NULL_TOKENS = (
@@ -25,6 +26,11 @@ FALSE_TOKENS = ("False", "FALSE", "false")
 _INTEGER = r"^[+-]?\d+$"
 _OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _CORRUPT = "_corrupt"
+_SPLIT = {"__path": "_metadata.file_path", "__start": "_metadata.file_block_start"}
+#: Rows of one split are numbered below this; Spark numbers the rows of a task in the same way.
+_SPLIT_ROWS = 1 << 33
+#: File splits whose positions are broadcast (some 150 bytes each); beyond it they are joined.
+_BROADCAST_SPLITS = 1_000_000
 _GAP, _WHOLE, _HUGE, _NUMBER, _BOOLEAN, _TEXT = 1, 2, 4, 8, 16, 32
 
 
@@ -49,9 +55,13 @@ def unique_headers(names: Sequence[str | None]) -> list[str]:
 
 
 def _has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
-    """Whether any physical line holds an odd number of quotes (stops at the first)."""
-    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
-    return not spark.read.text(path).filter(F.pmod(quotes, F.lit(2)) == 1).select(F.lit(1)).isEmpty()
+    """Whether any physical line opens a quoted field without closing it (stops at the first).
+
+    Quotes inside a field that doesn't start with one are plain characters.
+    """
+    inside = r'"(?:[^"]++|"")*+'
+    open_field = rf'^(?:(?:{inside}"[^,]*+|[^",][^,]*+|),)*+{inside}$'
+    return not spark.read.text(path).filter(F.col("value").contains('"') & F.col("value").rlike(open_field)).select(F.lit(1)).isEmpty()
 
 
 def _reader(spark: SparkSession, multi_line: bool, path: str, fields: Sequence[str]) -> DataFrame:
@@ -104,12 +114,23 @@ def _typed(col: Column, seen: int) -> Column:
     return col
 
 
+def _with_position(df: DataFrame, splits: DataFrame) -> DataFrame:
+    """Number rows by path, place in the file and line, however Spark packs files into tasks."""
+    order = Window.orderBy(*_SPLIT)
+    ranks = splits.select(*_SPLIT, F.row_number().over(order).cast("long").alias("__rank"))
+    ranks = F.broadcast(ranks) if splits.count() <= _BROADCAST_SPLITS else ranks
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit(_SPLIT_ROWS - 1))
+    rows = df.withColumn("__line", line).join(ranks, list(_SPLIT))
+    return rows.withColumn(ROW, (F.col("__rank") - 1) * _SPLIT_ROWS + F.col("__line")).drop("__line", "__rank", *_SPLIT)
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Read a CSV table with its row position.
 
     Columns are text narrowed to bigint, double or boolean where every value
     fits; dates stay text, and whole numbers with gaps become double.  One aggregate
-    scan decides all types and finds malformed rows.  Files are split for
+    scan decides all types, finds malformed rows and lists the file splits, whose
+    order gives the row position.  Files are split for
     parallel reading unless some field spans lines, which is looked for when
     ``multi_line`` is left open.
     """
@@ -118,14 +139,23 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     names = _headers(spark, path, multi_line)
     marked = _reader(spark, multi_line, path, [*names, _CORRUPT])
     facts = [F.bit_or(_kind(_known(c(n)))).alias(f"k{i}") for i, n in enumerate(names)]
-    seen = marked.agg(*facts, F.count(c(_CORRUPT)).alias("odd")).first()
+    place = [F.col(source).alias(name) for name, source in _SPLIT.items()]
+    marked = marked.select("*", *place).groupBy(*_SPLIT).agg(*facts, F.count(c(_CORRUPT)).alias("odd"))
+    splits = stage(marked, "csv-splits")
+    seen = splits.agg(*[F.bit_or(c(f"k{i}")).alias(f"k{i}") for i in range(len(names))], F.sum("odd").alias("odd")).first()
     if seen["odd"]:
         _refuse_wide_rows(spark, path, names, multi_line)
     text = _reader(spark, multi_line, path, names)
-    return with_row_order(text.select(*[_typed(_known(c(n)), seen[i] or 0).alias(n) for i, n in enumerate(names)]))
+    typed = [_typed(_known(c(n)), seen[i] or 0).alias(n) for i, n in enumerate(names)]
+    return _with_position(text.select(*typed, *place), splits)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Write values in the text forms that :func:`read_csv` and other tools read back."""
+    """Write values in the text forms that :func:`read_csv` and other tools read back.
+
+    Rows with a position are sorted by it, so that part files in name order hold
+    them in row order; this is a range shuffle.
+    """
+    df = df.orderBy(c(ROW)) if ROW in df.columns else df
     texts = [value_text(c(n), dtype_of(df, n), "micro").alias(n) for n in data_columns(df)]
     df.select(*texts).write.options(**_OPTIONS, emptyValue='""', nullValue="").csv(path, header=True)
