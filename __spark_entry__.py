@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
@@ -25,7 +25,7 @@ from tidemill.operators import charts, cleaning, counting, duplicates, heads, pr
 from tidemill.plans.cleaning import CleanSpec, clean
 from tidemill.plans.dashboard import snapshot
 from tidemill.plans.profiling import profile
-from tidemill.roles import normalise_missing
+from tidemill.roles import ROW, normalise_missing
 from tidemill.session import staging_root
 from tidemill.sources import datasets, runs
 
@@ -186,6 +186,14 @@ def _save_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.load_dataset(spark, path).select(*[c(n) for n in SAVED])
 
 
+def _save_roundtrip_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in descending key order, written as several CSV files and read again; their place among each customer's."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (-c("o_orderkey")).alias(ROW))
+    path = datasets.save_dataset(df, _scratch(spark, "ordered"), preserve_types=False)
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(ROW)).cast("long").alias("place")
+    return datasets.load_dataset(spark, path).select("o_orderkey", "o_custkey", place)
+
+
 _REGISTERED = {"customer": "c_mktsegment", "orders": None, "part": "p_retailprice", "lineitem": None, "events": "value"}
 
 
@@ -333,6 +341,7 @@ def queries() -> dict[str, Query]:
         "load_csv": _load_csv,
         "apply_schema": on("orders", SIDECAR_TEXT, lambda df: datasets.apply_schema(df, SIDECAR)),
         "save_roundtrip": _save_roundtrip,
+        "save_roundtrip_order": _save_roundtrip_order,
         "dataset_register": _register,
         "preview": on("events", None, _preview),
         "eda_preview": on("orders", None, lambda df: heads.preview(df, heads.PROFILE_PREVIEW, "o_orderkey")),
@@ -605,6 +614,7 @@ def oracle_sql() -> dict[str, str]:
         "apply_schema": "SELECT _row, try_cast(price AS DOUBLE) AS price, CAST(day AS TIMESTAMP) AS day, CAST(code AS VARCHAR) AS code "
         f"FROM ({spoil(SIDECAR_TEXT, 'orders')})",
         "save_roundtrip": spoil(SAVED, "orders"),
+        "save_roundtrip_order": "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders",
         "dataset_register": " UNION ALL ".join(
             f"SELECT '{n}.parquet' AS name, (SELECT count(*) FROM {n}) AS row_count, (SELECT count(*) FROM (DESCRIBE {n})) AS column_count, "
             f"{repr(t) if t else 'CAST(NULL AS VARCHAR)'} AS target_column"

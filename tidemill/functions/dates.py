@@ -42,6 +42,8 @@ _TIMES = [
     ("hms", r"(\d{1,2}):(\d{1,2}):(\d{1,2})", " $4:$5:$6"),
     ("hmsf", r"(\d{1,2}):(\d{1,2}):(\d{1,2}\.\d{1,6})", " $4:$5:$6"),
 ]
+# How a time in UTC may end, after a date with the year first.
+_UTC = r"(?:Z|[+-]00:?00)"
 
 
 def _formats() -> list[DateFormat]:
@@ -49,6 +51,8 @@ def _formats() -> list[DateFormat]:
     for (order, sep, date, iso), (clock, time, time_iso) in product(_DATES, _TIMES):
         for joint in ("",) if not clock else (" ", "T"):
             found.append(DateFormat(f"{order}{sep}{joint}{clock}", f"^{date}{joint}{time}$", iso + time_iso))
+            if clock and order == "ymd":
+                found.append(DateFormat(f"{order}{sep}{joint}{clock}z", f"^{date}{joint}{time}{_UTC}$", iso + time_iso))
     return found
 
 
@@ -77,10 +81,10 @@ def parse_with(col: Column, fmt: DateFormat) -> Column:
 
 
 def text_to_timestamp(col: Column, fmt: DateFormat | None) -> Column:
-    """Parse with the guessed format; without one, take the first that fits."""
+    """Parse with the guessed format; without one, take the first that fits, month-first before day-first."""
     if fmt is not None:
         return parse_with(col, fmt)
-    return F.coalesce(*[parse_with(col, f) for f in FORMATS if "mdy" in f.name or "ymd" in f.name])
+    return F.coalesce(*[parse_with(col, f) for f in FORMATS])
 
 
 def to_timestamp(col: Column, dtype: T.DataType, fmt: DateFormat | None = None) -> Column:
