@@ -317,6 +317,52 @@ def test_revealing_terms(spark):
         assert found[10].spans == [] and found[900].sanitised == ""
 
 
+def brute_disclosure(texts):
+    """Revealing pairs by plain sets: whole documents, exact and pooled entities."""
+    held, having = {}, {}
+    for k, t in enumerate(texts):
+        spans = plain_spans(t or "")
+        for start, kind, end in spans:
+            v = t[start:end].lower() if kind == 0 else "".join(x for x in t[start:end] if x.isdigit() or kind == 1 and x == ".")
+            pool = ("@" + v.split("@")[-1], v[: v.rfind(".") + 1], v[:6] + "*", v[:-7] + "*")[kind]
+            for name in (f"{pii.KINDS[kind]}:{v}", f"{pii.KINDS[kind]}:{pool}", pii.KINDS[kind]):
+                held.setdefault(name, set()).add(k)
+        for m in re.finditer(r"[^\W\d_]{3,}", t or ""):
+            if not any(start < m.end() and m.start() < end for start, _, end in spans):
+                having.setdefault(m[0].lower(), set()).add(k)
+    least, out = 2 * np.log(len(held) * len(texts)), {}
+    for e, in_e in held.items():
+        for w in {w for w in having if having[w] & in_e}:
+            both, ratio = len(in_e & having[w]), 0.0
+            for n, row, column in (
+                (both, len(in_e), len(having[w])), (len(in_e) - both, len(in_e), len(texts) - len(having[w])),
+                (len(having[w]) - both, len(texts) - len(in_e), len(having[w])),
+                (len(texts) - len(in_e | having[w]), len(texts) - len(in_e), len(texts) - len(having[w])),
+            ):
+                ratio += 2 * n * np.log(n * len(texts) / (row * column)) if n else 0.0
+            if ratio >= least and 2 * both >= len(having[w]) and both * len(texts) > len(in_e) * len(having[w]):
+                out[e, w] = round(both / len(having[w]), 9)
+    return out
+
+
+def test_disclosure_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text for r in docs.collect()]
+    expected = brute_disclosure(texts)
+    assert len(expected) > 20
+    for limit in (300_000, 0):
+        found = {(r.entity, r.term): round(r.share, 9) for r in pii.revealing_terms(docs, broadcast_terms=limit).collect()}
+        assert found == expected
+    assert queries.op2_pii(spark, "/root/testdata/sf0.01").where("n_term > 0").count() > 0
+
+
+def test_hot_and_pooled_entities_have_terms(spark):
+    hot = [f"Quibble regards reach me at one{k}@corp.com or two" for k in range(40)] + [f"plain text of number {k}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(hot)), "doc_id long, text string")
+    found = {(r.entity, r.term) for r in pii.revealing_terms(df).collect()}
+    assert {("email:@corp.com", "quibble"), ("email", "quibble"), ("email", "two")} <= found
+
+
 def test_wrappers(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><div class='main'><h2>T{0}</h2><p>Text <b>o</b>f {0} &amp; more<br>x<p>second {0}<div class=comments>bad</div></div><footer>f</footer>"
     rows = [(k, "http://h.example/x", page.format(k)) for k in range(5)] + [(50, None, None), (51, "no url", ""), (52, "http://h.example/y", "<p <broken"), (53, "http://h.example/x", page.format(1))]

@@ -1,33 +1,40 @@
 """Personal data: patterns find protected entities, co-occurrence finds the terms that reveal them.
 
-Patterns (e-mail, IP address, card, phone) give the base spans.  Around every mention the words of a window are candidate
-terms.  With document counts over the whole corpus, a term discloses an entity if documents with the term mostly hold
-the entity (``min_share``), often enough (``min_docs``), and if seeing the term tells at least ``min_bits`` about the entity:
-log2(p(entity | term) / p(entity)).  In documents that hold the entity such terms become spans too.  Sanitised
-texts have the kind in place of a base span; a term that is nearly an identifier (``remove_share``) is removed, other
-revealing terms are generalised to ``[TERM]``.
+Patterns (e-mail, IP address, card, phone) give the base spans.  Entities are the exact values and pools of them: the kind,
+the mail domain, the network of an address, the leading digits of a card or phone.  All words of a document outside its base
+spans are terms.  With document counts over the whole corpus, a term discloses an entity if documents with the term
+mostly hold the entity (``min_share``) and if both meet more often than chance explains: the log-likelihood ratio of their
+counts is at least 2 ln(entities * documents), so the support that is asked for follows from the counts.  A single
+document never reaches it, two documents that alone hold a value and a term usually do.  In documents that hold the entity such
+terms become spans too.  Sanitised texts have the kind in place of a base span; a term that is nearly an identifier
+(``remove_share``) is removed, other revealing terms are generalised to ``[TERM]``.
 
 A null text counts as empty.  Rows are treated one by one, repeated rows count as documents of their own; other columns
-are not read.  What is sent to the executors (candidate terms, revealing pairs) is counted first; beyond
+are not read.  What is sent to the executors (entities, candidate terms, revealing pairs) is counted first; beyond
 ``BROADCAST_TERMS`` it is joined instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.llm.common import id_type, map_columns
+from tidemill.llm.common import _parts, id_type, map_columns
 from tidemill.session import stage
 
 #: Terms or pairs that go to the executors as a set, about 150 bytes each there.
 BROADCAST_TERMS = 300_000
+#: Counted pairs that a task holds before it sends them on.
+PAIRS = 200_000
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,10 +48,7 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 
 @dataclass(frozen=True)
 class Disclosure:
-    window: int = 5
-    min_docs: int = 3
     min_share: float = 0.5
-    min_bits: float = 6.0
     remove_share: float = 0.9
 
 
@@ -89,7 +93,23 @@ def _entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[span[1]]}:{value}"
 
 
-def _terms(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, int, int]]:
+def _pooled(entity: str) -> tuple[str, ...]:
+    """The entity and the pools that it belongs to."""
+    kind, value = entity.split(":", 1)
+    if kind == "email":
+        part = value[value.index("@") :]
+    elif kind == "ip":
+        part = value[: value.rindex(".") + 1]
+    else:
+        part = (value[:6] if kind == "card" else value[:-7]) + "*"
+    return entity, f"{kind}:{part}", kind
+
+
+def _entities(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {x for s in spans for x in _pooled(_entity(text, s))}
+
+
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
     """Words that touch no base span, lower-cased, with their places."""
     out, k, end = [], 0, 0
     for m in _WORD.finditer(text):
@@ -101,52 +121,74 @@ def _terms(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tu
     return out
 
 
-def _mentions(text: str, window: int) -> dict[str, list[str]]:
-    """The entities of a text, each with the different terms within ``window`` words of its mentions."""
-    spans = find_spans(text)
-    if not spans:
-        return {}
-    words = _terms(text, spans, window)
-    near: dict[str, set[str]] = defaultdict(set)
-    k = 0
-    for span in spans:
-        while k < len(words) and words[k][1] < span[0]:
-            k += 1
-        near[_entity(text, span)].update(w for w, _, _ in words[max(0, k - window) : k + window])
-    return {e: sorted(t) for e, t in near.items()}
+def _surprise(both: Column, entity: Column, term: Column, total: float) -> Column:
+    """Log-likelihood ratio of two counts that meet ``both`` times among ``total``."""
+
+    def cell(n: Column, row: Column, column: Column) -> Column:
+        return F.when(n > 0, n * F.ln(n * total / (row * column))).otherwise(0.0)
+
+    both, entity, term = (x.cast("double") for x in (both, entity, term))
+    parts = cell(both, entity, term) + cell(entity - both, entity, total - term) + cell(term - both, total - entity, term)
+    return 2 * (parts + cell(total - entity - term + both, total - entity, total - term))
 
 
 def revealing_terms(df: DataFrame, text_col: str = "text", rule: Disclosure = Disclosure(), broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """Pairs of ``entity`` and ``term`` above the thresholds, with ``share`` = p(entity | term) and ``bits``."""
-
-    def mentions(texts):
-        rows = [_mentions(t, rule.window) for t in texts if t]
-        pairs = [(e, x) for r in rows for e, terms in r.items() for x in ["", *terms]]
-        return [[e for e, _ in pairs], [x for _, x in pairs]]
-
-    pairs = map_columns(df, [text_col], "entity string, term string", mentions)
-    counts = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    counts = stage(counts.where(F.col("n_both") >= rule.min_docs), "pii-pairs")
-    entities = counts.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    terms = counts.where("term <> ''")
-    wanted = terms.select("term").distinct()
-    few = wanted.count() <= broadcast_terms
-    known = df.sparkSession.sparkContext.broadcast(frozenset(r.term for r in wanted.collect())) if few else None
+    """Pairs of ``entity`` and ``term`` above the thresholds, with ``share`` = p(entity | term) and ``surprise``."""
+    send = df.sparkSession.sparkContext.broadcast
+
+    def holders(texts):
+        seen = Counter(e for t in texts if t for e in _entities(t, find_spans(t)))
+        return [list(seen), list(seen.values())]
+
+    held = map_columns(df, [text_col], "entity string, n long", holders).groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    held = stage(held, "pii-entities")
+    total = float(max(df.count(), 1))
+    least = 2 * math.log(max(held.count(), 1) * total)
+    # An entity, and then a pair, whose best possible term falls short needs no counting.
+    entities = held.where(_surprise(c("n_entity"), c("n_entity"), c("n_entity"), total) >= least)
+    some = send(frozenset(r.entity for r in entities.collect())) if entities.count() <= broadcast_terms else None
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            rows = [(e, x, n) for (e, x), n in seen.items()]
+            seen.clear()
+            return pa.RecordBatch.from_pylist([dict(zip(("entity", "term", "n"), r, strict=True)) for r in rows], kind)
+
+        kind = pa.schema([("entity", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+        seen: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for (texts,) in _parts([batch.column(0).to_pylist()]):
+                for t in texts:
+                    spans = find_spans(t) if t else []
+                    own = _entities(t, spans) if spans else set()
+                    own = own if some is None else own & some.value
+                    words = {w for w, _, _ in _terms(t, spans)} if own else set()
+                    for e in own:
+                        seen.update((e, w) for w in words)
+                        if len(seen) >= PAIRS:
+                            yield counted()
+        if seen:
+            yield counted()
+
+    pairs = df.select(c(text_col)).mapInArrow(meetings, "entity string, term string, n long")
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both")).join(entities, "entity")
+    best = _surprise(c("n_both"), c("n_entity"), c("n_both"), total)
+    pairs = stage(pairs.where((best >= least) & (c("n_both") * total > c("n_entity") * c("n_both"))), "pii-pairs")
+    wanted = pairs.select("term").distinct()
+    known = send(frozenset(r.term for r in wanted.collect())) if wanted.count() <= broadcast_terms else None
 
     def occurrences(texts):
         seen: Counter[str] = Counter()
         for t in texts:
-            words = _WORD.findall(t.lower()) if t else ()
-            seen.update(known.value.intersection(words) if known else set(words))
+            words = {w for w, _, _ in _terms(t, find_spans(t))} if t else set()
+            seen.update(words if known is None else known.value & words)
         return [list(seen), list(seen.values())]
 
     seen = map_columns(df, [text_col], "term string, n long", occurrences).groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = df.count()
-    scored = terms.join(seen, "term").join(entities, "entity")
-    share = F.col("n_both") / F.col("n_term")
-    bits = F.log2(share * F.lit(float(max(total, 1))) / F.col("n_entity"))
-    scored = scored.select("entity", "term", F.least(share, F.lit(1.0)).alias("share"), bits.alias("bits"))
-    return scored.where((F.col("share") >= rule.min_share) & (F.col("bits") >= rule.min_bits))
+    scored = pairs.join(seen, "term")
+    scored = scored.withColumn("share", F.col("n_both") / F.col("n_term")).withColumn("surprise", _surprise(c("n_both"), c("n_entity"), c("n_term"), total))
+    above = (F.col("share") >= rule.min_share) & (F.col("surprise") >= least) & (F.col("n_both") * total > F.col("n_entity") * F.col("n_term"))
+    return scored.where(above).select("entity", "term", "share", "surprise")
 
 
 def sanitise(
@@ -164,11 +206,19 @@ def sanitise(
         known = df.sparkSession.sparkContext.broadcast(dict(table))
         return map_columns(rows, ["id", "text"], schema, lambda ids, texts: [ids, *_sanitised(texts, [None] * len(ids), known.value, rule)])
 
-    def entities(texts):
-        found = [(hashlib.md5(t.encode("utf-8", "replace")).hexdigest(), e) for t in texts if t for e in {_entity(t, s) for s in find_spans(t)}]
-        return [[k for k, _ in found], [e for _, e in found]]
-
-    held = map_columns(rows, ["text"], "text_key string, entity string", entities).distinct().join(pairs, "entity")
+    def held_pairs(texts):
+        keys, entities, terms = [], [], []
+        for t in texts:
+            spans = find_spans(t) if t else []
+            words = {w for w, _, _ in _terms(t, spans)} if spans else ()
+            key = hashlib.md5(t.encode("utf-8", "replace")).hexdigest() if spans else None
+            for e in _entities(t, spans) if spans else ():
+                keys += [key] * len(words)
+                entities += [e] * len(words)
+                terms += words
+        return [keys, entities, terms]
+
+    held = map_columns(rows, ["text"], "text_key string, entity string, term string", held_pairs).join(pairs, ["entity", "term"])
     shares = held.groupBy("text_key", "term").agg(F.max("share").alias("share"))
     shares = shares.groupBy("text_key").agg(F.collect_list("term").alias("terms"), F.collect_list("share").alias("shares"))
     joined = rows.withColumn("text_key", F.md5("text")).join(shares, "text_key", "left")
@@ -186,14 +236,13 @@ def _sanitised(texts, own, table, rule: Disclosure) -> list[list]:
     for text, terms in zip(texts, own, strict=True):
         text = text or ""
         spans = find_spans(text)
+        words = _terms(text, spans) if spans else []
         if terms is None:
-            terms = {}
-            for entity in {_entity(text, s) for s in spans}:
-                for term, share in table.get(entity, {}).items():
-                    terms[term] = max(share, terms.get(term, 0))
+            near = [table[e] for e in _entities(text, spans) if e in table]
+            terms = {w: max(x.get(w, 0) for x in near) for w in {w for w, _, _ in words} if any(w in x for x in near)}
         found = [(s, k, e, f"[{KINDS[k].upper()}]") for s, k, e in spans]
         if terms:
-            for word, start, end in _terms(text, spans, rule.window):
+            for word, start, end in words:
                 if word in terms:
                     found.append((start, len(KINDS), end, "" if terms[word] >= rule.remove_share else "[TERM]"))
         found.sort()
