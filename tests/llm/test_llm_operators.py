@@ -189,6 +189,17 @@ def test_lines(spark, docs):
     assert lines.remove_boilerplate(docs).count() == len(ROWS)
 
 
+def test_mostly_shared_texts_lose_their_shared_lines(spark):
+    notice = "a long notice that all the sites of this table carry " * 4
+    rows = [(k, f"own {k}\n{notice}\n", f"s{k}") for k in range(12)] + [(50, f"{notice}\n \n{notice}", "s1"), (51, "x\n" + f"{notice}\n" * 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = {k: f"own {k}\n" for k in range(12)} | {50: f"{notice}\n \n{notice}", 51: "x\n"}
+    for limit in (500_000, 0):
+        assert {r.doc_id: r.text for r in lines.remove_boilerplate(df, broadcast_lines=limit).collect()} == expected
+    stage = corpus_pipeline.line_dedup(spark, df, SF_DIR)
+    assert {r.doc_id: r.text for r in stage.collect()} == expected
+
+
 # --- 5, 9, 10: tokens -------------------------------------------------------
 
 

@@ -4,8 +4,9 @@ Each line's key (its md5) gathers the sites that carry it in a HyperLogLog sketc
 line on a third of all rows costs one sketch per task.  Lines clearly above ``min_sites`` are boilerplate, lines
 near it (``margin``) are settled by exact distinct counts, and all others are left.
 
-Boilerplate is then removed from texts.  A text that consists mostly of such lines (more than ``max_share`` of its
-characters) is no page with boilerplate but a copy of other texts; it is left whole, for the near-duplicate stage.
+Boilerplate is then removed from texts.  A text that has no other lines is no page with boilerplate but a copy of other
+texts; it is left whole, for the near-duplicate stage.  With ``max_share`` below 1, texts with more than that share of
+their characters in such lines are left whole too.
 A null site counts as one site without a name.  Null texts stay null, empty lines are never boilerplate and stay.
 Repeated rows are handled alike; extra columns stay as they are.
 """
@@ -33,7 +34,7 @@ class Spread:
     min_sites: int = 10
     margin: float = 0.25
     lg_k: int = 12
-    max_share: float = 0.5
+    max_share: float = 1.0
 
 
 def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", spread: Spread = Spread()) -> DataFrame:
@@ -90,7 +91,9 @@ def _clean(text: str | None, drops: list[int] | None, known, max_share: float) -
     lines = text.split("\n")
     if known:
         drops = [i for i, x in enumerate(lines) if x and hashlib.md5(x.encode("utf-8", "replace")).digest() in known]
-    if not drops or sum(len(lines[i]) for i in drops) > max_share * sum(map(len, lines)):
+    gone = set(drops or ())
+    if not gone or sum(len(lines[i]) for i in gone) > max_share * sum(map(len, lines)):
+        return text, len(lines), 0
+    if max_share >= 1 and not any(x.strip(" ") for i, x in enumerate(lines) if i not in gone):
         return text, len(lines), 0
-    gone = set(drops)
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)

@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: The contract of the near-duplicate query takes shingles of four words.
 FOUR_WORDS = neardup.Similar(words=4)
+#: The SQL of the line query leaves texts whole that are more than half boilerplate.
+HALF_SHARED = lines.Spread(max_share=0.5)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = lines.remove_boilerplate(_table(spark, sf_dir, "documents"))
+    cleaned = lines.remove_boilerplate(_table(spark, sf_dir, "documents"), spread=HALF_SHARED)
     digest = F.sha2(F.col("text").cast("binary"), 256)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"))
 
