@@ -384,6 +384,15 @@ def test_wrappers(spark):
     assert "#SLOT" in expression and "?" in expression
 
 
+def test_deep_pages(spark):
+    page = "<body><div class=wrap><article>Start {0}" + "<div>" * 90 + "deep {0}<nav>menu <div>in</div></nav> on" + "</div>" * 90 + "<p>end {0}</article><p>out</div><footer>f</footer>"
+    rows = [(k, "http://deep.example/", page.format(k)) for k in range(4)]
+    rows += [(k, "http://low.example/", "<div>" * 80 + f"menu <div>bar</div><article>low {k}<form>f</form><p>on</article>") for k in (7, 8)] + [(9, "http://deeper.example/", "<article>" + "<p><div>" * 20_000 + "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert found == {k: f"Start {k} deep {k} on end {k}" for k in range(4)} | {k: f"low {k} on" for k in (7, 8)} | {9: "x"}
+
+
 # --- pipeline ---------------------------------------------------------------
 
 

@@ -21,6 +21,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,6 +54,7 @@ _SIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner nav navbar navigation menu header masthead footer sidebar aside cookie cookies notice notices consent popup "
     "modal promo sponsored social share related breadcrumb breadcrumbs comment comments disqus newsletter subscribe login search".split()
 )
+#: Levels of the tree that wrappers are aligned on; deeper text counts where the tree ends, and all elements stay open for reading.
 _DEPTH = 64
 
 
@@ -84,24 +86,30 @@ class Node:
 
 
 def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
-    """The page as nested tokens, and its blocks: labels from the root, and decoded text."""
+    """The page as nested tokens, and its blocks: labels from the root (below ``_DEPTH`` only those of main and side elements), and decoded text."""
     root = Node("")
-    stack, blocks, text = [("", root)], [], []
+    # Name of each open element, its node in the tree, and its path of labels.
+    stack: list[tuple[str, Node, tuple[str, ...]]] = [("", root, ())]
+    open_names: Counter[str] = Counter()
+    blocks, text = [], []
     raw_end = None
 
     def flush() -> None:
         joined = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if joined:
-            blocks.append((tuple(n.label for _, n in stack[1:]), joined))
+            blocks.append((stack[-1][2], joined))
             stack[-1][1].children.append(Node("#", mark=zlib.crc32(joined.encode("utf-8", "replace")), chars=len(joined)))
 
     def close(names: frozenset[str] | tuple, until: frozenset[str] | tuple = ()) -> None:
+        if not any(open_names[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in until:
                 return
             if stack[k][0] in names:
                 flush()
+                open_names.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
 
@@ -142,10 +150,18 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
             close(names.split(), until.split())
         flush()
         label = name + "".join(f".{x}" for x in sorted(_names(m[3])))
-        node = Node(label)
+        _, node, path = stack[-1]
         if len(stack) < _DEPTH:
+            node = Node(label)
             stack[-1][1].children.append(node)
-            stack.append((name, node))
+            path = (*path, label)
+        elif not _side(path[-1]) and (_side(label) or label in _MAIN and path[-1] not in _MAIN):
+            # The tree ends here, but main and side elements must not be taken for their surroundings.
+            node = Node(label)
+            stack[-1][1].children.append(node)
+            path = (*path, label)
+        stack.append((name, node, path))
+        open_names[name] += 1
     if raw_end is None and at < len(page):
         text.append(html.unescape(page[at:]))
     flush()
