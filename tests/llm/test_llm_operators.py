@@ -393,6 +393,12 @@ def test_deep_pages(spark):
     assert found == {k: f"Start {k} deep {k} on end {k}" for k in range(4)} | {k: f"low {k} on" for k in (7, 8)} | {9: "x"}
 
 
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){f()}", "x = '<!--'", "if(a<b){s=\"</scripts>'\"}", "'<b title=\"'", ""])
+def test_scripts_end_at_their_end_tag(script):
+    page = f"<body><article>one<script>{script}</SCRIPT >two<style>a<b{{}}</style>three</article><script>{script}"
+    assert [t for _, t in wrappers.parse(page)[1]] == ["onetwothree"]
+
+
 # --- pipeline ---------------------------------------------------------------
 
 

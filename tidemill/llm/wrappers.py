@@ -39,6 +39,7 @@ _SPACE = re.compile(r"\s+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg".split())
+_RAW_END = {x: re.compile(rf"</{x}(?![a-zA-Z0-9:-])[^>]*+(?:>|\Z)", re.I) for x in _RAW}
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -92,7 +93,6 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
     stack: list[tuple[str, Node, tuple[str, ...]]] = [("", root, ())]
     open_names: Counter[str] = Counter()
     blocks, text = [], []
-    raw_end = None
 
     def flush() -> None:
         joined = _SPACE.sub(" ", "".join(text)).strip()
@@ -114,12 +114,7 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if raw_end is not None:
-            if not (m[1] and m[2].lower() == raw_end):
-                continue
-            at, raw_end = m.end(), None
-            continue
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text.append(html.unescape(page[at : m.start()]))
         at = m.end()
@@ -136,7 +131,10 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
                 text.append(" ")
             continue
         if name in _RAW:
-            raw_end = None if m[3].rstrip().endswith("/") else name
+            if not m[3].rstrip().endswith("/"):
+                # Nothing inside is markup: only the literal end tag ends it.
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if name in _VOID:
             text.append(" ")
@@ -162,7 +160,7 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
             path = (*path, label)
         stack.append((name, node, path))
         open_names[name] += 1
-    if raw_end is None and at < len(page):
+    if at < len(page):
         text.append(html.unescape(page[at:]))
     flush()
     _fold_all(root)
