@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from tidemill.columns import c
 from tidemill.functions.jsonsafe import json_safe_frame
 from tidemill.learning import frames, metrics, preprocessing
-from tidemill.learning.candidates import Sizes
 from tidemill.learning.training import TrainSpec, train
 from tidemill.operators import charts, cleaning, counting, duplicates, heads, profiling, quantiles
 from tidemill.plans.cleaning import CleanSpec, clean
@@ -314,11 +313,8 @@ def _ml_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUICK = Sizes(boosted_classifier=4, boosted_regressor=4, boosted_depth=3, forest=6, forest_depth=5)
-
-
 def _trained(spark: SparkSession, sf_dir: str):
-    spec = TrainSpec("p_retailprice", ("p_partkey", "p_size", "p_type"), key="p_partkey", sizes=_QUICK)
+    spec = TrainSpec("p_retailprice", ("p_partkey", "p_size", "p_type"), key="p_partkey")
     return train(table(spark, sf_dir, "part"), spec)
 
 
@@ -329,7 +325,7 @@ def _train_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = TrainSpec("c_mktsegment", ("c_nationkey", "c_acctbal"), "random_forest", key="c_custkey", sizes=_QUICK)
+    spec = TrainSpec("c_mktsegment", ("c_nationkey", "c_acctbal"), "random_forest", key="c_custkey")
     result = train(table(spark, sf_dir, "customer"), spec)
     return result.confusion
 

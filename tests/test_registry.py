@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from tidemill.learning.candidates import Sizes
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -53,3 +54,17 @@ def test_without_sql_has_rows(spark, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() == 8
+
+
+@pytest.mark.parametrize("name", ["ml_train_auto", "ml_train_classes", "ml_importance", "ml_predictions"])
+def test_registered_training_has_full_sizes(spark, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    def caught(df, spec):
+        assert spec.sizes == Sizes()
+        raise Reached
+
+    monkeypatch.setattr(registry, "train", caught)
+    with pytest.raises(Reached):
+        QUERIES[name](spark, SF_DIR)
