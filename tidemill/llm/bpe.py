@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.llm.common import _parts, id_type, map_columns
+from tidemill.llm.common import id_type, map_columns, slices
 from tidemill.llm.units import cut
 from tidemill.session import stage
 
@@ -133,7 +133,7 @@ def distinct_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
         units: set[str] = set()
         words: set[str] = set()
         for batch in batches:
-            for (texts,) in _parts([batch.column(0).to_pylist()]):
+            for texts in (part.column(0).to_pylist() for part in slices(batch)):
                 new_units = {u for t in texts if t for u in cut(t)}.difference(units)
                 new = {w for u in new_units for w in find(u)}.difference(words)
                 yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in new], pa.binary())], names=["word"])

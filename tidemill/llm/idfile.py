@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.llm.common import _parts, id_type, map_columns
+from tidemill.llm.common import id_type, map_columns, slices
 from tidemill.llm.units import broadcast_file, load
 
 BLOCK = 1024
@@ -345,7 +345,7 @@ def write_ids(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id",
 
         for batch in batches:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(batch.schema.field(0).type), pa.binary()]
-            for own_ids, own in _parts([x.to_pylist() for x in batch.columns]):
+            for own_ids, own in ([x.to_pylist() for x in part.columns] for part in slices(batch)):
                 for i, x in zip(own_ids, load(data.value).packed(own), strict=True):
                     x += end
                     if texts and size + len(x) // 4 > SEGMENT:

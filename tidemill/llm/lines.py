@@ -8,7 +8,7 @@ Boilerplate is then removed from texts.  A text that has no other lines is no pa
 texts; it is left whole, for the near-duplicate stage.  With ``max_share`` below 1, texts with more than that share of
 their characters in such lines are left whole too.
 A null site counts as one site without a name.  Null texts stay null, empty lines are never boilerplate and stay.
-Repeated rows are handled alike; extra columns stay as they are.
+Repeated rows are handled alike; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.llm.common import _parts
+from tidemill.llm.common import fresh, slices
 from tidemill.session import stage
 
 #: Keys of boilerplate lines that are sent to the executors (24 bytes each); beyond it they are joined.
@@ -53,33 +53,42 @@ def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source",
 
 
 def remove_boilerplate(
-    df: DataFrame, text_col: str = "text", site_col: str = "source", spread: Spread = Spread(), broadcast_lines: int = BROADCAST_LINES
-) -> DataFrame:
-    """The rows with cleaned texts; ``n_lines`` and ``n_removed`` (lines) are added at the end."""
+    df: DataFrame, text_col: str = "text", site_col: str = "source", spread: Spread = Spread(), broadcast_lines: int = BROADCAST_LINES,
+    counts: bool = True,
+) -> DataFrame:
+    """The rows with cleaned texts.
+
+    With ``counts``, ``n_lines`` and ``n_removed`` (lines) are added at the end, with underscores behind names that the table has already.
+    """
     keys = stage(boilerplate(df, text_col, site_col, spread), "boilerplate")
     if keys.count() <= broadcast_lines:
         known = df.sparkSession.sparkContext.broadcast(frozenset(bytes(r.line_key) for r in keys.collect()))
-        return _cleaned(df, text_col, None, spread.max_share, known)
-    lines = df.select(F.md5(text_col).alias("text_key"), F.posexplode(F.split(c(text_col), "\n")).alias("at", "line"))
+        return _cleaned(df, text_col, None, spread.max_share, known, counts)
+    text_key, drops_name, own_key = fresh(df, "text_key", "line_drops", "line_text_key")
+    lines = df.select(F.md5(c(text_col)).alias("text_key"), F.posexplode(F.split(c(text_col), "\n")).alias("at", "line"))
     hits = lines.select("text_key", "at", F.unhex(F.md5("line")).alias("line_key")).join(keys, "line_key", "left_semi")
-    drops = hits.groupBy("text_key").agg(F.collect_set("at").alias("line_drops"))
-    joined = df.withColumn("line_text_key", F.md5(c(text_col))).join(drops, F.col("line_text_key") == F.col("text_key"), "left")
-    return _cleaned(joined.drop("line_text_key", "text_key"), text_col, "line_drops", spread.max_share, None)
+    drops = hits.groupBy("text_key").agg(F.collect_set("at").alias(drops_name)).withColumnRenamed("text_key", text_key)
+    joined = df.withColumn(own_key, F.md5(c(text_col))).join(drops, c(own_key) == c(text_key), "left").drop(own_key, text_key)
+    return _cleaned(joined, text_col, drops_name, spread.max_share, None, counts)
 
 
-def _cleaned(df: DataFrame, text_col: str, drops_col: str | None, max_share: float, known) -> DataFrame:
+def _cleaned(df: DataFrame, text_col: str, drops_col: str | None, max_share: float, known, counts: bool) -> DataFrame:
     names = [n for n in df.columns if n != drops_col]
-    schema = df.select(*[c(n) for n in names]).schema.add("n_lines", "long").add("n_removed", "long")
+    own = df.select(*[c(n) for n in names])
+    added = fresh(own, "n_lines", "n_removed") if counts else []
+    schema = own.schema
+    for name in added:
+        schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             texts = batch.column(names.index(text_col)).to_pylist()
             drops = batch.column(len(names)).to_pylist() if drops_col else [None] * len(texts)
-            done = [_clean(t, d, known.value if known else (), max_share) for part in _parts([texts, drops]) for t, d in zip(*part)]
+            done = [_clean(t, d, known.value if known else (), max_share) for t, d in zip(texts, drops, strict=True)]
             arrays = [batch.column(i) for i in range(len(names))]
             arrays[names.index(text_col)] = pa.array([x[0] for x in done], arrays[names.index(text_col)].type)
-            arrays += [pa.array([x[i] for x in done], pa.int64()) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_lines", "n_removed"])
+            arrays += [pa.array([x[i] for x in done], pa.int64()) for i in (1, 2)[: len(added)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
 
     order = [c(n) for n in names] + ([c(drops_col)] if drops_col else [])
     return df.select(*order).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.llm.common import _parts, id_type, map_columns
+from tidemill.llm.common import id_type, map_columns, slices
 from tidemill.session import stage
 
 #: Terms or pairs that go to the executors as a set, about 150 bytes each there.
@@ -157,7 +157,7 @@ def revealing_terms(df: DataFrame, text_col: str = "text", rule: Disclosure = Di
         kind = pa.schema([("entity", pa.string()), ("term", pa.string()), ("n", pa.int64())])
         seen: Counter[tuple[str, str]] = Counter()
         for batch in batches:
-            for (texts,) in _parts([batch.column(0).to_pylist()]):
+            for texts in (part.column(0).to_pylist() for part in slices(batch)):
                 for t in texts:
                     spans = find_spans(t) if t else []
                     own = _entities(t, spans) if spans else set()

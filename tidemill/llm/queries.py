@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, chat, decontamination, idfile, lines, neardup, pii, repetition, tokencount, wrappers
+from tidemill.llm import bpe, chat, decontamination, idfile, lines, neardup, packing, pii, repetition, tokencount, variants, whitening, wrappers
 from tidemill.session import staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,10 +85,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    parts = [F.struct(F.lit(i + 1).alias("component"), F.get("whitened", F.lit(i)).alias("whitened"), F.lit(float(x)).alias("explained")) for i, x in enumerate(model.explained())]
+    rows = whitening.transform(vectors, model)
+    parts = F.array(*parts) if parts else F.expr("CAST(array() AS ARRAY<STRUCT<component: INT, whitened: DOUBLE, explained: DOUBLE>>)")
+    rows = rows.select("vec_id", "deviation", F.explode(parts).alias("x"))
+    return rows.select(
+        "vec_id", "x.component", F.lit(model.n).cast("long").alias("n"), "deviation", "x.whitened", "x.explained",
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: The contract of the spelling query takes a character from one run in 199.
+MISSPELT = variants.Spelling(misspelt=199)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.count_words(_table(spark, sf_dir, "documents"), rule=MISSPELT), MISSPELT)
+
+
 def queries() -> dict[str, Query]:
     named = (
         op1_chat_formatting, op2_pii, op3_html_extraction, op4_near_duplicates, op5_byte_bpe, op6_decontamination,
-        op7_line_dedup, op8_repetition, op9_token_ids, op10_token_counts,
+        op7_line_dedup, op8_repetition, op9_token_ids, op10_token_counts, op11_whitening, op12_packing,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in named}
 
@@ -166,6 +192,41 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN done ON done.doc_id = d.doc_id
 """
 
+_OP13 = r"""
+WITH RECURSIVE steps(i, k, x) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END FROM steps WHERE k < 8),
+bytes AS (SELECT list(x ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+held AS (SELECT doc_id, run, count(*) AS m, hex(encode(doc_id || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+checked AS (
+  SELECT run, m, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT))),
+    lambda h, b: xor(h // 256, t[1 + xor(h % 256, b)])), 4294967295) AS h FROM held, bytes),
+cut AS (SELECT m, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM checked),
+words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+marked AS (SELECT word, n, substr(word, 1, i) || '_' || substr(word, i + 2) AS masked FROM places),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS less FROM places),
+ends AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM marked a JOIN marked b ON a.masked = b.masked AND a.word <> b.word
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.less = b.word
+  UNION ALL SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.less = b.word),
+near AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS top FROM ends GROUP BY word),
+forms AS (
+  SELECT near.word, min(other) AS form, any_value(top) AS form_n FROM near JOIN ends ON ends.word = near.word AND other_n = top AND top >= 5 * near.n
+  GROUP BY near.word),
+chain(word, ending, k) AS (
+  SELECT word, form, 1 FROM forms UNION ALL SELECT chain.word, form, k + 1 FROM chain JOIN forms ON forms.word = chain.ending),
+tops AS (SELECT word, arg_max(ending, k) AS root FROM chain GROUP BY word)
+SELECT words.word, form, coalesce(root, words.word) AS root, words.n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN near ON near.word = words.word LEFT JOIN forms ON forms.word = words.word LEFT JOIN tops ON tops.word = words.word
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op3_html_extraction": _OP3, "op4_near_duplicates": _OP4, "op6_decontamination": _OP6, "op7_line_dedup": _OP7}
+    return {
+        "op1_chat_formatting": _OP1, "op3_html_extraction": _OP3, "op4_near_duplicates": _OP4, "op6_decontamination": _OP6, "op7_line_dedup": _OP7,
+        "op13_spelling_variants": _OP13,
+    }

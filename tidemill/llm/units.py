@@ -35,8 +35,11 @@ class Library:
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cuttable = _cuttable(json.loads(data))
+        spec = json.loads(data)
+        self.cuttable = _cuttable(spec)
+        self.spaced = _spaced(spec, self.tokenizer)
         self._ids: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         self._chars = 0
         if self.cuttable:
             (self._break,) = self.encode(["\n"])[0]
@@ -50,6 +53,8 @@ class Library:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
+        if self.spaced:
+            return self._packed_words(texts)
         if not self.cuttable:
             return [np.array(ids, "<u4").tobytes() for ids in self.encode(texts)]
         units = [cut(t) for t in texts]
@@ -61,6 +66,41 @@ class Library:
             self._ids, self._chars = {}, 0
         return out
 
+    def _packed_words(self, texts: list[str]) -> list[bytes]:
+        """The same where white space only parts words: units between spaces, in parts that are encoded once each."""
+        units = [t.replace("\n", " ").split(" ") for t in texts]
+        out: list[bytes | None] = []
+        known = self._ids.__getitem__
+        for own in units:
+            try:
+                out.append(b"".join(map(known, own)))
+            except KeyError:
+                out.append(None)
+        if missing := [i for i, x in enumerate(out) if x is None]:
+            self._learn_words(list(set(chain.from_iterable(units[i] for i in missing)).difference(self._ids)))
+            for i in missing:
+                out[i] = b"".join(map(known, units[i]))
+        if self._chars > _CACHE_CHARS:
+            self._ids, self._words, self._chars = {}, {}, 0
+        return out
+
+    def _learn_words(self, new: list[str]) -> None:
+        # The strings of special tokens are looked for in the text as it is.
+        parts = [[u] if "<|" in u else _INSIDE.split(u.lower() if u.isascii() else u) for u in new]
+        unknown = list(set(chain.from_iterable(parts)).difference(self._words))
+        tokenize = self.tokenizer.model.tokenize
+        other = []
+        for w in unknown:
+            if w.isascii() and w.isalpha() and w.islower():
+                self._words[w] = np.array([x.id for x in tokenize(w)], "<u4").tobytes()
+            else:
+                other.append(w)
+        for w, ids in zip(other, self.encode(other), strict=True):
+            self._words[w] = np.array(ids, "<u4").tobytes()
+        for unit, own in zip(new, parts, strict=True):
+            self._ids[unit] = self._words[own[0]] if len(own) == 1 else b"".join(map(self._words.__getitem__, own))
+        self._chars += sum(map(len, new)) + sum(map(len, unknown))
+
     def _learn(self, units: set[str]) -> None:
         """Encode new pieces: plain ones as the lines of one text, as a line break between them is a token of its own."""
         plain = [u for u in units if _PLAIN.fullmatch(u)]
@@ -80,6 +120,11 @@ class Library:
         self._chars += sum(map(len, units))
 
 
+#: In a word vocabulary's unit, a letter or digit ends a word in front of ASCII punctuation, as does punctuation in front of a
+#: letter or digit, but for an apostrophe.
+_INSIDE = re.compile(r"(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
+
+
 def cut(text: str) -> list[str]:
     """The pieces of a text between places at which every byte-level pattern splits."""
     if any(x in text for x in _RUNS) or text[:1] in " \n" or text[-1:] in " \n" or _RARE.search(text):
@@ -95,6 +140,20 @@ def _cuttable(spec: dict) -> bool:
     return bool(plain and calm and not spec.get("normalizer"))
 
 
+def _spaced(spec: dict, tokenizer) -> bool:
+    """Whether the file's rules drop white space, and split letters, digits and punctuation as ``_INSIDE`` expects."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    calm = all(
+        s["type"] in ("NFC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " ") for s in steps
+    )
+    if not (calm and any(s["type"] == "Lowercase" for s in steps) and (spec.get("model") or {}).get("end_of_word_suffix")):
+        return False
+    if any(t.get("lstrip") or t.get("rstrip") or not t["content"].startswith("<|") for t in spec.get("added_tokens") or []):
+        return False
+    pieces = [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str("ab c1?\n  it's,'d.(x)")]
+    return pieces == ["ab", "c", "1", "?", "it", "'s", ",'", "d", ".(", "x", ")"]
+
+
 class Pieces:
     """A tokenizer of the sentencepiece library, made from the bytes of its file."""
 
