@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemill.llm import bpe, chat, decontamination, idfile, lines, neardup, pii, queries, repetition, tokencount, units, wrappers
@@ -189,6 +190,22 @@ def test_lines(spark, docs):
     assert lines.remove_boilerplate(docs).count() == len(ROWS)
 
 
+def test_extra_columns_with_clashing_names_stay(spark):
+    rows = [(k, f"own line {k}\nshared footer" if k % 5 else "shared footer\nown", f"s{k}", k, "key", "drops", "own", "id", "gone", "place") for k in range(15)]
+    names = ["doc_id", "text", "source", "n_lines", "text_key", "line_drops", "line_text_key", "gone_id", "gone_key", "place"]
+    df = spark.createDataFrame(rows + rows[:1], names)
+    df = df.selectExpr("*", "'k' AS set_key", "1 AS N_REMOVED", "'c' AS component_id")
+    for limit in (500_000, 0):
+        cleaned = lines.remove_boilerplate(df, broadcast_lines=limit)
+        assert cleaned.columns == [*df.columns, "n_lines_", "n_removed_"]
+        assert {(r.n_lines, r.text_key, r.n_lines_, r.n_removed_) for r in cleaned.collect()} == {(k, "key", 2, 1) for k in range(15)}
+        assert lines.remove_boilerplate(df, broadcast_lines=limit, counts=False).schema == df.schema
+    kept = neardup.keep_one(df, rule=neardup.Similar(words=1))
+    assert kept.columns == df.columns and len(kept.collect()) == len(neardup.mark(df, rule=neardup.Similar(words=1)).where("kept").select("doc_id").distinct().collect())
+    staged = corpus_pipeline.line_dedup(spark, df.withColumn("n_chars", F.length("text")), SF_DIR)
+    assert staged.columns == [*df.columns, "n_chars"] and all(r.n_lines == r.doc_id and r.n_chars == len(r.text) for r in staged.collect())
+
+
 def test_mostly_shared_texts_lose_their_shared_lines(spark):
     notice = "a long notice that all the sites of this table carry " * 4
     rows = [(k, f"own {k}\n{notice}\n", f"s{k}") for k in range(12)] + [(50, f"{notice}\n \n{notice}", "s1"), (51, "x\n" + f"{notice}\n" * 9, "z")]
@@ -215,6 +232,30 @@ def test_bpe(docs):
         assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == sorted(expected)
 
 
+def test_long_words_merge_like_the_library(spark):
+    ranks = bpe.read_ranks(MULTI)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    words = ["".join(rng.choice(part) for _ in range(n)) for part in ("abcdefgh", "aab", "日本語のテスト", "é") for n in (1, 2, 9, 40, 700)]
+    for word in words:
+        assert bpe.merge_long(word.encode(), ranks) == own.encode_ordinary(word)
+    df = spark.createDataFrame([(w.encode(),) for w in words], "word binary")
+    for limit in (0, 8, 100_000):  # all by heap, some, all by fold
+        short = df.where("octet_length(word) < 400") if limit > 99 else df
+        for r in bpe.encode_words(short, ranks, limit).collect():
+            assert r.x.ids == own.encode_ordinary(bytes(r.word).decode()) and r.x.decoded == r.word
+
+
+def test_a_megabyte_without_spaces(spark):
+    ranks = bpe.read_ranks(MULTI)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = base64.b64encode(random.Random(1).randbytes(750_000)).decode().replace("+", "x").replace("/", "y")
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = bpe.encode_texts(df, MULTI, public_tokenizers.PATTERN).collect()
+    ids = own.encode_ordinary(text)
+    assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_cut_pieces_have_the_same_ids():
     library, rng = units.load(open(GPT, "rb").read()), random.Random(4)
     parts = [" ", "\n", "\t", "a", "b.", "1é", "日", "<|endoftext|>", "'s", "\r", "\x00", "\xa0", " ", "x"]
@@ -285,6 +326,47 @@ def test_chat_layouts(spark):
     assert all(done[k].loss_chars == len("a<|im_end|>\nb\x1a") for k in range(len(records))) and done[90].n_turns == 0
 
 
+def test_chat_records_lose_no_text(spark):
+    """System fields come first; a record with an item that is no object is not shortened but unknown."""
+    turns = [("user", "hi"), ("assistant", "ho")]
+    layouts = {"messages": ("role", "content"), "turns": ("role", "text"), "conversations": ("from", "value"), "dialog": ("speaker", "text")}
+    rows, expected = [], {}
+    for field, (role, text) in layouts.items():
+        items = [{role: r, text: t} for r, t in turns]
+        named = [{**x, "name": "n"} for x in items]
+        for record, own in (
+            ({field: items, "system": "be kind"}, [("system", "be kind"), *turns]),
+            ({field: items, "system": ""}, turns),
+            ({field: items, "system": None}, turns),
+            ({field: [], "system": "alone"}, [("system", "alone")]),
+            ({field: named}, turns),
+            ({field: [named[0], items[1]], "system": "s"}, [("system", "s"), *turns]),
+            ({field: [*items, "stray"]}, None),
+            ({field: [*items, None]}, None),
+            ({field: [*items, ["x"]]}, None),
+            ({field: [{**items[0], "tool": 1}, items[1]]}, None),
+            ({field: "no list"}, None),
+            ({field: [{role: None, text: None}]}, [("", "")]),
+            ({field: [{role: "user", text: "x" * 300_000}]}, [("user", "x" * 300_000)]),
+        ):
+            expected[len(rows)] = own
+            rows.append((len(rows), json.dumps(record)))
+    df = spark.createDataFrame(rows, "id int, record string")
+    template = chat.Template()
+    for r in chat.format_records(df, "id", "record").collect():
+        assert (None if r.mapping is None else template.read(r.formatted)) == expected[r.id], rows[r.id][1][:200]
+
+
+def test_chat_tables_with_nulls_repeats_and_nothing(spark):
+    rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (1, 1, "user", None), (1, None, None, "first"), (None, 1, "user", "x"), (2, 1, "user", "")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn int, role string, text string, record string")
+    records = chat.records_of_turns(df, "conv_id", "turn", "role", "text")
+    found = {r.conv_id: chat.Template().read(r.formatted) for r in chat.format_records(records, "conv_id", "record").collect()}
+    assert found == {1: [("", "first"), ("user", ""), ("user", ""), ("assistant", "b")], None: [("user", "x")], 2: [("user", "")]}
+    none = chat.records_of_turns(df.where("1 = 0"), "conv_id", "turn", "role", "text")
+    assert chat.summarise(chat.format_records(none, "conv_id", "record"), "conv_id").collect() == []
+
+
 def test_chat_template_is_reversible():
     rng, template = random.Random(8), chat.Template()
     parts = [*template.control, "\x1a", "A", "Z", "\n", "user", "<", "|", "s>"]
@@ -402,24 +484,91 @@ def test_scripts_end_at_their_end_tag(script):
 # --- pipeline ---------------------------------------------------------------
 
 
+def brute_quality(text):
+    """The quality stage's verdict, by dictionaries of all windows and prefixes."""
+    words = split_words(text)
+    n = len(words)
+    windows = {}
+    for i in range(n - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    inside = {p for own in windows.values() if len(own) > 1 for i in own for p in range(i, i + 8)}
+    longest = 0
+    for own in windows.values():
+        for x, i in enumerate(own):
+            for j in own[x + 1 :]:
+                k = 8
+                while j + k < n and words[i + k] == words[j + k]:
+                    k += 1
+                longest = max(longest, k)
+    return n >= 20 and 100 * len(inside) <= 30 * n and 100 * longest <= 20 * n
+
+
+def brute_lines(rows):
+    sites = {}
+    for _, text, site in rows:
+        for line in (text or "").split("\n"):
+            if line.strip(" "):
+                sites.setdefault(line, set()).add(site or "")
+    shared = {line for line, own in sites.items() if len(own) >= 10}
+    out = {}
+    for i, text, _ in rows:
+        kept = [x for x in (text or "").split("\n") if x not in shared]
+        out[i] = "\n".join(kept) if text is not None and any(x.strip(" ") for x in kept) else text
+    return out
+
+
+def brute_clean(texts, items):
+    tokens = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if w]
+    banned = set()
+    for t in items:
+        w = tokens(t)
+        size = min(10, len(w))
+        banned |= {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if size else set()
+    sizes = {len(x) for x in banned}
+    clean = {}
+    for i, t in texts.items():
+        w = tokens(t)
+        clean[i] = not any(tuple(w[k : k + size]) in banned for size in sizes for k in range(len(w) - size + 1))
+    return {i for i, good in clean.items() if good}
+
+
 def test_pipeline(spark):
+    """Every stage against plain Python; the last one against the tokenizer's library."""
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    rows = {r.doc_id: r for r in docs.collect()}
-    good = {r.doc_id for r in repetition.judge(docs).where("kept").collect()}
-    stage1 = corpus_pipeline.quality_rules(spark, docs, SF_DIR)
-    assert {r.doc_id for r in stage1.collect()} == good and stage1.schema == docs.schema
-    stage2 = corpus_pipeline.line_dedup(spark, stage1, SF_DIR)
-    texts = {r.doc_id: r.text for r in stage2.collect()}
-    assert set(texts) == good and stage2.columns == docs.columns
-    assert all(len(texts[i]) <= len(rows[i].text) for i in good)
+    stages = []
+    for name, function in corpus_pipeline.STAGES:
+        docs = function(spark, docs, SF_DIR)
+        stages.append({r.doc_id: r for r in docs.collect()})
+    rows = [r for r in rows if brute_quality(r[1])]
+    assert set(stages[0]) == {i for i, *_ in rows}
+    texts = brute_lines(rows)
+    assert {i: r.text for i, r in stages[1].items()} == texts and all(r.n_chars == len(r.text) for r in stages[1].values())
     lows = {low for _, n, low in brute_components(list(texts.items())) if n} | {i for i, t in texts.items() if not split_words(t)}
-    stage3 = corpus_pipeline.near_duplicates(spark, stage2, SF_DIR)
-    assert sorted(r.doc_id for r in stage3.collect()) == sorted(lows) and stage3.columns == docs.columns
-    leaks = decontamination.find_leaks(stage3, spark.read.parquet(f"{SF_DIR}/benchmark.parquet"))
-    clean = {r.doc_id for r in leaks.where("NOT contaminated").collect()}
-    found = corpus_pipeline.run(spark, SF_DIR).collect()
-    assert sorted(r.doc_id for r in found) == sorted(clean)
-    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in found)
+    texts = {i: texts[i] for i in lows}
+    assert {i: r.text for i, r in stages[2].items()} == texts
+    clean = brute_clean(texts, [r.text for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()])
+    assert set(stages[3]) == clean
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = set()
+    for i in clean:
+        ids = own.encode_ordinary(texts[i])
+        expected.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest()))
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF_DIR).collect()} == expected
+
+
+def test_pipeline_with_nulls_clashes_and_nothing(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(words), "b"), (None, " ".join(words[::-1]), None), (3, None, "a"), (4, "", "b"), (5, " ".join(words[5:35:2] + words[:9]), None)]
+    df = spark.createDataFrame([(*r, None, 0, "x") for r in rows], "doc_id long, text string, source string, n_chars int, n_lines int, gone_id string")
+    for k, (name, function) in enumerate(corpus_pipeline.STAGES):
+        assert function(spark, df.where("1 = 0"), SF_DIR).collect() == []
+    for k, (name, function) in enumerate(corpus_pipeline.STAGES[:4]):
+        df = function(spark, df, SF_DIR)
+        assert df.columns == ["doc_id", "text", "source", "n_chars", "n_lines", "gone_id"], name
+    assert sorted(str(r.doc_id) for r in df.collect()) == ["1", "5", "None"]
+    assert corpus_pipeline.STAGES[4][1](spark, df, SF_DIR).count() == 3
 
 
 def test_profiles_never_rule_a_link_out():

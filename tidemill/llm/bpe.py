@@ -7,6 +7,9 @@ pieces of the ids.  Texts then look their words up, so no word's occurrence is e
 words is counted first and sent to the executors if it has at most ``BROADCAST_WORDS`` words; beyond it, each text is joined
 with its own words' entries.
 
+A word of more than ``LONG_WORD`` bytes (unspaced texts, encoded data) would take a fold of quadratic cost; such words merge with a
+heap instead, which finds the same pairs in the same order.
+
 A null text counts as empty and has no tokens.  Rows are encoded one by one; other columns are not read.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,6 +35,8 @@ from tidemill.llm.common import id_type, map_columns, slices
 from tidemill.llm.units import cut
 from tidemill.session import stage
 
+#: Bytes of a word from which on it is merged with a heap.
+LONG_WORD = 256
 #: Words whose ids are sent to the executors, about 25 bytes each.
 BROADCAST_WORDS = 8_000_000
 #: Pieces of texts that a Python worker keeps.
@@ -98,7 +104,9 @@ def _encode_word(word: Column, ranks: Column, byte_ids: Column, modulus: int) ->
 
         # The lowest rank and, below it, the place of its first pair, as one number: array_position is slow.
         lowest = F.array_min(F.transform(following, lambda rank, i: F.shiftleft(rank.cast("long"), 32) + i))
-        return _bind(lowest, lambda low: F.when(low.isNull(), state).otherwise(at(low)))
+        # Without a pair the rest of the steps has nothing to look at.
+        done = F.struct(ids.alias("ids"), F.slice(following, F.lit(1), F.lit(0)).alias("next"))
+        return _bind(lowest, lambda low: F.when(low.isNull(), done).otherwise(at(low)))
 
     end = F.array(F.lit(_END - 1))
     chars = F.split(F.decode(word, "ISO-8859-1"), "")
@@ -111,7 +119,48 @@ def _decode_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i)))
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges with a heap of pairs: by rank, then from the left."""
+    size = len(word)
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    ends = list(range(1, size + 1))  # a piece is word[i : ends[i]]; 0 marks pieces that were joined to their left
+    heap = []
+
+    def push(i: int) -> None:
+        if i >= 0 and after[i] < size and (rank := ranks.get(word[i : ends[after[i]]])) is not None:
+            heapq.heappush(heap, (rank, i, ends[after[i]]))
+
+    for i in range(size):
+        push(i)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = after[i]
+        if not ends[i] or j >= size or ends[j] != end:
+            continue
+        ends[i], after[i], ends[j] = end, after[j], 0
+        if after[i] < size:
+            before[after[i]] = i
+        push(before[i])
+        push(i)
+    return [ranks[word[i : ends[i]]] for i in range(size) if ends[i]]
+
+
+def _encode_long(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    # As bounded as the vocabulary.
+    known = words.sparkSession.sparkContext.broadcast(ranks)
+    pieces: dict[int, bytes] = {}
+
+    def work(words):
+        if not pieces:
+            pieces.update({rank: piece for piece, rank in known.value.items()})
+        ids = [merge_long(w, known.value) for w in words]
+        return [words, ids, [b"".join(map(pieces.__getitem__, x)) for x in ids]]
+
+    found = map_columns(words, ["word"], "word binary, ids array<int>, decoded binary", work)
+    return found.select("word", F.struct("ids", "decoded").alias("x"))
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int], long_word: int = LONG_WORD) -> DataFrame:
     """``word`` (binary, not empty) with ``x``: its ``ids`` and ``decoded``, the binary that the ids stand for."""
     table, modulus = _literals(words.sparkSession, ranks)
     # The literals are used in one expression, in the projection that adds them, so Spark never copies them into a row.
@@ -122,7 +171,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         return _bind(ids, lambda x: F.struct(x.alias("ids"), _decode_ids(x, t["p"]).alias("decoded")))
 
     literals = F.struct(c("_ranks").alias("r"), c("_bytes").alias("b"), c("_pieces").alias("p"))
-    return rows.select("word", _bind(literals, both).alias("x"))
+    folded = stage(rows.select("word", F.when(F.octet_length("word") <= long_word, _bind(literals, both)).alias("x")), "bpe-words")
+    return folded.where("x IS NOT NULL").unionByName(stage(_encode_long(folded.where("x IS NULL"), ranks), "bpe-long-words"))
 
 
 def distinct_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
@@ -180,8 +230,7 @@ def encode_texts(
     df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS
 ) -> DataFrame:
     """Number of tokens of each row, and digests of its ids and of what they decode to."""
-    encoded = stage(encode_words(distinct_words(df, text_col, pattern), read_ranks(vocabulary)), "bpe-words")
-    encoded = encoded.select("word", "x.ids", "x.decoded")
+    encoded = encode_words(distinct_words(df, text_col, pattern), read_ranks(vocabulary)).select("word", "x.ids", "x.decoded")
     kind = id_type(df, id_col)
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = df.select(c(id_col).alias("id"), c(text_col).alias("text"))
@@ -191,7 +240,10 @@ def encode_texts(
         cache_name = uuid.uuid4().hex
 
         def work(ids, texts):
-            return [ids, *_digests(texts, pattern, known.value.find, _UNITS.setdefault(cache_name, ({}, {})))]
+            if cache_name not in _UNITS:  # a worker keeps the pieces of one query only
+                _UNITS.clear()
+                _UNITS[cache_name] = ({}, {})
+            return [ids, *_digests(texts, pattern, known.value.find, _UNITS[cache_name])]
 
         return map_columns(rows, ["id", "text"], schema, work)
 
@@ -245,7 +297,14 @@ def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str,
     """Counts and digests; ``cache`` has the ids (as text) and the decoded bytes of pieces of texts."""
     ids_of, bytes_of = cache
     units = [cut(t) if t else [] for t in texts]
-    new = list(set(chain.from_iterable(units)).difference(ids_of))
+    joined: list[bytes | None] = []
+    for own in units:
+        try:
+            joined.append(",".join(map(ids_of.__getitem__, own)).encode())
+        except KeyError:
+            joined.append(None)
+    missing = [i for i, x in enumerate(joined) if x is None]
+    new = list(set(chain.from_iterable(units[i] for i in missing)).difference(ids_of))
     if new:
         words = list(map(regex.compile(pattern).findall, new))
         flat = list(set(chain.from_iterable(words)))
@@ -257,8 +316,9 @@ def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str,
                 found = [entries[w] for w in own]
                 ids_of[unit], bytes_of[unit] = ",".join([x for x, _ in found]), b"".join([x for _, x in found])
     counts, ids_digests, decoded_digests = [], [], []
-    for own in units:
-        ids = ",".join(map(ids_of.__getitem__, own)).encode()
+    for i in missing:
+        joined[i] = ",".join(map(ids_of.__getitem__, units[i])).encode()
+    for own, ids in zip(units, joined, strict=True):
         counts.append(ids.count(b",") + 1 if own else 0)
         ids_digests.append(hashlib.sha256(ids).hexdigest())
         decoded_digests.append(hashlib.sha256(b"".join(map(bytes_of.__getitem__, own))).hexdigest())

@@ -5,8 +5,9 @@ layout may name fields that can be absent.  Each fingerprint selects a declarati
 texts are; no layout has code of its own.  Turns are written with a template whose control strings cannot come from a
 text: inside texts and roles they are replaced by an escape character and a number, which reading back undoes.
 
-Null texts and roles are empty.  A record that is null, no JSON object, or of an unknown layout has ``mapping`` null and
-no turns, and is reported, not dropped.  Other columns are not read; repeated rows are formatted alike.
+Null texts and roles are empty.  A record that is null, no JSON object, of an unknown layout, or with a list item that is no
+object has ``mapping`` null and no turns, and is reported, not dropped or shortened.  Texts are formatted whole, however long.  Other columns
+are not read; repeated rows and null ids are formatted alike.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from tidemill.llm.common import id_type, map_columns
 
 @dataclass(frozen=True)
 class Mapping:
-    """``items``: the list of turns with its role and text fields; else ``fields``: (role, field) in order.
+    """``fields``: (role, field) in order; then ``items``: the list of turns with its role and text fields.
 
-    ``optional`` paths may be absent.  ``roles`` renames roles.
+    ``optional`` paths may be absent; those of items that are neither role nor text say something about a turn but are no
+    part of it.  ``roles`` renames roles.
     """
 
     name: str
@@ -40,24 +42,28 @@ class Mapping:
     roles: tuple[tuple[str, str], ...] = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
 
     def paths(self) -> list[str]:
-        if self.items:
-            return [self.items, f"{self.items}[]", f"{self.items}[].{self.role}", f"{self.items}[].{self.text}"]
-        return [f for _, f in self.fields]
+        items = [self.items, f"{self.items}[]", f"{self.items}[].{self.role}", f"{self.items}[].{self.text}"] if self.items else []
+        return [*(f for _, f in self.fields), *items]
+
+    def accepts(self, record: dict) -> bool:
+        """Whether the items are a list of objects; a fingerprint alone does not tell."""
+        items = record.get(self.items) if self.items else None
+        return items is None or (isinstance(items, list) and all(isinstance(x, dict) for x in items))
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
+        found = [(role, record.get(f)) for role, f in self.fields if record.get(f) not in (None, "") or f not in self.optional]
         if self.items:
-            found = [(x.get(self.role), x.get(self.text)) for x in record.get(self.items) or [] if isinstance(x, dict)]
-        else:
-            found = [(role, record[f]) for role, f in self.fields if record.get(f) not in (None, "") or f not in self.optional]
+            found += [(x.get(self.role), x.get(self.text)) for x in record.get(self.items) or []]
         names = dict(self.roles)
         return [(names.get(_text(role), _text(role)), _text(text)) for role, text in found]
 
 
+_SYSTEM = (("system", "system"),)
 MAPPINGS = (
-    Mapping("messages", "messages", "role", "content", optional=("system",)),
-    Mapping("turns", "turns", "role", "text"),
-    Mapping("share", "conversations", "from", "value", optional=("system",)),
-    Mapping("dialog", "dialog", "speaker", "text"),
+    Mapping("messages", "messages", "role", "content", _SYSTEM, ("system", "messages[].name", "messages[].id")),
+    Mapping("turns", "turns", "role", "text", _SYSTEM, ("system", "turns[].name", "turns[].id")),
+    Mapping("share", "conversations", "from", "value", _SYSTEM, ("system", "conversations[].name", "conversations[].id")),
+    Mapping("dialog", "dialog", "speaker", "text", _SYSTEM, ("system", "dialog[].name", "dialog[].id")),
     Mapping("instruction", fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system", "input")),
     Mapping("completion", fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
     Mapping("response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
@@ -94,8 +100,8 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
         for n in range(len(m.optional) + 1):
             for chosen in itertools.combinations(m.optional, n):
                 found.setdefault(fingerprint([*own, *chosen]), m)
-        if m.items:
-            found.setdefault(fingerprint([m.items]), m)
+                if m.items and not any(x.startswith(f"{m.items}[]") for x in chosen):  # no turns
+                    found.setdefault(fingerprint([x for x in [*own, *chosen] if not x.startswith(f"{m.items}[]")]), m)
     return found
 
 
@@ -144,6 +150,8 @@ def format_records(df: DataFrame, id_col: str, record_col: str, mappings=MAPPING
             record = _parse(raw)
             key = fingerprint(field_paths(record)) if record is not None else None
             mapping = known.get(key)
+            if mapping and not mapping.accepts(record):
+                mapping = None
             rows.append((key, mapping.name if mapping else None, *template.write(mapping.turns(record) if mapping else [])))
         return [ids, *map(list, zip(*rows, strict=True))]
 

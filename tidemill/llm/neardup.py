@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from tidemill.columns import c
-from tidemill.llm.common import id_type, map_columns
+from tidemill.llm.common import fresh, id_type, map_columns, slices
 from tidemill.session import stage
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -184,30 +184,31 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """One row of each component, with all its columns; rows without shingles stay."""
     found = stage(components(df, id_col, text_col, rule), "components")
     named = found.where("set_key IS NOT NULL")
-    gone = named.where(~c(id_col).eqNullSafe(F.col("component_id"))).select(c(id_col).alias("gone_id"), F.hex("set_key").alias("gone_key")).distinct()
+    own_key, gone_id, gone_key, place = fresh(df, "set_key", "gone_id", "gone_key", "place")
+    gone = named.where(~c(id_col).eqNullSafe(F.col("component_id"))).select(c(id_col).alias(gone_id), F.hex("set_key").alias(gone_key)).distinct()
     kept = named.where(c(id_col).eqNullSafe(F.col("component_id")))
     repeated = kept.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    key = F.hex(F.col("_set_key"))
-    keyed = _with_set_key(df, text_col, rule)
-    rest = keyed.join(gone, c(id_col).eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
+    key = F.hex(c(own_key))
+    keyed = _with_set_key(df, text_col, own_key, rule)
+    rest = keyed.join(gone, c(id_col).eqNullSafe(c(gone_id)) & (key == c(gone_key)), "left_anti")
     if not repeated.isEmpty():  # repeated rows of the document that stays
-        twice = rest.join(repeated.select(F.col("component_id").alias("gone_id")), c(id_col).eqNullSafe(F.col("gone_id")) & key.isNotNull(), "left_semi")
-        once = rest.join(repeated.select(F.col("component_id").alias("gone_id")), c(id_col).eqNullSafe(F.col("gone_id")) & key.isNotNull(), "left_anti")
-        first = F.row_number().over(Window.partitionBy(c(id_col)).orderBy("_set_key", c(text_col)))
-        rest = once.unionByName(twice.withColumn("_first", first).where("_first = 1").drop("_first"))
+        ids, same = repeated.select(F.col("component_id").alias(gone_id)), c(id_col).eqNullSafe(c(gone_id)) & key.isNotNull()
+        twice, once = rest.join(ids, same, "left_semi"), rest.join(ids, same, "left_anti")
+        first = F.row_number().over(Window.partitionBy(c(id_col)).orderBy(c(own_key), c(text_col)))
+        rest = once.unionByName(twice.withColumn(place, first).where(c(place) == 1).drop(place))
     return rest.select(*[c(n) for n in df.columns])
 
 
-def _with_set_key(df: DataFrame, text_col: str, rule: Similar) -> DataFrame:
+def _with_set_key(df: DataFrame, text_col: str, name: str, rule: Similar) -> DataFrame:
     at, schema = df.columns.index(text_col), df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (s for t in batch.column(at).to_pylist() for s in shingle_sets([t], rule.words))
+        for batch in (x for b in batches for x in slices(b)):
+            sets = shingle_sets(batch.column(at).to_pylist(), rule.words)
             keys = pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_set_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*schema.fields]).add("_set_key", BinaryType()))
+    return df.mapInArrow(run, StructType([*schema.fields]).add(name, BinaryType()))
 
 
 def _keyed(classes: DataFrame, rule: Similar) -> DataFrame:

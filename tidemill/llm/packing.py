@@ -34,8 +34,8 @@ from tidemill.llm.common import id_type, slices
 from tidemill.llm.units import broadcast_file, load
 from tidemill.session import stage
 
-#: Parts times lengths whose offsets are sent to the executors (about 30 bytes each); beyond it they are joined.
-BROADCAST_OFFSETS = 1_000_000
+#: Parts times lengths whose offsets are sent to the executors (about 200 bytes each); beyond it they are joined.
+BROADCAST_OFFSETS = 200_000
 _RANKS = 1 << 48  # more than there are pieces of one length
 
 

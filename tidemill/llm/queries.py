@@ -16,8 +16,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: The contract of the near-duplicate query takes shingles of four words.
 FOUR_WORDS = neardup.Similar(words=4)
-#: The SQL of the line query leaves texts whole that are more than half boilerplate.
-HALF_SHARED = lines.Spread(max_share=0.5)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +63,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = lines.remove_boilerplate(_table(spark, sf_dir, "documents"), spread=HALF_SHARED)
+    cleaned = lines.remove_boilerplate(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("text").cast("binary"), 256)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"))
 
@@ -183,10 +181,10 @@ _OP7 = r"""
 WITH lines AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
 common AS (SELECT line FROM lines WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
 marked AS (SELECT lines.*, common.line IS NOT NULL AS hit FROM lines LEFT JOIN common ON lines.line = common.line),
-whole AS (SELECT doc_id, count(*) AS n, sum(length(line)) AS chars, sum(CASE WHEN hit THEN length(line) ELSE 0 END) AS hit_chars FROM marked GROUP BY doc_id),
+whole AS (SELECT doc_id, count(*) AS n, bool_or(NOT hit AND trim(line, ' ') <> '') AS own FROM marked GROUP BY doc_id),
 done AS (
-  SELECT marked.doc_id, any_value(n) AS n_lines, CAST(sum(CASE WHEN hit AND 2 * hit_chars <= chars THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
-    coalesce(string_agg(CASE WHEN hit AND 2 * hit_chars <= chars THEN NULL ELSE line END, chr(10) ORDER BY place), '') AS text
+  SELECT marked.doc_id, any_value(n) AS n_lines, CAST(sum(CASE WHEN hit AND own THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+    coalesce(string_agg(CASE WHEN hit AND own THEN NULL ELSE line END, chr(10) ORDER BY place), '') AS text
   FROM marked JOIN whole ON whole.doc_id = marked.doc_id GROUP BY marked.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(done.text) AS n_chars, sha256(done.text) AS text_sha256
 FROM documents d LEFT JOIN done ON done.doc_id = d.doc_id

@@ -54,21 +54,13 @@ class Library:
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
         if self.spaced:
-            return self._packed_words(texts)
+            return self._looked_up([t.replace("\n", " ").split(" ") for t in texts], self._learn_words)
         if not self.cuttable:
             return [np.array(ids, "<u4").tobytes() for ids in self.encode(texts)]
-        units = [cut(t) for t in texts]
-        new = set(chain.from_iterable(units)).difference(self._ids)
-        if new:
-            self._learn(new)
-        out = [b"".join(map(self._ids.__getitem__, x)) for x in units]
-        if self._chars > _CACHE_CHARS:
-            self._ids, self._chars = {}, 0
-        return out
+        return self._looked_up([cut(t) for t in texts], self._learn)
 
-    def _packed_words(self, texts: list[str]) -> list[bytes]:
-        """The same where white space only parts words: units between spaces, in parts that are encoded once each."""
-        units = [t.replace("\n", " ").split(" ") for t in texts]
+    def _looked_up(self, units: list[list[str]], learn) -> list[bytes]:
+        """The ids of each list of pieces; ``learn`` is called with the pieces that aren't known."""
         out: list[bytes | None] = []
         known = self._ids.__getitem__
         for own in units:
@@ -77,14 +69,15 @@ class Library:
             except KeyError:
                 out.append(None)
         if missing := [i for i, x in enumerate(out) if x is None]:
-            self._learn_words(list(set(chain.from_iterable(units[i] for i in missing)).difference(self._ids)))
+            learn(set(chain.from_iterable(units[i] for i in missing)).difference(self._ids))
             for i in missing:
                 out[i] = b"".join(map(known, units[i]))
         if self._chars > _CACHE_CHARS:
             self._ids, self._words, self._chars = {}, {}, 0
         return out
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _learn_words(self, new: set[str]) -> None:
+        """Where white space only parts words: pieces between spaces, made of words that are encoded once each."""
         # The strings of special tokens are looked for in the text as it is.
         parts = [[u] if "<|" in u else _INSIDE.split(u.lower() if u.isascii() else u) for u in new]
         unknown = list(set(chain.from_iterable(parts)).difference(self._words))

@@ -33,7 +33,7 @@ from tidemill.llm.common import slices
 from tidemill.session import stage
 
 #: Blocks of 64 bits of a filter segment.
-SEGMENT = 1 << 17
+SEGMENT = 1 << 12
 #: Edits that are probed at once.
 _PROBES = 1 << 20
 _LONG = 32  # characters; longer words have larger filters
@@ -145,7 +145,7 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def build(vocabulary: DataFrame, shards: dict[int, Shard]) -> DataFrame:
-    """``length``, ``segment`` and its ``bits``: a task builds whole segments, of about half a million words."""
+    """``length``, ``segment`` and its ``bits``: a task builds whole segments, of about sixteen thousand words."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b)):
