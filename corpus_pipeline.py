@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share go from the texts; ``n_chars`` follows."""
-    cleaned = lines.remove_boilerplate(docs).drop("n_lines", "n_removed")
+    cleaned = lines.remove_boilerplate(docs, counts=False)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
