@@ -18,8 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -59,23 +59,27 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _literals(spark, ranks: dict[bytes, int]) -> tuple[DataFrame, int]:
     """One row: ``ranks``, buckets of maps from a pair of ids to the joined id; ``bytes``, the ids of single bytes; ``pieces``."""
-    pairs = {}
+    keys, values = array("q"), array("i")
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
             if a is not None and b is not None:
-                pairs[a * _END + b] = rank
-    modulus = min(_MODULI, key=lambda m: max(np.unique([k % m for k in pairs], return_counts=True)[1], default=0))
-    buckets: list[list[dict]] = [[] for _ in range(modulus)]
-    for key, rank in pairs.items():
-        buckets[key % modulus].append({"key": key, "value": rank})
-    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+                keys.append(a * _END + b)
+                values.append(rank)
+    key, value = np.frombuffer(keys, np.int64) if keys else np.zeros(0, np.int64), np.frombuffer(values, np.int32) if values else np.zeros(0, np.int32)
+    modulus = min(_MODULI, key=lambda m: np.bincount(key % m, minlength=1).max())
+    order = np.argsort(key % modulus, kind="stable")
+    buckets = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(np.bincount(key % modulus, minlength=modulus))]), pa.int32()),
+        pa.StructArray.from_arrays([pa.array(key[order]), pa.array(value[order])], names=["key", "value"]),
+    )
+    pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    text = json.dumps({"ranks": buckets, "bytes": [ranks[bytes([x])] for x in range(256)], "pieces": pieces}, separators=(",", ":"))
-    schema = "struct<ranks: array<array<struct<key: long, value: int>>>, bytes: array<int>, pieces: array<binary>>"
-    row = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", schema).alias("x"))
-    return row.select(F.transform("x.ranks", F.map_from_entries).alias("ranks"), "x.bytes", "x.pieces"), modulus
+        pieces[rank] = piece
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    columns = [one(buckets), one(pa.array([ranks[bytes([x])] for x in range(256)], pa.int32())), one(pa.array(pieces, pa.binary()))]
+    row = spark.createDataFrame(pa.Table.from_arrays(columns, names=["ranks", "bytes", "pieces"]))
+    return row.select(F.transform("ranks", F.map_from_entries).alias("ranks"), "bytes", "pieces"), modulus
 
 
 def _encode_word(word: Column, ranks: Column, byte_ids: Column, modulus: int) -> Column:
@@ -198,13 +202,13 @@ def distinct_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
 
 
 class _Table:
-    """Packed entries of words, found by the hash of the word."""
+    """Packed entries of words, found by the hash of the word: about 20 bytes each."""
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, odd: dict[bytes, bytes]) -> None:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        ends = np.cumsum(sizes)
-        self.starts, self.ends = (ends - sizes)[order], ends[order]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.starts, self.sizes = (ends - sizes).astype(np.uint32 if len(ids) < 2**32 else np.int64)[order], sizes[order]
         self.ids, self.odd = ids, odd
 
     def find(self, words: list[bytes]) -> list[tuple[str, bytes]]:
@@ -213,8 +217,8 @@ class _Table:
         at = np.searchsorted(self.hashes, keys)
         if len(words) and not np.array_equal(self.hashes[np.minimum(at, len(self.hashes) - 1)], keys):
             raise LookupError("a word is not in the table")
-        ids = self.ids
-        return [(",".join(map(str, ids[a:b].tolist())), self.odd.get(w, w)) for w, a, b in zip(words, self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+        ids, starts, sizes = self.ids, self.starts[at].tolist(), self.sizes[at].tolist()
+        return [(",".join(map(str, ids[a : a + n].tolist())), self.odd.get(w, w)) for w, a, n in zip(words, starts, sizes, strict=True)]
 
 
 def _hash(word: bytes) -> int:
@@ -285,12 +289,13 @@ def _collected(encoded: DataFrame) -> _Table:
             row = [[batch.column(0).to_numpy().tobytes()], [sizes.astype(np.int32).tobytes()], [flat.astype(narrow).tobytes()], [narrow is np.uint16]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["hashes", "sizes", "ids", "narrow"])
 
-    packed = encoded.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary, narrow boolean").collect()
-    kind = np.uint16 if all(r.narrow for r in packed) else np.int32
-    hashes = np.frombuffer(b"".join(r.hashes for r in packed), np.int64)
-    sizes = np.frombuffer(b"".join(r.sizes for r in packed), np.int32).astype(np.int64)
-    ids = [np.frombuffer(r.ids, np.uint16 if r.narrow else np.int32).astype(kind) for r in packed]
-    return _Table(hashes, sizes, np.concatenate([np.zeros(0, kind), *ids]), odd)
+    packed = encoded.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary, narrow boolean")
+    hashes, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
+    for r in packed.toLocalIterator():  # a partition at a time, so that the driver holds the table only once
+        hashes.append(np.frombuffer(r.hashes, np.int64))
+        sizes.append(np.frombuffer(r.sizes, np.int32))
+        ids.append(np.frombuffer(r.ids, np.uint16 if r.narrow else np.int32))
+    return _Table(np.concatenate(hashes), np.concatenate(sizes), np.concatenate(ids), odd)
 
 
 def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str, str], dict[str, bytes]]) -> list[list]:
