@@ -292,7 +292,7 @@ def _impute_scale(df: DataFrame) -> DataFrame:
 
 
 def _onehot(df: DataFrame) -> DataFrame:
-    fitted = preprocessing.fit_preprocessor(df, ["c_mktsegment"], 1000)
+    fitted = preprocessing.fit_preprocessor(df, ["c_mktsegment"])
     ready = PipelineModel(fitted.stages).transform(df)
     slots = vector_to_array(preprocessing.FEATURES)
     pairs = [F.struct(F.lit(n).alias("feature"), slots[i].alias("value")) for i, n in enumerate(fitted.feature_names)]
@@ -313,8 +313,16 @@ def _ml_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _trained(spark: SparkSession, sf_dir: str):
-    spec = TrainSpec("p_retailprice", ("p_partkey", "p_size", "p_type"), key="p_partkey")
+def _onehot_wide(df: DataFrame) -> DataFrame:
+    """Every customer's name is a category: encoded by a join with the positions of the names."""
+    fitted = preprocessing.fit_preprocessor(df, ["c_name"], local_values=5)
+    ready = PipelineModel(fitted.stages).transform(df).select("_row", F.col("__idx_0").cast("bigint").alias("slot"))
+    return ready.join(fitted.names, "slot").select("_row", "slot", F.col("name").alias("feature"))
+
+
+def _trained(spark: SparkSession, sf_dir: str, model_type: str = "auto"):
+    """Each learner at its full size; ``auto`` fits all of them."""
+    spec = TrainSpec("p_retailprice", ("p_partkey", "p_size", "p_type"), model_type, key="p_partkey")
     return train(table(spark, sf_dir, "part"), spec)
 
 
@@ -366,7 +374,7 @@ def queries() -> dict[str, Query]:
         "clean_dedup": on("events", VISITS, lambda df: duplicates.drop_duplicates(df, "copies")),
         "clean_remove_outliers": on("events", EVENTS, _remove_outliers),
         "clean_cap_outliers": on("events", EVENTS, _cap_outliers),
-        "clean_round": on("lineitem", LINES, lambda df: cleaning.round_numeric(df.select("l_extendedprice", "l_discount", "gross"), 1)),
+        "clean_round": on("lineitem", LINES, lambda df: cleaning.round_numeric(df, 1)),
         "clean_summary": on(
             "events", {k: v for k, v in PADDED.items() if k != "_row"}, lambda df: clean(df, SUMMARISED).summary_frame().select(*_SUMMARY)
         ),
@@ -400,14 +408,15 @@ def queries() -> dict[str, Query]:
         ),
         "ml_impute_scale": on("customer", CUSTOMERS, _impute_scale),
         "ml_onehot": on("customer", CUSTOMERS, _onehot),
+        "ml_onehot_wide": on("customer", CUSTOMERS, _onehot_wide),
         "ml_class_metrics": on("labels", None, lambda df: metrics.classification_metrics(df, "quality", "toxic")),
         "ml_confusion": on("labels", None, lambda df: metrics.confusion_matrix(df, "quality", "toxic", [0, 1])),
         "ml_reg_metrics": on("part", None, _reg_metrics),
         "ml_train_linear": _ml_linear,
         "ml_train_auto": _train_auto,
         "ml_train_classes": _train_classes,
-        "ml_importance": lambda s, d: _trained(s, d).importance,
-        "ml_predictions": lambda s, d: _trained(s, d).predictions,
+        "ml_importance": lambda s, d: _trained(s, d, "random_forest").importance,
+        "ml_predictions": lambda s, d: _trained(s, d, "xgboost").predictions,
         # run log
         "run_history": _run_history,
         "run_latest": lambda s, d: runs.latest_runs(_run_tables(s, d)[0]),
@@ -651,7 +660,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_cap_outliers": _with(
             EVENTS, "events", f", b AS ({_bounds('value', 'd')}) SELECT {events_cols}, {rnd('CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END', 4)} AS value FROM d, b"
         ),
-        "clean_round": _with(LINES, "lineitem", "SELECT " + ", ".join(f"{rnd(n, 1)} AS {n}" for n in ("l_extendedprice", "l_discount", "gross")) + " FROM d"),
+        "clean_round": _with(LINES, "lineitem", "SELECT " + ", ".join(f"{rnd(n, 1)} AS {n}" for n in LINES if n != "k_const") + ", k_const FROM d"),
         "outlier_bounds": _with(
             EVENTS,
             "events",
@@ -725,6 +734,11 @@ def oracle_sql() -> dict[str, str]:
             f", s AS (SELECT DISTINCT c_mktsegment AS v FROM d WHERE c_mktsegment IS NOT NULL) SELECT _row, concat('cat__c_mktsegment_', v) AS feature, "
             f"CASE WHEN coalesce(c_mktsegment, {_mode('c_mktsegment')}) = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM d, s",
         ),
+        "ml_onehot_wide": _with(
+            CUSTOMERS,
+            "customer",
+            "SELECT _row, dense_rank() OVER (ORDER BY c_name) - 1 AS slot, concat('cat__c_name_', c_name) AS feature FROM d",
+        ),
         "ml_class_metrics": """
             WITH k AS (SELECT UNNEST([0, 1]) AS k),
             p AS (SELECT k, count(*) FILTER (quality = k) AS support, count(*) FILTER (toxic = k) AS named,

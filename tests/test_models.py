@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 
@@ -7,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemill import TrainSpec, train
-from tidemill.learning import frames, metrics, preprocessing
+from tidemill.learning import dictionary, frames, metrics, preprocessing
 from tidemill.learning.candidates import CANDIDATES, Sizes
 from tidemill.roles import ROW
 
@@ -87,18 +88,60 @@ def encoded(spark, fitted, rows, schema):
     return [[round(v, 6) for v in r[0]] for r in ready.select(vector_to_array(preprocessing.FEATURES)).collect()]
 
 
-def test_one_hot(spark):
-    schema = "c string, `odd 'x' \\ y` boolean"
+@pytest.mark.parametrize("local, broadcast", [(10, 100), (1, 100), (0, 100), (0, 0)])
+def test_one_hot(spark, monkeypatch, tmp_path, local, broadcast):
+    """Local lists, joins of either kind, and both side by side."""
+    monkeypatch.setattr(dictionary, "BROADCAST_ROWS", broadcast)
     train_df = spark.createDataFrame([("b", True), ("it's", None), ("b", True), (None, False)], "c string, o boolean").toDF("c", "odd 'x' `y`")
-    fitted = preprocessing.fit_preprocessor(train_df, ["c", "odd 'x' `y`"], 10)
+    fitted = preprocessing.fit_preprocessor(train_df, ["c", "odd 'x' `y`"], local)
     assert fitted.feature_names == ["cat__c_b", "cat__c_it's", "cat__odd 'x' `y`_False", "cat__odd 'x' `y`_True"]
-    ready = PipelineModel(fitted.stages).transform(
-        spark.createDataFrame([("it's", False), ("zzz", None), (None, True)], "c string, o boolean").toDF("c", "odd 'x' `y`")
-    )
-    rows = [list(r[0]) for r in ready.select(vector_to_array(preprocessing.FEATURES)).collect()]
-    assert rows == [[0, 1, 1, 0], [0, 0, 0, 1], [1, 0, 0, 1]]
-    with pytest.raises(ValueError):
-        preprocessing.fit_preprocessor(train_df, ["c"], 1)
+    new = spark.createDataFrame([("it's", False), ("zzz", None), (None, True)], "c string, o boolean").toDF("c", "odd 'x' `y`")
+    PipelineModel(fitted.stages).write().overwrite().save(str(tmp_path / "stages"))
+    for stages in (PipelineModel(fitted.stages), PipelineModel.load(str(tmp_path / "stages"))):
+        rows = [list(r[0]) for r in stages.transform(new).select(vector_to_array(preprocessing.FEATURES)).collect()]
+        assert sorted(rows) == sorted([[0, 1, 1, 0], [0, 0, 0, 1], [1, 0, 0, 1]])
+
+
+def test_positions_follow_the_sort_order(spark):
+    rows = [(g, f"v{i * 7919 % 1000:04d}{'é' * (i % 2)}") for g in (0, 3) for i in range(1000)] + [(5, "alone")]
+    df = spark.createDataFrame(rows, "which int, value string").repartition(6)
+    found = {(r["which"], r["value"]): r["position"] for r in dictionary.with_positions(df, "which", "value").collect()}
+    for g in (0, 3, 5):
+        assert [found[g, v] for v in sorted(v for k, v in rows if k == g)] == list(range(sum(k == g for k, _ in rows)))
+
+
+def test_wide_tables_train(spark, monkeypatch, tmp_path):
+    """Every row has a name of its own, and there are more classes than are listed."""
+    monkeypatch.setattr(dictionary, "BROADCAST_ROWS", 50)
+    df = spark.range(300).selectExpr(f"id AS {ROW}", "concat('name ', id) AS name", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('c', id % 60) END AS city", "(id % 60) * 1.5 AS x", "id * 2.0 AS y")
+    few, many = (train(df, TrainSpec("y", model_type="linear", local_values=n)) for n in (10_000, 10))
+    assert few.summary["metrics"] == pytest.approx(many.summary["metrics"], abs=1e-3)
+    assert few.predictions.select("seq", "actual").collect() == many.predictions.select("seq", "actual").collect()
+    assert many.importance.count() == 15
+    spec = {"feature_columns": ("x", "name"), "model_type": "random_forest", "sizes": QUICK}
+    listed, joined = (train(df, TrainSpec("city", local_classes=n, local_values=n, **spec)) for n in (1000, 5))
+    assert joined.summary["metrics"]["class_count"] == 41
+    assert {k: v for k, v in listed.summary["metrics"].items() if k != "classes"} == pytest.approx({k: v for k, v in joined.summary["metrics"].items() if k != "class_count"})
+    matrix = {(r["actual"], k): r[k] for r in listed.confusion.collect() for k in listed.confusion.columns[1:] if r[k]}
+    assert {(r["actual"], r["predicted"]): r["n"] for r in joined.confusion.collect()} == matrix
+    joined.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model")).transform(df.drop("city"))
+    assert sorted(r.predicted_value for r in again.collect()) == sorted(r.predicted_value for r in joined.model.transform(df.drop("city")).collect())
+
+
+def test_thousands_of_classes(spark):
+    df = spark.range(15_000).selectExpr(f"id AS {ROW}", "concat('k', id % 5000) AS label", "id % 5000 AS x")
+    result = train(df, TrainSpec("label", ("x",), "random_forest", sizes=Sizes(forest=1, forest_depth=3)))
+    assert result.summary["metrics"]["class_count"] == 5000 and result.summary["train_rows"] == 12_000
+    assert result.confusion.agg(F.sum("n")).first()[0] == 3000
+
+
+def test_report_keeps_lists(iris):
+    result = train(iris, TrainSpec("kind", ("size",), "random_forest", sizes=QUICK))
+    row = result.summary_frame().first()
+    assert json.loads(row["metrics"])["classes"] == ["a", "b", "c"] and json.loads(row["selected_feature_columns"]) == ["size"]
+    assert json.loads(row["top_features"]) == [[r["name"], r["importance"]] for r in result.importance.collect()]
+    assert [x[0] for x in json.loads(row["model_leaderboard"])] == ["random_forest"]
 
 
 def test_classification_metrics(spark):
@@ -169,5 +212,3 @@ def test_spec_is_checked(iris):
     for share in (0.5, 0.95):
         with pytest.raises(ValueError):
             TrainSpec("kind", train_split=share)
-    with pytest.raises(ValueError):
-        train(iris, TrainSpec("kind", max_classes=2))

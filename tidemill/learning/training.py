@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml import Model, PipelineModel
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.feature import IndexToString, StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
 from tidemill.functions.labels import value_text
 from tidemill.learning import metrics
+from tidemill.learning.dictionary import TableLookup, with_positions
 from tidemill.learning.candidates import CANDIDATES, LABEL, Sizes, estimators, importances
 from tidemill.learning.frames import feature_columns, is_classification, model_frame, split
 from tidemill.learning.preprocessing import FEATURES, fit_preprocessor
@@ -23,6 +28,7 @@ TOP_FEATURES = 15
 PREDICTION = "prediction"
 TRAIN = "__train"
 PREDICTED = "predicted_value"
+_ROWS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -32,8 +38,9 @@ class TrainSpec:
     model_type: str = "auto"
     train_split: float = 0.8
     key: str | None = None
-    max_categories: int = 10_000
-    max_classes: int = 1_000
+    #: Categories of a column and classes that are listed on the driver; beyond it they are tables that are joined.
+    local_values: int = 10_000
+    local_classes: int = 1_000
     sizes: Sizes = field(default_factory=Sizes)
 
     def __post_init__(self) -> None:
@@ -53,9 +60,9 @@ class TrainResult:
     scored: DataFrame
 
     def summary_frame(self) -> DataFrame:
-        """The report as one row."""
+        """The report as one row; lists and groups of values are JSON."""
         kinds = {int: "bigint", float: "double", str: "string"}
-        flat = {k: v for k, v in self.summary.items() if type(v) in kinds}
+        flat = {k: v if type(v) in kinds else json.dumps(v) for k, v in self.summary.items()}
         schema = ", ".join(f"{k} {kinds[type(v)]}" for k, v in flat.items())
         return self.leaderboard.sparkSession.createDataFrame([tuple(flat.values())], schema)
 
@@ -64,13 +71,41 @@ class TrainResult:
         self.model.write().overwrite().save(path)
 
 
-def class_labels(df: DataFrame, target: str, limit: int) -> list[str]:
-    """Class names in their natural order, after checking how many there are."""
+@dataclass(frozen=True)
+class Classes:
+    """The classes of a target in their natural order: a local list if there are few, else a table (``position``, ``label``)."""
+
+    count: int
+    names: list[str] | None
+    table: DataFrame
+
+    def labelled(self, df: DataFrame, text: Column) -> DataFrame:
+        """Adds the numeric label of each row's class."""
+        df = df.withColumn("__class", text)
+        if self.names is not None:
+            return StringIndexerModel.from_labels(self.names, "__class", LABEL, "error").transform(df)
+        places = self.table.select(c("label").alias("key"), c("position").cast("double").alias("value"))
+        nominal = {"ml_attr": {"type": "nominal", "name": LABEL, "num_vals": self.count}}
+        found = TableLookup("__class", LABEL, places).transform(df)
+        return found.withColumn(LABEL, c(LABEL).alias(LABEL, metadata=nominal))
+
+    def namer(self, number: str, name: str) -> Transformer:
+        """A stage that adds the class of a numeric label."""
+        if self.names is not None:
+            return IndexToString(inputCol=number, outputCol=name, labels=self.names)
+        return TableLookup(number, name, self.table.select(c("position").cast("double").alias("key"), c("label").alias("value")))
+
+
+def class_table(df: DataFrame, target: str, local_classes: int) -> Classes:
+    """The classes of a target, of any number."""
     text = value_text(c(target), dtype_of(df, target)).alias("label")
-    rows = df.select(c(target).alias("v"), text).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"target {target!r} has more than {limit} classes")
-    return [r["label"] for r in sorted(rows, key=lambda r: r["v"])]
+    values = stage(df.select(F.lit(0).alias("g"), c(target).alias("v"), text).distinct(), "classes")
+    count = values.count()
+    if count <= local_classes:
+        rows = sorted(values.collect(), key=lambda r: r["v"])
+        names = [r["label"] for r in rows]
+        return Classes(count, names, df.sparkSession.createDataFrame(list(enumerate(names)), "position long, label string"))
+    return Classes(count, None, stage(with_positions(values, "g", "v").select("position", "label"), "class-positions"))
 
 
 def _scores(scored: DataFrame, classification: bool) -> tuple[float, float]:
@@ -82,7 +117,11 @@ def _scores(scored: DataFrame, classification: bool) -> tuple[float, float]:
 
 
 def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
-    """Fit one candidate or all of them, and keep the one with the best test score."""
+    """Fit one candidate or all of them, and keep the one with the best test score.
+
+    Any number of categories and classes is taken; beyond ``local_values`` and ``local_classes`` they stay tables, and
+    the confusion of classes has a row (``actual``, ``predicted``, ``n``) for each pair that occurs.
+    """
     check_supported(df)
     df = normalise_missing(df)
     target, spark = spec.target_column, df.sparkSession
@@ -94,40 +133,46 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     key = spec.key or ROW
 
     classification = is_classification(frame, target)
-    classes = class_labels(frame, target, spec.max_classes) if classification else []
+    classes = class_table(frame, target, spec.local_classes) if classification else None
     if classification:
-        indexer = StringIndexerModel.from_labels(classes, "__class", LABEL, "error")
-        halves = split(frame, spec.train_split, target if len(classes) > 1 else None, key, flag=TRAIN)
-        halves = indexer.transform(halves.withColumn("__class", value_text(c(target), dtype_of(frame, target))))
+        halves = split(frame, spec.train_split, target if classes.count > 1 else None, key, flag=TRAIN)
+        halves = classes.labelled(halves, value_text(c(target), dtype_of(frame, target)))
     else:
         halves = split(frame, spec.train_split, None, key, flag=TRAIN).withColumn(LABEL, c(target).cast("double"))
 
     # Preprocessing is fitted on train rows and its output stored once for all candidates.
-    prepare = fit_preprocessor(halves.filter(TRAIN), features, spec.max_categories)
+    prepare = fit_preprocessor(halves.filter(TRAIN), features, spec.local_values)
     ready = PipelineModel(prepare.stages).transform(halves)
     ready = stage(ready.select(FEATURES, LABEL, TRAIN, c(key).alias("__key")), "model-input")
     sizes = {r[TRAIN]: r["n"] for r in ready.groupBy(TRAIN).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train, n_test = sizes.get(True, 0), sizes.get(False, 0)
+    # Iterative learners pass over the rows hundreds of times: no more tasks than the rows are worth.
+    ready = ready.coalesce(max(1, (n_train + n_test) // _ROWS_PER_TASK))
 
-    choices = estimators(classification, len(classes), n_train, spec.sizes)
+    choices = estimators(classification, classes.count if classes else 0, n_train, spec.sizes)
     tried = [spec.model_type] if spec.model_type in choices else list(CANDIDATES)
-    fitted: dict[str, Model] = {}
-    scores: dict[str, tuple[float, float]] = {}
-    for name in tried:
-        fitted[name] = choices[name].fit(ready.filter(TRAIN))
-        scores[name] = _scores(fitted[name].transform(ready), classification)
+
+    def fit(name: str) -> tuple[Model, tuple[float, float]]:
+        found = choices[name].fit(ready.filter(TRAIN))
+        return found, _scores(found.transform(ready), classification)
+
+    # Candidates are independent and submit their jobs side by side.
+    with ThreadPoolExecutor(len(tried)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(fit), name) for name in tried}
+        done = {name: x.result() for name, x in running.items()}
+    fitted, scores = {n: m for n, (m, _) in done.items()}, {n: s for n, (_, s) in done.items()}
     best = max(tried, key=lambda name: scores[name][1])  # the first of equals
     model = fitted[best]
 
     test = model.transform(ready.filter(~c(TRAIN)))
     last = []
     if classification:
-        last = [IndexToString(inputCol=PREDICTION, outputCol=PREDICTED, labels=classes)]
-        names = F.array(*[F.lit(k) for k in classes])
-        test = test.withColumn("actual", F.element_at(names, (c(LABEL) + 1).cast("int")))
-        test = test.withColumn(PREDICTED, F.element_at(names, (c(PREDICTION) + 1).cast("int")))
+        last = [classes.namer(PREDICTION, PREDICTED)]
+        test = last[0].transform(classes.namer(LABEL, "actual").transform(test))
         scored_metrics = metrics.classification_metrics(test, "actual", PREDICTED)
-        confusion = metrics.confusion_matrix(test, "actual", PREDICTED, classes)
+        confusion = metrics.confusion_counts(test, "actual", PREDICTED)
+        if classes.names is not None:
+            confusion = metrics.confusion_matrix(test, "actual", PREDICTED, classes.names)
     else:
         test = test.withColumn("actual", c(LABEL)).withColumn(PREDICTED, c(PREDICTION))
         scored_metrics = metrics.regression_metrics(test, "actual", PREDICTED)
@@ -136,10 +181,14 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
 
     values = importances(model)
     top: list[tuple[str, float]] = []
-    if values is not None and len(values) == len(prepare.feature_names):
-        ranked = sorted(zip(prepare.feature_names, values), key=lambda p: (-round(p[1], 4), p[0]))
-        top = [(name, round(v, 4)) for name, v in ranked[:TOP_FEATURES]]
-
+    if values is not None and len(values) == prepare.size:
+        by_slot = spark.createDataFrame(pa.table({"slot": pa.array(range(prepare.size), pa.int64()), "importance": [round(v, 4) for v in values]}))
+        ranked = by_slot.join(prepare.names, "slot").orderBy(F.desc("importance"), "name").limit(TOP_FEATURES)
+        top = [(r["name"], r["importance"]) for r in ranked.collect()]
+
+    classes_of_report: dict[str, Any] = {}
+    if classes:
+        classes_of_report = {"class_count": classes.count} if classes.names is None else {"classes": sorted(classes.names)}
     numeric = [n for n in features if is_numeric(dtype_of(frame, n))]
     board = [(name, round(scores[name][0], 4), round(scores[name][1], 4)) for name in tried]
     summary = {
@@ -157,7 +206,7 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
         "numeric_feature_count": len(numeric),
         "categorical_feature_count": len(features) - len(numeric),
         "problem_type": "classification" if classification else "regression",
-        "metrics": {**measured, "classes": sorted(classes)} if classification else measured,
+        "metrics": {**measured, **classes_of_report} if classification else measured,
         "score": measured["accuracy" if classification else "r2_score"],
         "train_score": round(scores[best][0], 4),
         "test_score": round(scores[best][1], 4),
