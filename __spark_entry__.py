@@ -75,6 +75,16 @@ DATED = {
     "iso": f"CASE WHEN o_orderkey % 8 = 3 THEN 'soon' WHEN o_orderkey % 8 = 5 THEN '2024-02-30' ELSE {ISO_DAY} END",
     "us": f"concat(substr({ISO_DAY}, 6, 2), '/', substr({ISO_DAY}, 9, 2), '/', substr({ISO_DAY}, 1, 4))",
 }
+_MONTH = "CAST(substr({day}, 6, 2) AS INT)".format(day=ISO_DAY)
+DATE_FORMS = {
+    "_row": "o_orderkey",
+    "named": f"CASE WHEN o_orderkey % 8 = 3 THEN 'soon' ELSE concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * {_MONTH} - 2, 3), ' ', "
+    f"CAST(CAST(substr({ISO_DAY}, 9, 2) AS INT) AS STRING), ', ', substr({ISO_DAY}, 1, 4)) END",
+    "half": f"concat(substr({ISO_DAY}, 6, 2), '/', substr({ISO_DAY}, 9, 2), '/', substr({ISO_DAY}, 1, 4), "
+    "CASE WHEN o_orderkey % 3 = 0 THEN ' 12:07 AM' WHEN o_orderkey % 3 = 1 THEN ' 12:30 PM' ELSE ' 03:04 PM' END)",
+    "zoned": f"concat({ISO_DAY}, 'T0', CAST(o_orderkey % 10 AS STRING), ':30:59+02:00')",
+    "month": f"substr({ISO_DAY}, 1, 7)",
+}
 ORDERS = {
     "_row": "o_orderkey",
     "o_custkey": "o_custkey",
@@ -212,6 +222,12 @@ def _headers(df: DataFrame) -> DataFrame:
     return cleaning.normalise_headers(df)[0]
 
 
+def _convert_all_dates(df: DataFrame) -> DataFrame:
+    for name in DATE_FORMS:
+        df = df if name == ROW else cleaning.convert_column(df, name, "date")
+    return df
+
+
 def _outlier_bounds(df: DataFrame) -> DataFrame:
     lower, upper = quantiles.outlier_bounds(df, c("value"))
     return df.agg(
@@ -259,6 +275,12 @@ _SUMMARY = (
 )
 
 
+def _document(df: DataFrame) -> DataFrame:
+    """The composed document's sections whose values are whole numbers, names or rounded, as JSON."""
+    payload = profile(df, order_by=ROW).payload()
+    return payload.where(c("section").isin("columns", "duplicates", "missing", "shape", "strong_correlations", "unique_counts"))
+
+
 def _pie(df: DataFrame) -> DataFrame:
     return charts.pie_slices(df, "event_type").withColumn("share", F.round("share", 6))
 
@@ -367,6 +389,7 @@ def queries() -> dict[str, Query]:
         ),
         "clean_convert_date": on("orders", DATED, lambda df: cleaning.convert_column(df, "iso", "date")),
         "clean_convert_date_us": on("orders", DATED, lambda df: cleaning.convert_column(df, "us", "date")),
+        "clean_convert_date_forms": on("orders", DATE_FORMS, _convert_all_dates),
         "clean_drop_empty": on("events", PADDED, lambda df: cleaning.drop_columns(df, cleaning.empty_columns(df))),
         "clean_drop_constant": on("events", PADDED, lambda df: cleaning.drop_columns(df, cleaning.constant_columns(df))),
         "clean_drop_columns": on("events", PADDED, lambda df: cleaning.drop_columns(df, ["k_gap", "value", "nothing"])),
@@ -382,6 +405,8 @@ def queries() -> dict[str, Query]:
         "outlier_bounds": on("events", EVENTS, _outlier_bounds),
         # profile
         "eda_shape": on("events", EVENTS, profiling.shape),
+        "eda_columns": on("orders", ORDERS, profiling.column_roles),
+        "eda_document": on("lineitem", {"_row": "l_orderkey * 10 + l_linenumber", **LINES}, _document),
         "eda_missing": on("customer", CUSTOMERS, lambda df: profiling.missing(cleaning.blanks_to_null(df))),
         "eda_unique": on("orders", ORDERS, counting.unique_counts),
         "eda_duplicates": on("events", VISITS, duplicates.duplicate_rows),
@@ -613,6 +638,9 @@ def oracle_sql() -> dict[str, str]:
                round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, round(avg(abs(y - p)), 3) AS mae FROM te"""
     events_cols = "_row, user_id, event_type"
     sql = {
+        "eda_columns": "SELECT * FROM (VALUES (0, 'o_custkey', 'numeric', 'bigint'), (1, 'o_orderstatus', 'categorical', 'string'), "
+        "(2, 'o_totalprice', 'numeric', 'double'), (3, 'o_orderdate', 'categorical', 'timestamp_ntz'), "
+        "(4, 'o_orderpriority', 'categorical', 'string')) t(\"position\", \"column\", role, dtype)",
         "load_csv": 'SELECT CAST(c_custkey AS BIGINT) AS c_custkey, "name, full", CAST(c_nationkey AS BIGINT) AS c_nationkey, '
         "CAST(CASE WHEN c_acctbal <> 'NA' THEN c_acctbal END AS DOUBLE) AS c_acctbal, flag = 'True' AS flag, "
         f"CASE WHEN mixed NOT IN ('n/a', '') THEN mixed END AS mixed FROM ({spoil(CSV_RAW, 'customer')})",
@@ -644,6 +672,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "clean_convert_date": _with(DATED, "orders", "SELECT _row, CAST(try_strptime(iso, '%Y-%m-%d') AS TIMESTAMP) AS iso, us FROM d"),
         "clean_convert_date_us": _with(DATED, "orders", "SELECT _row, iso, CAST(try_strptime(us, '%m/%d/%Y') AS TIMESTAMP) AS us FROM d"),
+        "clean_convert_date_forms": _with(
+            DATE_FORMS,
+            "orders",
+            "SELECT _row, CASE WHEN named <> 'soon' THEN CAST(strptime(named, '%b %d, %Y') AS TIMESTAMP) END AS named, "
+            "CAST(strptime(half, '%m/%d/%Y %I:%M %p') AS TIMESTAMP) AS half, CAST(strptime(zoned[1:19], '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP) AS zoned, "
+            "CAST(strptime(month, '%Y-%m') AS TIMESTAMP) AS month FROM d",
+        ),
         "clean_drop_empty": _with(PADDED, "events", f"SELECT {events_cols}, value, k_const, k_gap FROM d"),
         "clean_drop_constant": _with(PADDED, "events", f"SELECT {events_cols}, value, k_gap FROM d"),
         "clean_drop_columns": _with(PADDED, "events", f"SELECT {events_cols}, k_const, k_empty FROM d"),

@@ -90,6 +90,20 @@ DAYS = [
     ["hello", "13/02/2024", "03/04/2024", "31-12-2024"],
     ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05+00:00"],
     ["2024-01-02 03:04+00:00", "2024-02-30 03:04+00:00"],
+    ["Jan 5, 2024", "Feb 30, 2024", "dec 31, 1999", "5 Jan 2024", None],
+    ["January 5, 2024", "March 15, 2023"],
+    ["01-Jan-2024", "31-Apr-2024", "07-AUG-2021"],
+    ["5 Jan 2024", "17 Nov 2020"],
+    ["2024-Jan-05", "2024-Feb-29"],
+    ["1/2/24", "12/31/99", "12/31/01", "13/1/24", "31/31/24"],
+    ["25/12/24", "01/02/99"],
+    ["01/02/2024 03:04 PM", "01/02/2024 12:00 AM", "01/02/2024 12:30 PM", "01/02/2024 13:00 PM"],
+    ["2024-01-02 11:04:05 AM", "2024-01-02 12:04:05 AM"],
+    ["2024-01-02T03:04:05+02:00", "2024-07-02T23:59:59+02:00"],
+    ["2024-01-02 03:04-05:30", "2024-01-02 03:04-05:30"],
+    ["2024-01", "2024-13", "1999-12"],
+    ["Jan 2024", "Feb 1999"],
+    ["05-Jan-24", "05-Jan-95"],
 ]
 
 
@@ -101,6 +115,12 @@ def test_to_timestamp(values, items):
     assert found == [None if pd.isna(v) else v.to_pydatetime().replace(tzinfo=None) for v in expected]
 
 
+def test_offsets_are_given_in_that_of_the_first_value(values):
+    items = ["2024-01-02 03:04:05+02:00", "2024-01-02 03:04:05Z", "2024-01-02 03:04:05-0130"]
+    found = values(dates.to_timestamp(X, T.StringType(), dates.guess_format(items[0])), items)
+    assert [str(v) for v in found] == ["2024-01-02 03:04:05", "2024-01-02 05:04:05", "2024-01-02 06:34:05"]
+
+
 def test_numbers_are_nanoseconds(values):
     items = [0, 20240102, 1704186000123456789, -1_000_000, None]
     expected = pd.to_datetime(pd.Series(items, dtype="Int64"), errors="coerce")

@@ -5,7 +5,7 @@ import pytest
 from tidemill import profile
 from tidemill.columns import c
 from tidemill.operators import counting, duplicates, heads, moments, profiling
-from tidemill.roles import ROW
+from tidemill.roles import ROW, normalise_missing
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +173,30 @@ def test_facts_are_tidy(mixed):
     facts = profile(mixed[0]).facts()
     assert facts.columns == ["section", "item", "metric", "value"]
     assert facts.filter("section = 'describe' and item = 'a' and metric = 'count'").first()["value"] == 500
+
+
+@pytest.mark.parametrize("block", [1_000, 14])
+def test_forty_columns_with_gaps_correlate_like_pandas(spark, monkeypatch, block):
+    """Every column has its own gaps, a constant, a huge offset or none; blocks give the same."""
+    monkeypatch.setattr(moments, "_BLOCK", block)
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(500, 40)) @ rng.normal(size=(40, 40))
+    table[:, 1] = table[:, 0] * 2 + 1e6
+    table[:, 2] = 7.0
+    table[:, 3] = np.where(rng.random(500) < 0.01, 1.0, 0.0)
+    for j in range(4, 36):
+        table[rng.random(500) < 0.02 * (j % 9), j] = np.nan
+    table[:250, 36], table[250:, 37] = np.nan, np.nan
+    names = [f"c {j}.x" for j in range(40)]
+    df = spark.createDataFrame(pd.DataFrame(table, columns=names))
+    expected = pd.DataFrame(table, columns=names).corr().fillna(0.0)
+    found = moments.correlations(normalise_missing(df), names)
+    assert len(found) == 40 * 41 // 2
+    for x, y, r in found:
+        assert r == pytest.approx(expected.loc[x, y], abs=1e-9), (x, y)
+
+
+def test_gaps_that_all_columns_share(spark):
+    rows = [(1.0, 2.0), (2.0, 1.0), (4.0, 5.0), (None, None), (None, None)]
+    found = {(x, y): r for x, y, r in moments.correlations(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])}
+    assert found["a", "b"] == pytest.approx(pd.DataFrame(rows).corr().loc[0, 1]) and found["a", "a"] == 1.0

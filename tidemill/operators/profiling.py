@@ -70,6 +70,23 @@ def logical_size(df: DataFrame) -> DataFrame:
     return df.agg(round_half_even(size / F.lit(1024.0 * 1024.0), 3).alias("memory_usage_mb"))
 
 
+def facts(df: DataFrame) -> tuple[int, dict[str, int], float, dict[str, Moments]]:
+    """Rows, missing values by column, size and moments of a table, from one aggregate over one scan."""
+    names, numeric = data_columns(df), numeric_columns(df)
+    texts = [n for n in names if is_text(dtype_of(df, n))]
+    fixed = sum(_WIDTHS.get(type(dtype_of(df, n)), 8) for n in names if n not in texts)
+    aggs = [F.count(F.lit(1)), *[F.count(c(n)) for n in names], *[F.sum(F.octet_length(c(n)).cast("long")) for n in texts]]
+    for n in numeric:
+        x = c(n).cast("double")
+        aggs += [F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)]
+    row = list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
+    rows, counts = row[0], dict(zip(names, row[1:]))
+    size = rows * fixed + sum(x or 0 for x in row[1 + len(names) : 1 + len(names) + len(texts)])
+    rest = row[1 + len(names) + len(texts) :]
+    stats = {n: Moments(counts[n], *rest[4 * i : 4 * i + 4]) for i, n in enumerate(numeric)}
+    return rows, {n: rows - counts[n] for n in names}, size / (1024.0 * 1024.0), stats
+
+
 def describe(df: DataFrame, stats: dict[str, Moments] | None = None) -> DataFrame:
     """``column, count, mean, std, min, p25, p50, p75, max`` of every numeric column."""
     names = numeric_columns(df)

@@ -1,17 +1,16 @@
 """Exact, linearly interpolated quantiles at any scale.
 
 The built-in exact ``percentile`` keeps every distinct value of a column in the
-final task.  Here, a wanted rank is first narrowed down: a bounded random sample
-*proposes* a pair of cut points around it, exact counts below and at the cut points
-*prove* which side the rank is on, and the interval shrinks by a factor of 50 to
-100 per round until its counted rows fit one task and can be sorted.  The sample
+final task.  Here, a wanted rank is first narrowed down: mergeable KLL sketches of all
+columns, from one scan, *propose* a pair of cut points around it, exact counts below and at the
+cut points *prove* which side the rank is on, and the interval shrinks by a factor of
+about 100 per round until its counted rows fit one task and can be sorted.  The sketch
 affects only the number of rounds, never the answer.  A value held by a large share
-of the rows becomes a cut point itself and is settled by its own count.  A column
-that is small to begin with is sorted at once.
+of the rows becomes a cut point itself and is settled by its own count.  Columns
+that are few and small to begin with are sorted at once.
 
-Each round is one sampling scan and one counting scan of the columns concerned.
-Counting stays in generated code, and only sampled rows reach an object-based
-aggregate.
+Sketching, proving and sorting are one scan each for all columns together: three scans for any number of columns
+of up to some hundred million rows, and two more for every further factor of 100.
 """
 
 from __future__ import annotations
@@ -30,10 +29,10 @@ from tidemill.columns import c
 FINISH_ROWS = 1_000_000
 #: ...together with others, up to this many values per job.
 _FINISH_CELLS = 8_000_000
-#: Cut points counted per scan, which keeps the generated code small.
-_CUTS_PER_SCAN = 16
-#: Bounds of the number of sampled values per round and column.
-_SAMPLE = (20_000, 200_000)
+#: Pairs of cut points counted per scan.
+_CUTS_PER_SCAN = 512
+#: Size of a sketch, whose ranks are off by about a thousandth, and what is left to either side of a wanted rank.
+_SKETCH, _MARGIN = 4_096, 0.004
 
 
 @dataclass
@@ -53,14 +52,10 @@ class _Search:
     def interval(self) -> tuple[str, float | None, float | None]:
         return self.name, self.low, self.high
 
-    def sample_rows(self) -> int:
-        return min(max(self.size // 50, _SAMPLE[0]), _SAMPLE[1])
-
     def shares(self) -> tuple[float, float]:
-        """Where to cut the interval: a few standard errors of the sampled rank to either side."""
+        """Where to cut the interval: a few errors of the sketched rank to either side."""
         share = round((self.rank - self.below + 0.5) / self.size, 3)  # alike for neighbouring ranks
-        margin = 0.002 + 4 * math.sqrt(share * (1 - share) / self.sample_rows())
-        return max(0.0, share - margin), min(1.0, share + margin)
+        return max(0.0, share - _MARGIN), min(1.0, share + _MARGIN)
 
     def narrow(self, under_a: int, to_a: int, under_b: int, to_b: int) -> None:
         """Use the numbers of rows under and up to each cut point."""
@@ -96,22 +91,15 @@ def _any(tests: Sequence[Column]) -> Column:
     return reduce(lambda x, y: x | y, tests)
 
 
-def _sample(df: DataFrame, searches: Sequence[_Search], seed: int) -> None:
-    """Propose cuts from a bounded random sample of each open interval."""
-    draws = {s.interval: min(1.0, s.sample_rows() / s.size) for s in searches}
-    wanted = {i: sorted({p for s in searches if s.interval == i for p in s.shares()}) for i in draws}
-    drawn = df.withColumn("draw", F.rand(seed)).filter(F.col("draw") < F.lit(max(draws.values())))
-    picks = [
-        F.percentile(
-            F.when(_inside(*interval) & (F.col("draw") < F.lit(share)), c(interval[0])),
-            F.array(*[F.lit(p) for p in wanted[interval]]),
-        )
-        for interval, share in draws.items()
-    ]
-    found = {i: dict(zip(wanted[i], got or ())) for i, got in zip(draws, _first_row(drawn, picks))}
+def _sketch(df: DataFrame, searches: Sequence[_Search]) -> None:
+    """Propose cuts from a sketch of each open interval, all from one scan."""
+    intervals = list(dict.fromkeys(s.interval for s in searches))
+    wanted = {i: sorted({p for s in searches if s.interval == i for p in s.shares()}) for i in intervals}
+    sketches = df.agg(*[F.kll_sketch_agg_double(F.when(_inside(*i), c(i[0])), _SKETCH).alias(f"k{j}") for j, i in enumerate(intervals)])
+    picks = [F.kll_sketch_get_quantile_double(f"k{j}", F.array(*[F.lit(p) for p in wanted[i]])).alias(f"a{j}") for j, i in enumerate(intervals)]
+    found = {i: dict(zip(wanted[i], got)) for i, got in zip(intervals, sketches.select(*picks).first())}
     for s in searches:
-        if found[s.interval]:
-            s.cuts = tuple(found[s.interval][p] for p in s.shares())
+        s.cuts = tuple(found[s.interval][p] for p in s.shares())
 
 
 def _prove(df: DataFrame, searches: Sequence[_Search]) -> None:
@@ -148,10 +136,12 @@ def _finish(df: DataFrame, searches: Sequence[_Search]) -> None:
 
 
 def _solve(df: DataFrame, searches: Sequence[_Search], finish_rows: int) -> None:
-    seed = 0
+    # Many columns are narrowed too where sorting them whole would take several scans.
+    sizes = {s.interval: s.size for s in searches}
+    if sum(sizes.values()) > _FINISH_CELLS:
+        finish_rows = min(finish_rows, _FINISH_CELLS // len(sizes))
     while wide := [s for s in searches if s.value is None and s.size > finish_rows]:
-        seed += 1
-        _sample(df, wide, seed)
+        _sketch(df, wide)
         _prove(df, wide)
     if short := [s for s in searches if s.value is None]:
         _finish(df, short)

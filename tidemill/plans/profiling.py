@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemill.columns import c
 from tidemill.functions.jsonsafe import json_rows
+from tidemill.functions.numbers import round_half_even
 from tidemill.operators import counting, heads
 from tidemill.operators import profiling as ops
 from tidemill.operators.duplicates import duplicate_rows
-from tidemill.operators.moments import Moments, moments
-from tidemill.roles import check_supported, data_columns, normalise_missing, numeric_columns
+from tidemill.operators.moments import Moments
+from tidemill.roles import check_supported, data_columns, normalise_missing
 
 DESCRIBE_METRICS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -28,12 +29,20 @@ class Profile:
     approximate: bool = False
 
     @cached_property
+    def _facts(self) -> tuple[int, dict[str, int], float, dict[str, Moments]]:
+        """One row that the shape, missing values, size, description and correlations share."""
+        return ops.facts(self.frame)
+
+    def _local(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.frame.sparkSession.createDataFrame(rows, schema)
+
+    @property
     def rows(self) -> int:
-        return self.frame.count()
+        return self._facts[0]
 
     @cached_property
     def shape(self) -> DataFrame:
-        return ops.shape(self.frame)
+        return self._local([(self.rows, len(data_columns(self.frame)))], "rows bigint, columns bigint")
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -41,7 +50,9 @@ class Profile:
 
     @cached_property
     def missing(self) -> DataFrame:
-        return ops.missing(self.frame)
+        rows, missing, _, _ = self._facts
+        share = round_half_even(F.try_divide(c("missing_values"), F.lit(rows)) * 100, 2)
+        return self._local(list(missing.items()), "column string, missing_values bigint").withColumn("missing_percent", share)
 
     @cached_property
     def unique_counts(self) -> DataFrame:
@@ -60,12 +71,11 @@ class Profile:
 
     @cached_property
     def size(self) -> DataFrame:
-        return ops.logical_size(self.frame)
+        return self._local([(self._facts[2],)], "mb double").select(round_half_even(c("mb"), 3).alias("memory_usage_mb"))
 
     @cached_property
     def moments(self) -> dict[str, Moments]:
-        """One pass shared by the description and the correlations."""
-        return moments(self.frame, {n: c(n) for n in numeric_columns(self.frame)})
+        return self._facts[3]
 
     @cached_property
     def describe(self) -> DataFrame:
