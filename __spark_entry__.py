@@ -276,9 +276,8 @@ _SUMMARY = (
 
 
 def _document(df: DataFrame) -> DataFrame:
-    """The composed document's sections whose values are whole numbers, names or rounded, as JSON."""
-    payload = profile(df, order_by=ROW).payload()
-    return payload.where(c("section").isin("columns", "duplicates", "missing", "shape", "strong_correlations", "unique_counts"))
+    """The composed document: a JSON text for each section."""
+    return profile(df, order_by=ROW).payload()
 
 
 def _pie(df: DataFrame) -> DataFrame:
@@ -406,7 +405,7 @@ def queries() -> dict[str, Query]:
         # profile
         "eda_shape": on("events", EVENTS, profiling.shape),
         "eda_columns": on("orders", ORDERS, profiling.column_roles),
-        "eda_document": on("lineitem", {"_row": "l_orderkey * 10 + l_linenumber", **LINES}, _document),
+        "eda_document": on("lineitem", {"_row": "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber", **LINES}, _document),
         "eda_missing": on("customer", CUSTOMERS, lambda df: profiling.missing(cleaning.blanks_to_null(df))),
         "eda_unique": on("orders", ORDERS, counting.unique_counts),
         "eda_duplicates": on("events", VISITS, duplicates.duplicate_rows),
@@ -612,6 +611,40 @@ def _eda_profile() -> str:
     return _with(EVENTS, "events", " UNION ALL ".join(parts))
 
 
+def _eda_document() -> str:
+    names = list(LINES)
+
+    def section(name: str, src: str, fields: list[str], order: str) -> str:
+        row = ", ".join(f"'{f}': \"{f}\"" for f in fields)
+        return f"SELECT '{name}' AS section, coalesce('[' || string_agg(CAST(to_json({{{row}}}) AS VARCHAR), ',' ORDER BY {order}) || ']', '[]') AS payload FROM ({src})"
+
+    place = f"list_position([{', '.join(repr(n) for n in names)}], \"column\")"
+    kinds = ", ".join(f"({i}, '{n}', 'numeric', '{'int' if n == 'k_const' else 'double'}')" for i, n in enumerate(names))
+    pairs = " UNION ALL ".join(
+        f"SELECT '{min(x, y)} vs {max(x, y)}' AS pair, {_corr(x, y)} AS correlation FROM d" for i, x in enumerate(names) for y in names[i + 1 :]
+    )
+    matrix = " UNION ALL ".join(
+        f"SELECT {10 * (len(names) * min(i, j) + max(i, j)) + (i > j)} AS place, '{x}' AS \"left\", '{y}' AS \"right\", {_corr(x, y)} AS correlation FROM d"
+        for i, x in enumerate(names)
+        for j, y in enumerate(names)
+    )
+    widths = sum(4 if n == "k_const" else 8 for n in names)
+    parts = [
+        section("shape", f"SELECT count(*) AS rows, CAST({len(names)} AS BIGINT) AS columns FROM d", ["rows", "columns"], "rows"),
+        section("columns", f'SELECT * FROM (VALUES {kinds}) t("position", "column", role, dtype)', ["position", "column", "role", "dtype"], '"position"'),
+        section("missing", _missing(names, "d"), ["column", "missing_values", "missing_percent"], place),
+        section("unique_counts", _unique(names, "d"), ["column", "unique_count"], place),
+        section("duplicates", f"SELECT CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM d GROUP BY {', '.join(names)})", ["duplicate_rows"], "1"),
+        section("size", f"SELECT {rnd(f'count(*) * {widths} / 1048576.0', 3)} AS memory_usage_mb FROM d", ["memory_usage_mb"], "1"),
+        section("describe", _describe(names, "d"), ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"], place),
+        section("correlations", matrix, ["left", "right", "correlation"], "place"),
+        section("strong_correlations", f"SELECT * FROM ({pairs}) WHERE abs(correlation) >= 0.6 ORDER BY abs(correlation) DESC, pair LIMIT 10", ["pair", "correlation"], "abs(correlation) DESC, pair"),
+        "SELECT 'categorical_summary', '[]'",
+        section("preview", "SELECT * FROM d ORDER BY _row LIMIT 10", names, "_row"),
+    ]
+    return _with({"_row": "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber", **LINES}, "lineitem", " UNION ALL ".join(parts))
+
+
 def _documents_case(change: Callable[[str], str]) -> str:
     return f"SELECT doc_id, {change('text')} AS text, {change('lang')} AS lang, {change('source')} AS source, n_chars FROM documents"
 
@@ -723,6 +756,7 @@ def oracle_sql() -> dict[str, str]:
             "orders",
             _top({"o_orderstatus": _label("o_orderstatus"), "o_orderdate": _label("CAST(o_orderdate AS DATE)", "NaT"), "o_orderpriority": _label("o_orderpriority")}, "d", 10),
         ),
+        "eda_document": _eda_document(),
         "eda_profile": _eda_profile(),
         "chart_mean_by_x": _with(
             EVENTS, "events", "SELECT seq, x, round(y, 6) AS y FROM (" + _first_groups("user_id", "avg(value)", "value IS NOT NULL", "CAST(k AS VARCHAR)") + ")"

@@ -58,6 +58,7 @@ class Profile:
     def unique_counts(self) -> DataFrame:
         """At most one row per column; kept on the driver so that it can also settle duplicates."""
         counts = counting.unique_counts(self.frame, approximate=self.approximate).collect()
+        counts.sort(key=lambda r: self.frame.columns.index(r["column"]))
         return self.frame.sparkSession.createDataFrame(counts, "column string, unique_count bigint")
 
     @cached_property
