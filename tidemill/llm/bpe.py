@@ -43,7 +43,7 @@ BROADCAST_WORDS = 8_000_000
 _CACHED = 600_000
 _END = 1 << 20  # stands before and after a word; larger than any id
 _ALL = 1 << 30
-_MODULI = (262_147, 314_159, 350_003, 399_989)
+_MODULI = (131_071, 139_969, 146_077, 155_921)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +78,8 @@ def _literals(spark, ranks: dict[bytes, int]) -> tuple[DataFrame, int]:
         pieces[rank] = piece
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     columns = [one(buckets), one(pa.array([ranks[bytes([x])] for x in range(256)], pa.int32())), one(pa.array(pieces, pa.binary()))]
-    row = spark.createDataFrame(pa.Table.from_arrays(columns, names=["ranks", "bytes", "pieces"]))
+    # Stored first: the driver would else turn a local row's buckets into maps by itself, once for each literal.
+    row = stage(spark.createDataFrame(pa.Table.from_arrays(columns, names=["ranks", "bytes", "pieces"])), "bpe-literals")
     return row.select(F.transform("ranks", F.map_from_entries).alias("ranks"), "bytes", "pieces"), modulus
 
 
@@ -290,12 +291,14 @@ def _collected(encoded: DataFrame) -> _Table:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["hashes", "sizes", "ids", "narrow"])
 
     packed = encoded.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary, narrow boolean")
-    hashes, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
+    hashes, sizes, ids = ([np.zeros(0, kind)] for kind in (np.int64, np.int32, np.uint16))
     for r in packed.toLocalIterator():  # a partition at a time, so that the driver holds the table only once
         hashes.append(np.frombuffer(r.hashes, np.int64))
         sizes.append(np.frombuffer(r.sizes, np.int32))
         ids.append(np.frombuffer(r.ids, np.uint16 if r.narrow else np.int32))
-    return _Table(np.concatenate(hashes), np.concatenate(sizes), np.concatenate(ids), odd)
+    for column in (hashes, sizes, ids):  # the parts go as soon as they are joined
+        column[:] = [np.concatenate(column)]
+    return _Table(hashes.pop(), sizes.pop(), ids.pop(), odd)
 
 
 def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str, str], dict[str, bytes]]) -> list[list]:
