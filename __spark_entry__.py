@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +23,7 @@ from tidemill.learning import frames, metrics, preprocessing
 from tidemill.learning.training import TrainSpec, train
 from tidemill.operators import charts, cleaning, counting, duplicates, heads, profiling, quantiles
 from tidemill.plans.cleaning import CleanSpec, clean
+from tidemill.plans import commits
 from tidemill.plans.dashboard import snapshot
 from tidemill.plans.profiling import profile
 from tidemill.roles import ROW, normalise_missing
@@ -203,6 +205,21 @@ def _save_roundtrip_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.load_dataset(spark, path).select("o_orderkey", "o_custkey", place)
 
 
+def _commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers cleaned and committed, twice under one id; the rows of the published version with what catalog and run log say of it."""
+    root = _scratch(spark, "commits")
+    at = datetime(2024, 1, 1)
+    entry_of = commits.Entry(dataset_id=7, project_id=3, name="customers", created_at=at, run_id=11)
+    for _ in range(2):
+        commits.clean_and_commit(table(spark, sf_dir, "customer", CUSTOMERS), COMPOSED, root, "first", entry_of)
+    listed = commits.catalog(spark, root).select(c("id").alias("dataset_id"), "name", "row_count", "column_count")
+    logged = commits.run_log(spark, root)
+    rows_after = F.get_json_object("payload_json", "$.rows_after").cast("long").alias("rows_after")
+    logged = logged.select("dataset_id", c("id").alias("run_id"), "run_type", "title", rows_after)
+    stored = commits.load(spark, root, 7).withColumn("dataset_id", F.lit(7).cast("long"))
+    return stored.join(F.broadcast(listed), "dataset_id").join(F.broadcast(logged), "dataset_id")
+
+
 _REGISTERED = {"customer": "c_mktsegment", "orders": None, "part": "p_retailprice", "lineitem": None, "events": "value"}
 
 
@@ -368,6 +385,7 @@ def queries() -> dict[str, Query]:
         "save_roundtrip": _save_roundtrip,
         "save_roundtrip_order": _save_roundtrip_order,
         "dataset_register": _register,
+        "dataset_commit": _commit,
         "preview": on("events", None, _preview),
         "eda_preview": on("orders", None, lambda df: heads.preview(df, heads.PROFILE_PREVIEW, "o_orderkey")),
         "json_safe": lambda s, d: json_safe_frame(
@@ -857,6 +875,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT _row, c_name, {rnd('CASE WHEN c_acctbal < lo THEN lo WHEN c_acctbal > hi THEN hi ELSE c_acctbal END', 2)} AS c_acctbal,
                    c_mktsegment FROM f, b""",
     }
+    sql["dataset_commit"] = (
+        f"SELECT r.*, CAST(7 AS BIGINT) AS dataset_id, 'customers' AS name, count(*) OVER () AS row_count, CAST(3 AS BIGINT) AS column_count, "
+        f"CAST(11 AS BIGINT) AS run_id, 'cleaning' AS run_type, 'Data cleaning result' AS title, count(*) OVER () AS rows_after FROM ({sql['clean_composed']}) r"
+    )
     for how, text in (("unknown", "Unknown"), ("empty", "")):
         sql[f"clean_fill_cat_{how}"] = _with(
             FLAGGED,

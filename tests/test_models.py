@@ -60,6 +60,16 @@ def test_split_does_not_depend_on_layout(iris):
     assert first == second
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_split_narrows_the_cut_bucket(iris, monkeypatch, most):
+    """However many rows one task may rank, the same rows are train rows."""
+    want = {r[ROW]: r["is_train"] for r in frames.split(iris, 0.8, "kind").collect()}
+    monkeypatch.setattr(frames, "_BUCKET_HEX", 1)
+    assert {r[ROW]: r["is_train"] for r in frames.split(iris, 0.8, "kind", ranked_rows=most).collect()} == want
+    monkeypatch.setattr(frames, "_LOCAL_CLASSES", 1)
+    assert {r[ROW]: r["is_train"] for r in frames.split(iris, 0.8, "kind", ranked_rows=most).collect()} == want
+
+
 def test_split_with_many_classes(spark, monkeypatch):
     monkeypatch.setattr(frames, "_LOCAL_CLASSES", 5)
     df = spark.range(400).selectExpr(f"id AS {ROW}", "id % 40 AS k")
@@ -71,7 +81,6 @@ def test_one_class_and_one_bucket(spark, monkeypatch):
     """All rows in one hash bucket are still split exactly."""
     monkeypatch.setattr(frames, "_BUCKET_HEX", 0)
     df = spark.range(50).selectExpr(f"id AS {ROW}")
-    monkeypatch.setattr(frames.F, "conv", lambda *a: F.lit("0"))
     assert frames.split(df, 0.9).filter("is_train").count() == 45
 
 

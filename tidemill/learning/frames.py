@@ -11,12 +11,17 @@ from pyspark.sql import types as T
 from tidemill.columns import c
 from tidemill.functions.labels import value_text
 from tidemill.roles import ROW, data_columns, dtype_of, is_numeric, order_column
+from tidemill.session import stage
 
 #: Fixed value: a target with at most this many values is treated as classes.
 MAX_CLASS_VALUES = 12
 #: Rows looked at first when asking whether a target has more values than that.
 _WITNESS_ROWS = 10_000
 _BUCKET_HEX = 4
+#: Hex digits of a row's hash.
+_HASH_HEX = 32
+#: A class's bucket that holds the cut is narrowed until it has at most so many rows, which one task ranks.
+RANKED_ROWS = 100_000
 #: Up to this many classes, per-class tables are kept as local rows.
 _LOCAL_CLASSES = 10_000
 SEED = 42
@@ -101,13 +106,47 @@ def train_sizes(buckets: DataFrame, label: str, share: float) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """A per-class table for broadcast if its rows, counted here, are few; then joins need no shuffle."""
+    """A per-class table for broadcast if its rows, counted here, are few, so that joins need no shuffle; else a stored one."""
     rows = df.limit(_LOCAL_CLASSES + 1).collect()
     if len(rows) > _LOCAL_CLASSES:
-        return df
+        return stage(df, "classes")
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def _cut(buckets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per class ``__s`` the bucket ``__b`` its cut lies in, the rows ``m`` in it, and how many of them, ``give``, are train rows.
+
+    ``buckets`` holds counts ``m`` for each bucket, ``wanted`` the train rows ``give`` of each class in all its buckets.
+    """
+    upto = F.sum("m").over(Window.partitionBy("__s").orderBy("__b"))
+    reached = F.col("upto") >= F.col("give")
+    return _bounded(
+        buckets.withColumn("upto", upto)
+        .join(wanted, "__s")
+        .groupBy("__s")
+        .agg(
+            F.min(F.when(reached, F.col("__b"))).alias("__b"),
+            F.min_by("m", F.when(reached, F.col("__b"))).alias("m"),
+            (F.max("give") - F.coalesce(F.max(F.when(~reached, F.col("upto"))), F.lit(0))).alias("give"),
+        )
+    )
+
+
+def _narrowed(narrow: DataFrame, cuts: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The cuts by longer hash prefixes, and the length of those.
+
+    Each round counts, in one scan and with a row per bucket and task in the shuffle, only the rows below the present prefixes by
+    the next digits.  Hashes of distinct keys differ, so this ends with buckets of at most ``most`` rows.
+    """
+    digits = _BUCKET_HEX
+    while digits < _HASH_HEX and (cuts.agg(F.max("m")).first()[0] or 0) > most:
+        longer = digits + _BUCKET_HEX
+        inside = narrow.withColumn("__b", F.substring("__h", 1, digits)).join(cuts.select("__s", "__b"), ["__s", "__b"])
+        buckets = inside.groupBy("__s", F.substring("__h", 1, longer).alias("__b")).agg(F.count(F.lit(1)).alias("m"))
+        cuts, digits = _cut(buckets, cuts.select("__s", "give")), longer
+    return cuts, digits
+
+
 def split(
     df: DataFrame,
     share: float = 0.8,
@@ -115,38 +154,28 @@ def split(
     key: str | None = None,
     seed: int = SEED,
     flag: str = TRAIN,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Add a boolean ``flag`` for train rows: an exact-size, reproducible split, stratified by ``label`` if given.
 
     ``key`` must be unique per row (default: the row position).  Each class
     sends its rows with the smallest key hash to the train side.  The cut-off hash
-    of a class is found from counts per leading hash digits, so that only the
-    one bucket holding the cut is ranked, and a class of any size is never
-    sorted in one task.  Marking the rows is then a map-only step.
+    of a class is found from counts per leading hash digits; the one bucket holding
+    the cut is counted by further digits until it has at most ``ranked_rows`` rows,
+    and only those are ranked, whatever the size of the class.  Marking the rows is
+    then a map-only step.
     """
     key = order_column(df, key)
     stratum = value_text(c(label), dtype_of(df, label)) if label else F.lit("")
     hashed = {"__h": shuffle_key(df, key, seed), "__s": F.coalesce(stratum, F.lit(""))}
-    narrow = df.select(*[v.alias(k) for k, v in hashed.items()]).withColumn(
-        "__b", F.conv(F.substring("__h", 1, _BUCKET_HEX), 16, 10).cast("int")
-    )
-
-    buckets = narrow.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("m"))
-    sizes = train_sizes(buckets, "__s", share).select(c("label").alias("__s"), "n_train")
-    upto = F.sum("m").over(Window.partitionBy("__s").orderBy("__b"))
-    reached = F.col("upto") >= F.col("n_train")
-    cuts = _bounded(
-        buckets.withColumn("upto", upto)
-        .join(sizes, "__s")
-        .groupBy("__s")
-        .agg(
-            F.min(F.when(reached, F.col("__b"))).alias("__b"),
-            (F.max("n_train") - F.coalesce(F.max(F.when(~reached, F.col("upto"))), F.lit(0))).alias("give"),
-        )
-    )
+    narrow = df.select(*[v.alias(k) for k, v in hashed.items()])
+    buckets = narrow.groupBy("__s", F.substring("__h", 1, _BUCKET_HEX).alias("__b")).agg(F.count(F.lit(1)).alias("m"))
+    sizes = train_sizes(buckets, "__s", share).select(c("label").alias("__s"), c("n_train").alias("give"))
+    cuts, digits = _narrowed(narrow, _cut(buckets, sizes), ranked_rows)
     place = F.row_number().over(Window.partitionBy("__s").orderBy("__h"))
     last = _bounded(
-        narrow.join(cuts, ["__s", "__b"])
+        narrow.withColumn("__b", F.substring("__h", 1, digits))
+        .join(cuts, ["__s", "__b"])
         .withColumn("place", place)
         .filter(F.col("place") == F.col("give"))
         .select("__s", F.col("__h").alias("__last"))

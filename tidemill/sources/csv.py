@@ -150,7 +150,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     return _with_position(text.select(*typed, *place), splits)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write values in the text forms that :func:`read_csv` and other tools read back.
 
     Rows with a position are sorted by it, so that part files in name order hold
@@ -158,4 +158,4 @@ def write_csv(df: DataFrame, path: str) -> None:
     """
     df = df.orderBy(c(ROW)) if ROW in df.columns else df
     texts = [value_text(c(n), dtype_of(df, n), "micro").alias(n) for n in data_columns(df)]
-    df.select(*texts).write.options(**_OPTIONS, emptyValue='""', nullValue="").csv(path, header=True)
+    df.select(*texts).write.mode(mode).options(**_OPTIONS, emptyValue='""', nullValue="").csv(path, header=True)
