@@ -481,6 +481,69 @@ def test_scripts_end_at_their_end_tag(script):
     assert [t for _, t in wrappers.parse(page)[1]] == ["onetwothree"]
 
 
+def read_hosts(spark, hosts):
+    """Texts of pages by host, in order."""
+    rows = [(k, f"http://{host}/x", page) for host, pages in hosts.items() for k, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {(r.url, r.page_id): r.text for r in wrappers.extract(df).collect()}
+    return {host: [found[f"http://{host}/x", k] for k in range(len(pages))] for host, pages in hosts.items()}
+
+
+def test_alignment_alone_tells_template_from_text(spark):
+    """No article, no telling names: only what differs between the pages of a host is text."""
+    boxes = "<html><body><div><div>Home Products Contact</div><div><h2>Title {0}</h2><p>Text of {0}.</p>{1}<p>Share this page</p></div><div>All rights reserved by us since long ago</div></div></body></html>"
+    table = "<html><body><table><tr><td>Home Products</td></tr></table><div><section><h3>Head {0}</h3>{1}</section><section>Call us today</section></div></body></html>"
+    want_more = [f"{'more ' * (20 + k)}{k}" for k in range(6)]
+    more = [f"<p>{x}</p>" for x in want_more]
+    found = read_hosts(spark, {"one": [boxes.format(k, more[k]) for k in range(6)], "two": [table.format(k, more[k]) for k in range(6)]})
+    assert found["one"] == [f"Title {k} Text of {k}. {want_more[k]}" for k in range(6)]
+    assert found["two"] == [f"Head {k} {want_more[k]}" for k in range(6)]
+
+
+def test_optional_boxes_and_copies(spark):
+    page = "<html><body><div>Menu of all</div>{ad}<div><h2>T{k}</h2>{ps}</div><div>Foot of all</div></body></html>"
+    ps = ["".join(f"<p>par {k} {n}</p>" for n in range(k + 1)) for k in range(5)]
+    texts = [" ".join([f"T{k}", *[f"par {k} {n}" for n in range(k + 1)]]) for k in range(5)]
+    pages = [page.format(ad="<div class='x'>Buy</div>" * (k == 2), k=k, ps=ps[k]) for k in range(5)]
+    same = ["<html><body><div><p>All the same</p><p>text</p></div></body></html>"] * 4
+    found = read_hosts(spark, {"h": pages, "copies": same})
+    assert found["h"] == texts and found["copies"] == ["All the same text"] * 4
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<body class="has-sidebar"><p>a</p></body>', "a"),
+        ("<body><form id=aspnetForm><div><p>a</p></div></form></body>", "a"),
+        ('<body><div class="post-comments-open"><p>a</p></div></body>', "a"),
+        ('<article><p>a</p><div class="market-share">b</div></article>', "a b"),
+        ('<article><p>a</p><section id="search-results-explained">b</section></article>', "a b"),
+        ("<article><header><h1>a</h1></header><p>b</p></article>", "a b"),
+        ('<article><p>a</p><div class="ad-box">b</div><section id="comments">c</section><form>d</form></article><header>e</header>', "a"),
+        ("<body><header><h1>a</h1></header><p>b</p><div class='cookie-notice'>c</div></body>", "b"),
+    ],
+)
+def test_names_of_side_elements(spark, body, text):
+    assert read_hosts(spark, {"h": [body]})["h"] == [text]
+
+
+def test_long_pages_align_fast_and_wrappers_stay_small():
+    import random
+    import time
+
+    rng = random.Random(3)
+    kinds = ["<p>%s</p>", "<div>%s</div>", "<ul><li>%s</ul>", "<h2>%s</h2>", "<div><p>%s</div>"]
+    pages = ["<body>" + "".join(rng.choice(kinds) % ("word " * 10 + str(rng.random())) for _ in range(3000)) + "</body>" for _ in range(2)]
+    assert min(map(len, pages)) > 200_000
+    a, b = (wrappers.parse(x)[0] for x in pages)
+    start = time.process_time()
+    out = wrappers._align(a, b)
+    assert time.process_time() - start < 2 and out.size() < 100
+    for _ in range(200):
+        out = wrappers._align(out, wrappers.parse("<body>" + "".join(rng.choice(kinds) % rng.random() for _ in range(40)) + "</body>")[0])
+    assert out.size() < 100
+
+
 # --- pipeline ---------------------------------------------------------------
 
 
