@@ -110,3 +110,30 @@ def test_time_axis(spark):
     found = chart_series(df, ["line", "scatter"]).orderBy("type", "seq").collect()
     assert [r["x"] for r in found[:2]] == ["2024-01-02", "2024-01-01"]
     assert found[2]["x_value"] == float(pd.Timestamp("2024-01-02").value)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_first_groups_in_rounds(spark, rows):
+    """A hot value, unique values after it, rows without position and without x."""
+    data = [(k if k < 95 else None, "hot" if k < 40 or k % 3 == 0 else None if k % 7 == 0 else f"v{k:03d}") for k in range(100)]
+    df = spark.createDataFrame(data, "o long, x string").repartition(5)
+    want: dict = {}
+    for o, x in sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        if x is not None:
+            want.setdefault(x, o)
+    found = [tuple(r) for r in charts.first_groups(df.na.drop(subset=["x"]), 30, rows).collect()]
+    assert found == list(want.items())[:30]
+    counted = series(charts.count_by_x(df, "x", "o"), "x", "y")
+    assert counted == [(x, sum(v == x for _, v in data)) for x in list(want)[:30]]
+
+
+def test_unique_groups_are_not_shuffled_whole(spark):
+    df = spark.range(50_000).selectExpr(f"id AS {ROW}", "concat('k', id) AS x", "id * 1.0 AS y")
+    assert charts.mean_by_x(df, "x", "y").count() == 30
+    plan = charts.mean_by_x(df, "x", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_no_rows_give_no_groups(spark):
+    df = spark.createDataFrame([], f"{ROW} long, x string, y double")
+    assert charts.count_by_x(df, "x").count() == charts.mean_by_x(df, "x", "y").count() == 0

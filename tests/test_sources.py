@@ -4,7 +4,7 @@ from datetime import datetime
 import pandas as pd
 import pytest
 
-from tidemill.roles import ROW
+from tidemill.roles import ROW, data_columns
 from tidemill.sources import csv, datasets
 from tidemill.streaming.cleaning import clean_rows
 from tidemill import CleanSpec
@@ -143,3 +143,12 @@ def test_csv_row_order_over_files_of_unequal_size(spark, tmp_path):
 def test_quoted_line_breaks(spark, tmp_path, line, spans):
     (tmp_path / "x.csv").write_text(line + "\n")
     assert csv._has_quoted_line_breaks(spark, str(tmp_path / "x.csv")) is spans
+
+
+def test_a_column_named_like_the_row_position_stays_data(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("_row,b\nx,1\ny,2\n")
+    df = datasets.load_dataset(spark, str(path))
+    assert data_columns(df) == ["_row.1", "b"] and sorted(r["_row.1"] for r in df.collect()) == ["x", "y"]
+    with pytest.raises(TypeError, match="kept for the row position"):
+        datasets.register([("t", spark.createDataFrame([("x", 1)], "_row string, b int"))])

@@ -21,38 +21,69 @@ from tidemill.roles import (
     numeric_columns,
     order_column,
 )
+from tidemill.session import stage
 
 # The chart types in default order, and how many points each shows.
 CHART_TYPES = ("bar", "line", "scatter", "histogram", "box", "pie")
 GROUPS = 30
 POINTS = 200
 SLICES = 8
+#: Rows looked at in one round for the first groups.
+WITNESS_ROWS = 10_000
 
 MEAN = "mean by unique x-axis"
 COUNT = "count by unique x-axis"
 
 
-def _labelled(df: DataFrame, x: str, groups: DataFrame) -> DataFrame:
-    """First groups in order of appearance, numbered, with x as text."""
-    first = groups.orderBy("first_seen").limit(GROUPS)
+def first_groups(base: DataFrame, k: int = GROUPS, rows: int = WITNESS_ROWS) -> DataFrame:
+    """``x, first_seen``: the first k values of ``x`` by least position ``o``; equal positions by x, rows without one last.
+
+    Grouping a table by a column of mostly different values would shuffle it whole.  Here each round takes the first rows, a bounded top-k, that
+    hold none of the values found so far, and ends with k values or no row left.  A round finds at least one
+    value, mostly all of them.
+    """
+    order = [F.asc_nulls_last("o"), F.asc("x")]
+    parts: list[DataFrame] = []
+    missing = k
+    while missing:
+        rest = base
+        for part in parts:
+            rest = rest.join(F.broadcast(part.select("x")), "x", "left_anti")
+        seen = rest.select("x", "o").orderBy(*order).limit(rows)
+        groups = seen.groupBy("x").agg(F.min("o").alias("first_seen"), F.count(F.lit(1)).alias("n"))
+        found = stage(groups.orderBy(F.asc_nulls_last("first_seen"), F.asc("x")).limit(missing), "first-groups")
+        size = found.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
+        parts.append(found.select("x", "first_seen"))
+        missing -= size["groups"]
+        if (size["rows"] or 0) < rows:
+            break
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _grouped(df: DataFrame, x: str, base: DataFrame, y) -> DataFrame:
+    """First groups in order of appearance, numbered, with x as text; only their rows are aggregated."""
+    first = first_groups(base)
+    groups = base.join(F.broadcast(first), "x").groupBy("x").agg(y.alias("y"), F.min("first_seen").alias("first_seen"))
     unit = time_units(first, ["x"]).get("x", "micro")
-    return numbered(first, "first_seen").select("seq", value_text(c("x"), dtype_of(df, x), unit).alias("x"), "y")
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("first_seen"), F.asc("x"))).cast("int")
+    return groups.withColumn("seq", place).select("seq", value_text(c("x"), dtype_of(df, x), unit).alias("x"), "y")
 
 
 def mean_by_x(df: DataFrame, x: str, y: str, order_by: str | None = None) -> DataFrame:
     """``seq, x, y``: mean of y per x for the first groups to appear."""
     order = order_column(df, order_by)
     base = df.select(c(x).alias("x"), to_number(c(y), dtype_of(df, y)).alias("y"), c(order).alias("o"))
-    groups = base.na.drop(subset=["x", "y"]).groupBy("x").agg(F.avg("y").alias("y"), F.min("o").alias("first_seen"))
-    return _labelled(df, x, groups)
+    return _grouped(df, x, base.na.drop(subset=["x", "y"]), F.avg("y"))
 
 
 def count_by_x(df: DataFrame, x: str, order_by: str | None = None) -> DataFrame:
     """``seq, x, y``: rows per x for the first groups to appear."""
     order = order_column(df, order_by)
     base = df.select(c(x).alias("x"), c(order).alias("o")).na.drop(subset=["x"])
-    groups = base.groupBy("x").agg(F.count(F.lit(1)).alias("y"), F.min("o").alias("first_seen"))
-    return _labelled(df, x, groups)
+    return _grouped(df, x, base, F.count(F.lit(1)))
 
 
 def pie_slices(df: DataFrame, x: str, k: int = SLICES) -> DataFrame:

@@ -49,6 +49,8 @@ def check_supported(df: DataFrame) -> None:
     ]
     if bad:
         raise TypeError(f"columns without a tabular type (nested or binary): {bad}")
+    if ROW in df.columns and not isinstance(dtype_of(df, ROW), T.IntegralType):
+        raise TypeError(f"the name {ROW!r} is kept for the row position, a whole number: rename the column")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

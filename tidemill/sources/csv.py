@@ -38,11 +38,11 @@ def unique_headers(names: Sequence[str | None]) -> list[str]:
     """Repeated headers become ``a``, ``a.1``, ``a.2``; empty ones ``Unnamed: 0``.
 
     Headers differing only in case count as repeated, since Spark's column names
-    ignore case.
+    ignore case, and so does one that is the name of the row position.
     """
     named = [n if n else f"Unnamed: {i}" for i, n in enumerate(names)]
     taken = {n.lower() for n in named}
-    seen: set[str] = set()
+    seen = {ROW}
     result = []
     for name in named:
         header, n = name, 0
