@@ -275,6 +275,32 @@ def test_token_counts(docs, name):
         assert all(r.over_limit == (r.n_tokens > 1024) for r in found)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_without_spaces(spark, name):
+    rng, path = random.Random(5), public_tokenizers.path(name)
+    mixed = ["ab ", "  ", "\n", "\t", "日", "é", "it's ", "<|endoftext|>", "1234", "!?"]
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x, n in (("日本語分割処理かなカナ漢字東京", 90_000), ("abcdefghijklmnopqrstuvwxyz", 40_000), ("0123456789", 30_000), (mixed, 20_000))]
+    texts += ["a" * 40_000, "ñ" * 20_000 + " ok", texts[0]]
+    rows = [(1 if t == texts[0] else i, t, "x") for i, t in enumerate(texts, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string")
+    library = units.load(open(path, "rb").read())
+    expected = sorted((i, len(t.encode()), len(library.encode([t])[0])) for i, t, _ in rows)
+    found = tokencount.count_tokens(df, path, chunks=tokencount.Chunks(5000, 256, 8)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in found) == expected
+
+
+def test_unspaced_text_is_spliced_at_once(spark):
+    """No wider overlap is needed, so that no task holds the document."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("日本語分割処理かなカナ漢字東京") for _ in range(100_000))
+    rows = spark.createDataFrame([(1, text, "k")], "id long, text string, text_key string")
+    data = units.broadcast_file(spark, GPT)
+    chunks = tokencount.Chunks(5000, 256, 8)
+    assert tokencount._pieces(rows, 5000, 256).count() == 20
+    (row,) = tokencount._spliced(rows, "bigint", data, chunks, 256).collect()
+    assert row.n_tokens == len(units.load(data.value).encode([text])[0])
+
+
 def test_token_files(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
     idfile.write_ids(docs.where("doc_id IS NOT NULL"), GPT, path)

@@ -1,26 +1,31 @@
 """Token counts, with huge texts encoded in overlapping chunks.
 
-A text of more than ``chars`` code points becomes rows of overlapping chunks, which go to different tasks.  Each chunk
-is encoded with offsets and reports the places in its overlaps where it can be cut: a single space in front of a
-visible character, a token border there, and a print of the tokens around it.  A byte-level vocabulary always splits
-there; for other files the equal tokens on both sides (``guard`` each) are the proof.  Neighbours are spliced at the first
-place that both report with the same print.  Where they share none, the text is done again with overlaps eight times as
-wide, until one chunk holds it all.
-
-A null text counts as an empty one.  Rows are counted one by one; repeated rows, also huge ones, all come back.
+A text of more than ``chars`` code points becomes rows of overlapping chunks, cut in one pass, which go to different tasks.
+Each chunk is encoded with offsets and reports the token borders in its overlaps, each with a print of the ``guard`` tokens on
+both sides (ids and places in the text).  Neighbours are spliced at the first border that both report with the same print,
+whether or not there is a space.  For byte pair encoding equal tokens around a border are a proof: a row of tokens is
+the encoding of its word if each two neighbours are the encoding of what they hold, and after the splice each two neighbours are
+neighbours in a chunk.  For other models the ``guard`` equal tokens are the evidence.  Where neighbours share no border, the text
+is done again with overlaps eight times as wide, until one chunk holds it all; that takes a text whose borders depend on
+where its encoding starts all along an overlap, such as one letter repeated.
+
+A null text counts as an empty one, and an empty table gives an empty one.  Rows are counted one by one; repeated rows, also huge
+ones, all come back.  Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.columns import c
-from tidemill.llm.common import id_type, map_columns
+from tidemill.llm.common import SLICE_BYTES, id_type, map_columns, slices
 from tidemill.llm.units import broadcast_file, load
 from tidemill.session import stage
 
@@ -61,51 +66,66 @@ def _huge(rows: DataFrame, kind: str, data, chunks: Chunks) -> DataFrame:
         rows, overlap = rows.join(failed, "text_key", "left_semi"), overlap * 8
 
 
+def _pieces(rows: DataFrame, step: int, overlap: int) -> DataFrame:
+    """Chunks of ``step + overlap`` code points that start every ``step``; a text no longer than ``overlap`` stays whole."""
+    names = ["id", "text_key", "text"]
+    schema = rows.select(*names).schema.add("n_bytes", "long").add("size", "integer").add("start", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (x for b in batches for part in slices(b) for x in (part.slice(i, 1) for i in range(part.num_rows))):
+            text = row.column(2)[0].as_py()
+            n_bytes, size = len(text.encode("utf-8", "replace")), len(text)
+            starts = [0] if size <= overlap else range(0, size, step)
+            several = max(1, SLICE_BYTES // (4 * (step + overlap)))
+            for i in range(0, len(starts), several):
+                some = starts[i : i + several]
+                texts = [text if size <= overlap else text[k : k + step + overlap] for k in some]
+                same = [x.take(pa.array([0] * len(some))) for x in (row.column(0), row.column(1))]
+                counts = [pa.array([x] * len(some), kind) for x, kind in ((n_bytes, pa.int64()), (size, pa.int32()))]
+                arrays = [*same, pa.array(texts, row.column(2).type), *counts, pa.array(list(some), pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.select(*names).mapInArrow(run, schema)
+
+
 def _spliced(rows: DataFrame, kind: str, data, chunks: Chunks, overlap: int) -> DataFrame:
     step, guard = chunks.chars, chunks.guard
-    size = F.length("text")
-    starts = F.when(size <= overlap, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), size - 1, F.lit(step)))
-    width = F.when(size <= overlap, size).otherwise(F.lit(step + overlap))
-    pieces = rows.select("id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), size.alias("size"), "text", width.alias("width"), F.explode(starts).alias("start"))
-    pieces = pieces.withColumn("text", F.substring("text", F.col("start") + 1, F.col("width"))).drop("width").repartition(c("text_key"), c("start"))
+    pieces = _pieces(rows, step, overlap).repartition(c("text_key"), c("start"))
 
     def encode(ids, keys, n_bytes, sizes, texts, starts):
         heads, tails, totals = [], [], []
         for text, start, size in zip(texts, starts, sizes, strict=True):
-            spans = load(data.value).offsets(text)
+            spans = load(data.value).spans(text)
             open_end = start + len(text) < size
-            heads.append(_places(text, spans, 0, overlap, guard, start, open_end) if start else [])
-            tails.append(_places(text, spans, step, step + overlap, guard, start, open_end) if open_end else [])
+            heads.append(_borders(spans, 0, overlap, guard, start, open_end) if start else _NONE)
+            tails.append(_borders(spans, step, step + overlap, guard, start, open_end) if open_end else _NONE)
             totals.append(len(spans))
         return [ids, keys, n_bytes, sizes, starts, heads, tails, totals]
 
-    place = "array<struct<at: long, before: long, print: long>>"
-    schema = f"id {kind}, text_key string, n_bytes long, size int, start int, heads {place}, tails {place}, total long"
+    borders = "struct<prints: array<long>, before: array<long>>"
+    schema = f"id {kind}, text_key string, n_bytes long, size int, start int, heads {borders}, tails {borders}, total long"
     encoded = map_columns(pieces, ["id", "text_key", "n_bytes", "size", "text", "start"], schema, encode)
     same = encoded.groupBy("id", "text_key", "n_bytes", "size", "start").agg(F.first(F.struct("heads", "tails", "total")).alias("x"), F.count(F.lit(1)).alias("copies"))
     following = F.lead("x.heads").over(Window.partitionBy("id", "text_key").orderBy("start"))
     pairs = same.select("*", following.alias("next"))
-    splice = F.expr(
-        "get(filter(transform(x.tails, t -> named_struct('t', t, 'h', filter(next, h -> h.at = t.at AND h.print = t.print))), p -> size(p.h) > 0), 0)"
-    )
-    last = F.col("next").isNull()
-    pairs = pairs.select("*", last.alias("last"), splice.alias("splice"))
-    tokens = F.when(F.col("last"), F.col("x.total")).otherwise(F.expr("splice.t.before - get(splice.h, 0).before"))
+    common = F.get(F.array_intersect("x.tails.prints", "next.prints"), F.lit(0))
+    pairs = pairs.select("*", F.col("next").isNull().alias("last"), common.alias("common"))
+    here, there = (F.expr(f"get({x}.before, CAST(array_position({x}.prints, common) AS INT) - 1)") for x in ("x.tails", "next"))
+    tokens = F.when(F.col("last"), F.col("x.total")).otherwise(here - there)
     whole = F.count(F.lit(1)) == F.count(tokens)
     return pairs.groupBy("id", "text_key", "n_bytes").agg(F.max("copies").alias("copies"), F.when(whole, F.sum(tokens)).alias("n_tokens"))
 
 
-def _places(text: str, spans: np.ndarray, low: int, high: int, guard: int, start: int, open_end: bool) -> list[dict]:
-    """Where a chunk can be cut between ``low`` and ``high``; positions are those of the whole text."""
-    found = []
-    begins, ends = spans[:, 0], spans[:, 1]
-    at = text.find(" ", max(low, 1), min(high, len(text) - 1))
-    while at > 0:
-        if not text[at - 1].isspace() and not text[at + 1].isspace():
-            k = int(np.searchsorted(begins, at))
-            enough = (k >= guard or not start) and (k + guard <= len(begins) or not open_end)
-            if enough and k and ends[k - 1] <= at:
-                around = spans[max(0, k - guard) : k + guard] - at
-                found.append({"at": start + at, "before": k, "print": zlib.crc32(around.tobytes())})
-        at = text.find(" ", at + 1, min(high, len(text) - 1))
-    return found
+_NONE = {"prints": [], "before": []}
+
+
+def _borders(spans: np.ndarray, low: int, high: int, guard: int, start: int, open_end: bool) -> dict:
+    """The token borders of a chunk between ``low`` and ``high``: a print of place and neighbours, and the tokens before."""
+    begins = spans[:, 0]
+    first, end = (int(np.searchsorted(begins, x)) for x in (low, high))
+    first = max(first, guard if start else 1)
+    end = min(end, len(spans) - guard + 1 if open_end else len(spans))
+    placed = spans + np.array([start, start, 0])
+    # The place in the upper half, so that equal neighbours elsewhere have another print.
+    prints = [(start + int(begins[k])) << 32 | zlib.crc32(placed[max(0, k - guard) : k + guard].tobytes()) for k in range(first, end)]
+    return {"prints": prints, "before": list(range(first, first + len(prints)))}

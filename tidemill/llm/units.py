@@ -47,9 +47,10 @@ class Library:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def offsets(self, text: str) -> np.ndarray:
-        """Start and end of each token, in code points."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+    def spans(self, text: str) -> np.ndarray:
+        """Start, end (in code points) and id of each token, a row each."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.column_stack([np.array(found.offsets, np.int64).reshape(-1, 2), np.array(found.ids, np.int64)])
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
@@ -160,9 +161,9 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1) if texts else []
 
-    def offsets(self, text: str) -> np.ndarray:
+    def spans(self, text: str) -> np.ndarray:
         pieces = self.model.encode(text, return_type="proto").pieces
-        return np.array([(p.begin, p.end) for p in pieces], np.int64).reshape(-1, 2)
+        return np.array([(p.begin, p.end, p.id) for p in pieces], np.int64).reshape(-1, 3)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, "<u4").tobytes() for ids in self.encode(texts)]
