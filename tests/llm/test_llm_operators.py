@@ -446,9 +446,14 @@ def brute_disclosure(texts):
             pool = ("@" + v.split("@")[-1], v[: v.rfind(".") + 1], v[:6] + "*", v[:-7] + "*")[kind]
             for name in (f"{pii.KINDS[kind]}:{v}", f"{pii.KINDS[kind]}:{pool}", pii.KINDS[kind]):
                 held.setdefault(name, set()).add(k)
-        for m in re.finditer(r"[^\W\d_]{3,}", t or ""):
-            if not any(start < m.end() and m.start() < end for start, _, end in spans):
-                having.setdefault(m[0].lower(), set()).add(k)
+        unspaced = [False, *(0x3040 <= ord(x) <= 0x30FF or 0x4E00 <= ord(x) <= 0x9FFF for x in t or ""), False]
+        for m in re.finditer(r"\w+", t or ""):
+            bounds = [m.start(), *(i for i in range(m.start() + 1, m.end()) if unspaced[i] != unspaced[i + 1]), m.end()]
+            for low, high in zip(bounds, bounds[1:]):
+                if high - low > 1 and not any(start < high and low < end for start, _, end in spans):
+                    own = [t[i : i + 2] for i in range(low, high - 1)] if unspaced[low + 1] else [t[low:high].lower()]
+                    for w in own:
+                        having.setdefault(w, set()).add(k)
     least, out = 2 * np.log(len(held) * len(texts)), {}
     for e, in_e in held.items():
         for w in {w for w in having if having[w] & in_e}:
@@ -475,6 +480,21 @@ def test_disclosure_brute_force(spark):
     assert queries.op2_pii(spark, "/root/testdata/sf0.01").where("n_term > 0").count() > 0
 
 
+def test_terms_with_digits_and_without_spaces(spark):
+    told = [f"user42 of Wu has AKIA12345 and 0077-1234, 山田太郎さんno, at me{k}@corp.com" for k in range(30)]
+    other = [f"plain user of has and at text 123{k} 田んぼ at" for k in range(70)]
+    texts = [*told, *other, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_disclosure(texts)
+    assert {("email:@corp.com", x) for x in ("user42", "wu", "akia12345", "0077", "1234", "山田", "田太", "さん", "no")} <= expected.keys()
+    for limit in (300_000, 0):
+        assert {(r.entity, r.term): round(r.share, 9) for r in pii.revealing_terms(df, broadcast_terms=limit).collect()} == expected
+        rows = {r.doc_id: r for r in pii.sanitise(df, broadcast_terms=limit).collect()}
+        for word in ("user42", "Wu", "AKIA12345", "山", "田", "太", "郎"):
+            assert word not in rows[3].sanitised
+        assert rows[40].spans == [] and "[EMAIL]" in rows[3].sanitised
+
+
 def test_hot_and_pooled_entities_have_terms(spark):
     hot = [f"Quibble regards reach me at one{k}@corp.com or two" for k in range(40)] + [f"plain text of number {k}" for k in range(60)]
     df = spark.createDataFrame(list(enumerate(hot)), "doc_id long, text string")

@@ -1,15 +1,16 @@
 """Personal data: patterns find protected entities, co-occurrence finds the terms that reveal them.
 
 Patterns (e-mail, IP address, card, phone) give the base spans.  Entities are the exact values and pools of them: the kind,
-the mail domain, the network of an address, the leading digits of a card or phone.  All words of a document outside its base
-spans are terms.  With document counts over the whole corpus, a term discloses an entity if documents with the term
+the mail domain, the network of an address, the leading digits of a card or phone.  Terms are all words of two characters or more
+outside a document's base spans, with their digits and underscores (account names, numbers, keys), and each two neighbouring characters
+of scripts without spaces; terms of such a run may overlap.  With document counts over the whole corpus, a term discloses an entity if documents with the term
 mostly hold the entity (``min_share``) and if both meet more often than chance explains: the log-likelihood ratio of their
 counts is at least 2 ln(entities * documents), so the support that is asked for follows from the counts.  A single
 document never reaches it, two documents that alone hold a value and a term usually do.  In documents that hold the entity such
 terms become spans too.  Sanitised texts have the kind in place of a base span; a term that is nearly an identifier
 (``remove_share``) is removed, other revealing terms are generalised to ``[TERM]``.
 
-A null text counts as empty.  Rows are treated one by one, repeated rows count as documents of their own; other columns
+A null text counts as empty; a text of any length is read whole, and held by one task.  Rows are treated one by one, repeated rows count as documents of their own; other columns
 are not read.  What is sent to the executors (entities, candidate terms, revealing pairs) is counted first; beyond
 ``BROADCAST_TERMS`` it is joined instead.
 """
@@ -43,7 +44,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+#: Scripts written without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(r"\w{2,}")
+_WORD_OR_RUN = re.compile(rf"[^\W{_UNSPACED}]{{2,}}|([{_UNSPACED}]{{2,}})")
 
 
 @dataclass(frozen=True)
@@ -110,13 +114,17 @@ def _entities(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
 
 
 def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """Words that touch no base span, lower-cased, with their places."""
+    """Terms that touch no base span, lower-cased, with their places: words and numbers, and pairs of characters of unspaced scripts."""
     out, k, end = [], 0, 0
-    for m in _WORD.finditer(text):
+    for m in (_WORD if text.isascii() else _WORD_OR_RUN).finditer(text):
         while k < len(spans) and spans[k][0] < m.end():
             end = max(end, spans[k][2])
             k += 1
-        if end <= m.start():
+        if end > m.start():
+            continue
+        if m.lastindex:
+            out += [(text[i : i + 2], i, i + 2) for i in range(m.start(), m.end() - 1)]
+        else:
             out.append((m[0].lower(), m.start(), m.end()))
     return out
 
