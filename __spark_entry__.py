@@ -50,6 +50,12 @@ EVENTS = {
 }
 # Few columns, so that equal rows arise by themselves.
 VISITS = {"_row": "event_id", "user_id": "user_id", "event_type": EVENTS["event_type"]}
+# One row in ten is a copy of the row before.
+COPIED = {
+    "_row": "event_id",
+    "origin": "CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END",
+    "half": "CASE WHEN event_id % 20 < 8 THEN NULL WHEN event_id % 10 = 9 THEN (event_id - 1) / CAST(2 AS DOUBLE) ELSE event_id / CAST(2 AS DOUBLE) END",
+}
 CUSTOMERS = {
     "_row": "c_custkey",
     "c_name": "CASE WHEN c_custkey % 9 = 0 THEN '   ' ELSE concat('  ', c_name, chr(9)) END",
@@ -412,6 +418,8 @@ def queries() -> dict[str, Query]:
         "clean_drop_columns": on("events", PADDED, lambda df: cleaning.drop_columns(df, ["k_gap", "value", "nothing"])),
         "clean_drop_missing_rows": on("events", EVENTS, cleaning.drop_missing_rows),
         "clean_dedup": on("events", VISITS, lambda df: duplicates.drop_duplicates(df, "copies")),
+        "clean_dedup_hashes": on("events", COPIED, lambda df: duplicates.drop_duplicates(df, "copies", df.count(), small_rows=0)),
+        "clean_dedup_filter": on("events", COPIED, lambda df: duplicates.drop_duplicates(df, "copies", df.count(), small_rows=0, max_repeated=0)),
         "clean_remove_outliers": on("events", EVENTS, _remove_outliers),
         "clean_cap_outliers": on("events", EVENTS, _cap_outliers),
         "clean_round": on("lineitem", LINES, lambda df: cleaning.round_numeric(df, 1)),
@@ -735,6 +743,10 @@ def oracle_sql() -> dict[str, str]:
         "clean_drop_columns": _with(PADDED, "events", f"SELECT {events_cols}, k_const, k_empty FROM d"),
         "clean_drop_missing_rows": _with(EVENTS, "events", "SELECT * FROM d WHERE event_type IS NOT NULL AND value IS NOT NULL"),
         "clean_dedup": _with(VISITS, "events", "SELECT user_id, event_type, min(_row) AS _row, count(*) AS copies FROM d GROUP BY user_id, event_type"),
+        **dict.fromkeys(
+            ("clean_dedup_hashes", "clean_dedup_filter"),
+            _with(COPIED, "events", "SELECT min(_row) AS _row, origin, half, count(*) AS copies FROM d GROUP BY origin, half"),
+        ),
         "clean_fill_median": _with(EVENTS, "events", f"SELECT {events_cols}, {rnd('coalesce(value, (SELECT median(value) FROM d))', 6)} AS value FROM d"),
         "clean_fill_mean": _with(EVENTS, "events", f"SELECT {events_cols}, {rnd('coalesce(value, (SELECT avg(value) FROM d))', 6)} AS value FROM d"),
         "clean_fill_zero": _with(EVENTS, "events", f"SELECT {events_cols}, {rnd('coalesce(value, 0)', 6)} AS value FROM d"),

@@ -76,6 +76,30 @@ def test_duplicates_by_hash(spark, monkeypatch, limit):
     assert duplicates.duplicate_rows(df, 3000, 0).first()[0] == 1998
 
 
+@pytest.mark.parametrize("filter_bytes", [64 << 20, 1])
+def test_filter_of_repeated_hashes(spark, filter_bytes):
+    """One row in ten is a copy: only those and a few others are grouped; a filter that is too small finds the same."""
+    df = spark.range(40_000).selectExpr(f"id AS {ROW}", "CASE WHEN id % 10 = 9 THEN id - 1 ELSE id END AS x", "'p' AS _hash", "id % 1 AS _bits")
+    names = ["x", "_hash", "_bits"]
+    by_filter = duplicates.Repeated(df, names, 0, filter_bytes)
+    assert by_filter.table.agg(F.sum(F.size("_bits"))).first()[0] * 8 <= max(filter_bytes, 4096)
+    passed = by_filter.rows(df, shared=True).count()
+    assert passed + by_filter.rows(df, shared=False).count() == 40_000
+    assert 8_000 <= passed < (10_000 if filter_bytes > 1 else 40_001)
+    kept = duplicates.drop_duplicates(df, "copies", 40_000, 0, 0, filter_bytes)
+    assert kept.columns == [*df.columns, "copies"]
+    want = {(i, i, "p", 0, 1 + (i % 10 == 8)) for i in range(40_000) if i % 10 != 9}
+    assert {tuple(r) for r in kept.collect()} == want
+    assert duplicates.duplicate_rows(df, 40_000, 0, 0, filter_bytes).first()[0] == 4_000
+
+
+def test_rows_without_equals_are_not_shuffled(spark):
+    df = spark.range(1000).selectExpr("CASE WHEN id % 10 = 9 THEN id - 1 ELSE id END AS x")
+    unique = duplicates.Repeated(df, ["x"], 0, 1 << 20).rows(df, shared=False)
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_colliding_hashes_are_compared(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "row_hash", lambda df, names: c(names[0]) % 2)
     df = spark.range(20).selectExpr(f"id AS {ROW}", "id % 10 AS x")
