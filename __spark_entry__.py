@@ -357,6 +357,40 @@ def _ml_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _linear(spark: SparkSession, sf_dir: str):
+    return train(table(spark, sf_dir, "part"), TrainSpec("p_retailprice", ("p_partkey",), "linear", key="p_partkey"))
+
+
+def _linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_linear(spark, sf_dir).importance, "importance", digits=3)
+
+
+def _linear_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = {n: F.round(F.col(n).cast("double"), 3) for n in ("actual", "predicted")}
+    return _linear(spark, sf_dir).predictions.withColumns(numbers)
+
+
+def _linear_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training report as one row, its scores to three digits and lists as JSON."""
+    report = _linear(spark, sf_dir).summary_frame().select(*_REPORT)
+    return _rounded(report, "score", "train_score", "test_score", digits=3)
+
+
+def _model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts' prices as predicted by a model that was stored and loaded again."""
+    path = _scratch(spark, "model")
+    _linear(spark, sf_dir).save(path)
+    scored = PipelineModel.load(path).transform(table(spark, sf_dir, "part"))
+    return scored.select("p_partkey", F.round("prediction", 3).alias("predicted"))
+
+
+_REPORT = (
+    "target_column", "selected_feature_columns", "requested_model_type", "selected_model_key", "train_split_percentage",
+    "train_test_ratio", "train_rows", "test_rows", "total_rows", "feature_count", "numeric_feature_count",
+    "categorical_feature_count", "problem_type", "score", "train_score", "test_score",
+)
+
+
 def _onehot_wide(df: DataFrame) -> DataFrame:
     """Every customer's name is a category: encoded by a join with the positions of the names."""
     fitted = preprocessing.fit_preprocessor(df, ["c_name"], local_values=5)
@@ -463,6 +497,10 @@ def queries() -> dict[str, Query]:
         "ml_confusion": on("labels", None, lambda df: metrics.confusion_matrix(df, "quality", "toxic", [0, 1])),
         "ml_reg_metrics": on("part", None, _reg_metrics),
         "ml_train_linear": _ml_linear,
+        "ml_linear_importance": _linear_importance,
+        "ml_linear_predictions": _linear_predictions,
+        "ml_linear_report": _linear_report,
+        "ml_model_reload": _model_reload,
         "ml_train_auto": _train_auto,
         "ml_train_classes": _train_classes,
         "ml_importance": lambda s, d: _trained(s, d, "random_forest").importance,
@@ -695,6 +733,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT max(n) AS train_rows, count(*) AS test_rows,
                round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 3) AS r2_score,
                round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, round(avg(abs(y - p)), 3) AS mae FROM te"""
+    price_fit = "tr AS (SELECT regr_slope(p_retailprice, p_partkey) AS a, regr_intercept(p_retailprice, p_partkey) AS b FROM split WHERE is_train)"
     events_cols = "_row, user_id, event_type"
     sql = {
         "eda_columns": "SELECT * FROM (VALUES (0, 'o_custkey', 'numeric', 'bigint'), (1, 'o_orderstatus', 'categorical', 'string'), "
@@ -852,6 +891,19 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {rnd('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))', 4)} AS r2_score, "
         f"{rnd('sqrt(avg((y - p) * (y - p)))', 4)} AS rmse, {rnd('avg(abs(y - p))', 4)} AS mae FROM e",
         "ml_train_linear": f"WITH {_split('part', 'p_partkey', '1', 0.8)} {part_fit}",
+        "ml_linear_importance": f"WITH {_split('part', 'p_partkey', '1', 0.8)} SELECT 'num__p_partkey' AS name, "
+        "round(abs(regr_slope(p_retailprice, p_partkey)) * stddev_pop(p_partkey), 3) AS importance FROM split WHERE is_train",
+        "ml_linear_predictions": f"WITH {_split('part', 'p_partkey', '1', 0.8)}, {price_fit} SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS seq, "
+        "round(p_retailprice, 3) AS actual, round(a * p_partkey + b, 3) AS predicted FROM split, tr WHERE NOT is_train ORDER BY p_partkey LIMIT 10",
+        "ml_model_reload": f"WITH {_split('part', 'p_partkey', '1', 0.8)}, {price_fit} SELECT p_partkey, round(a * p_partkey + b, 3) AS predicted FROM split, tr",
+        "ml_linear_report": f"""WITH {_split('part', 'p_partkey', '1', 0.8)}, {price_fit},
+            side AS (SELECT is_train, count(*) AS n, round(1 - sum((p_retailprice - a * p_partkey - b) ** 2) / (var_pop(p_retailprice) * count(*)), 3) AS r2
+                     FROM split, tr GROUP BY is_train)
+            SELECT 'p_retailprice' AS target_column, '["p_partkey"]' AS selected_feature_columns, 'linear' AS requested_model_type, 'linear' AS selected_model_key,
+              CAST(80 AS DOUBLE) AS train_split_percentage, '0.8:0.2' AS train_test_ratio, x.n AS train_rows, y.n AS test_rows, x.n + y.n AS total_rows,
+              CAST(1 AS BIGINT) AS feature_count, CAST(1 AS BIGINT) AS numeric_feature_count, CAST(0 AS BIGINT) AS categorical_feature_count,
+              'regression' AS problem_type, y.r2 AS score, x.r2 AS train_score, y.r2 AS test_score
+            FROM side x, side y WHERE x.is_train AND NOT y.is_train""",
         "run_history": f"WITH r AS ({spoil(RUNS, 'events')}), s AS ({spoil(CATALOG, 'customer')}) "
         f"SELECT project_id, id, run_type, title, dataset_id, dataset_name, score, {_iso('created_at')} AS created_at FROM "
         "(SELECT r.*, s.name AS dataset_name, row_number() OVER (PARTITION BY r.project_id ORDER BY r.created_at DESC, r.id DESC) AS rn "

@@ -29,6 +29,7 @@ SAMPLES = {
     "repeated": "a,a,a.1,,b\n1,2,3,4,5\n",
     "short": "a,b,c\n1,2,3\n4,5\n",
     "huge": "a,b\n123456789012345678901,1\n5,inf\n",
+    "unsigned": "a,b,c,d,e\n18446744073709551615,1,9223372036854775808,9223372036854775808,1.5\n5,-2,-1,x,10000000000000000000\n",
     "spaces": "a,b\n x ,1\n  , 2 \n",
     "mixed_bool": "a,b\nTrue,1\nyes,2\n",
 }
@@ -39,12 +40,21 @@ def test_read_like_a_data_frame(spark, tmp_path, name):
     path = written(tmp_path, SAMPLES[name])
     df, want = loaded(spark, path), pd.read_csv(path)
     assert df.columns == want.columns.tolist()
-    kinds = {"bigint": "int64", "double": "float64", "boolean": "bool", "string": "object"}
+    kinds = {"bigint": "int64", "double": "float64", "boolean": "bool", "string": "object", "decimal(20,0)": "uint64"}
     assert [kinds[t] for _, t in df.dtypes] == [str(t) for t in want.dtypes]
     rows = [tuple(None if pd.isna(v) else v for v in r) for r in want.itertuples(index=False)]
     assert [tuple(r) for r in df.collect()] == rows
 
 
+def test_unsigned_numbers_survive_a_round_trip(spark, tmp_path):
+    df = spark.sql("SELECT CAST(18446744073709551615 AS DECIMAL(20,0)) AS n, 0L AS _row UNION ALL SELECT 7, 1L")
+    path = datasets.save_dataset(df, str(tmp_path / "numbers"), preserve_types=False)
+    assert datasets.sidecar(df) == {"n": "uint64"} == datasets.read_sidecar(spark, path)
+    back = datasets.load_dataset(spark, path)
+    assert back.schema["n"].dataType.simpleString() == "decimal(20,0)"
+    assert [int(r.n) for r in back.orderBy(ROW).collect()] == [2**64 - 1, 7]
+
+
 def test_rows_wider_than_the_header_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         csv.read_csv(spark, written(tmp_path, "a,b\n1,2\n1,2,3\n"))

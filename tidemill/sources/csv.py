@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ _SPLIT = {"__path": "_metadata.file_path", "__start": "_metadata.file_block_star
 _SPLIT_ROWS = 1 << 33
 #: File splits whose positions are broadcast (some 150 bytes each); beyond it they are joined.
 _BROADCAST_SPLITS = 1_000_000
-_GAP, _WHOLE, _HUGE, _NUMBER, _BOOLEAN, _TEXT = 1, 2, 4, 8, 16, 32
+_GAP, _WHOLE, _HUGE, _NUMBER, _BOOLEAN, _TEXT, _UNSIGNED, _NEGATIVE = 1, 2, 4, 8, 16, 32, 64, 128
+#: Holds whole numbers up to the greatest unsigned one of 64 bits.
+_UNSIGNED_TYPE, _UNSIGNED_MAX = "decimal(20,0)", Decimal((1 << 64) - 1)
 
 
 def unique_headers(names: Sequence[str | None]) -> list[str]:
@@ -89,11 +92,13 @@ def _refuse_wide_rows(spark: SparkSession, path: str, names: list[str], multi_li
 
 
 def _kind(col: Column) -> Column:
-    """What one field looks like, as a bit; a column's bits are simply or-ed."""
+    """What one field looks like, as bits; a column's bits are simply or-ed."""
     text = number_text(col)
+    small, wide = text.try_cast("bigint"), text.try_cast(_UNSIGNED_TYPE)
+    whole = F.when(small < 0, _WHOLE | _NEGATIVE).when(small >= 0, _WHOLE).when(wide.between(0, _UNSIGNED_MAX), _UNSIGNED).otherwise(_HUGE)
     return (
         F.when(col.isNull(), _GAP)
-        .when(text.rlike(_INTEGER), F.when(text.try_cast("bigint").isNull(), _HUGE).otherwise(_WHOLE))
+        .when(text.rlike(_INTEGER), whole)
         .when(text.rlike(NUMBER) | text.rlike(INFINITY), _NUMBER)
         .when(col.isin(*TRUE_TOKENS, *FALSE_TOKENS), _BOOLEAN)
         .otherwise(_TEXT)
@@ -102,6 +107,11 @@ def _kind(col: Column) -> Column:
 
 def _typed(col: Column, seen: int) -> Column:
     """The narrowest type that holds everything seen in a column."""
+    if seen in (_UNSIGNED, _UNSIGNED | _WHOLE):
+        return number_text(col).cast(_UNSIGNED_TYPE)
+    if seen & _UNSIGNED:
+        seen |= _HUGE
+    seen &= ~(_UNSIGNED | _NEGATIVE)
     values = seen & ~_GAP
     if not values:
         return col.cast("double")
@@ -128,7 +138,8 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     """Read a CSV table with its row position.
 
     Columns are text narrowed to bigint, double or boolean where every value
-    fits; dates stay text, and whole numbers with gaps become double.  One aggregate
+    fits, or to decimal(20,0) where whole numbers need all 64 bits without a sign and there
+    are no gaps; dates stay text, and whole numbers with gaps become double.  One aggregate
     scan decides all types, finds malformed rows and lists the file splits, whose
     order gives the row position.  Files are split for
     parallel reading unless some field spans lines, which is looked for when

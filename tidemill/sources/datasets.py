@@ -45,6 +45,8 @@ def sidecar(df: DataFrame) -> dict[str, str]:
     def name(dtype: T.DataType) -> str:
         if is_timestamp(dtype) or isinstance(dtype, T.DateType):
             return "datetime64[ns]"
+        if isinstance(dtype, T.DecimalType) and (dtype.precision, dtype.scale) == (20, 0):
+            return "uint64"
         return _SIDECAR_NAMES.get(type(dtype), "float64")
 
     return {n: name(dtype_of(df, n)) for n in data_columns(df)}
