@@ -297,6 +297,8 @@ def test_unspaced_text_is_spliced_at_once(spark):
     data = units.broadcast_file(spark, GPT)
     chunks = tokencount.Chunks(5000, 256, 8)
     assert tokencount._pieces(rows, 5000, 256).count() == 20
+    for size, pieces in ((5256, 1), (5257, 2), (10_256, 2), (10_257, 3)):  # the last chunk always has an overlap to splice at
+        assert tokencount._pieces(rows.withColumn("text", F.substring("text", 1, size)), 5000, 256).count() == pieces
     (row,) = tokencount._spliced(rows, "bigint", data, chunks, 256).collect()
     assert row.n_tokens == len(units.load(data.value).encode([text])[0])
 

@@ -67,7 +67,7 @@ def _huge(rows: DataFrame, kind: str, data, chunks: Chunks) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, step: int, overlap: int) -> DataFrame:
-    """Chunks of ``step + overlap`` code points that start every ``step``; a text no longer than ``overlap`` stays whole."""
+    """Chunks of ``step + overlap`` code points that start every ``step``, until one reaches the end of the text."""
     names = ["id", "text_key", "text"]
     schema = rows.select(*names).schema.add("n_bytes", "long").add("size", "integer").add("start", "integer")
 
@@ -75,11 +75,11 @@ def _pieces(rows: DataFrame, step: int, overlap: int) -> DataFrame:
         for row in (x for b in batches for part in slices(b) for x in (part.slice(i, 1) for i in range(part.num_rows))):
             text = row.column(2)[0].as_py()
             n_bytes, size = len(text.encode("utf-8", "replace")), len(text)
-            starts = [0] if size <= overlap else range(0, size, step)
+            starts = range(0, max(1, size - overlap), step)  # none begins where another already reaches the end
             several = max(1, SLICE_BYTES // (4 * (step + overlap)))
             for i in range(0, len(starts), several):
                 some = starts[i : i + several]
-                texts = [text if size <= overlap else text[k : k + step + overlap] for k in some]
+                texts = [text[k : k + step + overlap] for k in some]
                 same = [x.take(pa.array([0] * len(some))) for x in (row.column(0), row.column(1))]
                 counts = [pa.array([x] * len(some), kind) for x, kind in ((n_bytes, pa.int64()), (size, pa.int32()))]
                 arrays = [*same, pa.array(texts, row.column(2).type), *counts, pa.array(list(some), pa.int32())]

@@ -163,7 +163,11 @@ class Pieces:
 
     def spans(self, text: str) -> np.ndarray:
         pieces = self.model.encode(text, return_type="proto").pieces
-        return np.array([(p.begin, p.end, p.id) for p in pieces], np.int64).reshape(-1, 3)
+        found = np.array([(p.begin, p.end, p.id) for p in pieces], np.int64).reshape(-1, 3)
+        # The library counts in bytes of UTF-8.
+        heads = (np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80
+        found[:, :2] = np.append(0, np.cumsum(heads))[found[:, :2]]
+        return found
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, "<u4").tobytes() for ids in self.encode(texts)]
