@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemill import TrainSpec, train
-from tidemill.learning import dictionary, frames, metrics, preprocessing
+from tidemill.learning import dictionary, forests, frames, metrics, preprocessing, training
 from tidemill.learning.candidates import CANDIDATES, Sizes
 from tidemill.roles import ROW
 
@@ -221,3 +221,44 @@ def test_spec_is_checked(iris):
     for share in (0.5, 0.95):
         with pytest.raises(ValueError):
             TrainSpec("kind", train_split=share)
+
+
+@pytest.mark.parametrize("rows, cores, expected", [(5, 12, (1, 1)), (16_000, 12, (1, 1)), (900_000, 12, (12, 3)), (7_200_000, 12, (12, 8)), (50_000_000, 12, (50, 50))])
+def test_tasks_stop_at_the_cores(rows, cores, expected):
+    assert training._tasks(rows, cores) == expected
+
+
+@pytest.mark.parametrize("target", ["kind", "size"])
+def test_forest_in_parts(spark, iris, tmp_path, target):
+    """All trees, in parts that differ; the whole is their mean or the sum of their votes, also after a reload."""
+    result = train(iris, TrainSpec(target, ("n", "flag", "tag"), "random_forest", sizes=Sizes(forest=7, forest_depth=4)))
+    model = result.model.stages[-2 if target == "kind" else -1]
+    assert sorted(m.getNumTrees for m in model.parts) == [1, 2, 2, 2] and model.getNumTrees == 7
+    assert len({m.toDebugString.split("\n", 1)[1] for m in model.parts}) > 1
+    assert result.summary["model_type"] == ("RandomForestClassificationModel" if target == "kind" else "RandomForestRegressionModel")
+    assert sum(model.featureImportances.toArray()) == pytest.approx(1)
+    path = str(tmp_path / "model")
+    result.save(path)
+    for whole in (result.model, PipelineModel.load(path)):
+        rows = whole.transform(iris).collect()
+        for r in rows[::40]:
+            features = r["__features"]
+            if target == "kind":
+                votes = sum(m.predictRaw(features).toArray() for m in model.parts)
+                assert list(r["rawPrediction"]) == pytest.approx(list(votes)) and list(r["probability"]) == pytest.approx(list(votes / 7))
+                assert r["prediction"] == votes.argmax() and r["predicted_value"] == "abc"[votes.argmax()]
+            else:
+                assert r["prediction"] == pytest.approx(sum(m.predict(features) * m.getNumTrees for m in model.parts) / 7)
+
+
+def test_parts_of_a_forest():
+    assert forests.part_sizes(220, 12) == [19] * 4 + [18] * 8 and forests.part_sizes(2, 12) == [1, 1] and forests.part_sizes(4, 1) == [4]
+
+
+def test_each_candidate_predicts_once(iris, monkeypatch):
+    """A model, which may be large, is sent for one pass over the rows; scores, metrics and previews read its stored result."""
+    passes = []
+    monkeypatch.setattr(training, "stage", lambda df, label, kept=training.stage: passes.append(label) or kept(df, label))
+    result = train(iris, TrainSpec("kind", ("size",), "random_forest", sizes=QUICK))
+    assert passes.count("predicted") == 1
+    assert "__features" not in result.scored.columns and result.scored.count() == result.summary["test_rows"]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+from tidemill.learning.forests import Forest
 from tidemill.learning.preprocessing import FEATURES
 
 LABEL = "__label"
@@ -40,8 +42,8 @@ class Sizes:
     min_rows_per_leaf: int = 1
 
 
-def estimators(classification: bool, classes: int, rows: int, sizes: Sizes) -> dict[str, Estimator]:
-    """One estimator per candidate.
+def estimators(classification: bool, classes: int, rows: int, sizes: Sizes, parts: int = 1, tasks: int = 1) -> dict[str, Estimator | Forest]:
+    """One estimator per candidate; forests are fitted in ``parts``, each on ``tasks`` tasks.
 
     ``xgboost`` is Spark's gradient-boosted trees.  Spark has no extremely
     randomised trees: ``extra_trees`` approximates them by trees on unbootstrapped
@@ -51,7 +53,6 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes) -> d
     boosted = {**columns, "maxDepth": sizes.boosted_depth, "maxBins": _BINS, "seed": SEED}
     forest = {
         **columns,
-        "numTrees": sizes.forest,
         "maxDepth": sizes.forest_depth,
         "minInstancesPerNode": sizes.min_rows_per_leaf,
         # Room for the statistics of many nodes, so that a level takes few passes.
@@ -59,21 +60,24 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes) -> d
         # Deep forests on few rows go faster with each row's node remembered;
         # on many rows that would cost more storage than the table itself.
         "cacheNodeIds": rows * sizes.forest <= _CACHED_NODE_IDS,
-        "seed": SEED,
     }
+
+    def trees(learner: type[Estimator], **options) -> Forest:
+        return Forest(partial(learner, **options), sizes.forest, SEED, parts, tasks)
+
     random = {**forest, "bootstrap": False, "subsamplingRate": 0.8, "maxBins": 16}
     if not classification:
         return {
             "xgboost": GBTRegressor(maxIter=sizes.boosted_regressor, stepSize=sizes.regressor_rate, **boosted),
-            "random_forest": RandomForestRegressor(featureSubsetStrategy="all", maxBins=_BINS, **forest),
-            "extra_trees": RandomForestRegressor(featureSubsetStrategy="onethird", **random),
+            "random_forest": trees(RandomForestRegressor, featureSubsetStrategy="all", maxBins=_BINS, **forest),
+            "extra_trees": trees(RandomForestRegressor, featureSubsetStrategy="onethird", **random),
             "linear": LinearRegression(regParam=0.0, **columns),
         }
     boost = GBTClassifier(maxIter=sizes.boosted_classifier, stepSize=sizes.classifier_rate, **boosted)
     return {
         "xgboost": boost if classes <= 2 else OneVsRest(classifier=boost, **columns),
-        "random_forest": RandomForestClassifier(featureSubsetStrategy="sqrt", maxBins=_BINS, **forest),
-        "extra_trees": RandomForestClassifier(featureSubsetStrategy="sqrt", **random),
+        "random_forest": trees(RandomForestClassifier, featureSubsetStrategy="sqrt", maxBins=_BINS, **forest),
+        "extra_trees": trees(RandomForestClassifier, featureSubsetStrategy="sqrt", **random),
         # An L2 penalty of 1 on the summed loss, on features that are scaled already.
         "linear": LogisticRegression(maxIter=2000, regParam=1.0 / max(1, rows), standardization=False, **columns),
     }

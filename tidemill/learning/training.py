@@ -28,7 +28,12 @@ TOP_FEATURES = 15
 PREDICTION = "prediction"
 TRAIN = "__train"
 PREDICTED = "predicted_value"
+#: Iterative learners pass over the rows hundreds of times: no more tasks than the rows are worth, or than there are cores.
 _ROWS_PER_TASK = 10_000
+#: Whatever the cores, no task holds more rows.
+_MOST_ROWS_PER_TASK = 1_000_000
+#: A forest's parts run side by side, each on a share of the tasks.
+_TASK_SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -116,6 +121,16 @@ def _scores(scored: DataFrame, classification: bool) -> tuple[float, float]:
     return by_side.get(True, float("nan")), by_side.get(False, float("nan"))
 
 
+def _tasks(rows: int, cores: int) -> tuple[int, int]:
+    """How many tasks pass over the rows, and how many do so for a part of a forest.
+
+    In each pass every task sends statistics of all open nodes, so that tasks beyond the cores only add to what is sent.
+    """
+    least = max(1, -(-rows // _MOST_ROWS_PER_TASK))
+    every = max(least, min(cores, rows // _ROWS_PER_TASK))
+    return every, max(least, every // _TASK_SHARE)
+
+
 def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     """Fit one candidate or all of them, and keep the one with the best test score.
 
@@ -146,25 +161,28 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     ready = stage(ready.select(FEATURES, LABEL, TRAIN, c(key).alias("__key")), "model-input")
     sizes = {r[TRAIN]: r["n"] for r in ready.groupBy(TRAIN).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train, n_test = sizes.get(True, 0), sizes.get(False, 0)
-    # Iterative learners pass over the rows hundreds of times: no more tasks than the rows are worth.
-    ready = ready.coalesce(max(1, (n_train + n_test) // _ROWS_PER_TASK))
+    cores = spark.sparkContext.defaultParallelism
+    tasks, forest_tasks = _tasks(n_train + n_test, cores)
+    ready = stage(ready.repartition(tasks, "__key"), "model-parts").coalesce(tasks)
 
-    choices = estimators(classification, classes.count if classes else 0, n_train, spec.sizes)
+    choices = estimators(classification, classes.count if classes else 0, n_train, spec.sizes, cores, forest_tasks)
     tried = [spec.model_type] if spec.model_type in choices else list(CANDIDATES)
 
-    def fit(name: str) -> tuple[Model, tuple[float, float]]:
+    def fit(name: str) -> tuple[Model, DataFrame, tuple[float, float]]:
         found = choices[name].fit(ready.filter(TRAIN))
-        return found, _scores(found.transform(ready), classification)
+        # Every pass with a model sends all its nodes to the executors: one predicts, and what follows reads the stored rows.
+        predicted = stage(found.transform(ready).select(LABEL, TRAIN, "__key", PREDICTION), "predicted")
+        return found, predicted, _scores(predicted, classification)
 
     # Candidates are independent and submit their jobs side by side.
     with ThreadPoolExecutor(len(tried)) as pool:
         running = {name: pool.submit(inheritable_thread_target(spark)(fit), name) for name in tried}
         done = {name: x.result() for name, x in running.items()}
-    fitted, scores = {n: m for n, (m, _) in done.items()}, {n: s for n, (_, s) in done.items()}
+    scores = {n: s for n, (_, _, s) in done.items()}
     best = max(tried, key=lambda name: scores[name][1])  # the first of equals
-    model = fitted[best]
+    model, predicted, _ = done[best]
 
-    test = model.transform(ready.filter(~c(TRAIN)))
+    test = predicted.filter(~c(TRAIN))
     last = []
     if classification:
         last = [classes.namer(PREDICTION, PREDICTED)]
@@ -196,7 +214,7 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
         "selected_feature_columns": features,
         "requested_model_type": spec.model_type,
         "selected_model_key": best,
-        "model_type": type(model).__name__,
+        "model_type": getattr(model, "kind", type(model).__name__),
         "train_split_percentage": round(spec.train_split * 100, 2),
         "train_test_ratio": f"{round(spec.train_split, 2)}:{round(1 - spec.train_split, 2)}",
         "train_rows": n_train,
