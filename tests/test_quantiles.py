@@ -1,5 +1,7 @@
 """Exact quantiles against numpy, with the narrowing forced on small data."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -67,3 +69,40 @@ def test_bounds(spark):
     assert exact_quantiles(df, {"x": c("x")}, [0.25, 0.5, 0.75])["x"] == [1.75, 2.5, 4.75]
     assert outlier_bounds(df, c("x")) == (1.75 - 4.5, 4.75 + 4.5)
     assert outlier_bounds(df.select(F.lit(None).cast("int").alias("x")), c("x")) is None
+
+
+def test_overlapping_intervals(skewed):
+    """Intervals of a column may overlap, and columns have different numbers of them."""
+    df, pdf = skewed
+    searches = [
+        quantiles._Search("x", 120, 200, 100, 10.0, 30.0),
+        quantiles._Search("x", 130, 300, 100, 10.0, None),
+        quantiles._Search("x", 5, 100, 0, None, 10.5),
+        quantiles._Search("y", 7, 400),
+        quantiles._Search("x", 121, 200, 100, 10.0, 30.0),
+    ]
+    values = df.sparkSession.range(400).selectExpr("id * 0.1 AS x", "CASE WHEN id > 0 THEN 400.0D - id END AS y")
+    assert quantiles._sorted_values(values, searches) == pytest.approx([10.1 + 2.0, 10.1 + 3.0, 0.5, 8.0, 10.1 + 2.1])
+
+
+def test_code_of_the_last_sort_stays_small(skewed, monkeypatch, capsys):
+    """HotSpot interprets methods of more than 8,000 bytes: the generated code must not grow with columns times intervals."""
+    df, pdf = skewed
+    kept, finish, inside = type(df).collect, quantiles._finish, []
+
+    def collect(self):
+        if inside:
+            self.explain("codegen")
+        return kept(self)
+
+    def watched(narrow, searches):
+        inside.append(True)
+        finish(narrow, searches)
+        inside.clear()
+
+    monkeypatch.setattr(type(df), "collect", collect)
+    monkeypatch.setattr(quantiles, "_finish", watched)
+    exprs = {f"{n}{k}": F.when(c(n) % (k + 2) > 1, c(n) * k).otherwise(c(n)) for n in pdf for k in range(2)}
+    exact_quantiles(df, exprs, [0.25, 0.5, 0.75], finish_rows=500)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000

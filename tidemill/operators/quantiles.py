@@ -16,7 +16,7 @@ of up to some hundred million rows, and two more for every further factor of 100
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -126,15 +126,43 @@ def _finish(df: DataFrame, searches: Sequence[_Search]) -> None:
                 batch.append(interval)
                 cells += sizes.pop(interval)
         here = [s for s in searches if s.interval in batch]
-        left = df.filter(_any([_inside(*i) for i in batch]))
-        values = [c(i[0]) if i[1:] == (None, None) else F.when(_inside(*i), c(i[0])) for i in batch]
-        lists = left.agg(*[F.collect_list(v).alias(f"l{j}") for j, v in enumerate(values)])
-        ordered = lists.select(*[F.sort_array(c(f"l{j}")).alias(f"s{j}") for j in range(len(batch))])
-        picks = [F.element_at(c(f"s{batch.index(s.interval)}"), s.rank - s.below + 1) for s in here]
-        for s, value in zip(here, ordered.select(*[p.alias(f"a{i}") for i, p in enumerate(picks)]).first()):
+        for s, value in zip(here, _sorted_values(df, here), strict=True):
             s.value = value
 
 
+def _sorted_values(df: DataFrame, searches: Sequence[_Search]) -> list[float]:
+    """The value at each search's rank, from its sorted interval.
+
+    Columns become rows of their place and value first, so that a row is tested against the bounds of its own column only.  A test
+    of all columns in one expression makes a method too large for the JVM to compile, which it then interprets.
+    """
+    names = list(dict.fromkeys(s.name for s in searches))
+    slots = {n: list(dict.fromkeys(s.interval for s in searches if s.name == n)) for n in names}
+    wanted = {i: [s.rank - s.below + 1 for s in searches if s.interval == i] for own in slots.values() for i in own}
+    place, value = F.col("place"), F.col("value")
+
+    def by_place(slot: int, of: Callable[[tuple], object], none: object) -> Column:
+        """What the interval in this slot has, by the place of its column."""
+        return F.get(F.array(*[F.lit(of(slots[n][slot])) if slot < len(slots[n]) else F.lit(none) for n in names]), place)
+
+    def inside(slot: int) -> Column:
+        low, high = by_place(slot, lambda i: i[1], 0.0).cast("double"), by_place(slot, lambda i: i[2], 0.0).cast("double")
+        return (low.isNull() | (value > low)) & (high.isNull() | (value < high))
+
+    every = range(max(map(len, slots.values())))
+    long = df.select(F.posexplode(F.array(*[c(n) for n in names])).alias("place", "value")).filter(value.isNotNull())
+    left = long.filter(_any([inside(k) for k in every]))
+    lists = left.groupBy("place").agg(*[F.sort_array(F.collect_list(F.when(inside(k), value))).alias(f"s{k}") for k in every])
+
+    def picked(slot: int) -> Column:
+        return F.transform(by_place(slot, lambda i: wanted[i], []).cast("array<int>"), lambda at: F.element_at(c(f"s{slot}"), at))
+
+    lists = lists.select("place", *[picked(k).alias(f"a{k}") for k in every])
+    rows = {names[r["place"]]: r for r in lists.collect()}  # a row for each column
+    found = {i: iter(rows[n][f"a{k}"]) for n, own in slots.items() for k, i in enumerate(own)}
+    return [next(found[s.interval]) for s in searches]
+
+
 def _solve(df: DataFrame, searches: Sequence[_Search], finish_rows: int) -> None:
     # Many columns are narrowed too where sorting them whole would take several scans.
     sizes = {s.interval: s.size for s in searches}
