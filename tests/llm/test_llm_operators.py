@@ -264,6 +264,30 @@ def test_cut_pieces_have_the_same_ids():
     assert [np.frombuffer(x, "<u4").tolist() for x in library.packed(texts)] == expected
 
 
+def test_bpe_table_goes_out_in_parts(spark, monkeypatch):
+    """The driver holds a bounded part of the table of words at once."""
+    monkeypatch.setattr(bpe, "_SENT_BYTES", 100)
+    ranks = bpe.read_ranks(MULTI)
+    words = spark.createDataFrame([(f"word{i}".encode(),) for i in range(400)], "word binary").repartition(7)
+    sent, odd = bpe._sent(bpe.encode_words(words, ranks).select("word", "x.ids", "x.decoded"))
+    assert len(sent) > 1 and odd.value == {}
+    wanted = [f"word{i}".encode() for i in (3, 399, 40)]
+    assert bpe._find([x.value for x in sent], odd.value, wanted) == [(",".join(map(str, bpe.merge_long(w, ranks))), w) for w in wanted]
+    with pytest.raises(LookupError):
+        bpe._find([x.value for x in sent], odd.value, [b"word3", b"word400"])
+
+
+def test_bpe_decodes_only_matches(spark):
+    """What the pattern leaves out is in no token, so it isn't decoded either."""
+    ranks = bpe.read_ranks(MULTI)
+    texts = ["abc DEF ghi", "plain words", "DEF", "", None, "\ud7ff abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_texts(df, MULTI, "[a-z]+").collect():
+        found = re.findall("[a-z]+", texts[r.doc_id] or "")
+        ids = [i for w in found for i in bpe.merge_long(w.encode(), ranks)]
+        assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256("".join(found).encode()).hexdigest(), texts[r.doc_id]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts(docs, name):
     path = public_tokenizers.path(name)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ LONG_WORD = 256
 #: Words whose ids are sent to the executors, about 25 bytes each.
 BROADCAST_WORDS = 8_000_000
 #: Pieces of texts that a Python worker keeps.
-_CACHED = 600_000
+_CACHED = 1_000_000
+#: Bytes of the packed table that the driver holds at once, and sends as one variable.
+_SENT_BYTES = 16_000_000
 _END = 1 << 20  # stands before and after a word; larger than any id
 _ALL = 1 << 30
 _MODULI = (131_071, 139_969, 146_077, 155_921)
@@ -203,23 +206,34 @@ def distinct_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
 
 
 class _Table:
-    """Packed entries of words, found by the hash of the word: about 20 bytes each."""
+    """Packed entries of some words, found by the hash of the word: about 20 bytes each."""
 
-    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, odd: dict[bytes, bytes]) -> None:
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         ends = np.cumsum(sizes, dtype=np.int64)
         self.starts, self.sizes = (ends - sizes).astype(np.uint32 if len(ids) < 2**32 else np.int64)[order], sizes[order]
-        self.ids, self.odd = ids, odd
+        self.ids = ids
 
-    def find(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        """The ids as decimals joined by commas, and the decoded bytes."""
-        keys = np.fromiter(map(_hash, words), np.int64, len(words))
-        at = np.searchsorted(self.hashes, keys)
-        if len(words) and not np.array_equal(self.hashes[np.minimum(at, len(self.hashes) - 1)], keys):
-            raise LookupError("a word is not in the table")
-        ids, starts, sizes = self.ids, self.starts[at].tolist(), self.sizes[at].tolist()
-        return [(",".join(map(str, ids[a : a + n].tolist())), self.odd.get(w, w)) for w, a, n in zip(words, starts, sizes, strict=True)]
+    def fill(self, keys: np.ndarray, rest: np.ndarray, out: list[str]) -> np.ndarray:
+        """Sets the ids, as decimals joined by commas, of those of the keys ``rest`` that are here; returns the others."""
+        at = np.minimum(np.searchsorted(self.hashes, keys[rest]), len(self.hashes) - 1)
+        here = self.hashes[at] == keys[rest]
+        ids, starts, sizes = self.ids, self.starts[at[here]].tolist(), self.sizes[at[here]].tolist()
+        for i, a, n in zip(rest[here].tolist(), starts, sizes, strict=True):
+            out[i] = ",".join(map(str, ids[a : a + n].tolist()))
+        return rest[~here]
+
+
+def _find(tables: list[_Table], odd: dict[bytes, bytes], words: list[bytes]) -> list[tuple[str, bytes]]:
+    """The ids of each word and its decoded bytes."""
+    keys = np.fromiter(map(_hash, words), np.int64, len(words))
+    out, rest = [""] * len(words), np.arange(len(words))
+    for table in tables:
+        rest = table.fill(keys, rest, out)
+    if len(rest):
+        raise LookupError("a word is not in the table")
+    return [(x, odd.get(w, w)) for x, w in zip(out, words, strict=True)]
 
 
 def _hash(word: bytes) -> int:
@@ -241,14 +255,15 @@ def encode_texts(
     rows = df.select(c(id_col).alias("id"), c(text_col).alias("text"))
     count, hashes = encoded.agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64("word"))).first()
     if count <= broadcast_words and count == hashes:
-        known = df.sparkSession.sparkContext.broadcast(_collected(encoded))
+        sent, odd = _sent(encoded)
         cache_name = uuid.uuid4().hex
 
         def work(ids, texts):
             if cache_name not in _UNITS:  # a worker keeps the pieces of one query only
                 _UNITS.clear()
                 _UNITS[cache_name] = ({}, {})
-            return [ids, *_digests(texts, pattern, known.value.find, _UNITS[cache_name])]
+            tables = [x.value for x in sent]
+            return [ids, *_digests(texts, pattern, lambda words: _find(tables, odd.value, words), _UNITS[cache_name])]
 
         return map_columns(rows, ["id", "text"], schema, work)
 
@@ -277,12 +292,18 @@ def encode_texts(
     return map_columns(joined, ["id", "text", "entries"], schema, assemble)
 
 
-def _collected(encoded: DataFrame) -> _Table:
-    """The whole table, which is known to be small enough, packed by the executors."""
+def _sent(encoded: DataFrame) -> tuple[list[Broadcast], Broadcast]:
+    """The whole table, which is known to be small enough, packed by the executors and sent back to them in parts.
+
+    The driver never holds more than about ``_SENT_BYTES`` of it; each part is sorted by itself.
+    """
+    context = encoded.sparkSession.sparkContext
     odd = {bytes(r.word): bytes(r.decoded) for r in encoded.where("decoded <> word").select("word", "decoded").collect()}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids = batch.column(1)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
             narrow = np.uint16 if flat.max(initial=0) < 65_536 else np.int32
@@ -291,19 +312,27 @@ def _collected(encoded: DataFrame) -> _Table:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["hashes", "sizes", "ids", "narrow"])
 
     packed = encoded.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary, narrow boolean")
-    hashes, sizes, ids = ([np.zeros(0, kind)] for kind in (np.int64, np.int32, np.uint16))
-    for r in packed.toLocalIterator():  # a partition at a time, so that the driver holds the table only once
-        hashes.append(np.frombuffer(r.hashes, np.int64))
-        sizes.append(np.frombuffer(r.sizes, np.int32))
-        ids.append(np.frombuffer(r.ids, np.uint16 if r.narrow else np.int32))
-    for column in (hashes, sizes, ids):  # the parts go as soon as they are joined
-        column[:] = [np.concatenate(column)]
-    return _Table(hashes.pop(), sizes.pop(), ids.pop(), odd)
+    sent, parts, held = [], [], 0
+    for r in packed.toLocalIterator():  # a partition at a time
+        parts.append((r.hashes, r.sizes, r.ids, r.narrow))
+        held += len(r.hashes) + len(r.sizes) + len(r.ids)
+        if held > _SENT_BYTES:
+            sent.append(context.broadcast(_table(parts)))
+            parts, held = [], 0
+    if parts:
+        sent.append(context.broadcast(_table(parts)))
+    return sent, context.broadcast(odd)
+
+
+def _table(parts: list[tuple[bytes, bytes, bytes, bool]]) -> _Table:
+    hashes = np.concatenate([np.frombuffer(h, np.int64) for h, _, _, _ in parts])
+    sizes = np.concatenate([np.frombuffer(n, np.int32) for _, n, _, _ in parts])
+    return _Table(hashes, sizes, np.concatenate([np.frombuffer(x, np.uint16 if narrow else np.int32) for _, _, x, narrow in parts]))
 
 
 def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str, str], dict[str, bytes]]) -> list[list]:
-    """Counts and digests; ``cache`` has the ids (as text) and the decoded bytes of pieces of texts."""
-    ids_of, bytes_of = cache
+    """Counts and digests; ``cache`` has the ids (as text) of pieces of texts, and the decoded bytes where they aren't those of the piece."""
+    ids_of, odd_of = cache
     units = [cut(t) if t else [] for t in texts]
     joined: list[bytes | None] = []
     for own in units:
@@ -319,18 +348,25 @@ def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str,
         entries = dict(zip(flat, find([w.encode("utf-8", "replace") for w in flat]), strict=True))
         for unit, own in zip(new, words, strict=True):
             if len(own) == 1:
-                ids_of[unit], bytes_of[unit] = entries[own[0]]
+                ids_of[unit], decoded = entries[own[0]]
             else:
                 found = [entries[w] for w in own]
-                ids_of[unit], bytes_of[unit] = ",".join([x for x, _ in found]), b"".join([x for _, x in found])
+                ids_of[unit], decoded = ",".join([x for x, _ in found]), b"".join([x for _, x in found])
+            if decoded != unit.encode("utf-8", "replace"):
+                odd_of[unit] = decoded
     counts, ids_digests, decoded_digests = [], [], []
     for i in missing:
         joined[i] = ",".join(map(ids_of.__getitem__, units[i])).encode()
-    for own, ids in zip(units, joined, strict=True):
-        counts.append(ids.count(b",") + 1 if own else 0)
+    for text, own, ids in zip(texts, units, joined, strict=True):
+        if odd_of and not odd_of.keys().isdisjoint(own):  # a piece without a token is one of them
+            ids = ",".join([x for u in own if (x := ids_of[u])]).encode()
+            decoded = b"".join([odd_of[u] if u in odd_of else u.encode("utf-8", "replace") for u in own])
+        else:  # every piece decodes to its own bytes, and the pieces are the whole text
+            decoded = (text or "").encode("utf-8", "replace")
+        counts.append(ids.count(b",") + 1 if ids else 0)
         ids_digests.append(hashlib.sha256(ids).hexdigest())
-        decoded_digests.append(hashlib.sha256(b"".join(map(bytes_of.__getitem__, own))).hexdigest())
+        decoded_digests.append(hashlib.sha256(decoded).hexdigest())
     if len(ids_of) > _CACHED:
         ids_of.clear()
-        bytes_of.clear()
+        odd_of.clear()
     return [counts, ids_digests, decoded_digests]
