@@ -1,5 +1,6 @@
 import json
 import math
+import threading
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemill import TrainSpec, train
-from tidemill.learning import dictionary, forests, frames, metrics, preprocessing, training
+from tidemill.learning import candidates, dictionary, forests, frames, metrics, preprocessing, training
 from tidemill.learning.candidates import CANDIDATES, Sizes
 from tidemill.roles import ROW
 
@@ -262,3 +263,38 @@ def test_each_candidate_predicts_once(iris, monkeypatch):
     result = train(iris, TrainSpec("kind", ("size",), "random_forest", sizes=QUICK))
     assert passes.count("predicted") == 1
     assert "__features" not in result.scored.columns and result.scored.count() == result.summary["test_rows"]
+
+
+def test_forests_leave_a_core_to_other_candidates(iris, monkeypatch):
+    """Both forests share the threads of their parts, one less than the cores if other candidates are fitted beside them."""
+    cores, running, most, lock = iris.sparkSession.sparkContext.defaultParallelism, [0], [0], threading.Lock()
+
+    def counted(learner):
+        class Counted(learner):
+            def fit(self, dataset, params=None):
+                with lock:
+                    running[0] += 1
+                    most[0] = max(most[0], running[0])
+                try:
+                    return super().fit(dataset, params)
+                finally:
+                    with lock:
+                        running[0] -= 1
+
+        return Counted
+
+    monkeypatch.setattr(candidates, "RandomForestRegressor", counted(candidates.RandomForestRegressor))
+    result = train(iris, TrainSpec("size", ("n", "flag"), sizes=Sizes(boosted_regressor=2, boosted_depth=2, forest=8, forest_depth=3)))
+    assert len(result.summary["model_leaderboard"]) == 4
+    assert most[0] == max(1, cores - 1) and training._parts(cores, 1) == cores
+
+
+def test_parts_are_stored_side_by_side(iris, tmp_path, monkeypatch):
+    result = train(iris, TrainSpec("size", ("n", "flag"), "random_forest", sizes=Sizes(forest=4, forest_depth=3)))
+    model = result.model.stages[-1]
+    together = threading.Barrier(min(len(model.parts), forests._STORED_AT_ONCE), timeout=60)
+    kind = type(model.parts[0])
+    monkeypatch.setattr(kind, "save", lambda self, path, save=kind.save: together.wait() >= 0 and save(self, path))
+    result.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model")).stages[-1]
+    assert [m.toDebugString.split("\n", 1)[1] for m in again.parts] == [m.toDebugString.split("\n", 1)[1] for m in model.parts]

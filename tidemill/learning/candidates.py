@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
@@ -43,7 +44,7 @@ class Sizes:
 
 
 def estimators(classification: bool, classes: int, rows: int, sizes: Sizes, parts: int = 1, tasks: int = 1) -> dict[str, Estimator | Forest]:
-    """One estimator per candidate; forests are fitted in ``parts``, each on ``tasks`` tasks.
+    """One estimator per candidate; forests are fitted in ``parts``, each on ``tasks`` tasks, and so many parts of all of them at a time.
 
     ``xgboost`` is Spark's gradient-boosted trees.  Spark has no extremely
     randomised trees: ``extra_trees`` approximates them by trees on unbootstrapped
@@ -62,8 +63,10 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes, part
         "cacheNodeIds": rows * sizes.forest <= _CACHED_NODE_IDS,
     }
 
+    pool = ThreadPoolExecutor(parts)
+
     def trees(learner: type[Estimator], **options) -> Forest:
-        return Forest(partial(learner, **options), sizes.forest, SEED, parts, tasks)
+        return Forest(partial(learner, **options), sizes.forest, SEED, parts, tasks, pool)
 
     random = {**forest, "bootstrap": False, "subsamplingRate": 0.8, "maxBins": 16}
     if not classification:

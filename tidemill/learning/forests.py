@@ -2,12 +2,13 @@
 
 A level of a forest is one job in which every task keeps statistics of all open nodes, so deep forests go no faster with more tasks.
 Trees don't depend on each other: each part is a forest of some of the trees on few tasks, and the parts keep all cores busy.
+Forests that are fitted at the same time share the threads that fit their parts, so that they leave cores to other learners.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Executor, ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -24,6 +25,8 @@ from tidemill.columns import c
 
 #: Seeds of the parts differ by so much, as Spark adds the number of the partition to a seed.
 _SEED_STEP = 1_000_003
+#: Parts of a stored forest that are written or read side by side, each by a task or two; the driver sends the trees of so many at a time.
+_STORED_AT_ONCE = 4
 _KINDS = {k.__name__: k for k in (RandomForestClassificationModel, RandomForestRegressionModel)}
 
 
@@ -34,10 +37,10 @@ def part_sizes(trees: int, parts: int) -> list[int]:
 
 
 class Forest:
-    """A forest learner that fits its trees in ``parts``, each on ``tasks`` tasks."""
+    """A forest learner that fits its trees in ``parts``, each on ``tasks`` tasks, in the threads of ``pool``."""
 
-    def __init__(self, learner: Callable[..., Estimator], trees: int, seed: int, parts: int, tasks: int) -> None:
-        self.learner, self.seed, self.tasks = learner, seed, tasks
+    def __init__(self, learner: Callable[..., Estimator], trees: int, seed: int, parts: int, tasks: int, pool: Executor) -> None:
+        self.learner, self.seed, self.tasks, self.pool = learner, seed, tasks, pool
         self.sizes = part_sizes(trees, parts)
 
     def fit(self, df: DataFrame) -> ForestModel:
@@ -46,9 +49,8 @@ class Forest:
         def part(i: int) -> Model:
             return self.learner(numTrees=self.sizes[i], seed=self.seed + i * _SEED_STEP).fit(df)
 
-        with ThreadPoolExecutor(len(self.sizes)) as pool:
-            running = [pool.submit(inheritable_thread_target(df.sparkSession)(part), i) for i in range(len(self.sizes))]
-            return ForestModel([x.result() for x in running])
+        running = [self.pool.submit(inheritable_thread_target(df.sparkSession)(part), i) for i in range(len(self.sizes))]
+        return ForestModel([x.result() for x in running])
 
 
 class ForestModel(Model, MLWritable, MLReadable):
@@ -111,15 +113,18 @@ class _ForestWriter(MLWriter):
     def saveImpl(self, path: str) -> None:
         models = self.instance.parts
         DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"kind": self.instance.kind, "parts": len(models)})
-        for i, model in enumerate(models):
-            model.save(f"{path}/part-{i}")
+        with ThreadPoolExecutor(_STORED_AT_ONCE) as pool:
+            save = inheritable_thread_target(self.sparkSession)(lambda i: models[i].save(f"{path}/part-{i}"))
+            list(pool.map(save, range(len(models))))
 
 
 class _ForestReader(MLReader):
     def load(self, path: str) -> ForestModel:
         metadata = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession() or self.sparkSession)
         kind = _KINDS[metadata["kind"]]
-        found = ForestModel([kind.load(f"{path}/part-{i}") for i in range(metadata["parts"])])
+        with ThreadPoolExecutor(_STORED_AT_ONCE) as pool:
+            load = inheritable_thread_target(self.sparkSession)(lambda i: kind.load(f"{path}/part-{i}"))
+            found = ForestModel(list(pool.map(load, range(metadata["parts"]))))
         found._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(found, metadata)
         return found

@@ -131,6 +131,14 @@ def _tasks(rows: int, cores: int) -> tuple[int, int]:
     return every, max(least, every // _TASK_SHARE)
 
 
+def _parts(cores: int, candidates: int) -> int:
+    """In how many parts a forest is fitted.
+
+    Boosted trees are a long row of short jobs, which wait behind the forests' tasks unless these leave a core.
+    """
+    return cores if candidates == 1 else max(1, cores - 1)
+
+
 def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     """Fit one candidate or all of them, and keep the one with the best test score.
 
@@ -165,8 +173,9 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     tasks, forest_tasks = _tasks(n_train + n_test, cores)
     ready = stage(ready.repartition(tasks, "__key"), "model-parts").coalesce(tasks)
 
-    choices = estimators(classification, classes.count if classes else 0, n_train, spec.sizes, cores, forest_tasks)
-    tried = [spec.model_type] if spec.model_type in choices else list(CANDIDATES)
+    tried = [spec.model_type] if spec.model_type in CANDIDATES else list(CANDIDATES)
+    parts = _parts(cores, len(tried))
+    choices = estimators(classification, classes.count if classes else 0, n_train, spec.sizes, parts, forest_tasks)
 
     def fit(name: str) -> tuple[Model, DataFrame, tuple[float, float]]:
         found = choices[name].fit(ready.filter(TRAIN))
