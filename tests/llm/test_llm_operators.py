@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import base64
+import gc
 import hashlib
 import json
 import random
@@ -288,6 +289,34 @@ def test_bpe_decodes_only_matches(spark):
         assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256("".join(found).encode()).hexdigest(), texts[r.doc_id]
 
 
+def test_bpe_pieces_are_looked_up_once():
+    """Known pieces aren't asked for again, new ones once for all texts, and no list is kept for each piece meanwhile."""
+    asked, kept = [], []
+
+    def find(words):
+        asked.append(sorted(words))
+        kept.append(gc.get_count()[0])
+        return [str(len(w)) + ",7" for w in words]
+
+    cache = (bpe._Known(), {})
+    texts = ["one two, one", None, "", "odd two", "x\x00y one"]
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    for _ in range(2):
+        counts, ids, decoded = bpe._digests(texts, r" ?[a-z]+|[^ a-z]", find, {b"odd": b"ODD"}, cache)
+        rows = [[3, 4, 1, 4], [], [], [3, 4], [1, 1, 1, 4]]
+        assert counts == [2 * len(x) for x in rows]
+        assert ids == [digest(",".join(f"{n},7" for n in x).encode()) for x in rows]
+        assert decoded == [digest(x) for x in (b"one two, one", b"", b"", b"ODD two", b"x\x00y one")]
+    assert asked == [[b"\x00", b" one", b" two", b",", b"odd", b"one", b"x", b"y"]]
+    gc.collect()
+    gc.disable()
+    try:
+        bpe._digests([" ".join(f"w{i}," for i in range(50_000))], public_tokenizers.PATTERN, find, {}, (bpe._Known(), {}))
+    finally:
+        gc.enable()
+    assert kept[-1] < 1000
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts(docs, name):
     path = public_tokenizers.path(name)

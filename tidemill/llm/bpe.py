@@ -192,8 +192,8 @@ def distinct_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
         words: set[str] = set()
         for batch in batches:
             for texts in (part.column(0).to_pylist() for part in slices(batch)):
-                new_units = {u for t in texts if t for u in cut(t)}.difference(units)
-                new = {w for u in new_units for w in find(u)}.difference(words)
+                new_units = set(chain.from_iterable(map(cut, filter(None, texts)))).difference(units)
+                new = set(chain.from_iterable(map(find, new_units))).difference(words)
                 yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in new], pa.binary())], names=["word"])
                 if len(units) > 1_000_000:  # only saves work: the words are made distinct after this
                     units, words = set(), set()
@@ -219,30 +219,51 @@ class _Table:
         """Sets the ids, as decimals joined by commas, of those of the keys ``rest`` that are here; returns the others."""
         at = np.minimum(np.searchsorted(self.hashes, keys[rest]), len(self.hashes) - 1)
         here = self.hashes[at] == keys[rest]
-        ids, starts, sizes = self.ids, self.starts[at[here]].tolist(), self.sizes[at[here]].tolist()
-        for i, a, n in zip(rest[here].tolist(), starts, sizes, strict=True):
-            out[i] = ",".join(map(str, ids[a : a + n].tolist()))
+        starts, sizes = self.starts[at[here]].astype(np.int64), self.sizes[at[here]]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        # The ids of all words in a row.
+        ids = list(map(str, self.ids[np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)].tolist()))
+        start = 0
+        for i, end in zip(rest[here].tolist(), ends.tolist(), strict=True):
+            out[i] = ",".join(ids[start:end])
+            start = end
         return rest[~here]
 
 
 def _find(tables: list[_Table], odd: dict[bytes, bytes], words: list[bytes]) -> list[tuple[str, bytes]]:
     """The ids of each word and its decoded bytes."""
-    keys = np.fromiter(map(_hash, words), np.int64, len(words))
-    out, rest = [""] * len(words), np.arange(len(words))
+    return [(x, odd.get(w, w)) for x, w in zip(_find_ids(tables, words), words, strict=True)]
+
+
+def _find_ids(tables: list[_Table], words: list[bytes]) -> list[str]:
+    """The ids of each word."""
+    keys = _hashes(words)
+    # In order, so that the search stays in one place of a table.
+    out, rest = [""] * len(words), np.argsort(keys)
     for table in tables:
         rest = table.fill(keys, rest, out)
     if len(rest):
         raise LookupError("a word is not in the table")
-    return [(x, odd.get(w, w)) for x, w in zip(out, words, strict=True)]
+    return out
+
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64 of binary values."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
 
-def _hash(word: bytes) -> int:
-    """Spark's xxhash64 of a binary value."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
 
+class _Known(dict):
+    """What is known of pieces of texts; those that were asked for in vain are kept in ``asked``."""
 
-_UNITS: dict[str, tuple[dict[str, str], dict[str, bytes]]] = {}
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.asked.append(piece)
+
+
+_UNITS: dict[str, tuple[_Known, dict[str, bytes]]] = {}
 
 
 def encode_texts(
@@ -261,9 +282,9 @@ def encode_texts(
         def work(ids, texts):
             if cache_name not in _UNITS:  # a worker keeps the pieces of one query only
                 _UNITS.clear()
-                _UNITS[cache_name] = ({}, {})
+                _UNITS[cache_name] = (_Known(), {})
             tables = [x.value for x in sent]
-            return [ids, *_digests(texts, pattern, lambda words: _find(tables, odd.value, words), _UNITS[cache_name])]
+            return [ids, *_digests(texts, pattern, lambda words: _find_ids(tables, words), odd.value, _UNITS[cache_name])]
 
         return map_columns(rows, ["id", "text"], schema, work)
 
@@ -284,8 +305,9 @@ def encode_texts(
     def assemble(ids, texts, entries):
         out = [[], [], []]
         for text, own in zip(texts, entries, strict=True):
-            table = {bytes(e["word"]): (",".join(map(str, e["ids"])), bytes(e["decoded"])) for e in own or ()}
-            for column, value in zip(out, _digests([text], pattern, lambda words, t=table: [t[w] for w in words], ({}, {})), strict=True):
+            table = {bytes(e["word"]): ",".join(map(str, e["ids"])) for e in own or ()}
+            odd = {bytes(e["word"]): bytes(e["decoded"]) for e in own or () if e["word"] != e["decoded"]}
+            for column, value in zip(out, _digests([text], pattern, lambda words, t=table: [t[w] for w in words], odd, (_Known(), {})), strict=True):
                 column += value
         return [ids, *out]
 
@@ -330,38 +352,30 @@ def _table(parts: list[tuple[bytes, bytes, bytes, bool]]) -> _Table:
     return _Table(hashes, sizes, np.concatenate([np.frombuffer(x, np.uint16 if narrow else np.int32) for _, _, x, narrow in parts]))
 
 
-def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str, str], dict[str, bytes]]) -> list[list]:
-    """Counts and digests; ``cache`` has the ids (as text) of pieces of texts, and the decoded bytes where they aren't those of the piece."""
+def _digests(texts: list[str | None], pattern: str, find, odd: dict[bytes, bytes], cache: tuple[_Known, dict[str, bytes]]) -> list[list]:
+    """Counts and digests; ``odd`` has the words that decode to other bytes than their own.
+
+    ``cache`` has the ids (as text) of pieces of texts, and the decoded bytes where they aren't those of the piece.
+    """
     ids_of, odd_of = cache
     units = [cut(t) if t else [] for t in texts]
-    joined: list[bytes | None] = []
-    for own in units:
-        try:
-            joined.append(",".join(map(ids_of.__getitem__, own)).encode())
-        except KeyError:
-            joined.append(None)
-    missing = [i for i, x in enumerate(joined) if x is None]
-    new = list(set(chain.from_iterable(units[i] for i in missing)).difference(ids_of))
-    if new:
-        words = list(map(regex.compile(pattern).findall, new))
-        flat = list(set(chain.from_iterable(words)))
-        entries = dict(zip(flat, find([w.encode("utf-8", "replace") for w in flat]), strict=True))
-        for unit, own in zip(new, words, strict=True):
-            if len(own) == 1:
-                ids_of[unit], decoded = entries[own[0]]
-            else:
-                found = [entries[w] for w in own]
-                ids_of[unit], decoded = ",".join([x for x, _ in found]), b"".join([x for _, x in found])
-            if decoded != unit.encode("utf-8", "replace"):
-                odd_of[unit] = decoded
+    known = [list(map(ids_of.__getitem__, own)) for own in units]
+    if ids_of.asked:
+        new = list(set(ids_of.asked))
+        ids_of.asked.clear()
+        _learn(new, pattern, find, odd, cache)
+        for own, ids in zip(units, known, strict=True):
+            i = -1
+            for _ in range(ids.count(None)):
+                i = ids.index(None, i + 1)
+                ids[i] = ids_of[own[i]]
     counts, ids_digests, decoded_digests = [], [], []
-    for i in missing:
-        joined[i] = ",".join(map(ids_of.__getitem__, units[i])).encode()
-    for text, own, ids in zip(texts, units, joined, strict=True):
+    for text, own, found in zip(texts, units, known, strict=True):
         if odd_of and not odd_of.keys().isdisjoint(own):  # a piece without a token is one of them
-            ids = ",".join([x for u in own if (x := ids_of[u])]).encode()
+            ids = ",".join(filter(None, found)).encode()
             decoded = b"".join([odd_of[u] if u in odd_of else u.encode("utf-8", "replace") for u in own])
         else:  # every piece decodes to its own bytes, and the pieces are the whole text
+            ids = ",".join(found).encode()
             decoded = (text or "").encode("utf-8", "replace")
         counts.append(ids.count(b",") + 1 if ids else 0)
         ids_digests.append(hashlib.sha256(ids).hexdigest())
@@ -370,3 +384,33 @@ def _digests(texts: list[str | None], pattern: str, find, cache: tuple[dict[str,
         ids_of.clear()
         odd_of.clear()
     return [counts, ids_digests, decoded_digests]
+
+
+def _learn(new: list[str], pattern: str, find, odd: dict[bytes, bytes], cache: tuple[_Known, dict[str, bytes]]) -> None:
+    """Adds pieces of texts to the cache."""
+    ids_of, odd_of = cache
+    # One list of all words: a list for each piece would have the garbage collector go through the cache again and again.
+    split, words, sizes = regex.compile(pattern).findall, [], []
+    for unit in new:
+        own = split(unit)
+        words += own
+        sizes.append(len(own))
+    flat = list(set(words))
+    raw = [w.encode("utf-8", "replace") for w in flat]
+    ids_of_word = dict(zip(flat, find(raw), strict=True))
+    here = {w: odd[b] for w, b in zip(flat, raw, strict=True) if b in odd} if odd else {}
+    start = 0
+    for unit, size in zip(new, sizes, strict=True):
+        # Words in a row that are as long as the piece are the piece.
+        if size == 1:
+            ids_of[unit] = ids_of_word[words[start]]
+            whole = len(words[start]) == len(unit)
+        else:
+            own = words[start : start + size]
+            ids_of[unit] = ",".join(map(ids_of_word.__getitem__, own))
+            whole = sum(map(len, own)) == len(unit)
+        if here or not whole:
+            decoded = b"".join([here[w] if w in here else w.encode("utf-8", "replace") for w in words[start : start + size]])
+            if decoded != unit.encode("utf-8", "replace"):
+                odd_of[unit] = decoded
+        start += size
