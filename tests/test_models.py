@@ -298,3 +298,22 @@ def test_parts_are_stored_side_by_side(iris, tmp_path, monkeypatch):
     result.save(str(tmp_path / "model"))
     again = PipelineModel.load(str(tmp_path / "model")).stages[-1]
     assert [m.toDebugString.split("\n", 1)[1] for m in again.parts] == [m.toDebugString.split("\n", 1)[1] for m in model.parts]
+
+
+def test_like_rows_lie_together(iris, monkeypatch):
+    """Learners get the rows of each task sorted by their features, categories first, so that neighbours take the same way down a tree."""
+    kept = {}
+    monkeypatch.setattr(training, "stage", lambda df, label, stored=training.stage: kept.setdefault(label, stored(df, label)))
+    train(iris, TrainSpec("kind", ("size", "n", "tag"), "random_forest", sizes=QUICK))
+    rows = kept["model-parts"]
+    assert set(rows.columns) == {"__features", "__label", "__train", "__key"} and rows.count() == 240
+    by_key = {r[ROW]: (r["tag"] or "", r["size"]) for r in iris.collect()}
+    keys = rows.withColumn("file", F.input_file_name()).select("file", "__key").collect()
+    for file in {r["file"] for r in keys}:
+        own = [by_key[r["__key"]] for r in keys if r["file"] == file]
+        assert own == sorted(own)
+
+
+def test_nodes_of_many_rows_are_not_kept():
+    few, many = (candidates.estimators(True, 5, rows, Sizes())["random_forest"].learner.keywords["cacheNodeIds"] for rows in (12_800, 720_000))
+    assert few and not many

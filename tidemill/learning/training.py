@@ -131,6 +131,14 @@ def _tasks(rows: int, cores: int) -> tuple[int, int]:
     return every, max(least, every // _TASK_SHARE)
 
 
+def _like(df: DataFrame, features: list[str]) -> Column:
+    """What rows are sorted by within a task: like rows take the same way down a tree, so that the nodes and statistics they touch stay in the cache.
+
+    Categories come first, as they have fewer values than numbers.
+    """
+    return F.struct(*[c(n) for n in sorted(features, key=lambda n: is_numeric(dtype_of(df, n)))])
+
+
 def _parts(cores: int, candidates: int) -> int:
     """In how many parts a forest is fitted.
 
@@ -166,12 +174,13 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     # Preprocessing is fitted on train rows and its output stored once for all candidates.
     prepare = fit_preprocessor(halves.filter(TRAIN), features, spec.local_values)
     ready = PipelineModel(prepare.stages).transform(halves)
-    ready = stage(ready.select(FEATURES, LABEL, TRAIN, c(key).alias("__key")), "model-input")
+    ready = stage(ready.select(FEATURES, LABEL, TRAIN, c(key).alias("__key"), _like(frame, features).alias("__like")), "model-input")
     sizes = {r[TRAIN]: r["n"] for r in ready.groupBy(TRAIN).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train, n_test = sizes.get(True, 0), sizes.get(False, 0)
     cores = spark.sparkContext.defaultParallelism
     tasks, forest_tasks = _tasks(n_train + n_test, cores)
-    ready = stage(ready.repartition(tasks, "__key"), "model-parts").coalesce(tasks)
+    ready = ready.repartition(tasks, "__key").sortWithinPartitions("__like", "__key").drop("__like")
+    ready = stage(ready, "model-parts").coalesce(tasks)
 
     tried = [spec.model_type] if spec.model_type in CANDIDATES else list(CANDIDATES)
     parts = _parts(cores, len(tried))
