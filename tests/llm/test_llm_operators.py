@@ -376,6 +376,39 @@ def test_range_coder(top):
         assert lengths.tolist() == [n] and np.array_equal(back, ids)
 
 
+@pytest.mark.parametrize("n", [511, 1024, 70_001, 300_000])
+def test_range_coder_over_many_lanes(n):
+    """Ids of 32 bits, few ids, and repeats, in lanes of different lengths."""
+    rng = np.random.default_rng(n)
+    for ids in (rng.integers(0, 2**32, n), rng.integers(0, 2, n), np.resize(rng.integers(0, 50_000, 700), n), np.full(n, 2**32 - 1)):
+        lengths, back = idfile.unpack(idfile.pack([n - 5, 5], ids))
+        assert lengths.tolist() == [n - 5, 5] and np.array_equal(back, ids)
+
+
+def test_lanes_of_a_block_share_a_model(monkeypatch):
+    """What one lane has shown helps the others, and the model learns once a round, not once an id."""
+    n, calls = 200_000, []
+    monkeypatch.setattr(idfile._Model, "learn", lambda self, *a, learn=idfile._Model.learn: calls.append(0) or learn(self, *a))
+    ids = np.resize(np.random.default_rng(1).integers(0, 50_000, 3000), n)
+    data = idfile.pack([n], ids)
+    assert len(data) * 8 < 3 * n and len(calls) < 30
+    assert np.array_equal(idfile.unpack(data)[1], ids)
+
+
+def test_carries_reach_the_words_before():
+    """Intervals at the upper end, whose carries run through several words."""
+    coder, bits = idfile._Writer(3, 200), np.uint64(16)
+    rng = np.random.default_rng(2)
+    starts = [np.where(rng.random(3) < 0.9, 65_535, rng.integers(0, 65_536, 3)).astype(np.uint64) for _ in range(100)]
+    for x in starts:
+        coder.code(x, np.ones(3, np.uint64), bits)
+    sizes, data = coder.finish()
+    reader = idfile._Reader(sizes, data, 200)
+    for x in starts:
+        assert np.array_equal(reader.target(3, bits), x)
+        reader.code(x, np.ones(3, np.uint64))
+
+
 def test_damage_is_found():
     data = bytearray(idfile.pack([3000], np.arange(3000) % 700))
     data[-100] ^= 1

@@ -1,11 +1,13 @@
 """Token-id files: blocks of ids behind an adaptive context-mixing range coder.
 
-A segment holds whole texts; its ids are cut into blocks that share nothing, each with its own model, code bytes and
-checksum.  Inside a block, order-2 and order-1 contexts each predict the id that followed them last, and their
-confidences and the order-0 count of the predicted id are mixed (logistic mixing with learned weights) into the probability that
-it comes next.  If it doesn't, adaptive order-0 counts code the id, or an escape and the plain id where it is new in the block.
-All arithmetic is on integers, so writing and reading agree on every machine.  The blocks of a segment are coded side by
-side, one id of each per step, with numpy.
+A segment holds whole texts and is a block that shares nothing with others: it has its own alphabet, model, code bytes and checksum.
+Inside a block, order-2 and order-1 contexts each predict the id that has the most votes among those that followed them, and
+their votes and the order-0 count of the predicted id are mixed (logistic mixing with learned weights) into the probability that
+it comes next.  If it doesn't, adaptive order-0 counts code the id.  All arithmetic is on integers, so writing and reading agree on every machine.
+
+The ids of a block are dealt to lanes, each a run of ids with a range coder of its own, and one id of each lane is coded
+per step, with numpy.  All lanes feed and use the same model, which learns after rounds of a few steps, so that counts, votes and
+the mixed probabilities are only worked out anew once a round.
 
 Files are Parquet files with one segment a row: ``part`` and ``segment`` give its place in the order of ids, ``ids`` the
 texts' own ids, ``data`` the bytes.  A null text counts as empty and has only the end id.  Rows are sorted by id, equal ids by a hash of the text; repeated
@@ -28,21 +30,27 @@ from tidemill.columns import c
 from tidemill.llm.common import id_type, map_columns, slices
 from tidemill.llm.units import broadcast_file, load
 
-BLOCK = 1024
 #: Ids of a segment, unless one text has more.
-SEGMENT = 2048 * BLOCK
-_MAGIC = b"TMID\x01"
-_HEAD = struct.Struct("<5sBII")
-
-_HASHED = 2048  # order-2 contexts of a block
-_GROUP = 32  # order-0 counts are summed in groups of so many ids
-_FULL = np.uint64(0xFFFFFFFF)
-_32 = np.uint64(32)
+SEGMENT = 2 * 1024 * 1024
+#: Lanes of a block, and ids that make a lane worth its last bytes.
+LANES, LANE_IDS = 4096, 512
+#: The most steps between two times that the model learns; the first rounds are shorter.
+ROUND = 32
+_MAGIC = b"TMID\x02"
+_HEAD = struct.Struct("<5sIIII")
+
+_HASHED = 19  # bits of the number of order-2 contexts
+_GAIN = 4  # what an id's coming adds to its order-0 weight, which is 1 before
+_VOTES = 255
+_CHANCE = 12  # bits of a probability
+_ONE = np.uint64(1 << _CHANCE)
+_16, _48 = np.uint64(16), np.uint64(48)
+_LEAST = np.uint64(1 << 48)
 
 
 def _stretch_table() -> np.ndarray:
     p = (np.arange(4096) + 0.5) / 4096
-    return np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047)
+    return np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int64)
 
 
 def _squash_table() -> np.ndarray:
@@ -50,280 +58,285 @@ def _squash_table() -> np.ndarray:
     return np.clip(np.rint(4096 / (1 + np.exp(-x))), 1, 4095).astype(np.int64)
 
 
-_STRETCH, _SQUASH = _stretch_table().astype(np.int32), _squash_table()
-_THREE, _PLACES = np.arange(3), np.arange(_GROUP)
+_STRETCH, _SQUASH = _stretch_table(), _squash_table()
+#: The class, from 1, of a number of votes; a context that hasn't come has class 0.
+_CLASS = 1 + np.frexp(np.arange(_VOTES + 1.0))[1].astype(np.int64)
+#: What is mixed: the class of the order-2 votes, whether both contexts predict the same id, the class of the order-1 votes, the level of the order-0 count.
+_KINDS = (16, 2, 16, 16)
+_KIND = np.arange(np.prod(_KINDS))
+_INPUT = np.stack([_KIND >> 9, (_KIND >> 4) & 31, _KIND & 15], axis=1) + [0, 16, 48]
+_NO_GUESS = ((_KIND >> 9) == 0) & (((_KIND >> 4) & 15) == 0)
 
 
-class _Coder:
-    """Range coders side by side: 64-bit, without carries, 32 bits out at a time, at most once per step."""
-
-    def __init__(self, lanes: int) -> None:
+class _Model:
+    """The predictions of a block, whose ids are known by their places in its alphabet."""
+
+    def __init__(self, alphabet: int, ids: int) -> None:
+        self.size = alphabet
+        self.bits = alphabet.bit_length() + 2  # of the order-0 code space
+        self.mask = (1 << max(8, min(_HASHED, ids.bit_length()))) - 1
+        contexts = (alphabet + 1, self.mask + 1)
+        self.next = [np.full(n, -1, np.int32) for n in contexts]
+        self.votes = [np.zeros(n, np.int32) for n in contexts]
+        self.packed = [np.zeros(n, np.int64) for n in contexts]  # the predicted id and the class of its votes
+        self.weights = np.ones(alphabet, np.int64)
+        self.came, self.right = np.full(64, 2, np.int64), np.ones(64, np.int64)  # of each input
+        self.mix = np.full(3, 24_000, np.int64)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Work out what the coder looks up in the next round."""
+        upto = np.cumsum(self.weights)
+        ends = upto * ((1 << self.bits) - self.size) // upto[-1] + np.arange(1, self.size + 1)
+        start = np.concatenate([[0], ends[:-1]])
+        share = ends - start
+        self.start, self.share = start.astype(np.uint64), share.astype(np.uint64)
+        self.found = np.repeat(np.arange(self.size, dtype=np.int32), share)
+        self.level = np.minimum(np.frexp(share.astype(np.float64))[1], 15).astype(np.int64)
+        self.inputs = _STRETCH[np.minimum(self.right * 4096 // self.came, 4095)][_INPUT]
+        mixed = np.clip((self.inputs * self.mix).sum(axis=1) >> 16, -2047, 2047)
+        self.chances = np.where(_NO_GUESS, 0, _SQUASH[mixed + 2047])
+        self.chance = self.chances.astype(np.uint64)
+
+    def predict(self, s1: np.ndarray, s2: np.ndarray):
+        """Order-2 contexts, predicted ids, what is mixed, and the probability, of 4096, that the prediction is right (0: there is none)."""
+        context = s2 * 40_503
+        context += s1
+        context *= 2_654_435_761
+        context >>= 20
+        context &= self.mask
+        e1, e2 = self.packed[0].take(s1), self.packed[1].take(context)
+        b2 = e2 & 15
+        guess = np.where(b2 > 0, e2, e1) >> 4
+        kind = (b2 << 9) + ((e1 >> 4 == e2 >> 4) * 256) + ((e1 & 15) << 4)
+        kind += self.level.take(guess)
+        return context, guess, kind, self.chance.take(kind)
+
+    def learn(self, s1: np.ndarray, context: np.ndarray, kind: np.ndarray, right: np.ndarray, symbols: np.ndarray) -> None:
+        """The ids that came in a round."""
+        self.weights += _GAIN * np.bincount(symbols, minlength=self.size)
+        came, hit = np.bincount(kind, minlength=len(_KIND)), np.bincount(kind[right], minlength=len(_KIND))
+        guessed = np.where(_NO_GUESS, 0, came)
+        error = np.where(_NO_GUESS, 0, hit * 4095 - came * self.chances)
+        self.mix += (self.inputs * error[:, None]).sum(axis=0) // max(1, int(guessed.sum())) * 40 >> 10
+        for i in range(3):
+            self.came += np.bincount(_INPUT[:, i], weights=guessed, minlength=64).astype(np.int64)
+            self.right += np.bincount(_INPUT[:, i], weights=hit, minlength=64).astype(np.int64)
+        for which, at in enumerate((s1, context)):
+            following, votes, packed = self.next[which], self.votes[which], self.packed[which]
+            np.add.at(votes, at, np.where(following.take(at) == symbols, 1, -1).astype(np.int32))
+            own = votes.take(at)
+            lost = np.flatnonzero(own < 0)
+            place = at[lost]
+            following[place] = symbols[lost]
+            votes[place] = own[lost] = 0
+            over = np.flatnonzero(own > _VOTES)
+            votes[at[over]] = own[over] = _VOTES
+            packed[at] = (following.take(at).astype(np.int64) << 4) | _CLASS.take(own)
+        self._settle()
+
+
+class _Writer:
+    """Range coders side by side: 64-bit ranges, 16 bits out at a time; carries are added to what is out in the end."""
+
+    def __init__(self, lanes: int, words: int) -> None:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def _shift(self, at: np.ndarray, start, size, total) -> np.ndarray:
-        """Narrow to a part of the interval; the lanes whose upper half is settled."""
-        unit = self.range[at] // total
-        low, width = self.low[at] + unit * start, unit * size
-        small = np.flatnonzero(width <= _FULL)
-        if len(small):
-            inner = (~low[small] + np.uint64(1)) & _FULL
-            split = (low[small] >> _32) != ((low[small] + (width[small] - np.uint64(1))) >> _32)
-            width[small] = np.where(split, inner, width[small]) << _32
-            self.out(at[small], low[small])
-            low[small] <<= _32
-        self.low[at], self.range[at] = low, width
-        return small
-
-    def out(self, at: np.ndarray, low: np.ndarray) -> None:
-        raise NotImplementedError
-
-
-class _Writer(_Coder):
-    def __init__(self, lanes: int) -> None:
-        super().__init__(lanes)
-        self.words = np.zeros((lanes, 2 * BLOCK + 4), np.uint32)
+        self.words = np.zeros((words, lanes), np.uint32)
         self.size = np.zeros(lanes, np.int64)
 
-    def out(self, at, low) -> None:
-        self.words[at, self.size[at]] = low >> _32
-        self.size[at] += 1
-
-    def code(self, at, start, size, total) -> None:
-        self._shift(at, start, size, total)
-
-    def finish(self) -> list[bytes]:
+    def code(self, start: np.ndarray, share: np.ndarray, bits: np.uint64) -> None:
+        """Narrow the first lanes to a part of their intervals."""
+        n = len(start)
+        low, width = self.low[:n], self.range[:n]
+        width >>= bits
+        add = width * start
+        low += add
+        width *= share
+        carry = np.flatnonzero(low < add)
+        if len(carry):
+            self.words[self.size[carry] - 1, carry] += 1
+        small = np.flatnonzero(width < _LEAST)
+        while len(small):
+            self._out(small)
+            width[small] <<= _16
+            small = small[width[small] < _LEAST]
+
+    def _out(self, at: np.ndarray) -> None:
+        low, size = self.low[at], self.size[at]
+        self.words[size, at] = low >> _48
+        self.low[at] = low << _16
+        self.size[at] = size + 1
+
+    def finish(self) -> tuple[np.ndarray, bytes]:
+        """How many words each lane has, and the words lane by lane."""
         every = np.arange(len(self.low))
-        low = self.low.copy()
-        for _ in range(2):
-            self.out(every, low)
-            low <<= _32
-        return [self.words[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.size.tolist())]
-
-
-class _Reader(_Coder):
-    def __init__(self, blocks: list[bytes]) -> None:
-        super().__init__(len(blocks))
-        longest = max(map(len, blocks)) // 4
-        self.words = np.zeros((len(blocks), longest + 4), np.uint32)
-        for i, b in enumerate(blocks):
-            self.words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
-        self.at = np.full(len(blocks), 2, np.int64)
-        self.value = (self.words[:, 0].astype(np.uint64) << _32) | self.words[:, 1]
-
-    def out(self, at, low) -> None:
-        self.value[at] = (self.value[at] << _32) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)]
-        self.at[at] += 1
-
-    def target(self, at, total) -> np.ndarray:
-        return np.minimum((self.value[at] - self.low[at]) // (self.range[at] // total), total - np.uint64(1))
-
-    def code(self, at, start, size, total) -> None:
-        self._shift(at, start, size, total)
-
-
-class _Model:
-    """The state of every block's predictions; ids are known by the order in which they first came."""
-
-    def __init__(self, lanes: int) -> None:
-        self.lanes = np.arange(lanes)
-        self.follow1 = np.full((lanes, BLOCK + 1), -1, np.int16)
-        self.follow2 = np.full((lanes, _HASHED), -1, np.int16)
-        self.sure1 = np.zeros((lanes, BLOCK + 1), np.int8)
-        self.sure2 = np.zeros((lanes, _HASHED), np.int8)
-        self.chance = np.full((lanes, 3, 16), 2048, np.int16)
-        self.weight = np.full((lanes, 3), 24_000, np.int32)
-        self.counts = np.zeros((lanes, BLOCK // _GROUP, _GROUP), np.int16)
-        self.sums = np.zeros((lanes, BLOCK // _GROUP), np.int16)
-        self.distinct = np.zeros(lanes, np.int64)
-        self.seen = 0
-        self.last = np.full((2, lanes), BLOCK, np.int64)
-
-    def predict(self, at: np.ndarray):
-        """The predicted id of each lane (-1: none) and the probability, of 4096, that it is right."""
-        s1, s2 = self.last[0, at], self.last[1, at]
-        self.context = (s2 * 40_503 + s1 * 2_654_435_761 >> 7) & (_HASHED - 1)
-        p1, p2 = self.follow1[at, s1].astype(np.int64), self.follow2[at, self.context].astype(np.int64)
-        guess = np.where(p2 >= 0, p2, p1)
-        safe = np.maximum(guess, 0)
-        count = self.counts[at, safe // _GROUP, safe % _GROUP]
-        kinds = np.stack([np.where(p2 >= 0, self.sure2[at, self.context] + 1, 0), self.sure1[at, s1] + 8 * (p1 == guess), np.minimum(count, 15)], axis=1)
-        self.kinds = kinds
-        self.odds = self.chance[at[:, None], _THREE, kinds].astype(np.int32)
-        self.inputs = _STRETCH[self.odds]
-        mixed = (self.inputs * self.weight[at]).sum(axis=1) >> 16
-        return guess, _SQUASH[np.clip(mixed, -2047, 2047) + 2047]
-
-    def learn_guess(self, at, rows, right, chance) -> None:
-        """``rows`` of the last prediction had a guess; ``right`` says whether it came."""
-        want = np.where(right, 4095, 0)
-        odds = self.odds[rows]
-        self.chance[at[:, None], _THREE, self.kinds[rows]] = odds + ((want[:, None] - odds) >> 4)
-        error = (want - chance) * 10
-        self.weight[at] += (self.inputs[rows] * error[:, None] + 512) >> 10
-
-    def learn(self, at, symbols) -> None:
-        """The ids that came."""
-        s1 = self.last[0, at]
-        for follow, sure, key in ((self.follow1, self.sure1, s1), (self.follow2, self.sure2, self.context)):
-            same = follow[at, key] == symbols
-            sure[at, key] = np.where(same, np.minimum(sure[at, key] + 1, 6), 0)
-            follow[at, key] = symbols
-        self.counts[at, symbols // _GROUP, symbols % _GROUP] += 1
-        self.sums[at, symbols // _GROUP] += 1
-        self.last[1, at] = s1
-        self.last[0, at] = symbols
-        self.seen += 1
-
-
-def _u(x) -> np.ndarray:
-    return np.asarray(x).astype(np.uint64)
-
-
-def _order0_total(model: _Model, at) -> np.ndarray:
-    return _u(2 * model.seen + model.distinct[at] + 1)
-
-
-def write_blocks(ids: np.ndarray) -> list[bytes]:
-    """The code bytes of each block of ids; all blocks but the last are full."""
-    lanes = -(-len(ids) // BLOCK)
-    if not lanes:
-        return []
-    table = np.full(lanes * BLOCK, -1, np.int64)
-    table[: len(ids)] = ids
-    table = table.reshape(lanes, BLOCK)
-    symbols, fresh = _symbols(table)
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    model, coder = _Model(lanes), _Writer(lanes)
-    at = model.lanes
-    for t in range(BLOCK):
-        if t == 1 or table[-1, t] < 0:
-            at = np.flatnonzero(table[:, t] >= 0)
-            if not len(at):
-                break
-        symbol, new = symbols[at, t], fresh[at, t]
-        guess, chance = model.predict(at)
-        rows = np.flatnonzero(guess >= 0)
-        right = symbol[rows] == guess[rows]
-        hit, p = at[rows], _u(chance[rows])
-        coder.code(hit, np.where(right, np.uint64(0), p), np.where(right, p, np.uint64(4096) - p), np.uint64(4096))
-        model.learn_guess(hit, rows, right, chance[rows])
-        rest = np.ones(len(at), bool)
-        rest[rows[right]] = False
-        rest = np.flatnonzero(rest)
-        lane, s, n = at[rest], symbol[rest], new[rest]
-        escape = model.distinct[lane] + 1
-        group, place = np.where(n, 0, s) // _GROUP, np.where(n, 0, s) % _GROUP
-        before = (model.sums[lane] * (_PLACES[: BLOCK // _GROUP] < group[:, None])).sum(axis=1, dtype=np.int64)
-        inside = model.counts[lane, group]
-        before += (inside * (_PLACES < place[:, None])).sum(axis=1, dtype=np.int64)
-        start = np.where(n, 0, escape + 2 * before)
-        size = np.where(n, escape, 2 * inside[np.arange(len(lane)), place].astype(np.int64))
-        coder.code(lane, _u(start), _u(size), _order0_total(model, lane))
-        newly = lane[n]
-        if len(newly):
-            plain = _u(table[newly, t])
-            if wide:
-                coder.code(newly, plain >> np.uint64(16), np.uint64(1), np.uint64(65_536))
-            coder.code(newly, plain & np.uint64(0xFFFF), np.uint64(1), np.uint64(65_536))
-            model.distinct[newly] += 1
-        model.learn(at, symbol)
-    return coder.finish()
-
-
-def _symbols(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each id's number in the order in which its block's ids first come, and whether it comes first here."""
-    order = np.argsort(table, axis=1, kind="stable")
-    ranked = np.take_along_axis(table, order, axis=1)
-    first = np.ones(table.shape, bool)
-    first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    start = np.take_along_axis(order, np.maximum.accumulate(np.where(first, np.arange(table.shape[1]), 0), axis=1), axis=1)
-    origin = np.empty_like(order)
-    np.put_along_axis(origin, order, start, axis=1)
-    fresh = origin == np.arange(table.shape[1])
-    number = np.cumsum(fresh, axis=1) - 1
-    return np.take_along_axis(number, origin, axis=1), fresh
-
-
-def read_blocks(blocks: list[bytes], count: int, wide: bool) -> np.ndarray:
-    """The ids of blocks that hold ``count`` ids in all."""
-    lanes = len(blocks)
-    if not lanes:
+        for _ in range(4):
+            self._out(every)
+        for i in range(int(self.size.max()) - 1, 0, -1):
+            self.words[i - 1] += self.words[i] >> 16
+        used = np.arange(len(self.words))[:, None] < self.size
+        return self.size, self.words.T[used.T].astype("<u2").tobytes()
+
+
+class _Reader:
+    def __init__(self, sizes: np.ndarray, data: bytes, words: int) -> None:
+        self.words = np.concatenate([np.frombuffer(data, "<u2"), np.zeros(words + 4, np.uint16)]).astype(np.uint64)
+        self.at = np.cumsum(sizes) - sizes
+        self.range = np.full(len(sizes), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.value = np.zeros(len(sizes), np.uint64)  # above the lower end
+        for _ in range(4):
+            self.value = (self.value << _16) | self.words[self.at]
+            self.at += 1
+
+    def target(self, n: int, bits: np.uint64) -> np.ndarray:
+        """Where in their intervals the first lanes are; they must be narrowed to a part around it next."""
+        width = self.range[:n]
+        width >>= bits
+        return np.minimum(self.value[:n] // width, np.uint64((1 << int(bits)) - 1))
+
+    def code(self, start: np.ndarray, share: np.ndarray) -> None:
+        n = len(start)
+        value, width = self.value[:n], self.range[:n]
+        value -= width * start
+        width *= share
+        small = np.flatnonzero(width < _LEAST)
+        while len(small):
+            at = self.at[small]
+            value[small] = (value[small] << _16) | self.words.take(at)
+            self.at[small] = at + 1
+            wider = width[small] << _16
+            width[small] = wider
+            small = small[wider < _LEAST]
+
+
+def _rounds(steps: int) -> Iterator[tuple[int, int]]:
+    """The first and last steps of the rounds: 1, 1, 2, 4, ... steps."""
+    start = 0
+    while start < steps:
+        end = min(steps, start + min(ROUND, max(1, start)))
+        yield start, end
+        start = end
+
+
+def _lanes(ids: int) -> tuple[int, int, int]:
+    """How many lanes so many ids make, the steps that all lanes take, and the lanes that take one more."""
+    lanes = max(1, min(LANES, ids // LANE_IDS))
+    return lanes, *divmod(ids, lanes)
+
+
+def _steps(symbols: np.ndarray, sentinel: int) -> np.ndarray:
+    """A row for each step, with the symbol of each lane, below two rows of the sentinel."""
+    lanes, steps, more = _lanes(len(symbols))
+    table = np.full((steps + 3, lanes), sentinel, np.int64)
+    cut = more * (steps + 1)
+    table[2:, :more] = symbols[:cut].reshape(more, steps + 1).T
+    table[2:-1, more:] = symbols[cut:].reshape(lanes - more, steps).T
+    return table
+
+
+def _unsteps(table: np.ndarray, ids: int) -> np.ndarray:
+    _, steps, more = _lanes(ids)
+    return np.concatenate([table[2:, :more].T.ravel(), table[2:-1, more:].T.ravel()])
+
+
+def _words(ids: int, bits: int) -> int:
+    """The most words that a lane can have."""
+    return (ids // _lanes(ids)[0] + 1) * (bits + 1) // 16 + 8
+
+
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in ascending order, and each id's place among them."""
+    top = int(ids.max())
+    if top > 4 * len(ids) + 1_000_000:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(top + 1, np.int64)
+    there[ids] = 1
+    alphabet = np.flatnonzero(there)
+    there[alphabet] = np.arange(len(alphabet))
+    return alphabet, there.take(ids)
+
+
+def write_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The alphabet of a block of ids, how many words of 16 bits each lane has, and the words."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), b""
+    alphabet, symbols = _alphabet(ids)
+    lanes, steps, more = _lanes(len(ids))
+    model = _Model(len(alphabet), len(ids))
+    shift, bits = np.uint64(model.bits), np.uint64(model.bits + _CHANCE)
+    coder, table = _Writer(lanes, _words(len(ids), int(bits))), _steps(symbols, len(alphabet))
+
+    def code(first: int, last: int, n: int) -> tuple:
+        s2, s1, symbol = (table[first + i : last + i, :n] for i in range(3))
+        context, guess, kind, chance = model.predict(s1, s2)
+        right = (guess == symbol) & (chance > 0)
+        hit, miss = chance << shift, _ONE - chance
+        start = np.where(right, 0, hit + miss * model.start.take(symbol))
+        share = np.where(right, hit, miss * model.share.take(symbol))
+        for a, b in zip(start, share, strict=True):
+            coder.code(a, b, bits)
+        return s1, context, kind, right, symbol
+
+    for first, last in _rounds(steps):
+        model.learn(*[x.ravel() for x in code(first, last, lanes)])
+    if more:
+        code(steps, steps + 1, more)
+    return alphabet, *coder.finish()
+
+
+def read_block(alphabet: np.ndarray, sizes: np.ndarray, data: bytes, count: int) -> np.ndarray:
+    """The ``count`` ids of a block."""
+    if not count:
         return np.zeros(0, np.int64)
-    table = np.zeros((lanes, BLOCK), np.int64)
-    known = np.zeros((lanes, BLOCK), np.int64)
-    sizes = np.full(lanes, BLOCK)
-    sizes[-1] = count - (lanes - 1) * BLOCK
-    model, coder = _Model(lanes), _Reader(blocks)
-    for t in range(BLOCK):
-        at = np.flatnonzero(sizes > t)
-        if not len(at):
-            break
-        symbol = np.empty(len(at), np.int64)
-        guess, chance = model.predict(at)
-        rows = np.flatnonzero(guess >= 0)
-        hit, p = at[rows], _u(chance[rows])
-        right = coder.target(hit, np.uint64(4096)) < p
-        coder.code(hit, np.where(right, np.uint64(0), p), np.where(right, p, np.uint64(4096) - p), np.uint64(4096))
-        model.learn_guess(hit, rows, right, chance[rows])
-        symbol[rows] = guess[rows]
-        rest = np.ones(len(at), bool)
-        rest[rows[right]] = False
-        rest = np.flatnonzero(rest)
-        lane = at[rest]
-        escape = model.distinct[lane] + 1
-        total = _order0_total(model, lane)
-        target = coder.target(lane, total).astype(np.int64)
-        n = target < escape
-        want = (np.where(n, 0, target - escape) >> 1).astype(np.int16)
-        upto = np.cumsum(model.sums[lane], axis=1, dtype=np.int16)
-        group = np.minimum((upto <= want[:, None]).sum(axis=1), BLOCK // _GROUP - 1)
-        rows_ = np.arange(len(lane))
-        before = upto[rows_, group] - model.sums[lane, group]
-        inside = model.counts[lane, group]
-        within = np.cumsum(inside, axis=1, dtype=np.int16)
-        place = np.minimum((within <= (want - before)[:, None]).sum(axis=1), _GROUP - 1)
-        own = inside[rows_, place]
-        before = (before + within[rows_, place] - own).astype(np.int64)
-        coder.code(lane, _u(np.where(n, 0, escape + 2 * before)), _u(np.where(n, escape, 2 * own.astype(np.int64))), total)
-        s = np.where(n, model.distinct[lane], group * _GROUP + place)
-        newly = lane[n]
-        if len(newly):
-            plain = np.zeros(len(newly), np.uint64)
-            for _ in range(1 + wide):
-                half = coder.target(newly, np.uint64(65_536))
-                coder.code(newly, half, np.uint64(1), np.uint64(65_536))
-                plain = (plain << np.uint64(16)) | half
-            known[newly, model.distinct[newly]] = plain
-            model.distinct[newly] += 1
-        symbol[rest] = s
-        table[at, t] = known[at, symbol]
-        model.learn(at, symbol)
-    return table.ravel()[:count]
+    lanes, steps, more = _lanes(count)
+    model = _Model(len(alphabet), count)
+    shift, bits = np.uint64(model.bits), np.uint64(model.bits + _CHANCE)
+    coder = _Reader(sizes, data, _words(count, int(bits)))
+    table = np.full((steps + 3, lanes), len(alphabet), np.int64)
+
+    def step(t: int, n: int) -> tuple:
+        context, guess, kind, chance = model.predict(table[t + 1, :n], table[t, :n])
+        target, hit, miss = coder.target(n, bits), chance << shift, _ONE - chance
+        right = target < hit
+        place = np.where(right, 0, target - hit) // miss
+        symbol = np.where(right, guess, model.found.take(place.view(np.int64)))
+        start = np.where(right, 0, hit + miss * model.start.take(symbol))
+        coder.code(start, np.where(right, hit, miss * model.share.take(symbol)))
+        table[t + 2, :n] = symbol
+        return context, kind, right
+
+    for first, last in _rounds(steps):
+        context, kind, right = (np.concatenate(x) for x in zip(*[step(t, lanes) for t in range(first, last)], strict=True))
+        model.learn(table[first + 1 : last + 1].ravel(), context, kind, right, table[first + 2 : last + 2].ravel())
+    if more:
+        step(steps, more)
+    return alphabet[_unsteps(table, count)]
 
 
 def pack(lengths: list[int], ids: np.ndarray) -> bytes:
-    """A segment: texts' lengths, then each block's checksum and size, then the blocks."""
-    blocks = write_blocks(ids)
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
-    index = np.array([*lengths, *sums, *map(len, blocks)], "<u4").tobytes()
-    return _HEAD.pack(_MAGIC, wide, len(lengths), len(blocks)) + index + b"".join(blocks)
+    """A segment: texts' lengths, the words of each lane, the alphabet, then the words."""
+    alphabet, sizes, words = write_block(ids)
+    letters = zlib.compress(np.diff(alphabet, prepend=0).astype("<u4").tobytes())
+    index = np.array([*lengths, *sizes.tolist()], "<u4").tobytes()
+    return _HEAD.pack(_MAGIC, len(lengths), len(sizes), len(letters), zlib.crc32(ids.astype("<u4").tobytes())) + index + letters + words
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' lengths and all ids of a segment; raises if a block is damaged."""
-    magic, wide, n_texts, n_blocks = _HEAD.unpack_from(data)
+    """The texts' lengths and all ids of a segment; raises if it is damaged."""
+    magic, n_texts, n_lanes, n_letters, wanted = _HEAD.unpack_from(data)
     if magic != _MAGIC:
         raise ValueError("no segment of token ids")
-    index = np.frombuffer(data, "<u4", n_texts + 2 * n_blocks, _HEAD.size).astype(np.int64)
-    lengths, sums, sizes = index[:n_texts], index[n_texts : n_texts + n_blocks], index[n_texts + n_blocks :]
-    ends = _HEAD.size + 4 * len(index) + np.cumsum(sizes)
-    blocks = [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    ids = read_blocks(blocks, int(lengths.sum()), bool(wide))
-    for k, wanted in enumerate(sums.tolist()):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != wanted:
-            raise ValueError(f"block {k} is damaged")
+    index = np.frombuffer(data, "<u4", n_texts + n_lanes, _HEAD.size).astype(np.int64)
+    lengths, sizes = index[:n_texts], index[n_texts:]
+    at = _HEAD.size + 4 * len(index)
+    try:
+        alphabet = np.cumsum(np.frombuffer(zlib.decompress(data[at : at + n_letters]), "<u4").astype(np.int64))
+    except zlib.error as e:
+        raise ValueError("the alphabet is damaged") from e
+    ids = read_block(alphabet, sizes, data[at + n_letters :], int(lengths.sum()))
+    if zlib.crc32(ids.astype("<u4").tobytes()) != wanted:
+        raise ValueError("the block is damaged")
     return lengths, ids
 
 
