@@ -265,6 +265,21 @@ def test_cut_pieces_have_the_same_ids():
     assert [np.frombuffer(x, "<u4").tolist() for x in library.packed(texts)] == expected
 
 
+def test_latin_pieces_are_encoded_by_their_words(monkeypatch):
+    """Words that end differently are merged once, without the library's search for the pattern, and have the same ids."""
+    library, rng = units.Library(open(GPT, "rb").read()), random.Random(5)
+    parts = ["word", "Öl", "ÿ", "ɏ", "don't", "'S", "''ll", "42", "+", "...", "$$", "<|", "x", "~", "\x7f", "×", "²", " ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(1500)] + ["x<|endoftext|>y", "a <|endoftext|>"]
+    expected = [e.ids for e in library.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in library.packed(texts)] == expected
+    asked, encode = [], units.Library.encode
+    monkeypatch.setattr(units.Library, "encode", lambda self, texts: asked.extend(texts) or encode(self, texts))
+    library.packed(["Größe, größe. it's (größe) größe42"])
+    assert asked == []
+    library.packed(["x<|endoftext|>z", "日本"])
+    assert len(asked) > 0
+
+
 def test_bpe_table_goes_out_in_parts(spark, monkeypatch):
     """The driver holds a bounded part of the table of words at once."""
     monkeypatch.setattr(bpe, "_SENT_BYTES", 100)
@@ -395,6 +410,33 @@ def test_lanes_of_a_block_share_a_model(monkeypatch):
     assert np.array_equal(idfile.unpack(data)[1], ids)
 
 
+def test_contexts_keep_one_table():
+    """What a context predicts and how sure it is are one number of 32 bits, which the model learns as it coded with it."""
+    rng = np.random.default_rng(3)
+    model = idfile._Model(50, 1000)
+    assert [x.dtype for x in model.packed] == [np.int32, np.int32]
+    for _ in range(30):
+        s1, s2, symbols = (rng.integers(0, 4, 200) for _ in range(3))
+        context, e1, e2, guess, kind, chance = model.predict(s1, s2)
+        want, votes = model.packed[0].copy() >> 4, model.votes[0].copy()
+        seen = model.packed[0] > 0
+        for a, x in zip(s1, symbols, strict=True):
+            votes[a] += 1 if seen[a] and (e1[s1 == a][0] >> 4) == x else -1
+        lost = [a for a in range(4) if (s1 == a).any() and votes[a] < 0]
+        model.learn(s1, context, e1, e2, kind, (guess == symbols) & (chance > 0), symbols)
+        for a in lost:
+            want[a], votes[a] = symbols[s1 == a][-1], 0
+        assert np.array_equal(model.packed[0] >> 4, want) and np.array_equal(model.votes[0], np.minimum(votes, 255))
+
+
+def test_tables_are_turned_in_blocks():
+    for shape in ((1, 1), (64, 65), (130, 3), (3, 200), (0, 4)):
+        table = np.arange(shape[0] * shape[1]).reshape(shape)
+        into = np.empty(shape[::-1], np.int64)
+        idfile._turn(table, into)
+        assert np.array_equal(into, table.T)
+
+
 def test_carries_reach_the_words_before():
     """Intervals at the upper end, whose carries run through several words."""
     coder, bits = idfile._Writer(3, 200), np.uint64(16)

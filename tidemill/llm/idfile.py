@@ -60,7 +60,7 @@ def _squash_table() -> np.ndarray:
 
 _STRETCH, _SQUASH = _stretch_table(), _squash_table()
 #: The class, from 1, of a number of votes; a context that hasn't come has class 0.
-_CLASS = 1 + np.frexp(np.arange(_VOTES + 1.0))[1].astype(np.int64)
+_CLASS = 1 + np.frexp(np.arange(_VOTES + 1.0))[1].astype(np.int32)
 #: What is mixed: the class of the order-2 votes, whether both contexts predict the same id, the class of the order-1 votes, the level of the order-0 count.
 _KINDS = (16, 2, 16, 16)
 _KIND = np.arange(np.prod(_KINDS))
@@ -76,9 +76,9 @@ class _Model:
         self.bits = alphabet.bit_length() + 2  # of the order-0 code space
         self.mask = (1 << max(8, min(_HASHED, ids.bit_length()))) - 1
         contexts = (alphabet + 1, self.mask + 1)
-        self.next = [np.full(n, -1, np.int32) for n in contexts]
         self.votes = [np.zeros(n, np.int32) for n in contexts]
-        self.packed = [np.zeros(n, np.int64) for n in contexts]  # the predicted id and the class of its votes
+        # The predicted id and the class of its votes; 0 if the context hasn't come.
+        self.packed = [np.zeros(n, np.int32 if alphabet < 1 << 27 else np.int64) for n in contexts]
         self.weights = np.ones(alphabet, np.int64)
         self.came, self.right = np.full(64, 2, np.int64), np.ones(64, np.int64)  # of each input
         self.mix = np.full(3, 24_000, np.int64)
@@ -92,14 +92,14 @@ class _Model:
         share = ends - start
         self.start, self.share = start.astype(np.uint64), share.astype(np.uint64)
         self.found = np.repeat(np.arange(self.size, dtype=np.int32), share)
-        self.level = np.minimum(np.frexp(share.astype(np.float64))[1], 15).astype(np.int64)
+        self.level = np.minimum(np.frexp(share.astype(np.float64))[1], 15).astype(np.int32)
         self.inputs = _STRETCH[np.minimum(self.right * 4096 // self.came, 4095)][_INPUT]
         mixed = np.clip((self.inputs * self.mix).sum(axis=1) >> 16, -2047, 2047)
         self.chances = np.where(_NO_GUESS, 0, _SQUASH[mixed + 2047])
         self.chance = self.chances.astype(np.uint64)
 
     def predict(self, s1: np.ndarray, s2: np.ndarray):
-        """Order-2 contexts, predicted ids, what is mixed, and the probability, of 4096, that the prediction is right (0: there is none)."""
+        """Order-2 contexts, what both contexts predict, the predicted ids, what is mixed, and the probability, of 4096, that the prediction is right (0: there is none)."""
         context = s2 * 40_503
         context += s1
         context *= 2_654_435_761
@@ -107,12 +107,15 @@ class _Model:
         context &= self.mask
         e1, e2 = self.packed[0].take(s1), self.packed[1].take(context)
         b2 = e2 & 15
-        guess = np.where(b2 > 0, e2, e1) >> 4
-        kind = (b2 << 9) + ((e1 >> 4 == e2 >> 4) * 256) + ((e1 & 15) << 4)
+        guess = np.where(b2 > 0, e2, e1)
+        guess >>= 4
+        kind = b2 << 9
+        kind += (e1 & 15) << 4
+        kind += np.multiply(e1 >> 4 == e2 >> 4, 256, dtype=kind.dtype)
         kind += self.level.take(guess)
-        return context, guess, kind, self.chance.take(kind)
+        return context, e1, e2, guess, kind, self.chance.take(kind)
 
-    def learn(self, s1: np.ndarray, context: np.ndarray, kind: np.ndarray, right: np.ndarray, symbols: np.ndarray) -> None:
+    def learn(self, s1: np.ndarray, context: np.ndarray, e1: np.ndarray, e2: np.ndarray, kind: np.ndarray, right: np.ndarray, symbols: np.ndarray) -> None:
         """The ids that came in a round."""
         self.weights += _GAIN * np.bincount(symbols, minlength=self.size)
         came, hit = np.bincount(kind, minlength=len(_KIND)), np.bincount(kind[right], minlength=len(_KIND))
@@ -122,17 +125,18 @@ class _Model:
         for i in range(3):
             self.came += np.bincount(_INPUT[:, i], weights=guessed, minlength=64).astype(np.int64)
             self.right += np.bincount(_INPUT[:, i], weights=hit, minlength=64).astype(np.int64)
-        for which, at in enumerate((s1, context)):
-            following, votes, packed = self.next[which], self.votes[which], self.packed[which]
-            np.add.at(votes, at, np.where(following.take(at) == symbols, 1, -1).astype(np.int32))
+        for votes, packed, at, before in zip(self.votes, self.packed, (s1, context), (e1, e2), strict=True):
+            np.add.at(votes, at, np.where((before >> 4 == symbols) & (before > 0), np.int32(1), np.int32(-1)))
             own = votes.take(at)
             lost = np.flatnonzero(own < 0)
-            place = at[lost]
-            following[place] = symbols[lost]
-            votes[place] = own[lost] = 0
             over = np.flatnonzero(own > _VOTES)
+            votes[at[lost]] = own[lost] = 0
             votes[at[over]] = own[over] = _VOTES
-            packed[at] = (following.take(at).astype(np.int64) << 4) | _CLASS.take(own)
+            # All ids of a context lose or none does, and the last that came after it is predicted next.
+            before &= -16
+            before[lost] = symbols[lost] << 4
+            before |= _CLASS.take(own)
+            packed[at] = before
         self._settle()
 
 
@@ -175,8 +179,9 @@ class _Writer:
             self._out(every)
         for i in range(int(self.size.max()) - 1, 0, -1):
             self.words[i - 1] += self.words[i] >> 16
-        used = np.arange(len(self.words))[:, None] < self.size
-        return self.size, self.words.T[used.T].astype("<u2").tobytes()
+        lanes = np.empty(self.words.shape[::-1], "<u2")
+        _turn(self.words.astype("<u2"), lanes)
+        return self.size, lanes[np.arange(len(self.words)) < self.size[:, None]].tobytes()
 
 
 class _Reader:
@@ -230,14 +235,24 @@ def _steps(symbols: np.ndarray, sentinel: int) -> np.ndarray:
     lanes, steps, more = _lanes(len(symbols))
     table = np.full((steps + 3, lanes), sentinel, np.int64)
     cut = more * (steps + 1)
-    table[2:, :more] = symbols[:cut].reshape(more, steps + 1).T
-    table[2:-1, more:] = symbols[cut:].reshape(lanes - more, steps).T
+    _turn(symbols[:cut].reshape(more, steps + 1), table[2:, :more])
+    _turn(symbols[cut:].reshape(lanes - more, steps), table[2:-1, more:])
     return table
 
 
 def _unsteps(table: np.ndarray, ids: int) -> np.ndarray:
-    _, steps, more = _lanes(ids)
-    return np.concatenate([table[2:, :more].T.ravel(), table[2:-1, more:].T.ravel()])
+    lanes, steps, more = _lanes(ids)
+    symbols, cut = np.empty(ids, table.dtype), more * (steps + 1)
+    _turn(table[2:, :more], symbols[:cut].reshape(more, steps + 1))
+    _turn(table[2:-1, more:], symbols[cut:].reshape(lanes - more, steps))
+    return symbols
+
+
+def _turn(table: np.ndarray, into: np.ndarray) -> None:
+    """Transpose a table, in blocks that fit into the cache."""
+    for i in range(0, len(table), 64):
+        for j in range(0, table.shape[1], 64):
+            into[j : j + 64, i : i + 64] = table[i : i + 64, j : j + 64].T
 
 
 def _words(ids: int, bits: int) -> int:
@@ -269,14 +284,14 @@ def write_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
 
     def code(first: int, last: int, n: int) -> tuple:
         s2, s1, symbol = (table[first + i : last + i, :n] for i in range(3))
-        context, guess, kind, chance = model.predict(s1, s2)
+        context, e1, e2, guess, kind, chance = model.predict(s1, s2)
         right = (guess == symbol) & (chance > 0)
         hit, miss = chance << shift, _ONE - chance
         start = np.where(right, 0, hit + miss * model.start.take(symbol))
         share = np.where(right, hit, miss * model.share.take(symbol))
         for a, b in zip(start, share, strict=True):
             coder.code(a, b, bits)
-        return s1, context, kind, right, symbol
+        return s1, context, e1, e2, kind, right, symbol
 
     for first, last in _rounds(steps):
         model.learn(*[x.ravel() for x in code(first, last, lanes)])
@@ -296,7 +311,7 @@ def read_block(alphabet: np.ndarray, sizes: np.ndarray, data: bytes, count: int)
     table = np.full((steps + 3, lanes), len(alphabet), np.int64)
 
     def step(t: int, n: int) -> tuple:
-        context, guess, kind, chance = model.predict(table[t + 1, :n], table[t, :n])
+        context, e1, e2, guess, kind, chance = model.predict(table[t + 1, :n], table[t, :n])
         target, hit, miss = coder.target(n, bits), chance << shift, _ONE - chance
         right = target < hit
         place = np.where(right, 0, target - hit) // miss
@@ -304,11 +319,11 @@ def read_block(alphabet: np.ndarray, sizes: np.ndarray, data: bytes, count: int)
         start = np.where(right, 0, hit + miss * model.start.take(symbol))
         coder.code(start, np.where(right, hit, miss * model.share.take(symbol)))
         table[t + 2, :n] = symbol
-        return context, kind, right
+        return context, e1, e2, kind, right
 
     for first, last in _rounds(steps):
-        context, kind, right = (np.concatenate(x) for x in zip(*[step(t, lanes) for t in range(first, last)], strict=True))
-        model.learn(table[first + 1 : last + 1].ravel(), context, kind, right, table[first + 2 : last + 2].ravel())
+        came = (np.concatenate(x) for x in zip(*[step(t, lanes) for t in range(first, last)], strict=True))
+        model.learn(table[first + 1 : last + 1].ravel(), *came, table[first + 2 : last + 2].ravel())
     if more:
         step(steps, more)
     return alphabet[_unsteps(table, count)]

@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from itertools import chain
 
 import numpy as np
@@ -20,6 +21,13 @@ _RARE = "\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 _CUT = re.compile(r"(?= \S)")
 _PLAIN = re.compile(r" ?\S+")
+#: Letters whose class no version of Unicode changes, and pieces of which the byte-level pattern's matches are known to be those of ``_MATCH``.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LATIN = re.compile(rf" ?[!-~{_LETTERS}]+")
+_MATCH = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_LETTERS}0-9\s]+")
+#: The characters that stand for bytes in a byte-level vocabulary: visible ones of Latin-1 for themselves, others from 256 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_VISIBLE)))}
 _LINES = 4096
 #: Code points of pieces after which the cache starts again.
 _CACHE_CHARS = 32_000_000
@@ -43,6 +51,8 @@ class Library:
         self._chars = 0
         if self.cuttable:
             (self._break,) = self.encode(["\n"])[0]
+            added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+            self._added = re.compile("|".join(added)) if added else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,8 +106,9 @@ class Library:
         self._chars += sum(map(len, new)) + sum(map(len, unknown))
 
     def _learn(self, units: set[str]) -> None:
-        """Encode new pieces: plain ones as the lines of one text, as a line break between them is a token of its own."""
-        plain = [u for u in units if _PLAIN.fullmatch(u)]
+        """Encode new pieces: Latin ones by their words, other plain ones as the lines of one text, as a line break between them is a token of its own."""
+        other = self._learn_latin(units)
+        plain = [u for u in other if _PLAIN.fullmatch(u)]
         for i in range(0, len(plain), _LINES):
             part = plain[i : i + _LINES]
             ids = np.array(self.encode(["\n".join(part)])[0], "<u4")
@@ -108,11 +119,32 @@ class Library:
             for unit, end in zip(part, ends.tolist(), strict=True):
                 self._ids[unit] = ids[start:end].tobytes()
                 start = end + 1
-        other = [u for u in units if not _PLAIN.fullmatch(u)]
-        for unit, ids in zip(other, self.encode(other), strict=True):
+        rest = [u for u in other if not _PLAIN.fullmatch(u)]
+        for unit, ids in zip(rest, self.encode(rest), strict=True):
             self._ids[unit] = np.array(ids, "<u4").tobytes()
         self._chars += sum(map(len, units))
 
+    def _learn_latin(self, units: set[str]) -> list[str]:
+        """Encode the pieces in which ``_MATCH`` finds what the pattern does, a match once; returns the others.
+
+        A match is a piece as well, so that it is kept as one.
+        """
+        latin, other = [], []
+        for u in units:
+            (latin if _LATIN.fullmatch(u) and not (self._added and self._added.search(u)) else other).append(u)
+        parts = [(u,) if u.lstrip(" ").isalpha() else _MATCH.findall(u) for u in latin]
+        known, tokenize = self._ids, self.tokenizer.model.tokenize
+        for word in set(chain.from_iterable(parts)).difference(known):
+            spelt = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            ids = [x.id for x in tokenize(spelt)]
+            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            if word not in units:
+                self._chars += len(word)
+        for unit, own in zip(latin, parts, strict=True):
+            if len(own) > 1:
+                known[unit] = b"".join(map(known.__getitem__, own))
+        return other
+
 
 #: In a word vocabulary's unit, a letter or digit ends a word in front of ASCII punctuation, as does punctuation in front of a
 #: letter or digit, but for an apostrophe.
