@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemill import TrainSpec, train
-from tidemill.learning import candidates, dictionary, forests, frames, metrics, preprocessing, training
+from tidemill.learning import candidates, cells, dictionary, forests, frames, metrics, preprocessing, training
 from tidemill.learning.candidates import CANDIDATES, Sizes
 from tidemill.roles import ROW
 
@@ -312,3 +312,36 @@ def test_like_rows_lie_together(iris, monkeypatch):
     for file in {r["file"] for r in keys}:
         own = [by_key[r["__key"]] for r in keys if r["file"] == file]
         assert own == sorted(own)
+
+
+@pytest.mark.parametrize("classification", [False, True])
+def test_boosted_trees_on_cells_are_those_on_rows(spark, classification):
+    """Rows in the same bins and categories are one weighted row, which leads to the same trees."""
+    label, sizes = candidates.LABEL, Sizes(boosted_classifier=4, boosted_regressor=4, boosted_depth=3)
+    df = spark.range(3000).selectExpr("cast(id AS double) AS x", "pmod(hash(id), 4) AS n", "CASE pmod(hash(id, 1), 3) WHEN 0 THEN 'u' WHEN 1 THEN 'v' END AS tag", "pmod(hash(id, 2), 1000) / 7 AS noise")
+    value = F.col("x") / 50 + F.col("n") * F.col("n") * 3 + F.when(F.col("tag") == "u", 40).otherwise(0) + F.col("noise") / 3
+    df = df.withColumn(label, F.when(value > 90, 1.0).otherwise(0.0) if classification else value)
+    prepare = preprocessing.fit_preprocessor(df, ["x", "n", "tag"])
+    bins = cells.fit_bins(df, prepare, 8)
+    rows = PipelineModel([*prepare.stages, *bins]).transform(df).withColumn(cells.WEIGHT, F.lit(1.0)).cache()
+    few = cells.cells(rows, label, classification).cache()
+    assert few.count() <= 8 * 4 * 2 * (2 if classification else 1) and few.agg(F.sum(cells.WEIGHT)).first()[0] == 3000
+    models = [candidates.estimators(classification, 2, 3000, sizes)["xgboost"].fit(x) for x in (rows, few)]
+    found = [[r["prediction"] for r in m.transform(rows).orderBy("x").select("prediction").collect()] for m in models]
+    assert found[0] == pytest.approx(found[1], abs=1e-6) and len(set(found[0])) > 1
+    assert candidates.importances(models[0]) == pytest.approx(candidates.importances(models[1]), abs=1e-6)
+
+
+def test_boosted_trees_pass_over_cells(spark, monkeypatch, tmp_path):
+    """What boosted trees pass over doesn't grow with the rows; numbers of few values keep them all, and a stored model reads raw rows."""
+    kept = {}
+    monkeypatch.setattr(training, "stage", lambda df, label, stored=training.stage: kept.setdefault(label, stored(df, label)))
+    df = spark.range(12_000).selectExpr(f"id AS {ROW}", "id * 1.5 AS x", "if(id % 4000 = 7, 9, id % 3) AS z", "id * 0.01 + id % 3 AS y").cache()
+    result = train(df, TrainSpec("y", ("x", "z"), "xgboost", sizes=Sizes(boosted_regressor=20, boosted_depth=4)))
+    rows = kept["cell-parts"].collect()
+    assert len(rows) <= 64 * 4 and sum(r[cells.WEIGHT] for r in rows) == result.summary["train_rows"] == 9600
+    assert len({r[cells.BINNED][1] for r in rows}) == 4 and result.summary["test_score"] > 0.9
+    result.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model")).transform(df.drop("y"))
+    expected = {r["__key"]: r["prediction"] for r in result.scored.collect()}
+    assert {r[ROW]: r["prediction"] for r in again.collect() if r[ROW] in expected} == expected

@@ -10,6 +10,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+from tidemill.learning.cells import BINNED, WEIGHT
 from tidemill.learning.forests import Forest
 from tidemill.learning.preprocessing import FEATURES
 
@@ -19,7 +20,7 @@ SEED = 42
 # Candidate names in the order in which they are tried.
 CANDIDATES = ("xgboost", "random_forest", "extra_trees", "linear")
 
-_BINS = 64
+BINS = 64
 #: Most node ids (rows times trees, four bytes each) kept between tree levels.
 _CACHED_NODE_IDS = 250_000_000
 
@@ -46,12 +47,13 @@ class Sizes:
 def estimators(classification: bool, classes: int, rows: int, sizes: Sizes, parts: int = 1, tasks: int = 1) -> dict[str, Estimator | Forest]:
     """One estimator per candidate; forests are fitted in ``parts``, each on ``tasks`` tasks, and so many parts of all of them at a time.
 
-    ``xgboost`` is Spark's gradient-boosted trees.  Spark has no extremely
+    ``xgboost`` is Spark's gradient-boosted trees, which are fitted on cells (:mod:`tidemill.learning.cells`).  Spark has no extremely
     randomised trees: ``extra_trees`` approximates them by trees on unbootstrapped
     subsamples with random feature subsets and coarse split points.
     """
     columns = {"featuresCol": FEATURES, "labelCol": LABEL}
-    boosted = {**columns, "maxDepth": sizes.boosted_depth, "maxBins": _BINS, "seed": SEED}
+    cells = {"featuresCol": BINNED, "labelCol": LABEL, "weightCol": WEIGHT}
+    boosted = {**cells, "maxDepth": sizes.boosted_depth, "maxBins": BINS, "seed": SEED}
     forest = {
         **columns,
         "maxDepth": sizes.forest_depth,
@@ -72,14 +74,14 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes, part
     if not classification:
         return {
             "xgboost": GBTRegressor(maxIter=sizes.boosted_regressor, stepSize=sizes.regressor_rate, **boosted),
-            "random_forest": trees(RandomForestRegressor, featureSubsetStrategy="all", maxBins=_BINS, **forest),
+            "random_forest": trees(RandomForestRegressor, featureSubsetStrategy="all", maxBins=BINS, **forest),
             "extra_trees": trees(RandomForestRegressor, featureSubsetStrategy="onethird", **random),
             "linear": LinearRegression(regParam=0.0, **columns),
         }
     boost = GBTClassifier(maxIter=sizes.boosted_classifier, stepSize=sizes.classifier_rate, **boosted)
     return {
-        "xgboost": boost if classes <= 2 else OneVsRest(classifier=boost, **columns),
-        "random_forest": trees(RandomForestClassifier, featureSubsetStrategy="sqrt", maxBins=_BINS, **forest),
+        "xgboost": boost if classes <= 2 else OneVsRest(classifier=boost, **cells),
+        "random_forest": trees(RandomForestClassifier, featureSubsetStrategy="sqrt", maxBins=BINS, **forest),
         "extra_trees": trees(RandomForestClassifier, featureSubsetStrategy="sqrt", **random),
         # An L2 penalty of 1 on the summed loss, on features that are scaled already.
         "linear": LogisticRegression(maxIter=2000, regParam=1.0 / max(1, rows), standardization=False, **columns),

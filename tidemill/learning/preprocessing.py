@@ -19,6 +19,8 @@ from tidemill.roles import dtype_of, is_numeric
 from tidemill.session import stage
 
 FEATURES = "__features"
+#: What the names of filled and scaled numbers begin with.
+NUMBER = "__num_"
 #: Distinct values of a column that are listed on the driver; wider columns are encoded by a join.
 LOCAL_VALUES = 10_000
 
@@ -109,8 +111,8 @@ def fit_preprocessor(train: DataFrame, features: Sequence[str], local_values: in
     slots: list[str] = []
     columns = ["*"]
     for i, (n, s) in enumerate(stats.items()):
-        columns.append(f"(coalesce(cast({quoted(n)} as double), {s.median!r}D) - {s.mean!r}D) / {s.scale!r}D AS __num_{i}")
-        slots.append(f"__num_{i}")
+        columns.append(f"(coalesce(cast({quoted(n)} as double), {s.median!r}D) - {s.mean!r}D) / {s.scale!r}D AS {NUMBER}{i}")
+        slots.append(f"{NUMBER}{i}")
     named = [(i, f"num__{n}") for i, n in enumerate(stats)]
     size, stages, wide_names = len(stats), [], None
 

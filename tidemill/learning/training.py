@@ -18,7 +18,8 @@ from tidemill.columns import c
 from tidemill.functions.labels import value_text
 from tidemill.learning import metrics
 from tidemill.learning.dictionary import TableLookup, with_positions
-from tidemill.learning.candidates import CANDIDATES, LABEL, Sizes, estimators, importances
+from tidemill.learning.candidates import BINS, CANDIDATES, LABEL, Sizes, estimators, importances
+from tidemill.learning.cells import BINNED, cells, fit_bins
 from tidemill.learning.frames import feature_columns, is_classification, model_frame, split
 from tidemill.learning.preprocessing import FEATURES, fit_preprocessor
 from tidemill.roles import ROW, check_supported, dtype_of, is_numeric, normalise_missing, with_row_order
@@ -28,6 +29,8 @@ TOP_FEATURES = 15
 PREDICTION = "prediction"
 TRAIN = "__train"
 PREDICTED = "predicted_value"
+#: The candidate that is fitted on cells.
+BOOSTED = "xgboost"
 #: Iterative learners pass over the rows hundreds of times: no more tasks than the rows are worth, or than there are cores.
 _ROWS_PER_TASK = 10_000
 #: Whatever the cores, no task holds more rows.
@@ -172,9 +175,11 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
         halves = split(frame, spec.train_split, None, key, flag=TRAIN).withColumn(LABEL, c(target).cast("double"))
 
     # Preprocessing is fitted on train rows and its output stored once for all candidates.
+    tried = [spec.model_type] if spec.model_type in CANDIDATES else list(CANDIDATES)
     prepare = fit_preprocessor(halves.filter(TRAIN), features, spec.local_values)
-    ready = PipelineModel(prepare.stages).transform(halves)
-    ready = stage(ready.select(FEATURES, LABEL, TRAIN, c(key).alias("__key"), _like(frame, features).alias("__like")), "model-input")
+    bins = fit_bins(halves.filter(TRAIN), prepare, BINS) if BOOSTED in tried else []
+    ready = PipelineModel([*prepare.stages, *bins]).transform(halves)
+    ready = stage(ready.select(FEATURES, *[BINNED for _ in bins[:1]], LABEL, TRAIN, c(key).alias("__key"), _like(frame, features).alias("__like")), "model-input")
     sizes = {r[TRAIN]: r["n"] for r in ready.groupBy(TRAIN).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train, n_test = sizes.get(True, 0), sizes.get(False, 0)
     cores = spark.sparkContext.defaultParallelism
@@ -182,12 +187,16 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     ready = ready.repartition(tasks, "__key").sortWithinPartitions("__like", "__key").drop("__like")
     ready = stage(ready, "model-parts").coalesce(tasks)
 
-    tried = [spec.model_type] if spec.model_type in CANDIDATES else list(CANDIDATES)
+    rows = {name: ready.filter(TRAIN) for name in tried}
+    if bins:
+        found = stage(cells(rows[BOOSTED], LABEL, classification), "cells")
+        cell_tasks, _ = _tasks(found.count(), cores)
+        rows[BOOSTED] = stage(found.repartition(cell_tasks), "cell-parts").coalesce(cell_tasks)
     parts = _parts(cores, len(tried))
     choices = estimators(classification, classes.count if classes else 0, n_train, spec.sizes, parts, forest_tasks)
 
     def fit(name: str) -> tuple[Model, DataFrame, tuple[float, float]]:
-        found = choices[name].fit(ready.filter(TRAIN))
+        found = choices[name].fit(rows[name])
         # Every pass with a model sends all its nodes to the executors: one predicts, and what follows reads the stored rows.
         predicted = stage(found.transform(ready).select(LABEL, TRAIN, "__key", PREDICTION), "predicted")
         return found, predicted, _scores(predicted, classification)
@@ -250,7 +259,7 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
         "model_leaderboard": board,
     }
     return TrainResult(
-        model=PipelineModel([*prepare.stages, model, *last]),
+        model=PipelineModel([*prepare.stages, *(bins if best == BOOSTED else []), model, *last]),
         summary=summary,
         leaderboard=spark.createDataFrame(board, "model string, train_score double, test_score double"),
         metrics=scored_metrics,
