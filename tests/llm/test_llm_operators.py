@@ -293,6 +293,50 @@ def test_bpe_table_goes_out_in_parts(spark, monkeypatch):
         bpe._find([x.value for x in sent], odd.value, [b"word3", b"word400"])
 
 
+def test_bpe_words_beyond_the_table_move_no_rows(docs):
+    """Rows stay in their tasks however many words there are; words that the table leaves out have the ids of the fold."""
+    whole = bpe.encode_texts(docs, MULTI, public_tokenizers.PATTERN)
+    words = bpe.distinct_words(docs, "text", public_tokenizers.PATTERN).count()
+    expected = sorted(map(str, whole.collect()))
+    for limit in (words - 1, 0):
+        found = bpe.encode_texts(docs, MULTI, public_tokenizers.PATTERN, broadcast_words=limit)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert sorted(map(str, found.collect())) == expected
+
+
+def test_words_outside_the_table_merge_like_the_library():
+    ranks, rng = bpe.read_ranks(MULTI), random.Random(7)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for part in ("abcdefgh", "aab", "日本語のテスト", "é", " the"):
+        for n in (1, 2, 3, 9, 40, 300):
+            word = "".join(rng.choice(part) for _ in range(n))
+            assert bpe.merge_word(word.encode(), ranks) == bpe.merge_long(word.encode(), ranks) == own._encode_single_piece(word)
+
+
+def test_bpe_table_has_the_words_of_the_most_tasks(spark):
+    rows = [(b"a", 9), (b"b", 9), (b"c", 4), (b"dd", 4), (b"e", 1), (b"f", 1), (b"gg", 1)]
+    words = spark.createDataFrame(rows, "word binary, n long")
+    chosen = lambda limit, **more: sorted(bytes(r.word) for r in bpe.table_words(words, limit, **more).collect())
+    assert chosen(7) == chosen(100) == [w for w, _ in rows]
+    assert chosen(6) == chosen(4) == [b"a", b"b", b"c", b"dd"]
+    assert chosen(3) == [b"a", b"b"] and chosen(1) == chosen(0) == []
+    # Words of one hash can't be told apart in the table, and one that is left out may have the hash of one in it.
+    assert chosen(4, key=F.octet_length("word")) == []
+    assert chosen(4, key=F.when(F.col("word").isin(b"c", b"f"), F.lit(b"c")).otherwise(F.col("word"))) == [b"a", b"b", b"dd"]
+
+
+def test_bpe_odd_words_outside_the_table(spark, tmp_path):
+    """Pieces of one rank decode to the last of them, whether a word is in the table or not."""
+    pieces = [bytes([i]) for i in range(256)] + [b"ab", b"cd"]
+    vocabulary = tmp_path / "odd.tiktoken"
+    vocabulary.write_text("".join(f"{base64.b64encode(x).decode()} {min(i, 256)}\n" for i, x in enumerate(pieces)))
+    df = spark.createDataFrame(list(enumerate(["ab cd", "abcd", "xaby", "cd", None, "ab"] * 3)), "doc_id long, text string").coalesce(2)
+    rows = {limit: sorted(map(tuple, bpe.encode_texts(df, str(vocabulary), "[a-z]+| ", broadcast_words=limit).collect())) for limit in (100, 0)}
+    assert rows[0] == rows[100]
+    assert rows[0][0][1:] == (3, hashlib.sha256(b"256,32,256").hexdigest(), hashlib.sha256(b"cd cd").hexdigest())
+
+
 def test_bpe_decodes_only_matches(spark):
     """What the pattern leaves out is in no token, so it isn't decoded either."""
     ranks = bpe.read_ranks(MULTI)

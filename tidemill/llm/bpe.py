@@ -4,8 +4,9 @@ Texts are cut into words by the tokenizer's pattern.  Each distinct word of the
 and a fold merges the leftmost pair of the lowest rank until no pair has one.  The rank map is a literal (a
 scalar subquery over one row) from pairs of ids to the id of what they join to; decoding concatenates the binary
 pieces of the ids.  Texts then look their words up, so no word's occurrence is ever shuffled: the table of distinct
-words is counted first and sent to the executors if it has at most ``BROADCAST_WORDS`` words; beyond it, each text is joined
-with its own words' entries.
+words is counted first and sent to the executors if it has at most ``BROADCAST_WORDS`` words.  Beyond it the table has the words
+that the most tasks met.  The others, most of which a single task met, go through the same merges in the tasks that meet them: no larger corpus has a larger
+table, and neither texts nor occurrences are moved.
 
 A word of more than ``LONG_WORD`` bytes (unspaced texts, encoded data) would take a fold of quadratic cost; such words merge with a
 heap instead, which finds the same pairs in the same order.
@@ -20,6 +21,7 @@ import hashlib
 import heapq
 import uuid
 from array import array
+from collections import ChainMap
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -39,13 +41,14 @@ from tidemill.session import stage
 #: Bytes of a word from which on it is merged with a heap.
 LONG_WORD = 256
 #: Words whose ids are sent to the executors, about 25 bytes each.
-BROADCAST_WORDS = 8_000_000
+BROADCAST_WORDS = 2_000_000
 #: Pieces of texts that a Python worker keeps.
 _CACHED = 1_000_000
 #: Bytes of the packed table that the driver holds at once, and sends as one variable.
 _SENT_BYTES = 16_000_000
 _END = 1 << 20  # stands before and after a word; larger than any id
 _ALL = 1 << 30
+_NO_RANK = 1 << 30
 _MODULI = (131_071, 139_969, 146_077, 155_921)
 
 
@@ -127,6 +130,24 @@ def _decode_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i)))
 
 
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges over lists, which a word of a few bytes goes through faster than through a heap."""
+    if len(word) > LONG_WORD:
+        return merge_long(word, ranks)
+    get = ranks.get
+    parts = [word[i : i + 1] for i in range(len(word))]
+    following = [get(word[i : i + 2], _NO_RANK) for i in range(len(word) - 1)]
+    while following and (low := min(following)) < _NO_RANK:
+        i = following.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del following[i]
+        if i < len(following):
+            following[i] = get(parts[i] + parts[i + 1], _NO_RANK)
+        if i:
+            following[i - 1] = get(parts[i - 1] + parts[i], _NO_RANK)
+    return [ranks[x] for x in parts]
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap of pairs: by rank, then from the left."""
     size = len(word)
@@ -184,7 +205,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], long_word: int = LON
 
 
 def distinct_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
-    """The distinct words (binary) of all texts."""
+    """The distinct words (binary) of all texts, and how many times (``n``) a task met each for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
@@ -200,9 +221,29 @@ def distinct_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
                 units |= new_units
                 words |= new
 
+    return _dealt(df.select(c(text_col)).mapInArrow(run, "word binary")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dealt(words: DataFrame) -> DataFrame:
     # An explicit number of partitions, as encoding costs far more than the bytes of the words suggest.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(c(text_col)).mapInArrow(run, "word binary").repartition(parts, "word").distinct()
+    return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
+
+def table_words(words: DataFrame, limit: int, key: Column | None = None) -> DataFrame:
+    """Of the words and their ``n``: all, or at most ``limit`` that the most tasks met, without words that share their hash with another."""
+    met = sorted(((r["n"], r["words"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    held, least = 0, None
+    for n, k in met:  # as many rows as there are tasks, at most
+        if (held := held + k) > limit:
+            break
+        least = n
+    if least is None:
+        return words.where(F.lit(False)).select("word")
+    key = F.xxhash64("word") if key is None else key
+    chosen = words.where(F.col("n") >= least)
+    if sum(k for _, k in met) != words.agg(F.count_distinct(key)).first()[0]:
+        chosen = chosen.withColumn("h", key).join(words.groupBy(key.alias("h")).count().where("count > 1"), "h", "left_anti")
+    return chosen.select("word")
 
 
 class _Table:
@@ -235,15 +276,17 @@ def _find(tables: list[_Table], odd: dict[bytes, bytes], words: list[bytes]) ->
     return [(x, odd.get(w, w)) for x, w in zip(_find_ids(tables, words), words, strict=True)]
 
 
-def _find_ids(tables: list[_Table], words: list[bytes]) -> list[str]:
-    """The ids of each word."""
+def _find_ids(tables: list[_Table], words: list[bytes], merge: Callable[[bytes], str] | None = None) -> list[str]:
+    """The ids of each word; ``merge`` finds those of words that are in no table."""
     keys = _hashes(words)
     # In order, so that the search stays in one place of a table.
     out, rest = [""] * len(words), np.argsort(keys)
     for table in tables:
         rest = table.fill(keys, rest, out)
-    if len(rest):
+    if len(rest) and merge is None:
         raise LookupError("a word is not in the table")
+    for i in rest.tolist():
+        out[i] = merge(words[i])
     return out
 
 
@@ -263,55 +306,51 @@ class _Known(dict):
         self.asked.append(piece)
 
 
-_UNITS: dict[str, tuple[_Known, dict[str, bytes]]] = {}
+class _Merges:
+    """Encodes and decodes words that are in no table; ``odd`` gets those that decode to other bytes."""
+
+    def __init__(self, ranks: dict[bytes, int], odd: dict[bytes, bytes]) -> None:
+        self.ranks, self.pieces = ranks, {rank: piece for piece, rank in ranks.items()}
+        self.known, self.odd = odd, ChainMap({}, odd)
+
+    def forget(self) -> None:
+        """What was found to be odd is known by its pieces from then on."""
+        if self.odd.maps[0]:
+            self.odd = ChainMap({}, self.known)
+
+    def __call__(self, word: bytes) -> str:
+        ids = merge_word(word, self.ranks)
+        if (decoded := b"".join(map(self.pieces.__getitem__, ids))) != word:
+            self.odd[word] = decoded
+        return ",".join(map(str, ids))
+
+
+_UNITS: dict[str, tuple[_Known, dict[str, bytes], _Merges]] = {}
 
 
 def encode_texts(
     df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS
 ) -> DataFrame:
     """Number of tokens of each row, and digests of its ids and of what they decode to."""
-    encoded = encode_words(distinct_words(df, text_col, pattern), read_ranks(vocabulary)).select("word", "x.ids", "x.decoded")
+    ranks = read_ranks(vocabulary)
+    words = stage(distinct_words(df, text_col, pattern), "bpe-distinct-words")
+    sent, odd = _sent(encode_words(_dealt(table_words(words, broadcast_words)), ranks).select("word", "x.ids", "x.decoded"))
+    known = df.sparkSession.sparkContext.broadcast(ranks)  # as bounded as the vocabulary
     kind = id_type(df, id_col)
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = df.select(c(id_col).alias("id"), c(text_col).alias("text"))
-    count, hashes = encoded.agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64("word"))).first()
-    if count <= broadcast_words and count == hashes:
-        sent, odd = _sent(encoded)
-        cache_name = uuid.uuid4().hex
-
-        def work(ids, texts):
-            if cache_name not in _UNITS:  # a worker keeps the pieces of one query only
-                _UNITS.clear()
-                _UNITS[cache_name] = (_Known(), {})
-            tables = [x.value for x in sent]
-            return [ids, *_digests(texts, pattern, lambda words: _find_ids(tables, words), odd.value, _UNITS[cache_name])]
-
-        return map_columns(rows, ["id", "text"], schema, work)
-
-    def own_words(texts):
-        find = regex.compile(pattern).findall
-        keys, words = [], []
-        for t in texts:
-            if t:
-                new = {w for u in set(cut(t)) for w in find(u)}
-                words += [w.encode("utf-8", "replace") for w in new]
-                keys += [hashlib.md5(t.encode("utf-8", "replace")).hexdigest()] * len(new)
-        return [keys, words]
-
-    held = map_columns(rows, ["text"], "text_key string, word binary", own_words).distinct().join(encoded, "word")
-    held = held.groupBy("text_key").agg(F.collect_list(F.struct("word", "ids", "decoded")).alias("entries"))
-    joined = rows.withColumn("text_key", F.md5("text")).join(held, "text_key", "left")
-
-    def assemble(ids, texts, entries):
-        out = [[], [], []]
-        for text, own in zip(texts, entries, strict=True):
-            table = {bytes(e["word"]): ",".join(map(str, e["ids"])) for e in own or ()}
-            odd = {bytes(e["word"]): bytes(e["decoded"]) for e in own or () if e["word"] != e["decoded"]}
-            for column, value in zip(out, _digests([text], pattern, lambda words, t=table: [t[w] for w in words], odd, (_Known(), {})), strict=True):
-                column += value
-        return [ids, *out]
-
-    return map_columns(joined, ["id", "text", "entries"], schema, assemble)
+    cache_name = uuid.uuid4().hex
+
+    def work(ids, texts):
+        if cache_name not in _UNITS:  # a worker keeps the pieces of one query only
+            _UNITS.clear()
+            _UNITS[cache_name] = (_Known(), {}, _Merges(known.value, odd.value))
+        ids_of, odd_of, merges = _UNITS[cache_name]
+        merges.forget()
+        tables = [x.value for x in sent]
+        return [ids, *_digests(texts, pattern, lambda words: _find_ids(tables, words, merges), merges.odd, (ids_of, odd_of))]
+
+    return map_columns(rows, ["id", "text"], schema, work)
 
 
 def _sent(encoded: DataFrame) -> tuple[list[Broadcast], Broadcast]:
