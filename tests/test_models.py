@@ -3,13 +3,15 @@ import math
 import threading
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from tidemill import TrainSpec, train
-from tidemill.learning import candidates, cells, dictionary, forests, frames, metrics, preprocessing, training
+from tidemill.learning import candidates, cells, dictionary, forests, frames, metrics, preprocessing, training, trees
 from tidemill.learning.candidates import CANDIDATES, Sizes
 from tidemill.roles import ROW
 
@@ -345,3 +347,89 @@ def test_boosted_trees_pass_over_cells(spark, monkeypatch, tmp_path):
     again = PipelineModel.load(str(tmp_path / "model")).transform(df.drop("y"))
     expected = {r["__key"]: r["prediction"] for r in result.scored.collect()}
     assert {r[ROW]: r["prediction"] for r in again.collect() if r[ROW] in expected} == expected
+
+
+def _priced(spark, rows):
+    noise = "pmod(hash(id, 2), 1000) / 90"
+    return spark.range(rows).selectExpr(
+        f"id AS {ROW}", "pmod(hash(id, 3), 5000) / 10 AS x", "pmod(hash(id), 7) AS n", "element_at(array('u', 'v', 'w', null), 1 + pmod(hash(id, 1), 4)) AS tag",
+        f"pmod(hash(id, 3), 5000) / 300 + pmod(hash(id), 7) * 3 + pmod(hash(id, 1), 4) * pmod(hash(id), 7) + {noise} AS y",
+    )
+
+
+def _coded(spark, features):
+    """Rows, their features, and what tasks make of them: a number for each feature and row."""
+    df = _priced(spark, 1500).withColumnRenamed("y", candidates.LABEL).withColumn("x", F.expr("floor(x / 20)"))
+    prepare = preprocessing.fit_preprocessor(df, features)
+    rows = PipelineModel(prepare.stages).transform(df).orderBy(ROW).cache()
+    found = trees.tree_features(prepare, [])
+    columns = [np.array([r[0] for r in rows.select(f.column).collect()]) for f in found]
+    for f, x in zip(found, columns, strict=True):
+        f.cuts = [] if f.width else trees.cut_points(*map(np.ndarray.tolist, np.unique(x, return_counts=True)), 64)
+    return prepare, rows, found, [f.coded(x) for f, x in zip(found, columns, strict=True)]
+
+
+@pytest.mark.parametrize("depth, least", [(1, 1), (4, 1), (30, 1), (30, 40)])
+def test_a_grown_tree_is_that_of_spark(spark, depth, least):
+    prepare, rows, features, codes = _coded(spark, ["x", "n", "tag"])
+    label = np.array([r[0] for r in rows.select(candidates.LABEL).collect()])
+    learner = DecisionTreeRegressor(featuresCol=preprocessing.FEATURES, labelCol=candidates.LABEL, maxDepth=depth, minInstancesPerNode=least, maxBins=64)
+    expected = learner.fit(rows)
+    *nodes, gains = trees.grow(features, codes, np.ones(len(label)), label - label.mean(), depth, least, prepare.size, prepare.size, np.random.default_rng(1))
+    predicted = trees.walk(features, np.stack(codes), nodes) + label.mean()
+    assert predicted.tolist() == pytest.approx([r["prediction"] for r in expected.transform(rows).select("prediction").collect()])
+    importances = expected.featureImportances.toArray()
+    # Of equal splits either may win, as in nodes of two categories or cells.
+    assert (gains / gains.sum())[:2].tolist() == pytest.approx(importances[:2].tolist(), abs=1e-4)
+    assert (nodes[0] >= 0).sum() == expected.numNodes // 2 and len(nodes[3]) == expected.numNodes // 2 + 1
+
+
+def test_a_grown_tree_with_weights_and_drawn_features(spark):
+    """Counted cells are their rows, and a node only splits by features that were drawn for it."""
+    prepare, rows, features, codes = _coded(spark, ["x", "n", "tag"])
+    label = np.array([r[0] for r in rows.select(candidates.LABEL).collect()])
+    cells, at, n = np.unique(np.stack(codes), axis=1, return_inverse=True, return_counts=True)
+    total = np.bincount(at.ravel(), label)
+    trees_of = [
+        trees.grow(features, list(c), w, t, 6, 1, prepare.size, prepare.size, np.random.default_rng(1))
+        for c, w, t in ((codes, np.ones(len(label)), label), (cells, n.astype(float), total))
+    ]
+    predicted = [trees.walk(features, cells, x[:4]) for x in trees_of]
+    assert predicted[0].tolist() == pytest.approx(predicted[1].tolist())
+    assert set(trees_of[0][0]) == set(range(-1, prepare.size))
+    roots = {int(trees.grow(features, list(cells), n.astype(float), total, 1, 1, 1, prepare.size, np.random.default_rng(k))[0][0]) for k in range(60)}
+    assert roots == set(range(prepare.size))
+    same = trees.grow(features, list(cells), n.astype(float), n * 3.7, 30, 1, prepare.size, prepare.size, np.random.default_rng(1))
+    assert same[0].tolist() == [-1] and same[3].tolist() == pytest.approx([3.7])
+
+
+def test_cut_points():
+    assert trees.cut_points([3.0, 1.0, 2.0], [1, 1, 9], 64) == [1.5, 2.5] and trees.cut_points([5.0], [3], 64) == []
+    even = trees.cut_points([float(x) for x in range(100)], [1] * 100, 4)
+    assert even == [24.5, 49.5, 74.5]
+    assert len(trees.cut_points([float(x) for x in range(100)], [1000] + [1] * 99, 4)) <= 3
+    wide = trees.Feature("a", 0, 9, [])
+    assert trees.fits(1000, [wide], 9) and not trees.fits(10**8, [wide], 9) and not trees.fits(10, [wide], 1001)
+
+
+@pytest.mark.parametrize("name", ["random_forest", "extra_trees"])
+def test_large_forests_are_grown_by_tasks(spark, tmp_path, monkeypatch, name):
+    """Forests whose nodes are more than the driver may hold aren't fitted by Spark's learner; scores and importances are like its own."""
+    df, sizes = _priced(spark, 3000).cache(), Sizes(forest=230)
+    fitted, fit = [], candidates.RandomForestRegressor.fit
+    monkeypatch.setattr(candidates.RandomForestRegressor, "fit", lambda self, *a: fitted.append(1) or fit(self, *a))
+    monkeypatch.setattr(trees, "_SENT_BYTES", 50_000)
+    monkeypatch.setattr(trees, "_KEPT_CELLS", 100)
+    result = train(df, TrainSpec("y", ("x", "n", "tag"), name, sizes=sizes))
+    model = result.model.stages[-1]
+    assert not fitted and model.getNumTrees == 230 and len(model._parts[0]) > 2
+    assert result.summary["model_type"] == "RandomForestRegressionModel"
+    result.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model")).transform(df.drop("y"))
+    expected = {r["__key"]: r["prediction"] for r in result.scored.collect()}
+    assert {r[ROW]: r["prediction"] for r in again.collect() if r[ROW] in expected} == pytest.approx(expected)
+    few = train(df, TrainSpec("y", ("x", "n", "tag"), name, sizes=Sizes(forest=40)))
+    assert fitted
+    for k in ("train_score", "test_score"):
+        assert result.summary[k] == pytest.approx(few.summary[k], abs=0.02)
+    assert candidates.importances(model) == pytest.approx(candidates.importances(few.model.stages[-1]), abs=0.03)

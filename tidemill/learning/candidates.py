@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
+from threading import Lock
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -13,14 +14,19 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from tidemill.learning.cells import BINNED, WEIGHT
 from tidemill.learning.forests import Forest
 from tidemill.learning.preprocessing import FEATURES
+from tidemill.learning.trees import Feature, GrownForest
 
 LABEL = "__label"
 SEED = 42
 
 # Candidate names in the order in which they are tried.
 CANDIDATES = ("xgboost", "random_forest", "extra_trees", "linear")
+FORESTS = ("random_forest", "extra_trees")
 
 BINS = 64
+#: Extra trees: coarse split points, and the share of the rows that each tree is grown on.
+_COARSE_BINS = 16
+_SHARE = 0.8
 #: Most node ids (rows times trees, four bytes each) kept between tree levels.
 _CACHED_NODE_IDS = 250_000_000
 
@@ -70,7 +76,7 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes, part
     def trees(learner: type[Estimator], **options) -> Forest:
         return Forest(partial(learner, **options), sizes.forest, SEED, parts, tasks, pool)
 
-    random = {**forest, "bootstrap": False, "subsamplingRate": 0.8, "maxBins": 16}
+    random = {**forest, "bootstrap": False, "subsamplingRate": _SHARE, "maxBins": _COARSE_BINS}
     if not classification:
         return {
             "xgboost": GBTRegressor(maxIter=sizes.boosted_regressor, stepSize=sizes.regressor_rate, **boosted),
@@ -88,6 +94,17 @@ def estimators(classification: bool, classes: int, rows: int, sizes: Sizes, part
     }
 
 
+def grown(names: list[str], features: list[Feature], size: int, sizes: Sizes, tasks: int) -> dict[str, GrownForest]:
+    """The forests for numbers once more, as learners whose trees are grown by ``tasks`` tasks, one forest after the other."""
+    turn = Lock()
+
+    def forest(bins: int, share: float | None, chosen: int) -> GrownForest:
+        return GrownForest(features, size, LABEL, sizes.forest, SEED, sizes.forest_depth, sizes.min_rows_per_leaf, bins, share, chosen, tasks, turn)
+
+    both = {"random_forest": lambda: forest(BINS, None, size), "extra_trees": lambda: forest(_COARSE_BINS, _SHARE, -(-size // 3))}
+    return {n: both[n]() for n in names}
+
+
 def importances(model: Model) -> list[float] | None:
     """Impurity importances, or mean absolute coefficients over the classes."""
     if hasattr(model, "featureImportances"):

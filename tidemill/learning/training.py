@@ -18,10 +18,11 @@ from tidemill.columns import c
 from tidemill.functions.labels import value_text
 from tidemill.learning import metrics
 from tidemill.learning.dictionary import TableLookup, with_positions
-from tidemill.learning.candidates import BINS, CANDIDATES, LABEL, Sizes, estimators, importances
+from tidemill.learning.candidates import BINS, CANDIDATES, FORESTS, LABEL, Sizes, estimators, grown, importances
 from tidemill.learning.cells import BINNED, cells, fit_bins
 from tidemill.learning.frames import feature_columns, is_classification, model_frame, split
 from tidemill.learning.preprocessing import FEATURES, fit_preprocessor
+from tidemill.learning.trees import MOST_FEATURES, GrownForestModel, counted, fits, tree_features
 from tidemill.roles import ROW, check_supported, dtype_of, is_numeric, normalise_missing, with_row_order
 from tidemill.session import stage
 
@@ -37,6 +38,8 @@ _ROWS_PER_TASK = 10_000
 _MOST_ROWS_PER_TASK = 1_000_000
 #: A forest's parts run side by side, each on a share of the tasks.
 _TASK_SHARE = 4
+#: Nodes of a forest that the driver may hold; trees of larger forests for numbers are grown by tasks.
+_DRIVER_NODES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -150,6 +153,11 @@ def _parts(cores: int, candidates: int) -> int:
     return cores if candidates == 1 else max(1, cores - 1)
 
 
+def _large(rows: int, sizes: Sizes) -> bool:
+    """Whether a forest may have more nodes than the driver may hold: a tree has at most a leaf for each row."""
+    return 2 * min(rows, 2**sizes.forest_depth) * sizes.forest > _DRIVER_NODES
+
+
 def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     """Fit one candidate or all of them, and keep the one with the best test score.
 
@@ -177,9 +185,14 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     # Preprocessing is fitted on train rows and its output stored once for all candidates.
     tried = [spec.model_type] if spec.model_type in CANDIDATES else list(CANDIDATES)
     prepare = fit_preprocessor(halves.filter(TRAIN), features, spec.local_values)
-    bins = fit_bins(halves.filter(TRAIN), prepare, BINS) if BOOSTED in tried else []
+    forests = [n for n in tried if n in FORESTS and not classification and prepare.size <= MOST_FEATURES]
+    if forests and not _large(halves.filter(TRAIN).count(), spec.sizes):
+        forests = []
+    bins = fit_bins(halves.filter(TRAIN), prepare, BINS) if BOOSTED in tried or forests else []
+    columns = tree_features(prepare, bins) if forests else []
     ready = PipelineModel([*prepare.stages, *bins]).transform(halves)
-    ready = stage(ready.select(FEATURES, *[BINNED for _ in bins[:1]], LABEL, TRAIN, c(key).alias("__key"), _like(frame, features).alias("__like")), "model-input")
+    read = [FEATURES, *[BINNED for _ in bins[:1]], *[c(f.column) for f in columns], LABEL, TRAIN]
+    ready = stage(ready.select(*read, c(key).alias("__key"), _like(frame, features).alias("__like")), "model-input")
     sizes = {r[TRAIN]: r["n"] for r in ready.groupBy(TRAIN).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train, n_test = sizes.get(True, 0), sizes.get(False, 0)
     cores = spark.sparkContext.defaultParallelism
@@ -188,12 +201,17 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     ready = stage(ready, "model-parts").coalesce(tasks)
 
     rows = {name: ready.filter(TRAIN) for name in tried}
-    if bins:
+    if BOOSTED in tried:
         found = stage(cells(rows[BOOSTED], LABEL, classification), "cells")
         cell_tasks, _ = _tasks(found.count(), cores)
         rows[BOOSTED] = stage(found.repartition(cell_tasks), "cell-parts").coalesce(cell_tasks)
     parts = _parts(cores, len(tried))
     choices = estimators(classification, classes.count if classes else 0, n_train, spec.sizes, parts, forest_tasks)
+    if forests:
+        like = stage(counted(ready.filter(TRAIN), columns, LABEL), "tree-rows")
+        if fits(like.count(), columns, prepare.size):
+            choices |= grown(forests, columns, prepare.size, spec.sizes, parts)
+            rows |= dict.fromkeys(forests, like)
 
     def fit(name: str) -> tuple[Model, DataFrame, tuple[float, float]]:
         found = choices[name].fit(rows[name])
@@ -259,7 +277,7 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
         "model_leaderboard": board,
     }
     return TrainResult(
-        model=PipelineModel([*prepare.stages, *(bins if best == BOOSTED else []), model, *last]),
+        model=PipelineModel([*prepare.stages, *(bins if best == BOOSTED or isinstance(model, GrownForestModel) else []), model, *last]),
         summary=summary,
         leaderboard=spark.createDataFrame(board, "model string, train_score double, test_score double"),
         metrics=scored_metrics,
