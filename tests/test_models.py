@@ -433,3 +433,28 @@ def test_large_forests_are_grown_by_tasks(spark, tmp_path, monkeypatch, name):
     for k in ("train_score", "test_score"):
         assert result.summary[k] == pytest.approx(few.summary[k], abs=0.02)
     assert candidates.importances(model) == pytest.approx(candidates.importances(few.model.stages[-1]), abs=0.03)
+
+
+def test_large_forests_beside_other_candidates(spark, tmp_path, monkeypatch):
+    """Both forests are grown one after the other, on a core less than there are, and the best candidate is stored and read again."""
+    cores, tasks, running, most = spark.sparkContext.defaultParallelism, [], [0], [0]
+
+    def stored(df, label, kept=trees.stage):
+        tasks.append(df.rdd.getNumPartitions())
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        try:
+            return kept(df, label)
+        finally:
+            running[0] -= 1
+
+    monkeypatch.setattr(trees, "stage", stored)
+    df = _priced(spark, 3000).withColumn("y", F.expr("abs(n - 3) * 5 + y / 10")).cache()
+    result = train(df, TrainSpec("y", ("x", "n", "tag"), sizes=Sizes(boosted_regressor=2, boosted_depth=2, forest=230)))
+    assert tasks == [max(1, cores - 1)] * 2 and most[0] == 1
+    scores = {r["model"]: r["test_score"] for r in result.leaderboard.collect()}
+    assert list(scores) == list(CANDIDATES) and result.summary["selected_model_key"] == max(scores, key=scores.get) in candidates.FORESTS
+    result.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model")).transform(df.drop("y"))
+    expected = {r["__key"]: r["prediction"] for r in result.scored.collect()}
+    assert {r[ROW]: r["prediction"] for r in again.collect() if r[ROW] in expected} == pytest.approx(expected)
