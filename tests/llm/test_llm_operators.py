@@ -305,6 +305,17 @@ def test_bpe_words_beyond_the_table_move_no_rows(docs):
         assert sorted(map(str, found.collect())) == expected
 
 
+def test_pipeline_encodes_words_beyond_the_table_in_place(spark, docs, monkeypatch):
+    """The last stage moves no rows, however many words its documents have."""
+    whole = sorted(map(str, corpus_pipeline.encode(spark, docs, SF_DIR).collect()))
+    *others, _ = bpe.encode_texts.__defaults__
+    monkeypatch.setattr(bpe.encode_texts, "__defaults__", (*others, 3))
+    found = corpus_pipeline.encode(spark, docs, SF_DIR)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted(map(str, found.collect())) == whole
+
+
 def test_words_outside_the_table_merge_like_the_library():
     ranks, rng = bpe.read_ranks(MULTI), random.Random(7)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
